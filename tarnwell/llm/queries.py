@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import langid, mixing, packing, secrets, simhash
 
 QUERIES = {
     f.__name__: f
     for f in (
         simhash.op3_simhash_near_dedup,
+        packing.op4_pack_windows,
+        mixing.op6_mix_sources,
+        langid.op7_language_id,
+        secrets.op10_secret_scan,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_mix_sources": mixing.OP6_SQL}
