@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, secrets, simhash
+from . import langid, mixing, packing, pii, rules, secrets, simhash
 
 QUERIES = {
     f.__name__: f
@@ -11,7 +11,9 @@ QUERIES = {
         packing.op4_pack_windows,
         mixing.op6_mix_sources,
         langid.op7_language_id,
+        pii.op8_personal_data,
+        rules.op9_quality_rules,
         secrets.op10_secret_scan,
     )
 }
-SQL: dict[str, str] = {"op6_mix_sources": mixing.OP6_SQL}
+SQL: dict[str, str] = {"op6_mix_sources": mixing.OP6_SQL, "op9_quality_rules": rules.OP9_SQL}
