@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, pii, rules, secrets, simhash
+from . import embeddings, langid, mixing, packing, pii, rules, secrets, simhash
 
 QUERIES = {
     f.__name__: f
     for f in (
+        embeddings.op1_embedding_near_dedup,
         simhash.op3_simhash_near_dedup,
         packing.op4_pack_windows,
         mixing.op6_mix_sources,
