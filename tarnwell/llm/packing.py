@@ -33,7 +33,7 @@ COMBINATIONS = 60_000
 #: Windows that one task packs greedily.
 SHARD_WINDOWS = 2048
 #: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 _POLY = 0xEDB88320
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -51,33 +51,46 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = piece.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters only. Such a word is one piece, so in their joined text each ends with an end-of-word id."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._whole([w.decode() for w in words])
+        flat, cuts = ids.tobytes(), (cuts * 4).tolist()
+        return [flat[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
+
     def learn(self, words: set[bytes]) -> None:
-        """A letter ends a piece before a final stop or comma, which so has ids of its own."""
+        """A final stop or comma after letters is a piece of its own."""
         known = self.known
-        ends = {w: w[:-1] for w in words if w[-1:] in (b".", b",") and w[:-1].isalpha()}
-        plain = [w for w in ({*words, *ends.values(), b".", b","} - ends.keys()) if w not in known]
-        known.update(zip(plain, self._whole([w.decode() for w in plain]), strict=True))
-        for w, stem in ends.items():
+        stems = {w: w[:-1] for w in words if w[-1:] in (b".", b",") and w[:-1].decode().isalpha()}
+        plain = [w for w in ({*words, *stems.values(), b".", b","} - stems.keys()) if w not in known]
+        letters = [w for w in plain if w.decode().isalpha()]
+        for at in range(0, len(letters), 4096):
+            some = letters[at : at + 4096]
+            known.update(zip(some, self._letters(some), strict=True))
+        rest = [w for w in plain if w not in known]
+        known.update(zip(rest, self._whole([w.decode() for w in rest]), strict=True))
+        for w, stem in stems.items():
             known[w] = known[stem] + known[w[-1:]]
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        for text in texts:
-            if b"<|" in text:
-                yield self._whole([text.decode()])[0]
-                continue
-            words = text.lower().split()
-            try:
-                yield b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                self.learn({w for w in words if w not in self.known})
-                yield b"".join(map(self.known.__getitem__, words))
+        for at in range(0, len(texts), 512):
+            some = [t.lower().split() if b"<|" not in t else None for t in texts[at : at + 512]]
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            if new := set().union(*(w for w in some if w)).difference(self.known):
+                self.learn(new)
+            for words, text in zip(some, texts[at : at + 512], strict=True):
+                yield self._whole([text.decode()])[0] if words is None else b"".join(map(self.known.__getitem__, words))
 
 
 _ENCODERS: dict[str, Encoder] = {}
