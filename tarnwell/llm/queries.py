@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embeddings, langid, mixing, packing, pii, rules, secrets, simhash
+from . import embeddings, langid, lm, mixing, packing, pii, rules, secrets, simhash
 
 QUERIES = {
     f.__name__: f
     for f in (
         embeddings.op1_embedding_near_dedup,
+        lm.op2_lm_scoring,
         simhash.op3_simhash_near_dedup,
         packing.op4_pack_windows,
         mixing.op6_mix_sources,
