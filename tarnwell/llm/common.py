@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 1 << 1
         whole = pa.Table.from_batches(held)
         last = whole.column(key)[n - 1]
         same = whole.column(key).combine_chunks()
-        tail = pa.compute.equal(same, last).to_numpy(zero_copy_only=False)
+        tail = pc.equal(same, last).to_numpy(zero_copy_only=False)
         cut_at = n - int(np.argmin(tail[::-1])) if not tail.all() else 0
         if cut_at:
             yield whole.slice(0, cut_at)

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -282,7 +283,7 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "shard", 1):
             for shard in np.unique(t.column("shard").to_numpy()).tolist():
-                rows = t.filter(pa.compute.equal(t.column("shard"), shard)).sort_by([("rest", "descending"), ("doc_id", "ascending"), ("part", "ascending"), ("idx", "ascending")])
+                rows = t.filter(pc.equal(t.column("shard"), shard)).sort_by([("rest", "descending"), ("doc_id", "ascending"), ("part", "ascending"), ("idx", "ascending")])
                 i, start, n, window, offset = (np.array(x, np.int64) for x in zip(*greedy(rows.column("rest").to_pylist())[0], strict=True))
                 crcs = rows.column("rest_crcs").to_pylist()
                 low = np.array([crcs[d][s // GRID - 1] if s else 0 for d, s in zip(i.tolist(), start.tolist(), strict=True)], np.uint32)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, langid, lm, mixing, packing, pii, rules, secrets, simhash
+from . import embeddings, langid, lm, mixing, packing, pii, rules, secrets, simhash, substrings
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         lm.op2_lm_scoring,
         simhash.op3_simhash_near_dedup,
         packing.op4_pack_windows,
+        substrings.op5_substring_dedup,
         mixing.op6_mix_sources,
         langid.op7_language_id,
         pii.op8_personal_data,
