@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest, saved, table
+from .common import crc_rest, most_frequent, saved, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LENGTHS = (4, 3, 2, 1)
@@ -84,7 +84,7 @@ def train(docs: DataFrame, most_words: int = 30_000, most_grams: int = 30_000) -
 
     def top(counts: DataFrame, most: int) -> list:
         by = counts.groupBy("item").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        return by.orderBy(F.desc("all"), "item").limit(most).collect()
+        return most_frequent(saved(by), "item", "all", most)
 
     sums = {r["lang"]: (r["n"], r["types"]) for r in words.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()}
     languages = tuple(sorted(sums))

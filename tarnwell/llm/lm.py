@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_bytes, crc_rest, saved, table
+from .common import ascii_bytes, crc_rest, most_frequent, saved, table
 
 HEADS = 159
 CLASSES = 96
@@ -209,7 +209,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     docs = counts.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
     words = counts.where("word IS NOT NULL")
-    top = words.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    top = most_frequent(words, "word", "n", KNOWN)
     heads = [bytes(r[0]) for r in top[:HEADS]]
     cls = F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(CLASSES))
     tokens, types = np.zeros(CLASSES), np.zeros(CLASSES)
