@@ -73,3 +73,8 @@ def slug(c: str | Column) -> Column:
 
 def code_points_head(c: str | Column, n: int) -> Column:
     return F.substring(F.coalesce(col(c), F.lit("")), 1, n)
+
+
+def exact_mean(c: Column) -> Column:
+    """Aggregate: the mean of values of at most 6 decimals, summed as decimals, so that order does not matter."""
+    return F.sum(c.cast("decimal(20,6)")).cast("double") / F.nullif(F.count(c), F.lit(0))

@@ -1,15 +1,254 @@
-"""Registered queries and their SQL."""
+"""Registered queries: the library's operators applied to the test tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import labels
+from ..functions.scalars import slug
+from ..operators import merging, posterior, rollups, topics, trend
+from ..sources import testdata
+from ..streaming import admission
+from . import endpoints, oracle
+
+FLAGSHIP = "list_professors"
+COURSES = ",".join([*oracle.ASKED[:1], " ", *oracle.ASKED[1:]])
+AS_OF = "2002-01-01 00:00:00"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL = oracle.SQL
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with the columns of a list row."""
+    e = testdata.entities(spark, sf_dir)
+    good = posterior.posterior(F.col("n_good"), F.col("n_overall"), posterior.THRESHOLDS["good"])
+    e = e.withColumn("good", good).withColumn("n_overall", F.coalesce("n_overall", F.lit(0)))
+    return e.select("school", "ordinal", "entity_id", "legacy_id", "name", "department", "avg_rating", "avg_difficulty", "num_ratings", "would_take_again_pct", F.col("good.mean").alias("good_prob"), "good.ci_lower", "good.ci_upper", "n_overall")
+
+
+def _shown(*more: Column | str) -> list[Column | str]:
+    width = F.col("ci_upper") - F.col("ci_lower")
+    return [
+        "entity_id", "legacy_id", "name", "department", "avg_rating", "avg_difficulty", "num_ratings", "would_take_again_pct", "good_prob", "ci_lower", "ci_upper",
+        labels.confidence_level(F.col("n_overall"), width).alias("confidence_level"), labels.verdict_base(F.col("good_prob"), F.col("avg_difficulty")).alias("verdict"),
+        labels.verdict_emoji(F.col("good_prob")).alias("verdict_emoji"), labels.letter_grade(F.col("good_prob")).alias("letter"), *more,
+    ]
+
+
+@query
+def list_professors(spark, sf_dir):
+    return endpoints.list_professors(_rows(spark, sf_dir)).select(*_shown())
+
+
+@query
+def list_professors_search(spark, sf_dir):
+    return endpoints.list_professors(_rows(spark, sf_dir), department="nation_1", search="ION_1", sort_by="name").select(*_shown())
+
+
+@query
+def professor(spark, sf_dir):
+    return endpoints.professor(_rows(spark, sf_dir), 7).select(*_shown())
+
+
+@query
+def compare(spark, sf_dir):
+    best = rollups.unique_best("avg_rating").alias("best_rating"), rollups.unique_best("avg_difficulty", lowest=True).alias("easiest")
+    return endpoints.compare(_rows(spark, sf_dir), "9, 3,5, ,unknown").select(*_shown(*best))
+
+
+@query
+def departments(spark, sf_dir):
+    return rollups.department_rows(_rows(spark, sf_dir))
+
+
+@query
+def school_stats(spark, sf_dir):
+    return rollups.school_stats(_rows(spark, sf_dir))
+
+
+def _counts(spark, sf_dir):
+    return posterior.rating_counts(testdata.reviews(spark, sf_dir))
+
+
+@query
+def rating_posteriors(spark, sf_dir):
+    return posterior.long_posteriors(_counts(spark, sf_dir))
+
+
+@query
+def sub_rating_posteriors(spark, sf_dir):
+    each = F.array(*(F.struct(F.lit(k).alias("dimension"), posterior.sub_rating(k).alias("p")) for k in posterior.SUB))
+    return _counts(spark, sf_dir).select("entity_id", F.explode(each).alias("x")).where("x.p IS NOT NULL").select("entity_id", "x.dimension", "x.p.*")
+
+
+@query
+def retake_posterior(spark, sf_dir):
+    return _counts(spark, sf_dir).select("entity_id", posterior.retake_posterior().alias("p")).where("p IS NOT NULL").select("entity_id", "p.*")
+
+
+@query
+def grade_distribution(spark, sf_dir):
+    return rollups.grade_distribution(testdata.reviews(spark, sf_dir, ordered=True))
+
+
+@query
+def grade_histogram(spark, sf_dir):
+    return rollups.grade_histogram(rollups.grade_distribution(testdata.reviews(spark, sf_dir, ordered=True)))
+
+
+@query
+def grade_probabilities(spark, sf_dir):
+    return rollups.grade_probabilities(testdata.reviews(spark, sf_dir))
+
+
+@query
+def class_breakdown(spark, sf_dir):
+    return rollups.class_breakdown(testdata.reviews(spark, sf_dir, ordered=True))
+
+
+@query
+def class_grades(spark, sf_dir):
+    return rollups.class_grades(testdata.reviews(spark, sf_dir, ordered=True))
+
+
+def _classes(spark, sf_dir):
+    """Class rows with the columns of their entity and its grade shares."""
+    reviews = testdata.reviews(spark, sf_dir, ordered=True)
+    classes = rollups.class_breakdown(reviews).select("entity_id", "class_name", "first_ordinal", F.col("num_reviews").alias("course_reviews"), F.col("avg_rating").alias("course_rating"))
+    place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("course_reviews"), "first_ordinal", "class_name"))
+    shares = rollups.grade_probabilities(reviews)
+    return classes.withColumn("class_place", place).join(_rows(spark, sf_dir), "entity_id").join(shares, "entity_id", "left")
+
+
+@query
+def courses(spark, sf_dir):
+    classes = _classes(spark, sf_dir).withColumn("num_reviews", F.col("course_reviews"))
+    return rollups.course_rows(classes).select("course", F.size("professors").cast("long").alias("n_professors"), "total_reviews")
+
+
+@query
+def schedule(spark, sf_dir):
+    return endpoints.schedule(_classes(spark, sf_dir), COURSES).select("course", "entity_id", "name", "class_name", "course_rating", "course_reviews", "avg_rating", "good_prob", "place")
+
+
+def _optimize(preference: str):
+    def ranks(spark, sf_dir):
+        return endpoints.ranked(_classes(spark, sf_dir), COURSES, preference)
+
+    def optimize(spark, sf_dir):
+        return ranks(spark, sf_dir).where(F.col("place") <= 4).select("course", "entity_id", "name", "class_name", "course_rating", "course_reviews", "optimizer_score", "place")
+
+    def semester(spark, sf_dir):
+        return endpoints.semester(ranks(spark, sf_dir), COURSES)
+
+    return optimize, semester
+
+
+for _preference in ("balanced", "easy", "challenge"):
+    QUERIES[f"optimize_{_preference}"], QUERIES[f"semester_{_preference}"] = _optimize(_preference)
+
+
+@query
+def semester_warnings(spark, sf_dir):
+    return endpoints.warnings(endpoints.ranked(_classes(spark, sf_dir), COURSES), COURSES)
+
+
+def _topics(spark, sf_dir):
+    docs = testdata.documents_as_reviews(spark, sf_dir)
+    return docs.select("doc_id", F.explode(topics.seed_scores("comment")).alias("x")).select("doc_id", "x.*")
+
+
+@query
+def topic_scores(spark, sf_dir):
+    return _topics(spark, sf_dir)
+
+
+@query
+def topic_scores_trained(spark, sf_dir):
+    docs = testdata.documents_as_reviews(spark, sf_dir).withColumn("school", F.lit("testdata"))
+    return topics.scores(docs, topics.train_batch(docs), ("school", "doc_id"), partition=("school",))
+
+
+def _with_doc(spark, sf_dir, reviews: DataFrame) -> DataFrame:
+    n = testdata.read(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_docs"))
+    return reviews.crossJoin(F.broadcast(n)).withColumn("doc_id", F.col("doc_key") % F.col("n_docs"))  # one row
+
+
+def _sentiment(spark, sf_dir):
+    reviews = _with_doc(spark, sf_dir, testdata.reviews(spark, sf_dir).select("entity_id", "clarity", "helpful", "doc_key"))
+    return topics.category_sentiment(reviews.join(topics.members(_topics(spark, sf_dir)), "doc_id"))
+
+
+@query
+def category_sentiment(spark, sf_dir):
+    return _sentiment(spark, sf_dir)
+
+
+@query
+def fit(spark, sf_dir):
+    wide = _sentiment(spark, sf_dir).groupBy("entity_id").agg(*(F.max(F.when(F.col("category") == c, F.col("pct_positive"))).alias(f"pct_{c}") for c in topics.CATEGORIES))
+    shares = rollups.grade_probabilities(testdata.reviews(spark, sf_dir))
+    rows = _rows(spark, sf_dir).join(wide, "entity_id", "left").join(shares, "entity_id", "left")
+    return endpoints.fit(rows, limit=100, **oracle.FIT_PREFS).select("entity_id", "name", "department", "avg_rating", "avg_difficulty", "num_ratings", "would_take_again_pct", "fit_score")
+
+
+@query
+def highlights(spark, sf_dir):
+    reviews = _with_doc(spark, sf_dir, testdata.reviews(spark, sf_dir, ordered=True)).join(testdata.documents_as_reviews(spark, sf_dir), "doc_id")
+    return rollups.highlights(reviews, AS_OF, more=("doc_key",)).select("entity_id", "doc_key", "score", "rank")
+
+
+@query
+def label_columns(spark, sf_dir):
+    rows = _rows(spark, sf_dir).join(rollups.grade_probabilities(testdata.reviews(spark, sf_dir)), "entity_id", "left")
+    line = labels.bottom_line(F.col("avg_rating"), F.col("avg_difficulty"), F.col("a_range"), F.col("would_take_again_pct"))
+    flags = labels.list_flags(F.col("avg_rating"), F.col("avg_difficulty"), F.col("would_take_again_pct"), F.lit(None).cast("string"))
+    return rows.select("entity_id", labels.letter_grade(F.col("good_prob")).alias("letter"), labels.difficulty_label(F.col("avg_difficulty")).alias("difficulty_label"), F.when(F.size(flags) > 0, F.array_join(flags, "|")).alias("flags"), line["grade"].alias("grade_line"))
+
+
+QUERIES["labels"] = QUERIES.pop("label_columns")
+
+
+@query
+def rating_trend(spark, sf_dir):
+    t = trend.rating_trend(testdata.reviews(spark, sf_dir, ordered=True))
+    return t.select("entity_id", "insufficient_data", "n_data_points", "date_range", labels.trend_label(F.col("pred_mean")).alias("trend_summary"), labels.trend_text(F.col("pred_mean")).alias("trend_text"), F.element_at("pred_mean", -1).alias("last_mean"), F.element_at("pred_std", -1).alias("last_std"))
+
+
+@query
+def admitted_requests(spark, sf_dir):
+    return admission.admitted(testdata.read(spark, sf_dir, "events"), limit=3, window=86400.0)
+
+
+def _suppliers(spark, sf_dir):
+    return testdata.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("num_ratings"))
+
+
+@query
+def unknown_entities(spark, sf_dir):
+    s = _suppliers(spark, sf_dir)
+    return merging.unknown(s, s.where("id % 3 = 0")).select("id", "name")
+
 
-def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+@query
+def upserted_entities(spark, sf_dir):
+    s = _suppliers(spark, sf_dir).select("id", "name", F.col("id").alias("ordinal"))
+    known = s.where("id % 2 = 0").withColumn("reviews", F.array(F.lit(1)))
+    fetched = s.where("id % 4 = 0").select("id", F.concat("name", F.lit(" new")).alias("name"), F.when(F.col("id") % 8 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("reviews"))
+    return merging.upserted(known, fetched).select("id", "name")
 
 
-FLAGSHIP = "suppliers"
-QUERIES = {"suppliers": suppliers}
-SQL = {"suppliers": "SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey"}
+@query
+def catalog_status(spark, sf_dir):
+    n = testdata.read(spark, sf_dir, "nation")
+    files = n.where("n_nationkey % 3 > 0").select(slug("n_name").alias("slug"), (F.col("n_nationkey") % 3 == 1).alias("readable"), F.col("n_nationkey").cast("long").alias("professors"), (F.col("n_nationkey") * 10).cast("long").alias("reviews"))
+    return merging.catalog_status(n.select(slug("n_name").alias("slug"), F.col("n_name").alias("name")), files)
