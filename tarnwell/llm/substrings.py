@@ -6,9 +6,10 @@ what they stand for: a name is the same in every task without a table of names p
 
 With each symbol goes the stretch of words that determines it. A symbol is certain in a window if that stretch lies inside.
 Each window of SPAN words is represented by one of its certain symbols of the highest level that has any, so equal windows
-have equal representatives, at equal offsets: no repeat can be missed. The representatives of all windows, a fraction of
-the words, are shuffled by the hash of their stretch; windows whose representative occurs twice are candidates. Candidates
-are verified by 128-bit hashes of all their words.
+have equal representatives, at equal offsets: no repeat can be missed. An occurrence of a representative stands for the
+consecutive windows that it represents, and carries a hash of all words they cover. Occurrences, a fraction of the words,
+are shuffled by the hash of the representative's stretch. Where all words agree too, all but the earliest go. Where they do
+not, at the ends of passages, the earliest of each kind are compared window by window, by 128-bit hashes of all words.
 
 What a task meets twice itself it decides itself, so a passage that a third of all texts share reaches any later task
 once for each batch of texts at most.
@@ -24,10 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_bytes, starts, table, whole_groups
+from .common import ascii_bytes, saved, table, whole_groups
 
 SPAN = 20
-PAIR_STEPS = 3
+PAIR_STEPS = 2
 #: Words that are worked on at once.
 CHUNK = 1 << 18
 REMEMBERED = 500_000
@@ -113,9 +114,9 @@ def _least(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def representatives(h: np.ndarray, wall: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, windows) of the representatives of all windows without a wall in them."""
+    """(key, first window, windows, hash of all their words) for all windows without a wall in them."""
     n = len(h)
-    none = (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    none = (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))
     if n < span:
         return none
     walls = np.r_[0, np.cumsum(wall)]
@@ -140,7 +141,15 @@ def representatives(h: np.ndarray, wall: np.ndarray, span: int = SPAN) -> tuple[
         found.append((mixed(hashed(lo[k], hi[k]) + U(level * _B2 % (1 << 64)) + (hi[k] - begin[k]).astype(U) * U(_B1)), p[first], np.diff(np.r_[first, len(p)])))
     if len(p := np.flatnonzero(open_)):  # inside runs: the window stands for itself
         found.append((mixed(hashed(p, p + span)), p, np.ones(len(p), np.int64)))
-    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else none
+    if not found:
+        return none
+    key, p, n = map(np.concatenate, zip(*found, strict=True))
+    return key, p, n, _full(hashed, p, n, span)
+
+
+def _full(hashed, at: np.ndarray, n: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """Hashes of all words of the n windows from `at`."""
+    return mixed(hashed(at, at + n + span - 1) + n.astype(U) * U(_B2))
 
 
 def _random(*parts: np.ndarray) -> np.ndarray:
@@ -151,9 +160,12 @@ def _random(*parts: np.ndarray) -> np.ndarray:
     return x
 
 
+_OCCURRENCE = "route long, full long, id long, at int, n int, late boolean"
+_RANGE = "id long, at int, n int, full long, late boolean"
+
+
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text -> route, id, at, n, state: 0 a representative met once here, 1 one that is known to be shared, 2 word
-    of a shared one to other tasks."""
+    """id, text -> occurrences: the earliest of its kind here, to be compared, and later ones, decided."""
     names = _Names()
     for batch in batches:
         ids = batch.column(0).to_numpy()
@@ -167,9 +179,9 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wall = np.zeros(len(h), bool)
             begins = np.r_[0, np.cumsum(lengths)[:-1]]
             wall[begins + lengths - 1] = True
-            key, p, k = representatives(h, wall)
+            key, p, k, full = representatives(h, wall)
             d = np.searchsorted(begins, p, "right") - 1
-            held.append((key, np.array(doc, np.int64)[d], p - begins[d], k))  # noqa: B023
+            held.append((key, full, np.array(doc, np.int64)[d], p - begins[d], k))  # noqa: B023
             texts, doc, n = [], [], 0
 
         for i, text in zip(ids, ascii_bytes(batch.column(1)), strict=True):
@@ -185,26 +197,30 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             work()
         if not held:
             continue
-        key, doc_id, at, count = map(np.concatenate, zip(*held, strict=True))
-        order = np.argsort(key, kind="stable")
-        key, doc_id, at, count = key[order], doc_id[order], at[order], count[order]
-        begin = starts(key)
-        many = np.diff(np.r_[begin, len(key)]) > 1
-        shared = np.repeat(many, np.diff(np.r_[begin, len(key)]))
-        route = np.where(shared, _random(key, doc_id, at), key)
-        m = begin[many]
-        zeros = np.zeros(len(m), np.int64)
-        columns = [np.r_[route, key[m]].view(np.int64), np.r_[doc_id, zeros], np.r_[at, zeros].astype(np.int32), np.r_[count, zeros].astype(np.int32), np.r_[shared.astype(np.int8), np.full(len(m), 2, np.int8)]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["route", "id", "at", "n", "state"])
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by route -> id, at, n of representatives that occur twice."""
+        key, full, doc_id, at, count = map(np.concatenate, zip(*held, strict=True))
+        order = np.lexsort((at, doc_id, full, key))
+        key, full, doc_id, at, count = (x[order] for x in (key, full, doc_id, at, count))
+        new = np.r_[True, (key[1:] != key[:-1]) | (full[1:] != full[:-1])]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        late = (doc_id != doc_id[first]) | (at != at[first])
+        keep = new | late
+        route = np.where(late, _random(full, doc_id, at), key)
+        columns = [route.view(np.int64), full.view(np.int64), doc_id, at.astype(np.int32), count.astype(np.int32), late]
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["route", "full", "id", "at", "n", "late"])
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences sorted by route, full, id, at -> ranges of windows: late ones, and earliest ones to be compared."""
     for t in whole_groups(batches, "route"):
-        route, state = t.column("route").to_numpy(), t.column("state").to_numpy()
-        size = np.diff(np.r_[starts(route), len(route)])
-        keep = (state == 1) | (state == 0) & np.repeat(size > 1, size)
-        yield from t.select(["id", "at", "n"]).filter(pa.array(keep)).to_batches()
+        route, full, doc, at, late = (t.column(c).to_numpy() for c in ("route", "full", "id", "at", "late"))
+        begins = np.r_[True, route[1:] != route[:-1]]
+        new = begins | np.r_[True, full[1:] != full[:-1]]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(begins))
+        later = late | (doc != doc[first]) | (at != at[first])
+        compare = new & ~later & (np.repeat(kinds, np.diff(np.r_[np.flatnonzero(begins), len(route)])) > 1)
+        out = t.select(["id", "at", "n", "full"]).append_column("late", pa.array(later))
+        yield from out.filter(pa.array(later | compare)).to_batches()
 
 
 def _window_hashes(h: np.ndarray, at: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
@@ -215,53 +231,55 @@ def _window_hashes(h: np.ndarray, at: np.ndarray, span: int = SPAN) -> tuple[np.
     return mixed(one), mixed(two)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text, ranges of candidate windows -> route, other, id, start, hash, late: the earliest of equal windows in
-    the batch, to be compared with other tasks', and later ones, decided."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, text, ranges to compare -> route, other, id, at, n, full, late for each of their windows: the earliest of its
+    kind in the batch, to be compared with other tasks', and later ones, decided."""
     names = _Names()
     for batch in batches:
         held = []
-        for i, text, ranges in zip(batch.column(0).to_pylist(), ascii_bytes(batch.column(1)), batch.column(2), strict=True):
+        for i, text, ranges in zip(batch.column("id").to_pylist(), ascii_bytes(batch.column("text")), batch.column("ranges"), strict=True):
             w = text.split()
             at = np.array(ranges.values.field("at"), np.int64)
             n = np.array(ranges.values.field("n"), np.int64)
             p = np.unique(np.repeat(at - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()))
             p = p[p + SPAN <= len(w)]  # ranges of another row with this id may reach further
             if len(p):
-                one, two = _window_hashes(names.of(w), p)
-                held.append((one, two, np.full(len(p), i, np.int64), p))
+                h = names.of(w)
+                held.append((*_window_hashes(h, p), np.full(len(p), i, np.int64), p, _full(_stretches(h), p, np.ones(len(p), np.int64))))
         if not held:
             continue
-        one, two, doc, p = map(np.concatenate, zip(*held, strict=True))
+        one, two, doc, p, full = map(np.concatenate, zip(*held, strict=True))
         order = np.lexsort((p, doc, two, one))
-        one, two, doc, p = one[order], two[order], doc[order], p[order]
+        one, two, doc, p, full = (x[order] for x in (one, two, doc, p, full))
         new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
-        group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        late = (doc != doc[first][group]) | (p != p[first][group])
-        rows = [np.where(late, _random(one, doc, p), one).view(np.int64), two.view(np.int64), doc, p.astype(np.int32), one.view(np.int64)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(late)], ["route", "other", "id", "start", "hash", "late"])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        late = (doc != doc[first]) | (p != p[first])
+        keep = new | late
+        route = np.where(late, _random(one, doc, p), one)
+        columns = [route.view(np.int64), two.view(np.int64), doc, p.astype(np.int32), np.ones(len(p), np.int32), full.view(np.int64), late]
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["route", "other", "id", "at", "n", "full", "late"])
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by route, other, id, start -> id, start, hash of windows that are not the first of their kind."""
+    """Windows sorted by route, other, id, at -> those that are not the first of their kind."""
     for t in whole_groups(batches, "route"):
-        route, other, doc, start, late = (t.column(c).to_numpy() for c in ("route", "other", "id", "start", "late"))
+        route, other, doc, at, late = (t.column(c).to_numpy() for c in ("route", "other", "id", "at", "late"))
         new = np.r_[True, (route[1:] != route[:-1]) | (other[1:] != other[:-1])]
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        keep = late | (doc != doc[first]) | (start != start[first])
-        yield from t.select(["id", "start", "hash"]).filter(pa.array(keep)).to_batches()
-
-
-def kept_words(words: list[bytes], names: np.ndarray, start: np.ndarray, hashes: np.ndarray, span: int = SPAN) -> list[bytes]:
-    """The words outside the windows at `start` whose hash is as told."""
-    fits = start + span <= len(words)
-    start, hashes = start[fits], hashes[fits]
-    if len(start):
-        start = start[_window_hashes(names, start, span)[0] == hashes]
-    if not len(start):
+        keep = late | (doc != doc[first]) | (at != at[first])
+        yield from t.select(["id", "at", "n", "full"]).filter(pa.array(keep)).to_batches()
+
+
+def kept_words(words: list[bytes], names: np.ndarray, at: np.ndarray, n: np.ndarray, full: np.ndarray, span: int = SPAN) -> list[bytes]:
+    """The words outside the ranges of windows whose words hash as told."""
+    fits = at + n + span - 1 <= len(words)
+    at, n, full = at[fits], n[fits], full[fits]
+    if len(at):
+        told = _full(_stretches(names), at, n, span) == full
+        at, n = at[told], n[told]
+    if not len(at):
         return words
-    change = np.bincount(start, minlength=len(words) + 1) - np.bincount(start + span, minlength=len(words) + 1)
+    change = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + n + span - 1, minlength=len(words) + 1)
     return [words[k] for k in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
 
 
@@ -274,12 +292,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     gives an empty table.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = rows.select("id", "text").mapInArrow(_marked, "route long, id long, at int, n int, state byte")
-    shared = marked.repartition(F.col("route")).sortWithinPartitions("route").mapInArrow(_shared, "id long, at int, n int")
-    ranges = shared.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
-    met = rows.join(ranges, "id").select("id", "text", "ranges").mapInArrow(_candidates, "route long, other long, id long, start int, hash long, late boolean")
-    later = met.repartition(F.col("route")).sortWithinPartitions("route", "other", "id", "start").mapInArrow(_later, "id long, start int, hash long")
-    gone = later.groupBy("id").agg(F.collect_list(F.struct("start", "hash")).alias("gone"))
+    marked = rows.select("id", "text").mapInArrow(_marked, _OCCURRENCE)
+    found = saved(marked.repartition(F.col("route")).sortWithinPartitions("route", "full", "id", "at").mapInArrow(_resolved, _RANGE))
+    ranges = found.where("NOT late").groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
+    # The same columns as in the join below, so that one shuffle of the texts serves both.
+    compared = rows.join(ranges, "id").select("id", "doc_id", "text", "ranges").mapInArrow(_windows, "route long, other long, id long, at int, n int, full long, late boolean")
+    later = compared.repartition(F.col("route")).sortWithinPartitions("route", "other", "id", "at").mapInArrow(_later, "id long, at int, n int, full long")
+    gone = later.unionByName(found.where("late").drop("late")).groupBy("id").agg(F.collect_list(F.struct("at", "n", "full")).alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _Names()
@@ -288,7 +307,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             for text, windows in zip(ascii_bytes(batch.column(1)), batch.column(2), strict=True):
                 words = left = text.split()
                 if windows.is_valid:
-                    left = kept_words(words, names.of(words), np.array(windows.values.field("start"), np.int64), np.array(windows.values.field("hash"), np.int64).view(U))
+                    at, n, full = (np.array(windows.values.field(k), np.int64) for k in ("at", "n", "full"))
+                    left = kept_words(words, names.of(words), at, n, full.view(U))
                 kept.append(b" ".join(left))
                 total.append(len(words))
                 removed.append(len(words) - len(left))
