@@ -30,8 +30,8 @@ CLASSES = 96
 UNITS = 1 + HEADS + CLASSES
 CONTEXT = 4
 WIDTH = 16
-NOISE = 32
-BATCH = 2048
+NOISE = 16
+BATCH = 4096
 RATE = 0.15
 KNOWN = 65_536
 HELD_OUT = 2
@@ -126,12 +126,14 @@ class Model:
 
     def log10(self, near: np.ndarray, units: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of units in their contexts."""
-        out = np.empty(len(units))
+        out, turned = np.empty(len(units)), np.ascontiguousarray(self.target.T)
         for at in range(0, len(units), 8192):
-            s = self.predicted(near[:, at : at + 8192]) @ self.target.T
+            q = self.predicted(near[:, at : at + 8192])
+            u = units[at : at + 8192]
+            s = q @ turned
             s += self.bias
-            s -= s.max(axis=1, keepdims=True)
-            mine = s[np.arange(len(s)), units[at : at + 8192]]
+            np.minimum(s, 80.0, out=s)  # exp() of more overflows; sums of UNITS of these do not
+            mine = s[np.arange(len(s)), u]
             np.exp(s, out=s)
             out[at : at + 8192] = (mine - np.log(s.sum(axis=1))) / math.log(10)
         return out
@@ -294,8 +296,8 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> Da
         ids = v.ids()
         end_log = math.log10(v.docs + 1.0)
         row = TaskContext.get().partitionId() << 36
-        names = ("row", "word", "tf", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm")
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        names = ("row", "word", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm")
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         for batch in batches:
             doc_ids, held_out = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = ascii_bytes(batch.column(2))
@@ -303,28 +305,31 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> Da
                 some = [t.lower().split() for t in texts[first : first + 64]]
                 at = [ids.of(w) for w in some]
                 logs = model.log10(*contexts([_units(v, a) for a in at]))
-                out, k = [], 0
+                out, loose_words, loose_rows, k = [], [], [], 0
                 for i, (words, a) in enumerate(zip(some, at, strict=True)):
                     n = len(words)
                     known = a >= 0
-                    inside = a[known]
-                    loose = a[~known]
-                    lm = logs[k : k + n + 1].sum() + v.inside[inside].sum() - v.log_class[-1 - loose].sum()
+                    inside, unknown = a[known], np.flatnonzero(~known)
+                    lm = logs[k : k + n + 1].sum() + v.inside[inside].sum() - v.log_class[-1 - a[unknown]].sum()
                     base = v.log_count[inside].sum() + end_log - (n + 1) * per_token
                     k += n + 1
                     # a key that no word can have, so that texts spread like words do
-                    out.append((row, b" %d" % row, 0, doc_ids[first + i], held_out[first + i], n + 1, len(inside) + (v.docs > 0), base, lm))
-                    out += [(row, w, c, None, None, None, None, None, None) for w, c in Counter([words[j] for j in np.flatnonzero(~known).tolist()]).items()]
+                    out.append((row, b" %d" % row, doc_ids[first + i], held_out[first + i], n + 1, len(inside) + (v.docs > 0), base, lm))
+                    loose_words += map(words.__getitem__, unknown.tolist())
+                    loose_rows.append(np.full(len(unknown), row, np.int64))
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
+                if loose_words:
+                    nothing = [pa.nulls(len(loose_words), t) for t in kinds[2:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(loose_rows)), pa.array(loose_words, pa.binary()), *nothing], list(names))
 
-    schema = "row long, word binary, tf int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double"
+    schema = "row long, word binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
     met = rows.join(counts.where("word IS NOT NULL").withColumnRenamed("n", "c"), "word", "left")
-    found = F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)
+    found = F.log10(F.coalesce("c", F.lit(0)) + 1)
     sums = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_known") + F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0))).alias("n_known"),
+        (F.max("n_known") + F.count("c")).alias("n_known"),
         (F.max("base") + F.sum(found)).alias("base_score"), (F.max("lm") + F.sum(found)).alias("score"),
     )
     return sums.drop("row")
