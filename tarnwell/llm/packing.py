@@ -62,7 +62,7 @@ class Encoder:
 
     def _letters(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of letters only. Such a word is one piece, so in their joined text each ends with an end-of-word id."""
-        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):
             return self._whole([w.decode() for w in words])
@@ -85,13 +85,21 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         for at in range(0, len(texts), 512):
-            some = [t.lower().split() if b"<|" not in t else None for t in texts[at : at + 512]]
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            if new := set().union(*(w for w in some if w)).difference(self.known):
+            get, held, new = self.known.get, [], set()
+            for text in texts[at : at + 512]:
+                words = text.lower().split() if b"<|" not in text else []
+                ids = list(map(get, words))
+                gaps = [k for k, x in enumerate(ids) if x is None] if None in ids else []
+                new.update(map(words.__getitem__, gaps))
+                held.append((text if b"<|" in text else None, words, ids, gaps))
+            if new:
                 self.learn(new)
-            for words, text in zip(some, texts[at : at + 512], strict=True):
-                yield self._whole([text.decode()])[0] if words is None else b"".join(map(self.known.__getitem__, words))
+            for text, words, ids, gaps in held:
+                for k in gaps:
+                    ids[k] = get(words[k])
+                yield b"".join(ids) if text is None else self._whole([text.decode()])[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
