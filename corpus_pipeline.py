@@ -15,33 +15,44 @@ from tarnwell.llm.common import crc_rest, saved, table
 SURE = 0.5
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Each row as one column, beside the columns that stages read: no other column can clash with theirs."""
+    return docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", "lang", "source", "n_chars")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without letters, or of doubtful language, go."""
     model = langid.train(docs.where(crc_rest("doc_id", 3) != langid.HELD_OUT))
-    told = langid.predict(docs, model, tuple(docs.columns))
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+    told = langid.predict(_whole(docs), model, ("doc",))
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one whose id names the group. Of rows that repeat that id, the least text stays."""
+    """One document of each group: that of least id (null last), of rows that repeat it the one of least text hash.
+
+    Of rows equal in both, one stays.
+    """
     groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    return left.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("row")).select(*(F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns))
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("kept"))
+    kept = first.select(F.col("kept.doc_id").alias("id"), F.col("kept.text_hash").alias("h"))
+    rows = _whole(docs).select("doc", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    left = rows.join(kept, rows["id"].eqNullSafe(kept["id"]) & (rows["h"] == kept["h"]), "left_semi")
+    return left.groupBy("id", "h").agg(F.first("doc").alias("doc")).select("doc.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets replaced by a mark; n_chars follows the text."""
-    found = secrets.scan(docs, tuple(docs.columns))
-    clean = found.withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
-    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = secrets.scan(_whole(docs), ("doc", "text", "n_chars")).withColumn("clean", secrets.redact(F.col("text"), F.col("spans")))
+    n_chars = F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars"))
+    new = {"text": F.col("clean"), "n_chars": n_chars}
+    return found.select(*(new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, as often as the mix takes them, in the order in which training reaches them."""
-    mixed = mixing.mix(docs, tuple(docs.columns), whole=True)
+    mixed = mixing.mix(_whole(docs), ("doc",), whole=True)
     copies = mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return copies.orderBy("copy", "position").select(*docs.columns)
+    return copies.orderBy("copy", "position").select("doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,14 +41,15 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fp long), one row per row; null text counts as empty, fingerprint 0."""
+    """docs(doc_id, text) -> (doc_id, fp long, text_hash), one row per row; null text counts as empty, fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in ascii_bytes(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def _counts(half: Column) -> Column:
@@ -80,19 +81,19 @@ def near_pairs(fps: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fp, component_id), one row per row.
+    """docs(doc_id, text) -> (doc_id, fp, component_id, group, text_hash), one row per row.
 
     Equal fingerprints are one node, so groups of copies cost a row each. component_id is the smallest doc_id reachable
-    over links of at most `distance` differing bits. Texts without words share fingerprint 0. A row with a null doc_id is
+    over links of at most `distance` differing bits; `group` tells groups apart even where ids repeat. Texts without words share fingerprint 0. A row with a null doc_id is
     grouped like any other; a group of null ids only has a null component. An empty table gives an empty table.
     """
     each = saved(fingerprints(docs, shingle))
     nodes = saved(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = components(near_pairs(nodes.select("fp"), distance))
     groups = parts.join(nodes.withColumnRenamed("fp", "node"), "node").groupBy("component").agg(F.min("least").alias("root"))
-    named = parts.join(groups, "component").select(F.col("node").alias("fp"), "root")
-    labels = nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "least").alias("component_id"))
-    return each.join(labels, "fp").select("doc_id", "fp", "component_id")
+    named = parts.join(groups, "component").select(F.col("node").alias("fp"), "root", "component")
+    labels = nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "least").alias("component_id"), F.coalesce("component", "fp").alias("group"))
+    return each.join(labels, "fp").select("doc_id", "fp", "component_id", "group", "text_hash")
 
 
 def op3_simhash_near_dedup(spark, sf_dir):

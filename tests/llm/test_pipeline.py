@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import lit
 
 import corpus_pipeline as cp
 from tarnwell.llm import packing, secrets, simhash
@@ -106,8 +107,16 @@ def test_empty_corpus(spark, sf_dir):
 
 def test_odd_rows_pass_every_stage(spark, sf_dir):
     docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (1, "some words that are here", "en", "a", 9), (1, "some words that are here", "en", "a", 9), (2, "x" * 20_000, None, "a", None)], "doc_id long, text string, lang string, source string, n_chars long")
-    for _, f in cp.STAGES:
-        assert f(spark, docs, sf_dir).count() >= 0
+    clash = {c: lit(0) for c in ("row", "key", "h", "id", "score", "lang_pred", "spans", "clean", "size", "copies", "position", "taken", "bucket", "doc", "n", "part", "rest")}
+    for docs in (docs, docs.withColumns(clash)):
+        for _, f in cp.STAGES:
+            assert f(spark, docs, sf_dir).count() >= 0
+        assert cp.near_duplicates(spark, docs, sf_dir).count() == 3  # the wordless group, the repeated row, the long text
+
+
+def test_repeated_ids_of_different_groups_both_stay(spark, sf_dir):
+    docs = spark.createDataFrame([(5, "one text about this", "en", "a", 1), (5, "quite another thing here", "en", "a", 1), (3, "quite another thing here", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in cp.near_duplicates(spark, docs, sf_dir).collect()) == [3, 5]
 
 
 def test_fingerprints_of_the_stage_are_those_of_the_operator():
