@@ -252,3 +252,42 @@ def catalog_status(spark, sf_dir):
     n = testdata.read(spark, sf_dir, "nation")
     files = n.where("n_nationkey % 3 > 0").select(slug("n_name").alias("slug"), (F.col("n_nationkey") % 3 == 1).alias("readable"), F.col("n_nationkey").cast("long").alias("professors"), (F.col("n_nationkey") * 10).cast("long").alias("reviews"))
     return merging.catalog_status(n.select(slug("n_name").alias("slug"), F.col("n_name").alias("name")), files)
+
+
+def _schools(spark, sf_dir):
+    """Regions as schools: their suppliers and line items are entities and reviews."""
+    rows = _rows(spark, sf_dir).join(testdata.read(spark, sf_dir, "nation").select(F.col("n_name").alias("department"), F.col("n_regionkey").alias("r_regionkey")), "department")
+    sums = rows.groupBy("r_regionkey").agg(F.count(F.lit(1)).alias("professors"), F.sum("num_ratings").alias("reviews"))
+    return testdata.read(spark, sf_dir, "region").join(sums, "r_regionkey", "left").select(slug("r_name").alias("slug"), F.col("r_name").alias("name"), F.coalesce("professors", F.lit(0)).alias("professors"), F.coalesce("reviews", F.lit(0)).alias("reviews"))
+
+
+@query
+def schools(spark, sf_dir):
+    return endpoints.school_list(_schools(spark, sf_dir), pinned="asia")
+
+
+@query
+def service_info(spark, sf_dir):
+    return endpoints.service_info(_schools(spark, sf_dir))
+
+
+@query
+def sentiment_pivot(spark, sf_dir):
+    ids = endpoints.comparable(["3", "5", "9"])
+    pivot = rollups.sentiment_pivot(_sentiment(spark, sf_dir), topics.CATEGORIES, [int(i) for i in ids])
+    return pivot.select("category", *(F.col(i).alias(f"entity_{i}") for i in ids))
+
+
+@query
+def suggested_professors(spark, sf_dir):
+    return endpoints.suggestions(_rows(spark, sf_dir), "lier#", chosen=("1", "2")).select("entity_id", "name")
+
+
+@query
+def semester_alternatives(spark, sf_dir):
+    return endpoints.alternatives(endpoints.ranked(_classes(spark, sf_dir), COURSES)).select("course", "entity_id", "optimizer_score", "place")
+
+
+@query
+def sentiment_labels(spark, sf_dir):
+    return _sentiment(spark, sf_dir).select("entity_id", "category", labels.sentiment_label(F.col("pct_positive")).alias("label"))

@@ -172,3 +172,35 @@ def semester(ranks: DataFrame, courses: str) -> DataFrame:
         rnd(F.col("d"), 2).alias("avg_difficulty"), rnd(F.col("r"), 2).alias("avg_quality"), rnd(F.col("g"), 2).alias("estimated_gpa"), labels.semester_label(F.col("d")).alias("difficulty_label"),
         F.lit(len(course_codes(courses))).cast("long").alias("num_courses"), "courses_with_data",
     )
+
+
+def service_info(schools: DataFrame) -> DataFrame:
+    """One row: how many schools are served."""
+    return schools.agg(F.count(F.lit(1)).alias("schools"))
+
+
+def school_list(schools: DataFrame, search: str | None = None, pinned: str | None = None) -> DataFrame:
+    """schools(slug, name, ...): those whose name holds the text, the pinned one first, then by name."""
+    rows = schools.where(contains("name", search)) if search else schools
+    return rows.orderBy(F.coalesce(F.col("slug") == F.lit(pinned), F.lit(False)).desc(), "name", "slug")
+
+
+def suggestions(rows: DataFrame, text: str, chosen: tuple[str, ...] = (), most: int = 8) -> DataFrame:
+    """Entities to offer for a typed text of two characters or more, without those already chosen."""
+    if len(text.strip()) < 2:
+        return rows.limit(0)
+    return filtered(rows, search=text.strip()).where(~F.col("entity_id").cast("string").isin(*chosen) if chosen else F.lit(True)).orderBy("ordinal").limit(most)
+
+
+def comparable(ids: list[str]) -> list[str]:
+    """Two to four different ids."""
+    ids = list(dict.fromkeys(ids))
+    if not 2 <= len(ids) <= 4:
+        raise ValueError("choose two to four to compare")
+    return ids
+
+
+def top_tags(tags: Column, most: int = 5) -> Column:
+    """The first tags with their opacity against the most frequent one."""
+    most_frequent = F.array_max(F.transform(tags, lambda t: t["count"]))
+    return F.transform(F.slice(tags, 1, most), lambda t: F.struct(t["tag"].alias("tag"), t["count"].alias("count"), labels.tag_opacity(t["count"], most_frequent).alias("opacity")))

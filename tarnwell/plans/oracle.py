@@ -185,6 +185,15 @@ SQL: dict[str, str] = {
     "upserted_entities": "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 AND s_suppkey % 8 = 0 THEN concat(s_name, ' new') ELSE s_name END AS name FROM supplier WHERE s_suppkey % 2 = 0",
     "catalog_status": "SELECT lower(replace(replace(n_name, ' ', ''), '-', ''))[1:12] AS slug, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'Not scraped' WHEN n_nationkey % 3 = 1 THEN 'Ready' ELSE 'Error' END AS status, CASE WHEN n_nationkey % 3 = 1 THEN CAST(n_nationkey AS BIGINT) END AS professors, CASE WHEN n_nationkey % 3 = 1 THEN CAST(n_nationkey * 10 AS BIGINT) END AS reviews FROM nation",
 }
+_SCHOOLS = with_(*_BASE) + "SELECT lower(replace(replace(r_name, ' ', ''), '-', ''))[1:12] AS slug, r_name AS name, count(entity_id) AS professors, CAST(coalesce(sum(num_ratings), 0) AS BIGINT) AS reviews FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN ent ON department = n_name GROUP BY r_name"
+SQL |= {
+    "schools": _SCHOOLS,
+    "service_info": "SELECT count(*) AS schools FROM region",
+    "sentiment_pivot": with_(REV, TOPIC, SENT) + f"SELECT category, {', '.join(f'coalesce(max(pct_positive) FILTER (entity_id = {i}), 0) AS entity_{i}' for i in (3, 5, 9))} FROM sent GROUP BY category HAVING count(*) FILTER (entity_id IN (3, 5, 9)) >= 0",
+    "suggested_professors": "SELECT s_suppkey AS entity_id, s_name AS name FROM supplier WHERE contains(lower(s_name), 'lier#') AND s_suppkey NOT IN (1, 2) ORDER BY s_suppkey LIMIT 8",
+    "semester_alternatives": with_(*_FULL, ranks("balanced")) + "SELECT course, entity_id, optimizer_score, place FROM rk WHERE place BETWEEN 2 AND 4",
+    "sentiment_labels": with_(REV, TOPIC, SENT) + "SELECT entity_id, category, CASE WHEN pct_positive >= 80 THEN 'Great' WHEN pct_positive >= 60 THEN 'Good' WHEN pct_positive >= 45 THEN 'Mixed' WHEN pct_positive >= 30 THEN 'Weak' ELSE 'Below average' END AS label FROM sent",
+}
 for _p in ("balanced", "easy", "challenge"):
     SQL[f"optimize_{_p}"] = with_(*_FULL, ranks(_p)) + "SELECT course, entity_id, name, class_name, course_rating, course_reviews, optimizer_score, place FROM rk WHERE place <= 4"
     _gpa = " + ".join(f"coalesce({c}, 0) / {num(100.0)} * {num(v)}" for c, v in zip(("a_range", "b_range", "c_range", "d_f"), GPA.values(), strict=True))
