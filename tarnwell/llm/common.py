@@ -5,6 +5,7 @@ Every operator reads only the columns it names, so extra columns, clashing names
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -40,13 +41,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_TABLES: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """df as a compressed table in the shared folder, so that lost executors cost no recomputation of what led to it."""
+    """df as a compressed table in the shared folder, so that lost executors cost no recomputation of what led to it.
+
+    The driver removes its tables when it ends; `drop_saved` does so earlier, once nothing reads them any more.
+    """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_saved() -> None:
+    spark = SparkSession.getActiveSession()
+    while spark is not None and _TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+atexit.register(drop_saved)
+
+
 def most_frequent(counts: DataFrame, item: str, n: str, most: int) -> list:
     """The `most` rows of largest n, ties by item, in order. counts is a stored table and is read twice.
 

@@ -31,8 +31,9 @@ END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Combinations that the least-squares problem may have, which bounds the plan.
 COMBINATIONS = 60_000
-#: Windows that one task packs greedily.
+#: Windows and documents that one task packs greedily, on average.
 SHARD_WINDOWS = 2048
+SHARD_DOCS = 50_000
 #: Words whose ids a worker remembers; beyond that it starts anew.
 REMEMBERED = 1_000_000
 
@@ -285,8 +286,8 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     full = each.where("whole > 0").select("doc_id", "n", "part", "first_window", F.posexplode("window_crcs").alias("k", "crc"))
     full = full.select("doc_id", (F.col("k") * F.lit(WINDOW)).cast("long").alias("start"), F.lit(WINDOW).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), (F.lit(1 << 62) + F.call_function("shiftleft", F.col("part").cast("long"), F.lit(40)) + F.col("first_window") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     slotted = assigned.where("sequence_id IS NOT NULL").select("doc_id", whole_start.alias("start"), F.col("rest").cast("long").alias("length"), F.element_at("rest_crcs", -1).alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", "offset")
-    over = int((np.maximum(present - covered, 0) * np.arange(WINDOW + 1)).sum())
-    shards = max(1, over // (SHARD_WINDOWS * WINDOW))
+    over = np.maximum(present - covered, 0)
+    shards = int(max(1, over @ np.arange(WINDOW + 1) // (SHARD_WINDOWS * WINDOW), over.sum() // SHARD_DOCS))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "shard", 1):
