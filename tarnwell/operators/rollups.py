@@ -18,7 +18,7 @@ def grade_distribution(reviews: DataFrame, keys: tuple[str, ...] = ("entity_id",
     """keys, grade, n, rank: grades that tell an outcome, most frequent first, ties by first appearance."""
     told = reviews.where((F.col("grade") != "") & ~F.col("grade").isin(*NO_GRADE))
     counts = told.groupBy(*keys, "grade").agg(F.count(F.lit(1)).alias("n"), F.min("review_ordinal").alias("first"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("n"), "first")
+    w = Window.partitionBy(*keys).orderBy(F.desc("n"), "first", "grade")
     return counts.select(*keys, "grade", "n", F.row_number().over(w).cast("long").alias("rank"))
 
 
@@ -53,7 +53,7 @@ def class_grades(reviews: DataFrame, keys: tuple[str, ...] = ("entity_id",)) ->
     """keys, class_name, grade, n, rank: the five most frequent grades of each class, of any kind but empty."""
     named = reviews.select(*keys, "review_ordinal", strip("class_name").alias("class_name"), "grade").where("class_name <> '' AND grade <> ''")
     counts = named.groupBy(*keys, "class_name", "grade").agg(F.count(F.lit(1)).alias("n"), F.min("review_ordinal").alias("first"))
-    w = Window.partitionBy(*keys, "class_name").orderBy(F.desc("n"), "first")
+    w = Window.partitionBy(*keys, "class_name").orderBy(F.desc("n"), "first", "grade")
     return counts.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= TOP_GRADES).select(*keys, "class_name", "grade", "n", "rank")
 
 

@@ -97,12 +97,12 @@ def retake_posterior(spark, sf_dir):
 
 @query
 def grade_distribution(spark, sf_dir):
-    return rollups.grade_distribution(testdata.reviews(spark, sf_dir, ordered=True))
+    return rollups.grade_distribution(testdata.reviews(spark, sf_dir))
 
 
 @query
 def grade_histogram(spark, sf_dir):
-    return rollups.grade_histogram(rollups.grade_distribution(testdata.reviews(spark, sf_dir, ordered=True)))
+    return rollups.grade_histogram(rollups.grade_distribution(testdata.reviews(spark, sf_dir)))
 
 
 @query
@@ -112,17 +112,17 @@ def grade_probabilities(spark, sf_dir):
 
 @query
 def class_breakdown(spark, sf_dir):
-    return rollups.class_breakdown(testdata.reviews(spark, sf_dir, ordered=True))
+    return rollups.class_breakdown(testdata.reviews(spark, sf_dir, classes=True))
 
 
 @query
 def class_grades(spark, sf_dir):
-    return rollups.class_grades(testdata.reviews(spark, sf_dir, ordered=True))
+    return rollups.class_grades(testdata.reviews(spark, sf_dir, classes=True))
 
 
 def _classes(spark, sf_dir):
     """Class rows with the columns of their entity and its grade shares."""
-    reviews = testdata.reviews(spark, sf_dir, ordered=True)
+    reviews = testdata.reviews(spark, sf_dir, classes=True)
     classes = rollups.class_breakdown(reviews).select("entity_id", "class_name", "first_ordinal", F.col("num_reviews").alias("course_reviews"), F.col("avg_rating").alias("course_rating"))
     place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("course_reviews"), "first_ordinal", "class_name"))
     shares = rollups.grade_probabilities(reviews)
@@ -203,7 +203,7 @@ def fit(spark, sf_dir):
 
 @query
 def highlights(spark, sf_dir):
-    reviews = _with_doc(spark, sf_dir, testdata.reviews(spark, sf_dir, ordered=True)).join(testdata.documents_as_reviews(spark, sf_dir), "doc_id")
+    reviews = _with_doc(spark, sf_dir, testdata.reviews(spark, sf_dir).withColumn("class_name", F.lit(""))).join(testdata.documents_as_reviews(spark, sf_dir), "doc_id")
     return rollups.highlights(reviews, AS_OF, more=("doc_key",)).select("entity_id", "doc_key", "score", "rank")
 
 
@@ -220,7 +220,7 @@ QUERIES["labels"] = QUERIES.pop("label_columns")
 
 @query
 def rating_trend(spark, sf_dir):
-    t = trend.rating_trend(testdata.reviews(spark, sf_dir, ordered=True))
+    t = trend.rating_trend(testdata.reviews(spark, sf_dir))
     return t.select("entity_id", "insufficient_data", "n_data_points", "date_range", labels.trend_label(F.col("pred_mean")).alias("trend_summary"), labels.trend_text(F.col("pred_mean")).alias("trend_text"), F.element_at("pred_mean", -1).alias("last_mean"), F.element_at("pred_std", -1).alias("last_std"))
 
 

@@ -45,7 +45,7 @@ REV = f"""rev AS (
          CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linestatus = 'O' THEN 1 WHEN l_linestatus = 'F' THEN 0 END AS would_take_again,
          ([{text(GRADES)}])[CAST(1 + l_orderkey % 9 AS INT)] AS grade, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS date,
          l_linenumber AS thumbs_up, CAST(floor(l_tax * 100 + 0.5) AS INT) AS thumbs_down, l_orderkey AS doc_key,
-         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS review_ordinal
+         l_orderkey * 8 + l_linenumber AS review_ordinal
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 CNT = f"""cnt AS (
@@ -167,11 +167,11 @@ SQL: dict[str, str] = {
     "rating_posteriors": with_(REV, CNT) + " UNION ALL ".join(f"SELECT entity_id, '{k}' AS level, {', '.join(f'{x} AS {c}' for c, x in post(f'n_{k}', 'n_overall').items())}, n_overall AS n_ratings, n_{k} AS n_above_threshold, {num(t)} AS threshold FROM cnt" for k, t in THRESHOLDS.items()),
     "sub_rating_posteriors": with_(REV, CNT) + " UNION ALL ".join(f"SELECT entity_id, '{k}' AS dimension, {', '.join(f'{x} AS {c}' for c, x in post(f's_{k}', f'n_{k}').items())}, n_{k} AS n_ratings, s_{k} AS n_above_threshold, {num(t)} AS threshold, {rnd(f'sum_{k} / n_{k}', 2)} AS raw_mean FROM cnt WHERE n_{k} > 0" for k, t in SUB.items()),
     "retake_posterior": with_(REV, CNT) + f"SELECT entity_id, {', '.join(f'{x} AS {c}' for c, x in post('n_yes', '(n_yes + n_no)').items())}, n_yes + n_no AS n_ratings, n_yes AS n_above_threshold, {num(3.0)} AS threshold FROM cnt WHERE n_yes + n_no > 0",
-    "grade_distribution": with_(REV) + f"SELECT entity_id, grade, n, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, first) AS rank FROM (SELECT entity_id, grade, count(*) AS n, min(review_ordinal) AS first FROM rev WHERE grade <> '' AND grade NOT IN ({_NO}) GROUP BY entity_id, grade)",
+    "grade_distribution": with_(REV) + f"SELECT entity_id, grade, n, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, first, grade) AS rank FROM (SELECT entity_id, grade, count(*) AS n, min(review_ordinal) AS first FROM rev WHERE grade <> '' AND grade NOT IN ({_NO}) GROUP BY entity_id, grade)",
     "grade_histogram": with_(REV) + f"SELECT entity_id, grade, n, row_number() OVER (PARTITION BY entity_id ORDER BY list_position([{text(GRADE_ORDER)}], grade)) AS best_first FROM (SELECT entity_id, grade, count(*) AS n FROM rev WHERE grade NOT IN ({_NO}) GROUP BY entity_id, grade) WHERE list_contains([{text(GRADE_ORDER)}], grade)",
     "grade_probabilities": with_(REV, PROB) + "SELECT * FROM prob",
     "class_breakdown": with_(REV, CLS) + "SELECT * FROM cls",
-    "class_grades": with_(REV) + "SELECT * FROM (SELECT entity_id, class_name, grade, n, row_number() OVER (PARTITION BY entity_id, class_name ORDER BY n DESC, first) AS rank FROM (SELECT entity_id, class_name, grade, count(*) AS n, min(review_ordinal) AS first FROM rev GROUP BY entity_id, class_name, grade)) WHERE rank <= 5",
+    "class_grades": with_(REV) + "SELECT * FROM (SELECT entity_id, class_name, grade, n, row_number() OVER (PARTITION BY entity_id, class_name ORDER BY n DESC, first, grade) AS rank FROM (SELECT entity_id, class_name, grade, count(*) AS n, min(review_ordinal) AS first FROM rev GROUP BY entity_id, class_name, grade)) WHERE rank <= 5",
     "courses": with_(*_BASE, CLS) + "SELECT upper(class_name) AS course, CAST(count(*) AS BIGINT) AS n_professors, CAST(sum(num_reviews) AS BIGINT) AS total_reviews FROM cls JOIN ent USING (entity_id) GROUP BY upper(class_name) ORDER BY total_reviews DESC, min(ordinal), course LIMIT 100",
     "topic_scores": with_(TOPIC) + "SELECT doc_id, category, probability FROM topic",
     "category_sentiment": with_(REV, TOPIC, SENT) + "SELECT * FROM sent",

@@ -5,7 +5,7 @@ A supplier is an entity, its nation the department; each of its line items is a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rnd
@@ -19,16 +19,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reviews(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
-    """entity_id, class_name, clarity, helpful, difficulty, would_take_again, grade, date, thumbs_up, thumbs_down, doc_key.
+def reviews(spark: SparkSession, sf_dir: str, classes: bool = False) -> DataFrame:
+    """entity_id, review_ordinal, clarity, helpful, difficulty, would_take_again, grade, date, thumbs_up, thumbs_down,
+    doc_key, and with `classes` class_name, which costs a join.
 
-    With `ordered`, a review_ordinal that numbers an entity's reviews from 1 in a fixed order.
+    review_ordinal is an entity's document order; it follows from a line item's own keys, so no sort numbers the rows.
     """
-    line = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    line = read(spark, sf_dir, "lineitem")
+    if classes:
+        line = line.join(read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("class_name")), F.col("l_partkey") == F.col("p_partkey"))
     cents = lambda c: F.floor(F.col(c) * 100 + 0.5).cast("int")
-    rows = line.select(
+    return line.select(
         F.col("l_suppkey").alias("entity_id"),
-        F.col("p_brand").alias("class_name"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("review_ordinal"),
+        *(["class_name"] if classes else []),
         (1 + F.floor((F.col("l_quantity") - 1) / 10).cast("int")).cast("double").alias("clarity"),
         (1 + F.col("l_partkey") % 5).cast("double").alias("helpful"),
         (1 + F.least(F.lit(4), F.floor(cents("l_discount") / 2).cast("int"))).cast("double").alias("difficulty"),
@@ -38,11 +42,7 @@ def reviews(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFram
         F.col("l_linenumber").alias("thumbs_up"),
         cents("l_tax").alias("thumbs_down"),
         F.col("l_orderkey").alias("doc_key"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice").alias("at"),
     )
-    if ordered:
-        rows = rows.withColumn("review_ordinal", F.row_number().over(Window.partitionBy("entity_id").orderBy("at")).cast("long"))
-    return rows.drop("at")
 
 
 def entities(spark: SparkSession, sf_dir: str, counts: DataFrame | None = None) -> DataFrame:
