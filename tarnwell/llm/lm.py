@@ -32,6 +32,8 @@ CONTEXT = 4
 WIDTH = 16
 NOISE = 16
 BATCH = 4096
+#: Tokens that are scored at once.
+SCORED = 1024
 RATE = 0.15
 KNOWN = 65_536
 HELD_OUT = 2
@@ -125,17 +127,20 @@ class Model:
         return sum(self.place[i] * self.context[near[i]] for i in range(CONTEXT))
 
     def log10(self, near: np.ndarray, units: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of units in their contexts."""
-        out, turned = np.empty(len(units)), np.ascontiguousarray(self.target.T)
-        for at in range(0, len(units), 8192):
-            q = self.predicted(near[:, at : at + 8192])
-            u = units[at : at + 8192]
-            s = q @ turned
-            s += self.bias
-            np.minimum(s, 80.0, out=s)  # exp() of more overflows; sums of UNITS of these do not
-            mine = s[np.arange(len(s)), u]
+        """Normalised log10 probabilities of units in their contexts, in blocks that stay in a processor's cache."""
+        out, turned = np.empty(len(units)), np.concatenate([self.target.T, self.bias[None]])
+        q = np.ones((SCORED, WIDTH + 1), np.float32)
+        longest = np.sqrt((self.target**2).sum(axis=1).max())
+        for at in range(0, len(units), SCORED):
+            u = units[at : at + SCORED]
+            n = len(u)
+            q[:n, :WIDTH] = self.predicted(near[:, at : at + SCORED])
+            s = q[:n] @ turned
+            if np.sqrt((q[:n, :WIDTH] ** 2).sum(axis=1).max()) * longest + np.abs(self.bias).max() > 80:
+                s -= s.max(axis=1, keepdims=True)  # else exp() of a score may overflow
+            mine = s[np.arange(n), u]
             np.exp(s, out=s)
-            out[at : at + 8192] = (mine - np.log(s.sum(axis=1))) / math.log(10)
+            out[at : at + SCORED] = (mine - np.log(s.sum(axis=1))) / math.log(10)
         return out
 
 
