@@ -35,7 +35,7 @@ COMBINATIONS = 60_000
 SHARD_WINDOWS = 2048
 SHARD_DOCS = 50_000
 #: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 _POLY = 0xEDB88320
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -137,7 +137,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
         encode = encoder(path).encode
         end = np.array([END], "<u4").tobytes()
         part, windows, seen = TaskContext.get().partitionId(), 0, np.zeros(WINDOW, np.int64)
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(ascii_bytes(batch.column(1))), strict=True):
                 ids += end
@@ -152,8 +152,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
                 seen[rest] += 1
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64())
             names = ("doc_id", "n", "whole", "rest", "window_crcs", "rest_crcs", "part", "first_window", "idx")
-            columns = zip(*rows, strict=True) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], list(names))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
 
     schema = "doc_id long, n long, whole int, rest int, window_crcs array<long>, rest_crcs array<long>, part int, first_window long, idx long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -294,9 +293,10 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             for shard in np.unique(t.column("shard").to_numpy()).tolist():
                 rows = t.filter(pc.equal(t.column("shard"), shard)).sort_by([("rest", "descending"), ("doc_id", "ascending"), ("part", "ascending"), ("idx", "ascending")])
                 i, start, n, window, offset = (np.array(x, np.int64) for x in zip(*greedy(rows.column("rest").to_pylist())[0], strict=True))
-                crcs = rows.column("rest_crcs").to_pylist()
-                low = np.array([crcs[d][s // GRID - 1] if s else 0 for d, s in zip(i.tolist(), start.tolist(), strict=True)], np.uint32)
-                high = np.array([crcs[d][-(-(s + m) // GRID) - 1] for d, s, m in zip(i.tolist(), start.tolist(), n.tolist(), strict=True)], np.uint32)
+                crcs = rows.column("rest_crcs").combine_chunks()
+                flat, first = crcs.values.to_numpy().astype(np.uint32), crcs.offsets.to_numpy()[i].astype(np.int64)
+                low = np.where(start > 0, flat[first + np.maximum(start // GRID - 1, 0)], 0).astype(np.uint32)
+                high = flat[first - (-(start + n) // GRID) - 1]
                 take = lambda c: rows.column(c).take(pa.array(i)).to_numpy()  # noqa: B023, E731
                 columns = [take("doc_id"), take("whole").astype(np.int64) * WINDOW + start, n, piece_crc(low, high, n * 4).astype(np.int64), take("n"), planned + (np.int64(shard) << 32) + window, offset]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(i)).combine_chunks(), *(pa.array(c.astype(np.int64)) for c in columns[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
