@@ -132,6 +132,8 @@ class Rule:
     pattern: str
     keep: Callable[[re.Match], bool] = lambda m: True
     base: bool = False
+    #: A pattern that each text with a match worth keeping holds; spares scans of rules without mandatory trigrams.
+    needs: str = ""
 
 
 def _either(word: str) -> str:
@@ -143,7 +145,7 @@ _KEY = "|".join([_either("password"), _either("passwd"), _either("secret"), _eit
 RULES = (
     Rule("assign", rf"({_KEY})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20, True),
-    Rule("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24, True),
+    Rule("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24, True, "[0-9a-f]{24}"),
     Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -152,8 +154,6 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._-]{1,64}:[^\s/@:]{3,64}@"),
 )
-#: Only runs that can pass are worth a match; maximal runs of 24 or more are the base matches that pass.
-_LONG_HEX = re.compile(rb"[0-9a-f]{24}")
 
 
 class Segment:
@@ -194,7 +194,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule
     Kinds may overlap; of one kind, matches are leftmost and do not. Null texts count as empty; an empty table gives an
     empty table. Texts are read once and nothing is shuffled.
     """
-    queries = [(r, re.compile(r.pattern), trigram_query(r.pattern)) for r in rules]
+    queries = [(r, re.compile(r.pattern), re.compile(r.needs.encode()), trigram_query(r.pattern)) for r in rules]
     kinds = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +203,9 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule
             texts = ascii_bytes(batch.column(1))
             index = Segment(texts)
             found: list[list] = [[] for _ in texts]
-            for k, (rule, regex, query) in enumerate(queries):
+            for k, (rule, regex, needs, query) in enumerate(queries):
                 for i in index.candidates(query):
-                    if rule.kind == "hex" and not _LONG_HEX.search(texts[i]):
+                    if rule.needs and not needs.search(texts[i]):
                         continue
                     found[i] += [(m.start(), k, m.end()) for m in regex.finditer(texts[i].decode()) if rule.keep(m)]
             rows = [[{"kind": rules[k].kind, "start": a, "end": b, "base": rules[k].base} for a, k, b in sorted(x)] for x in found]

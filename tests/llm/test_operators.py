@@ -277,7 +277,7 @@ def test_substrings_with_repeated_ids(spark):
 # op6
 
 
-def test_mixing_meets_targets(spark):
+def test_mixing_meets_targets(spark, monkeypatch):
     texts = ["w " * n for n in (5, 9, 40, 3, 8, 0, 100, 2, 7)] + [None]
     sources = ["b", "b", "a", "c", "c", "c", None, "d", "d", "a"]
     got = mixing.mix(docs(spark, texts, sources=sources), ("doc_id", "source")).collect()
@@ -290,6 +290,7 @@ def test_mixing_meets_targets(spark):
     assert sum(rs[0]["target"] for rs in by.values()) == pytest.approx(total)
     for rs in by.values():
         assert rs[0]["target"] <= 3 * rs[0]["source_size"] and sum(r["taken"] for r in rs) == math.floor(rs[0]["target"] + 0.5)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)  # many buckets instead of one
     again = mixing.mix(docs(spark, texts, sources=sources).repartition(3), ("doc_id", "source")).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix(docs(spark, texts).limit(0)).count() == 0
