@@ -10,6 +10,18 @@ from .scalars import rnd, truthy, whole
 #: Grades from best to worst, and those that say nothing about an outcome.
 GRADE_ORDER = ("A+", "A", "A-", "B+", "B", "B-", "C+", "C", "C-", "D+", "D", "D-", "F")
 NO_GRADE = ("Not sure yet", "Rather not say", "Incomplete", "Drop/Withdrawal", "Audit/No Grade", "N/A")
+#: Verdicts by the least chance of a good rating and the most difficulty, best first, and their marks.
+VERDICTS = (
+    (0.85, 2.5, "Highly rated with a manageable workload", "great"),
+    (0.85, None, "Tough course, but students consistently rate the teaching highly", "great"),
+    (0.65, 3.0, "Well liked with reasonable difficulty", "good"),
+    (0.65, None, "Good teaching but expect to put in the work", "good"),
+    (0.45, None, "Mixed reviews. Student experiences vary quite a bit", "mixed"),
+    (0.30, None, "Below average reviews. Worth checking if this fits your learning style", "caution"),
+    (None, None, "Most students had a tough time. Look into alternatives if you can", "poor"),
+)
+VERDICT_TRENDS = (("improving", ", but ratings have been improving recently"), ("declining", ", and ratings have been declining"))
+NO_TREND = "Not enough data"
 
 
 def steps(value: Column, cuts: list[tuple[float, str]], rest: str, missing: str | None = None) -> Column:
@@ -50,32 +62,32 @@ def trend_label(means: Column) -> Column:
         .when(diff > 0.3, "Trending upward recently")
         .when(diff < -0.5, "Declining over time")
         .when(diff < -0.3, "Trending downward recently")
-        .otherwise("Not enough data")
+        .otherwise(NO_TREND)
     )
-    return F.when(F.coalesce(n, F.lit(0)) >= 4, label).otherwise("Not enough data")
+    return F.when(F.coalesce(n, F.lit(0)) >= 4, label).otherwise(NO_TREND)
 
 
-def verdict_base(good: Column, difficulty: Column) -> Column:
+def _by_verdict(good: Column, difficulty: Column, place: int) -> Column:
     d = F.coalesce(truthy(difficulty), F.lit(3.0))
-    return (
-        F.when((good >= 0.85) & (d <= 2.5), "Highly rated with a manageable workload")
-        .when(good >= 0.85, "Tough course, but students consistently rate the teaching highly")
-        .when((good >= 0.65) & (d <= 3.0), "Well liked with reasonable difficulty")
-        .when(good >= 0.65, "Good teaching but expect to put in the work")
-        .when(good >= 0.45, "Mixed reviews. Student experiences vary quite a bit")
-        .when(good >= 0.30, "Below average reviews. Worth checking if this fits your learning style")
-        .otherwise("Most students had a tough time. Look into alternatives if you can")
-    )
+    out = F.when(F.lit(False), "")
+    for least, most, *texts in VERDICTS[:-1]:
+        out = out.when((good >= least) & (d <= most if most is not None else F.lit(True)), texts[place])
+    return out.otherwise(VERDICTS[-1][2 + place])
+
+
+def verdict_base(good: Column, difficulty: Column) -> Column:
+    return _by_verdict(good, difficulty, 0)
 
 
 def verdict_emoji(good: Column) -> Column:
-    return steps(good, [(0.85, "great"), (0.65, "good"), (0.45, "mixed"), (0.30, "caution")], "poor")
+    return _by_verdict(good, F.lit(None).cast("double"), 1)
 
 
 def verdict(good: Column, difficulty: Column, trend: Column) -> Column:
-    t = F.lower(F.coalesce(trend, F.lit("")))
-    suffix = F.when(t.contains("improving"), ", but ratings have been improving recently").when(t.contains("declining"), ", and ratings have been declining").otherwise("")
-    return F.concat(verdict_base(good, difficulty), suffix)
+    t, suffix = F.lower(F.coalesce(trend, F.lit(""))), F.when(F.lit(False), "")
+    for word, text in VERDICT_TRENDS:
+        suffix = suffix.when(t.contains(word), text)
+    return F.concat(verdict_base(good, difficulty), suffix.otherwise(""))
 
 
 def short_verdict(v: Column) -> Column:
