@@ -330,7 +330,8 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> Da
 
     schema = "row long, word binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-    met = rows.join(counts.where("word IS NOT NULL").withColumnRenamed("n", "c"), "word", "left")
+    # A partition holds far fewer different words than words of texts: hash those and leave the rest unsorted.
+    met = rows.join(counts.where("word IS NOT NULL").withColumnRenamed("n", "c").hint("shuffle_hash"), "word", "left")
     found = F.log10(F.coalesce("c", F.lit(0)) + 1)
     sums = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
