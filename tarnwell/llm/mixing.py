@@ -16,7 +16,7 @@ from .common import WORD, n_words, saved, table
 WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Rows that one bucket of the shuffled order holds on average in a table of one source.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

@@ -32,8 +32,8 @@ TOKENIZER = "word_bpe_49k.json"
 #: Combinations that the least-squares problem may have, which bounds the plan.
 COMBINATIONS = 60_000
 #: Windows and documents that one task packs greedily, on average.
-SHARD_WINDOWS = 2048
-SHARD_DOCS = 50_000
+SHARD_WINDOWS = 1024
+SHARD_DOCS = 10_000
 #: Words whose ids a worker remembers; beyond that it starts anew.
 REMEMBERED = 500_000
 
