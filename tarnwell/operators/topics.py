@@ -64,24 +64,27 @@ def _posterior(logs: dict[str, Column]) -> Column:
 def seed_scores(text: str | Column) -> Column:
     """Posterior of a text under the seeds alone: no join, one expression.
 
-    Tokens are counted by their seed weight in each category, so that only a few logarithms are summed, in fixed order.
+    Tokens are counted by their seed weight in each category, so that only a few logarithms are summed, in fixed order;
+    words that are no seeds are left out of these counts once, before any category looks.
     A text without tokens gets equal probabilities.
     """
     counts = seed_counts()
     vocabulary = len(set().union(*counts.values())) + SPARE_VOCABULARY
     words = tokens(text)
 
-    def scored(w: Column) -> Column:
+    def scored(n: Column, w: Column) -> Column:
         logs = {}
         for c in CATEGORIES:
             scale = float(sum(counts[c].values()) + vocabulary)
             known = sorted(set(counts[c].values()))
             hit = {k: F.size(F.filter(w, _is_one_of([x for x, n in counts[c].items() if n == k]))) for k in known}
-            rest = F.size(w) - sum(list(hit.values())[1:], next(iter(hit.values())))
+            rest = n - sum(list(hit.values())[1:], next(iter(hit.values())))
             logs[c] = F.lit(math.log(1 / len(CATEGORIES))) + rest * F.lit(math.log(1.0 / scale)) + sum((n * F.lit(math.log((k + 1.0) / scale)) for k, n in list(hit.items())[1:]), list(hit.values())[0] * F.lit(math.log((known[0] + 1.0) / scale)))
         return _posterior(logs)
 
-    return F.get(F.transform(F.array(words), scored), 0)
+    seeds = _is_one_of(sorted(set().union(*counts.values())))
+    known = lambda w: F.get(F.transform(F.array(F.filter(w, seeds)), lambda k: scored(F.size(w), k)), 0)
+    return F.get(F.transform(F.array(words), known), 0)
 
 
 def _is_one_of(words: list[str]):
