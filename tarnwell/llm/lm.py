@@ -30,8 +30,8 @@ CLASSES = 96
 UNITS = 1 + HEADS + CLASSES
 CONTEXT = 4
 WIDTH = 16
-NOISE = 16
-BATCH = 4096
+NOISE = 32
+BATCH = 2048
 #: Tokens that are scored at once.
 SCORED = 1024
 RATE = 0.15

@@ -143,6 +143,17 @@ def test_lm_probabilities_are_normalised(spark):
     assert inside == pytest.approx(1)
 
 
+def test_each_training_step_draws_32_noise_units_for_at_most_2048_tokens(monkeypatch):
+    trainer = lm.Trainer(lm.Model.first(np.full(lm.UNITS, 1 / lm.UNITS)), np.full(lm.UNITS, 1 / lm.UNITS), 1)
+    steps, step = [], trainer.step
+    drawn, search = [], np.searchsorted
+    monkeypatch.setattr(trainer, "step", lambda near, units: (steps.append(len(units)), step(near, units)))
+    monkeypatch.setattr(np, "searchsorted", lambda a, v: (drawn.append(len(v)), search(a, v))[1])
+    assert lm._steps(trainer, [np.arange(8192, dtype=np.int32) % lm.UNITS]) == 8192
+    assert steps == [2048] * 4
+    assert drawn == [32] * 4
+
+
 # op3
 
 
