@@ -21,16 +21,18 @@ from .common import saved, starts, table, whole_groups
 from .graph import components
 
 THRESHOLD = 0.98
-MISS = 1e-3
-ERRORS = 4.0
+MISS = 1e-9
+ERRORS = 8.0
+#: Rotations whose codes estimate a pair; the others' codes serve as bands only.
+ESTIMATES = 4
 #: Rows of one side of a comparison; larger buckets are compared block by block.
 BLOCK = 1024
 SEED = 20_11
 
 
 def layout(rows: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
-    """(bits of a band, bands): bits follow the table's size, so that a bucket of unrelated vectors stays small."""
-    bits = min(32, max(12, math.ceil(math.log2(max(rows, 2)))))
+    """(bits of a band, bands): bits follow the table's size, so that few unrelated vectors share a bucket."""
+    bits = min(32, max(12, math.ceil(math.log2(max(rows, 2))) + 6))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - agree)))
 
@@ -85,7 +87,7 @@ def _bands(signs: np.ndarray, bits: int, bands: int) -> np.ndarray:
 
 
 def indexed(classes: DataFrame, kind: str, bits: int, bands: int) -> DataFrame:
-    """Adds code (packed signs of all rotations) and factors (a correction factor for each rotation)."""
+    """Adds code (packed signs of all rotations) and factors (a correction factor for each rotation that estimates)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,7 +99,7 @@ def indexed(classes: DataFrame, kind: str, bits: int, bands: int) -> DataFrame:
                 u = _units([vecs[i] for i in rows], kind)
                 d = u.shape[1]
                 turned = u @ rotations(d, -(-bits * bands // d))
-                f = np.abs(turned).reshape(len(rows), -1, d).sum(axis=2) / math.sqrt(d)
+                f = np.abs(turned[:, : ESTIMATES * d]).reshape(len(rows), -1, d).sum(axis=2) / math.sqrt(d)
                 packed = np.packbits(turned > 0, axis=1)
                 for k, i in enumerate(rows):
                     codes[i], factors[i] = packed[k].tobytes(), f[k].tolist()
@@ -137,10 +139,10 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray, cid: np.ndarray) -> np.ndarray:
 def _compare(cid, n, label, band, side, cross, u, signs, factors, threshold, bits, bands) -> Iterator[tuple]:
     """Links among the rows of one group, or between its two sides: (cid, links, root) for each linked row."""
     d = u.shape[1]
-    r = signs.shape[1] // d
+    r = factors.shape[1]
     turned = u @ rotations_cached(d, r)
     scale = np.repeat(1.0 / (factors * math.sqrt(d) * r), d, axis=1)
-    code = (np.where(signs, 1.0, -1.0) * scale).astype(np.float32)
+    code = (np.where(signs[:, : r * d], 1.0, -1.0) * scale).astype(np.float32)
     bound = ERRORS * np.sqrt((np.maximum(0.0, 1 - factors**2) / factors**2).mean(axis=1) / (r * (d - 1)))
     values = _bands(signs, bits, bands)
     left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if cross else (np.arange(len(cid)),) * 2

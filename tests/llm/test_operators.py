@@ -111,6 +111,22 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_no_pair_close_to_the_threshold_is_missed(spark):
+    agree = 1 - math.acos(embeddings.THRESHOLD) / math.pi
+    for rows in (2, 1000, 10**6, 10**9):
+        bits, bands = embeddings.layout(rows)
+        assert (1 - agree**bits) ** bands <= 1e-9
+    rng, n = np.random.default_rng(3), 3000
+    a, b = rng.standard_normal((2, n, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = 0.98001 * a + math.sqrt(1 - 0.98001**2) * b
+    rows = [(i, "x", v.tolist()) for i, v in enumerate(np.concatenate([a, b]))]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()
+    assert [r["vec_id"] for r in got if r["n_links"] < 1] == []
+
+
 # op2
 
 
