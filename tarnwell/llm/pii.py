@@ -1,7 +1,7 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of what they miss.
 
 Valid base entities are the seeds. The two words before a seed are a lexical pattern. Patterns and instances form a
-bipartite graph that is scored in rounds: a pattern is trusted if enough different instances of one kind follow it and
+bipartite graph that is scored in rounds until the instances stay the same: a pattern is trusted if enough different instances of one kind follow it and
 hardly any of another, an instance if a trusted pattern precedes it; trusted instances then support further patterns.
 Identifiers of a kind's wider shape that follow a trusted pattern, or repeat a trusted instance, are added.
 
@@ -10,6 +10,7 @@ DataFrame functions only. The text is read once; the graph holds only identifier
 
 from __future__ import annotations
 
+import itertools
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,6 @@ KINDS = ("email", "ip", "card", "phone")
 #: Different instances that must follow a pattern, and the share of them that must be of one kind.
 SUPPORT = 8
 PURITY = 0.9
-ROUNDS = 3
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: The base patterns. Possessive where nothing can follow; a match may begin inside a run of its first class
@@ -42,6 +42,8 @@ SHAPES = {
     "card": r"^[0-9](-?[0-9]){11,18}$",
     "phone": r"^\(?[0-9][0-9().-]{5,18}[0-9]$",
 }
+#: The last two words of a reversed text.
+LAST_TWO = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+[^\x20\x09-\x0D]*+"
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
@@ -83,9 +85,11 @@ def _shaped(kind: str, v: Column) -> Column:
 
 
 def _left(text: Column, start: Column) -> Column:
-    """The two words before a place, lower-case; of the 64 characters before it."""
+    """The two words before a place, lower-case; 64 characters tell them if they reach into a third word or to the start."""
+    last = lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), F.lit(2)), " ")
     near = F.substring(text, F.greatest(start - 63, F.lit(1)), F.least(start, F.lit(64)))
-    return F.get(F.transform(F.array(words(F.lower(near))), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), F.lit(2)), " ")), 0)
+    back = F.regexp_extract(F.reverse(F.substring(text, F.lit(1), start)), LAST_TWO, 0)
+    return F.get(F.transform(F.array(words(F.lower(near))), lambda w: F.when((start <= 64) | (F.size(w) > 2), last(w)).otherwise(F.array_join(words(F.lower(F.reverse(back))), " "))), 0)
 
 
 def extracted(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -108,27 +112,30 @@ def extracted(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame
     return rows.select("row", "id", seen("base").alias("base"), seen("wide").alias("wide"))
 
 
-def trusted(found: DataFrame, support: int = SUPPORT, purity: float = PURITY, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(patterns(left, kind, score), instances(kind, value, score)) after at most `rounds` rounds of scoring."""
+def trusted(found: DataFrame, support: int = SUPPORT, purity: float = PURITY, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(patterns(left, kind, score), instances(kind, value, score)) scored in rounds until the set of instances is one that a round before had.
+
+    `rounds` ends the scoring earlier.
+    """
     edge = lambda c: found.select(F.explode(c).alias("x")).select("x.left", "x.kind", "x.value").where("left <> ''").groupBy("left", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     seeds, wide = cut(edge("base")), cut(edge("wide"))
     instances = seeds.select("kind", "value").distinct().withColumn("score", F.lit(1.0))
     graph = seeds.unionByName(wide).select("left", "kind", "value")
-    known, patterns = -1, None
-    for _ in range(rounds):
+    met, patterns = set(), None
+    for _ in itertools.count() if rounds is None else range(rounds):
         kinds = graph.join(instances, ["kind", "value"]).groupBy("left", "kind").agg(F.count(F.lit(1)).alias("support"), F.sum("score").alias("weight"))
         whole = kinds.groupBy("left").agg(F.sum("weight").alias("all"))
         patterns = cut(kinds.join(whole, "left").where((F.col("support") >= support) & (F.col("weight") >= purity * F.col("all"))).select("left", "kind", (F.col("weight") / F.col("all") * F.col("weight") / (F.col("weight") + 1)).alias("score")))
         new = wide.join(patterns, ["left", "kind"]).groupBy("kind", "value").agg(F.max("score").alias("score"))
         instances = cut(seeds.select("kind", "value").distinct().withColumn("score", F.lit(1.0)).unionByName(new).groupBy("kind", "value").agg(F.max("score").alias("score")))
-        n = instances.count()
-        if n == known or patterns.isEmpty():
+        now = instances.agg(F.count(F.lit(1)), *(F.sum(F.xxhash64("kind", "value", F.lit(i)).cast("decimal(38,0)")) for i in range(2))).first()
+        if now in met or patterns.isEmpty():
             break
-        known = n
+        met.add(now)
     return patterns, instances
 
 
-def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), support: int = SUPPORT, purity: float = PURITY, rounds: int = ROUNDS) -> DataFrame:
+def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), support: int = SUPPORT, purity: float = PURITY, rounds: int | None = None) -> DataFrame:
     """`keep`, base and spans: arrays of (kind place, start, end) by kind, then start; code points, end exclusive.
 
     One row per row, null texts and texts without finds with empty arrays; an empty table gives an empty table. Equal

@@ -381,6 +381,27 @@ def test_personal_data_bootstraps(spark):
     assert got[12] == [(0, 24, 39)] and got[13] == [(0, 16, 31)] and got[14] == []
 
 
+def test_personal_data_follows_long_chains(spark):
+    # each link of the chain: 8 identifiers after one pattern, that also follow the next one
+    texts = [f"links to a{i}@x.com" for i in range(8)]
+    chain = 7
+    for c in range(chain):
+        texts += [f"links to z0x{i}@h" if c == 0 else f"step{c} via z{c}x{i}@h" for i in range(8)]
+        texts += [f"step{c + 1} via z{c}x{i}@h" for i in range(8)]
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in pii.personal_data(docs(spark, texts)).collect()}
+    assert [i for i in got if not got[i]] == []
+
+
+def test_personal_data_takes_whole_words_of_any_length_before_a_span(spark):
+    long = "w" * 90
+    texts = [f"{long} {long}{' ' * 80}a{i}@x.com" for i in range(8)] + [f"some {long} {long}{chr(9) * 80}odd@host", f"other{long} {long} odd@elsewhere", f"é {long.upper()} {long} a@b"]
+    found = pii.extracted(docs(spark, texts)).orderBy("row.doc_id").collect()
+    left = [x["left"] for r in found for x in r["base"] + r["wide"]]
+    assert left == [f"{long} {long}"] * 9 + [f"other{long} {long}", f"{long} {long}"]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs(spark, texts)).collect()}
+    assert len(got[8]) == 1 and len(got[9]) == 0 and len(got[10]) == 1
+
+
 # op9
 
 
