@@ -340,3 +340,13 @@ def test_front_helpers(spark):
     assert [r[0] for r in endpoints.school_list(spark.createDataFrame([("b", "B 1"), ("a", "A 1"), ("c", "C")], "slug string, name string"), "1", pinned="b").collect()] == ["b", "a"]
     assert [r[0] for r in spark.createDataFrame([("Di  Mo",)], "n string").select(labels.initials(F.col("n"))).collect()] == ["DM"]
     assert labels.GRADE_ORDER[0] == "A+"
+
+
+def test_bench_takes_every_registered_query_unless_told_otherwise():
+    import __spark_entry__
+    import bench
+
+    found = __spark_entry__.queries()
+    assert bench.selected(found, None) == found and "pipeline" in found
+    assert set(bench.selected(found, "headline")) <= set(bench.HEADLINE)
+    assert list(bench.selected(found, "fit,courses")) == ["fit", "courses"]
