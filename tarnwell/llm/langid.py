@@ -1,8 +1,8 @@
 """Language identification, words first.
 
 A known word is scored by its log frequency in each language; an unseen word falls back to the longest of its character
-n-grams that the model knows. Counts cover all documents that may be learned from. The model keeps the most frequent
-words and n-grams, so its size is bounded by parameters and it can be broadcast.
+n-grams that the model knows. Counts cover all documents that may be learned from. The most frequent words and all n-grams
+are broadcast; counts of the other words stay a table, which the words of texts are joined with.
 """
 
 from __future__ import annotations
@@ -10,25 +10,31 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest, most_frequent, saved, table
+from .common import crc_rest, most_frequent, saved, starts, table, whole_groups
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LENGTHS = (4, 3, 2, 1)
 HELD_OUT = 1
 #: A document's evidence counts as that of so many words at most, since words of one text are not independent.
 EVIDENCE = 20
+#: Unseen words whose n-grams a worker remembers.
+REMEMBERED = 100_000
 
 
 @dataclass(frozen=True)
 class Model:
-    """languages; a row for each known word and n-gram, with its log frequency in each language; log prior."""
+    """languages; a row for each broadcast word and n-gram, with its log frequency in each language; log prior.
+
+    rest: (item, counts in each language) of the other words, None if there are none; word_sums: log denominators of words.
+    """
 
     languages: tuple[str, ...]
     words: dict[str, int]
@@ -36,6 +42,8 @@ class Model:
     grams: dict[str, int]
     gram_logs: np.ndarray
     prior: np.ndarray
+    word_sums: np.ndarray
+    rest: DataFrame | None = None
 
 
 def _emit(counts: Counter) -> pa.RecordBatch:
@@ -67,37 +75,37 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _emit(counts)
 
 
-def _table(rows: list, index: dict[str, int], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
-    items = {r["item"]: i for i, r in enumerate(rows)}
-    counts = np.full((len(rows), len(index)), 0.5)
-    for i, r in enumerate(rows):
-        for x in r["by"]:
-            counts[i, index[x["lang"]]] += x["n"]
-    return items, np.log(counts) - np.log(totals + 0.5 * (len(rows) + 1))
+def _sums(totals: np.ndarray, types: int) -> np.ndarray:
+    return np.log(totals + 0.5 * (types + 1))
+
+
+def _logs(counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    return np.log(counts + 0.5) - sums
 
 
-def train(docs: DataFrame, most_words: int = 30_000, most_grams: int = 30_000) -> Model:
-    """A model from docs(text, lang): rows whose text and language are not null. Ties in frequency go by code point."""
+def train(docs: DataFrame, most_words: int = 30_000) -> Model:
+    """A model from docs(text, lang): rows whose text and language are not null. most_words: how many words are broadcast."""
     use = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     words = saved(use.mapInArrow(_word_counts, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")))
     grams = words.select("lang", "item").mapInArrow(_gram_counts, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
-    def top(counts: DataFrame, most: int) -> list:
-        by = counts.groupBy("item").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        return most_frequent(saved(by), "item", "all", most)
-
     sums = {r["lang"]: (r["n"], r["types"]) for r in words.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()}
     languages = tuple(sorted(sums))
-    index = {x: i for i, x in enumerate(languages)}
-    gram_rows = top(grams, most_grams)
-    gram_sums = np.zeros(len(index))
-    for r in gram_rows:
-        for x in r["by"]:
-            gram_sums[index[x["lang"]]] += x["n"]
+    counts = F.array(*(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)) for x in languages)).cast("array<bigint>").alias("counts")
+    by_word = saved(words.groupBy("item").agg(F.sum("n").alias("all"), counts))
+    top = most_frequent(by_word, "item", "all", most_words)
+    types = by_word.count()
     totals = np.array([sums[x][0] for x in languages], float)
-    known, word_logs = _table(top(words, most_words), index, totals)
-    parts, gram_logs = _table(gram_rows, index, gram_sums)
-    return Model(languages, known, word_logs, parts, gram_logs, np.log(totals / max(totals.sum(), 1.0)))
+    word_sums = _sums(totals, types)
+    found = grams.groupBy("item").agg(counts).toArrow()
+    gram_counts = found.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(found.num_rows, len(languages)).astype(float)
+    rest = by_word.select("item", "counts").join(F.broadcast(words.sparkSession.createDataFrame([(r["item"],) for r in top], "item string")), "item", "left_anti") if types > len(top) else None
+    return Model(
+        languages,
+        {r["item"]: i for i, r in enumerate(top)}, _logs(np.array([r["counts"] for r in top], float).reshape(len(top), len(languages)), word_sums),
+        {g: i for i, g in enumerate(found.column("item").to_pylist())}, _logs(gram_counts, _sums(gram_counts.sum(axis=0), found.num_rows)),
+        np.log(totals / max(totals.sum(), 1.0)), word_sums, rest,
+    )
 
 
 def evidence(model: Model, text: str) -> tuple[np.ndarray, int]:
@@ -122,7 +130,7 @@ def evidence(model: Model, text: str) -> tuple[np.ndarray, int]:
 
 
 def predict_one(model: Model, text: str | None) -> tuple[str, float]:
-    """(language, probability); ("und", 0) for a null text or one without letters."""
+    """(language, probability) by a model without rest; ("und", 0) for a null text or one without letters."""
     if not model.languages or text is None or not LETTERS.search(text):
         return "und", 0.0
     total, n = evidence(model, text)
@@ -134,6 +142,8 @@ def predict_one(model: Model, text: str | None) -> tuple[str, float]:
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, lang_pred, score for every row; only the text is looked at. An empty table gives an empty table."""
+    if model.rest is not None:
+        return _predict_joined(docs, model, keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +157,89 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     return rows.mapInArrow(run, f"row {kind}, lang_pred string, score double").select("row.*", "lang_pred", "score")
 
 
+def _predict_joined(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
+    """What `predict` tells, where words of texts that are not broadcast meet their counts in a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
+    names = ["at", "word", "n", "row", "lettered", "total"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        get, at = model.words.get, TaskContext.get().partitionId() << 36
+        for batch in batches:
+            sums, known, lettered, word, n, owner = [], [], [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                rows, times = [], []
+                for w, k in Counter(LETTERS.findall((text or "").lower())).items():
+                    if (j := get(w)) is not None:
+                        rows.append(j)
+                        times.append(k)
+                    else:
+                        word.append(w)
+                        n.append(k)
+                        owner.append(at + i)
+                sums.append((model.word_logs[rows].T @ np.array(times, float)).tolist() if rows else [0.0] * len(model.languages))
+                known.append(sum(times))
+                lettered.append(LETTERS.search(text or "") is not None)
+            ids = range(at, at + batch.num_rows)
+            # a key that no word can have, so that texts spread like words do
+            columns = [pa.array(ids, pa.int64()), pa.array([f" {i}" for i in ids], pa.string()), pa.array(known, pa.int64()), batch.column(0), pa.array(lettered, pa.bool_()), pa.array(sums, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+            if word:
+                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(word, pa.string()), pa.array(n, pa.int64()), *(pa.nulls(len(word), c.type) for c in columns[3:])], names)
+            at += batch.num_rows
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, cache = shared.value, {}
+        part, width = model.grams.get, len(model.languages)
+
+        def by_grams(word: str) -> np.ndarray | None:
+            if word not in cache:
+                if len(cache) > REMEMBERED:
+                    cache.clear()
+                cache[word] = None
+                for k in LENGTHS:
+                    if found := [j for g in word_grams(word, k) if (j := part(g)) is not None]:
+                        cache[word] = model.gram_logs[found].mean(axis=0)
+                        break
+            return cache[word]
+
+        for t in whole_groups(batches, "at", 1 << 15):
+            t = t.combine_chunks()
+            begins = starts(t.column("at").to_numpy())
+            owner = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, t.num_rows]))
+            n = t.column("n").to_numpy()
+            text = t.column("lettered").is_valid().to_numpy()
+            own = t.filter(pa.array(text))
+            total = np.array(own.column("total").to_pylist(), float).reshape(len(begins), width)
+            times = n[text].astype(float)
+            met = t.column("counts").is_valid().to_numpy()
+            counts = pa.concat_arrays(t.column("counts").filter(pa.array(met)).chunks).flatten().to_numpy().reshape(-1, width) if met.any() else np.zeros((0, width))
+            logs = _logs(counts, model.word_sums) * n[met][:, None]
+            for i in range(width):
+                total[:, i] += np.bincount(owner[met], logs[:, i], len(begins))
+            times += np.bincount(owner[met], n[met], len(begins))
+            loose = np.flatnonzero(~met & ~text)
+            for k, word in zip(loose.tolist(), t.column("word").take(pa.array(loose)).to_pylist(), strict=True):
+                if (x := by_grams(word)) is not None:
+                    total[owner[k]] += n[k] * x
+                    times[owner[k]] += n[k]
+            x = model.prior + total * np.minimum(1.0, EVIDENCE / np.maximum(times, 1))[:, None]
+            p = np.exp(x - x.max(axis=1, keepdims=True))
+            best = p.argmax(axis=1)
+            lettered = own.column("lettered").to_pylist()
+            langs = [model.languages[b] if ok else "und" for b, ok in zip(best.tolist(), lettered, strict=True)]
+            scores = np.where(lettered, p.max(axis=1) / p.sum(axis=1), 0.0)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(own.column("row").chunks), pa.array(langs, pa.string()), pa.array(scores)], ["row", "lang_pred", "score"])
+
+    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    sent = rows.mapInArrow(send, f"at long, word string, n long, row {kind}, lettered boolean, total array<double>")
+    met = sent.join(model.rest.withColumnRenamed("item", "word").hint("shuffle_hash"), "word", "left")
+    met = met.withColumn("word", F.when(F.col("counts").isNull() & F.col("lettered").isNull(), F.col("word")))
+    told = met.repartition("at").sortWithinPartitions("at").mapInArrow(tell, f"row {kind}, lang_pred string, score double")
+    return told.select("row.*", "lang_pred", "score")
+
+
 def op7_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_rest("doc_id", 3) == HELD_OUT).alias("held_out"))
     return predict(docs, train(docs.where(~F.col("held_out"))), ("doc_id", "held_out"))

@@ -348,6 +348,19 @@ def test_language_id(spark, sf_dir):
     assert langid.predict(df.limit(0), model).count() == 0
 
 
+def test_language_id_uses_every_word_learned(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    df = df.unionByName(docs(spark, ODD, ids=[-1 - i for i in range(len(ODD))]).select("doc_id", "text", "lang"))
+    learn = df.where(common.crc_rest("doc_id", 3) != langid.HELD_OUT)
+    whole, few = langid.train(learn), langid.train(learn, most_words=50)
+    assert whole.rest is None and len(few.words) == 50 and few.grams.keys() == whole.grams.keys()
+    want, got = ({r["doc_id"]: r for r in langid.predict(df, m).collect()} for m in (whole, few))
+    assert got.keys() == want.keys()
+    for i, r in want.items():
+        assert got[i]["lang_pred"] == r["lang_pred"] and got[i]["score"] == pytest.approx(r["score"], abs=1e-9), i
+    assert langid.predict(df.limit(0), few).count() == 0
+
+
 # op8
 
 
