@@ -8,6 +8,8 @@ are broadcast; counts of the other words stay a table, which the words of texts
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -20,11 +22,24 @@ from pyspark.sql import functions as F
 
 from .common import crc_rest, most_frequent, saved, starts, table, whole_groups
 
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _ranges(first: str) -> str:
+    """The characters whose Unicode category begins with one of `first`, as ranges of a character class."""
+    chosen = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in first]
+    begins = [c for k, c in enumerate(chosen) if k == 0 or chosen[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(chosen) if k + 1 == len(chosen) or chosen[k + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(begins, ends, strict=True))
+
+
+#: A word: a letter, then letters and the marks that combine with them. Numbers such as "\u00b2" or "\u00bd" are no letters.
+LETTERS = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
 LENGTHS = (4, 3, 2, 1)
 HELD_OUT = 1
 #: A document's evidence counts as that of so many words at most, since words of one text are not independent.
 EVIDENCE = 20
+#: The most frequent words, which every worker holds (about 40 MB); the others' counts are joined.
+BROADCAST = 1 << 18
 #: Unseen words whose n-grams a worker remembers.
 REMEMBERED = 100_000
 
@@ -83,8 +98,11 @@ def _logs(counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return np.log(counts + 0.5) - sums
 
 
-def train(docs: DataFrame, most_words: int = 30_000) -> Model:
-    """A model from docs(text, lang): rows whose text and language are not null. most_words: how many words are broadcast."""
+def train(docs: DataFrame, most_words: int = BROADCAST) -> Model:
+    """A model from docs(text, lang): rows whose text and language are not null. most_words: how many words are broadcast.
+
+    Repeated rows count as often as they occur. Counts of the other words are joined, so `most_words` moves work, not results.
+    """
     use = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     words = saved(use.mapInArrow(_word_counts, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")))
     grams = words.select("lang", "item").mapInArrow(_gram_counts, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
@@ -141,7 +159,12 @@ def predict_one(model: Model, text: str | None) -> tuple[str, float]:
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, lang_pred, score for every row; only the text is looked at. An empty table gives an empty table."""
+    """`keep`, lang_pred, score for every row; only the text is looked at.
+
+    A null text, or one without a letter (Unicode category L), is ("und", 0). Of languages that tie, the first in code point
+    order is told. Repeated rows and null ids are rows like any other; very long texts count whole, each different word
+    once with its frequency. An empty table gives an empty table.
+    """
     if model.rest is not None:
         return _predict_joined(docs, model, keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)

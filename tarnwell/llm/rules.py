@@ -7,6 +7,7 @@ operations on the ledger, so no text is read again. DataFrame functions only.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -45,23 +46,36 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+#: Texts of fewer windows are sorted by one long each.
+SHORT = 4096
+
+
 def repeated_words(w: Column, span: int = SPAN) -> Column:
     """Words of the array w that lie in a window of `span` words found twice or more in it.
 
-    A window is the long (hash << bits | place), with as many bits as places need; equal hashes meet in sorting. Hashes
-    keep 64 - bits bits, so two windows of a text of n words are confused with a chance under n^3 / 2^64.
+    Windows are sorted by hash, then place; neighbours of equal hash are compared word by word. Short texts pack hash and
+    place into one long, which sorts faster; longer ones sort structs with all 64 bits of the hash.
     """
     n = F.size(w) - span + 1
-    bits = F.length(F.bin(n.cast("long")))
-    windows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("shiftleft", F.xxhash64(*(F.get(w, i + k) for k in range(span))), bits).bitwiseOR(i.cast("long")))
-
-    def places(s: Column) -> Column:
-        key = lambda j: F.call_function("shiftrightunsigned", F.get(s, j), bits)
-        found = F.filter(F.sequence(F.lit(0), n - 1), lambda j: F.coalesce(key(j) == key(j - 1), F.lit(False)) | F.coalesce(key(j) == key(j + 1), F.lit(False)))
-        at = lambda j: (F.get(s, j) - F.call_function("shiftleft", key(j), bits)).cast("int")
-        return F.size(F.array_distinct(F.flatten(F.transform(found, lambda j: _let(at(j), lambda x: F.array(*(x + k for k in range(span))))))))
-
-    return F.when(n >= 2, _let(F.sort_array(windows), places)).otherwise(0)
+    bits = F.lit(12)
+    hashed = lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(span)))
+    packed = lambda i: F.call_function("shiftleft", hashed(i), bits).bitwiseOR(i.cast("long"))
+    places = F.sequence(F.lit(0), n - 1)
+    low = F.lit((1 << 12) - 1)
+
+    def covered(found: Column) -> Column:
+        """Each found window covers `span` words, less what the next one covers too."""
+        step = lambda x, i: F.least(F.coalesce(F.get(found, i + 1) - x, F.lit(span)), F.lit(span))
+        return F.aggregate(F.transform(found, step), F.lit(0), lambda s, x: s + x)
+
+    def count(s: Column, key: Callable[[Column], Column], at: Callable[[Column], Column]) -> Column:
+        same = lambda x, y: F.coalesce((key(x) == key(y)) & functools.reduce(Column.__and__, (F.get(w, at(x) + k) == F.get(w, at(y) + k) for k in range(span))), F.lit(False))
+        found = F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
+        return _let(F.sort_array(F.transform(found, at)), covered)
+
+    short = _let(F.sort_array(F.transform(places, packed)), lambda s: count(s, lambda x: F.call_function("shiftrightunsigned", x, bits), lambda x: x.bitwiseAND(low).cast("int")))
+    long = _let(F.sort_array(F.transform(places, lambda i: F.struct(hashed(i).alias("h"), i.alias("i")))), lambda s: count(s, lambda x: x["h"], lambda x: x["i"]))
+    return F.when(n < 2, 0).when(n <= SHORT, short).otherwise(long)
 
 
 def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
