@@ -24,16 +24,30 @@ from .common import crc_rest, most_frequent, saved, starts, table, whole_groups
 
 
 
-def _ranges(first: str) -> str:
-    """The characters whose Unicode category begins with one of `first`, as ranges of a character class."""
-    chosen = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in first]
+def _chosen(first: str) -> list[int]:
+    """The characters whose Unicode category begins with one of `first`."""
+    return [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in first]
+
+
+def _ranges(chosen: list[int]) -> str:
+    """Characters as ranges of a character class."""
     begins = [c for k, c in enumerate(chosen) if k == 0 or chosen[k - 1] != c - 1]
     ends = [c for k, c in enumerate(chosen) if k + 1 == len(chosen) or chosen[k + 1] != c + 1]
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(begins, ends, strict=True))
 
 
 #: A word: a letter, then letters and the marks that combine with them. Numbers such as "\u00b2" or "\u00bd" are no letters.
-LETTERS = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
+LETTERS = re.compile(f"[{_ranges(_chosen('L'))}][{_ranges(_chosen('LM'))}]*")
+#: The same, and faster, for texts without marks and numbers other than decimals.
+_PLAIN = re.compile(r"[^\W\d_]+")
+_ODD = frozenset(map(chr, _chosen("MN"))) - frozenset("0123456789")
+
+
+def letter_words(text: str) -> list[str]:
+    """The words of a text."""
+    return (_PLAIN if text.isascii() or _ODD.isdisjoint(text) else LETTERS).findall(text)
+
+
 LENGTHS = (4, 3, 2, 1)
 HELD_OUT = 1
 #: A document's evidence counts as that of so many words at most, since words of one text are not independent.
@@ -70,7 +84,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         by: dict[str, Counter] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+            by.setdefault(lang, Counter()).update(letter_words(text.lower()))
         for lang, counts in by.items():
             if counts:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "item", "n"])
@@ -126,11 +140,11 @@ def train(docs: DataFrame, most_words: int = BROADCAST) -> Model:
     )
 
 
-def evidence(model: Model, text: str) -> tuple[np.ndarray, int]:
-    """Summed log frequencies of the text's words in each language, and the number of words that count."""
+def evidence(model: Model, said: Counter) -> tuple[np.ndarray, int]:
+    """Summed log frequencies of a text's words in each language, and the number of words that count."""
     rows, times, loose, owner, weight = [], [], [], [], []
     get, part = model.words.get, model.grams.get
-    for word, n in Counter(LETTERS.findall(text.lower())).items():
+    for word, n in said.items():
         if (i := get(word)) is not None:
             rows.append(i)
             times.append(n)
@@ -149,9 +163,10 @@ def evidence(model: Model, text: str) -> tuple[np.ndarray, int]:
 
 def predict_one(model: Model, text: str | None) -> tuple[str, float]:
     """(language, probability) by a model without rest; ("und", 0) for a null text or one without letters."""
-    if not model.languages or text is None or not LETTERS.search(text):
+    said = Counter(letter_words((text or "").lower()))
+    if not model.languages or not said:
         return "und", 0.0
-    total, n = evidence(model, text)
+    total, n = evidence(model, said)
     x = model.prior + total * min(1.0, EVIDENCE / max(n, 1))
     p = np.exp(x - x.max())
     best = int(np.argmax(p))
@@ -192,7 +207,8 @@ def _predict_joined(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> Dat
             sums, known, lettered, word, n, owner = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 rows, times = [], []
-                for w, k in Counter(LETTERS.findall((text or "").lower())).items():
+                told = Counter(letter_words((text or "").lower()))
+                for w, k in told.items():
                     if (j := get(w)) is not None:
                         rows.append(j)
                         times.append(k)
@@ -202,7 +218,7 @@ def _predict_joined(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> Dat
                         owner.append(at + i)
                 sums.append((model.word_logs[rows].T @ np.array(times, float)).tolist() if rows else [0.0] * len(model.languages))
                 known.append(sum(times))
-                lettered.append(LETTERS.search(text or "") is not None)
+                lettered.append(bool(told))
             ids = range(at, at + batch.num_rows)
             # a key that no word can have, so that texts spread like words do
             columns = [pa.array(ids, pa.int64()), pa.array([f" {i}" for i in ids], pa.string()), pa.array(known, pa.int64()), batch.column(0), pa.array(lettered, pa.bool_()), pa.array(sums, pa.list_(pa.float64()))]
