@@ -44,13 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
 _TABLES: list[str] = []
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df as a compressed table in the shared folder, so that lost executors cost no recomputation of what led to it.
 
     The driver removes its tables when it ends; `drop_saved` does so earlier, once nothing reads them any more.
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,8 +1,12 @@
 """Secret scans over a trigram inverted index.
 
-Each rule's regex yields a Boolean query over trigrams that every match must hold. Each batch of documents is indexed as
-a segment: a query trigram's posting list names the segment's documents that contain it. Postings are intersected and
-united as the query says, and the regex runs on the candidates that remain; a rule without mandatory trigrams scans all.
+The index is a table of posting lists, made in one pass over the texts: for each segment of documents and each trigram that
+occurs there, the segment's documents that hold it. A document is its text's 64-bit hash, so the index does not depend on
+partitions or ids, repeated texts cost one entry a segment, and any other rule set can use it again.
+
+Each rule's regex yields a Boolean query over trigrams that every match must hold. The posting lists of the queries'
+trigrams are read, intersected and united segment by segment, and the regex runs on the candidates that remain; a rule
+without mandatory trigrams scans all texts. Two texts of equal hash share the union of their trigrams: no match is lost.
 The index lower-cases A-Z, so that queries of rules in either case stay short.
 """
 
@@ -14,11 +18,21 @@ from dataclasses import dataclass
 from re import _constants as C
 from re import _parser
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_bytes, table
+from .common import ascii_bytes, saved, starts, table
+
+#: A segment of the index ends at so many bytes of text or documents.
+SEGMENT_BYTES = 4 << 20
+SEGMENT_DOCS = 1 << 14
+#: The row of a segment that holds its documents' hashes instead of postings.
+DOCUMENTS = -1
+#: Candidates (16 bytes each) that may be broadcast; more are joined by shuffling.
+BROADCAST_ROWS = 500_000
 
 #: Strings that a piece of a regex may stand for before they are turned into trigrams.
 MOST_STRINGS = 64
@@ -156,31 +170,95 @@ RULES = (
 )
 
 
-class Segment:
-    """The inverted index of a batch of texts; a posting list is made when a query first asks for its trigram."""
-
-    def __init__(self, texts: list[bytes]) -> None:
-        self.texts = [t.lower() for t in texts]
-        self.everything = frozenset(range(len(texts)))
-        self.postings: dict[bytes, frozenset[int]] = {}
-
-    def posting(self, trigram: bytes) -> frozenset[int]:
-        if trigram not in self.postings:
-            self.postings[trigram] = frozenset(i for i, t in enumerate(self.texts) if trigram in t)
-        return self.postings[trigram]
-
-    def candidates(self, query: Query) -> frozenset[int]:
-        if query is True:
-            return self.everything
-        if isinstance(query, bytes):
-            return self.posting(query)
-        found = None
-        for part in sorted(query[1], key=repr):
-            got = self.candidates(part)
-            found = got if found is None else found & got if query[0] == "and" else found | got
-            if query[0] == "and" and not found:
-                break
-        return found
+def trigram_number(trigram: bytes) -> int:
+    return trigram[0] << 16 | trigram[1] << 8 | trigram[2]
+
+
+def _postings(hashes: list[int], texts: list[bytes], segment: int) -> pa.RecordBatch:
+    """The posting lists of a segment, each the gaps between its documents' numbers as 16-bit numbers, and its documents."""
+    flat = np.frombuffer(b"\0".join([*texts, b"\0\0"]).lower(), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    keys = []
+    for at in range(0, len(flat) - 2, SEGMENT_BYTES):
+        x = flat[at : at + SEGMENT_BYTES + 2].astype(np.uint64)
+        doc = np.searchsorted(ends, np.arange(at, at + len(x) - 2), "right").astype(np.uint64)
+        keys.append(np.unique((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) << 16 | np.minimum(doc, len(texts) - 1).astype(np.uint64)))
+    keys = keys[0] if len(keys) == 1 else np.unique(np.concatenate(keys))
+    trigrams, docs = (keys >> 16).astype(np.int32), (keys & 0xFFFF).astype(np.int32)
+    begins = starts(trigrams)
+    gaps = np.diff(docs, prepend=0)
+    gaps[begins] = docs[begins]
+    lists = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer((np.r_[begins, len(docs)] * 2).astype(np.int32)), pa.py_buffer(gaps.astype("<u2"))])
+    own = pa.array([np.array(hashes, "<i8").tobytes()], pa.binary())
+    columns = [pa.array(np.full(len(begins) + 1, segment)), pa.array(np.r_[DOCUMENTS, trigrams[begins]].astype(np.int32)), pa.concat_arrays([own, lists])]
+    return pa.RecordBatch.from_arrays(columns, ["segment", "trigram", "docs"])
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    segment, size = TaskContext.get().partitionId() << 36, 0
+    held: dict[int, bytes] = {}
+    for batch in batches:
+        for h, text in zip(batch.column(0).to_pylist(), ascii_bytes(batch.column(1)), strict=True):
+            if held.get(h) == text:
+                continue
+            while h in held:  # another text of equal hash: a segment of its own keeps both
+                yield _postings([*held], [*held.values()], segment)
+                held, size, segment = {}, 0, segment + 1
+            held[h] = text
+            size += len(text)
+            if size >= SEGMENT_BYTES or len(held) == SEGMENT_DOCS:
+                yield _postings([*held], [*held.values()], segment)
+                held, size, segment = {}, 0, segment + 1
+    if held:
+        yield _postings([*held], [*held.values()], segment)
+
+
+def _hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """docs(text) -> the stored index (segment, trigram, docs): one pass, no shuffle. Null texts count as empty."""
+    rows = docs.select(_hash().alias("h"), F.col("text").cast("string").alias("text"))
+    return saved(rows.mapInArrow(_index, "segment long, trigram int, docs binary"), compression="zstd")
+
+
+def _trigrams_of(query: Query) -> set[bytes]:
+    return set() if query is True else {query} if isinstance(query, bytes) else set().union(*map(_trigrams_of, query[1]))
+
+
+def _holds(query: Query, postings: dict[int, np.ndarray], nothing: np.ndarray) -> np.ndarray:
+    """Which documents of a segment satisfy the query."""
+    if isinstance(query, bytes):
+        return postings.get(trigram_number(query), nothing)
+    parts = [_holds(part, postings, nothing) for part in query[1]]
+    return (np.logical_and if query[0] == "and" else np.logical_or).reduce(parts)
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(h, rules long): the texts that may match, with a bit for each rule that has mandatory trigrams.
+
+    Only posting lists of the rules' trigrams are read. A group is a segment: its documents and as many lists as the rules
+    have trigrams, both bounded.
+    """
+    queries = [(k, q) for k, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not True]
+    wanted = sorted({trigram_number(t) for _, q in queries for t in _trigrams_of(q)})
+
+    def answer(t: pa.Table) -> pa.Table:
+        lists = dict(zip(t.column("trigram").to_pylist(), t.column("docs").to_pylist(), strict=True))
+        hashes = np.frombuffer(lists.pop(DOCUMENTS), "<i8")
+        postings, nothing = {}, np.zeros(len(hashes), bool)
+        for trigram, gaps in lists.items():
+            postings[trigram] = nothing.copy()
+            postings[trigram][np.cumsum(np.frombuffer(gaps, "<u2"), dtype=np.int64)] = True
+        found = np.zeros(len(hashes), np.int64)
+        for k, q in queries:
+            found |= _holds(q, postings, nothing).astype(np.int64) << k
+        some = found != 0
+        return pa.table({"h": hashes[some], "rules": found[some]})
+
+    lists = index.where(F.col("trigram").isin(DOCUMENTS, *wanted))
+    return lists.groupBy("segment").applyInArrow(answer, "h long, rules long").groupBy("h").agg(F.bit_or("rules").alias("rules"))
 
 
 def spans(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
@@ -188,30 +266,32 @@ def spans(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, in
     return sorted((m.start(), k, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, text) if r.keep(m))
 
 
-def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None) -> DataFrame:
     """`keep`, spans array<struct<kind, start, end, base>> for every row, in code points, by start, then kind as listed.
 
-    Kinds may overlap; of one kind, matches are leftmost and do not. Null texts count as empty; an empty table gives an
-    empty table. Texts are read once and nothing is shuffled.
+    Kinds may overlap; of one kind, matches are leftmost and do not. Null texts count as empty; repeated rows and null ids
+    are rows like any other; very long texts are indexed in stretches and scanned whole; an empty table gives an empty
+    table. `index` is one that `build_index` made of the same texts, or of more; without it one is made. At most 63 rules.
     """
-    queries = [(r, re.compile(r.pattern), re.compile(r.needs.encode()), trigram_query(r.pattern)) for r in rules]
+    if len(rules) > 63:
+        raise ValueError("at most 63 rules at once")
+    met = saved(candidates(build_index(docs) if index is None else index, rules))
+    patterns = [(k, r, re.compile(r.pattern), re.compile(r.needs.encode()), trigram_query(r.pattern) is True) for k, r in enumerate(rules)]
     kinds = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
         for batch in batches:
-            texts = ascii_bytes(batch.column(1))
-            index = Segment(texts)
-            found: list[list] = [[] for _ in texts]
-            for k, (rule, regex, needs, query) in enumerate(queries):
-                for i in index.candidates(query):
-                    if rule.needs and not needs.search(texts[i]):
-                        continue
-                    found[i] += [(m.start(), k, m.end()) for m in regex.finditer(texts[i].decode()) if rule.keep(m)]
-            rows = [[{"kind": rules[k].kind, "start": a, "end": b, "base": rules[k].base} for a, k, b in sorted(x)] for x in found]
+            rows = []
+            for text, bits in zip(ascii_bytes(batch.column(1)), batch.column(2).fill_null(0).to_pylist(), strict=True):
+                todo = [(k, r, regex) for k, r, regex, needs, all_texts in patterns if (not r.needs or needs.search(text) if all_texts else bits >> k & 1)]
+                written = text.decode() if todo else ""
+                found = sorted((m.start(), k, m.end()) for k, r, regex in todo for m in regex.finditer(written) if r.keep(m))
+                rows.append([{"kind": rules[k].kind, "start": a, "end": b, "base": rules[k].base} for a, k, b in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["row", "spans"])
 
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"), _hash().alias("h"))
+    rows = rows.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "h", "left").select("row", "text", "rules")
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, spans {kinds}").select("row.*", "spans")
 
 

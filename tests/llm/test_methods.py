@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 
+import numpy as np
 import regex
 from pyspark.sql import functions as F
 
-from tarnwell.llm import langid, pii, rules
+from tarnwell.llm import langid, pii, rules, secrets
 
 
 def test_letters_are_unicode_letters_and_marks(sf_dir):
@@ -124,3 +126,41 @@ def test_running_sums(spark):
     for a in ([], [5], [1, 2, 3], list(range(1000))):
         got = spark.createDataFrame([(a,)], "a array<int>").select(pii._running(F.col("a")).alias("s")).first()["s"]
         assert got == [sum(a[: i + 1]) for i in range(len(a))]
+
+
+def scanned_brute(text, rules):
+    """Every rule's regex over the whole text, without an index."""
+    return sorted((m.start(), k, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, text or "") if r.keep(m))
+
+
+OTHER_RULES = (
+    secrets.Rule("either", r"(alpha|beta)-?key[0-9]+"), secrets.Rule("short", r"q.z"), secrets.Rule("class", r"[xy]{2}abc+"), secrets.Rule("many", r"(one|two|three)(four|five)?six"),
+    secrets.Rule("case", r"[Ss][Ee][Cc]ret"), secrets.Rule("letter", "éclair"),
+)
+
+
+def test_index_and_full_scan_agree_for_two_rule_sets(spark, sf_dir, monkeypatch):
+    rng = random.Random(11)
+    pieces = ["alphakey12", "beta-key3", "betakey", "qaz", "xyabc", "xxabccc", "threesix", "onefivesix", "SECret", "éclair", "password=hunter2x", "ghp_" + "a" * 36, "AKIA" + "Z" * 16, "f" * 24, "token: abcdef"]
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    texts += [" ".join(rng.choice([*pieces, "the", "of", "key", "two"]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    texts += [None, "", "ab", "alphakey1", "alphakey1", "\0alpha\0key7", "z" * 3_000_000 + " onesix " + "w" * 2_000_000]
+    docs = spark.createDataFrame([(i if i % 7 else None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, place long").repartition(5)
+    index = secrets.build_index(docs)
+    for rules in (secrets.RULES, OTHER_RULES):
+        monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0 if rules is OTHER_RULES else 500_000)
+        got = {r["place"]: [(x["start"], [q.kind for q in rules].index(x["kind"]), x["end"]) for x in r["spans"]] for r in secrets.scan(docs, ("place",), rules, index).collect()}
+        assert got == {i: scanned_brute(t, rules) for i, t in enumerate(texts)}
+        # the index narrows: a rule's candidates are far fewer than all texts
+        assert 0 < secrets.candidates(index, rules).count() < len(texts)
+    assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_posting_lists_are_those_of_the_texts(spark):
+    texts = ["abcabc", "xabc", None, "", "ab", "ABCD"]
+    rows = secrets.build_index(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).collect()
+    assert len({r["segment"] for r in rows}) == 1
+    docs = len(np.frombuffer(next(r["docs"] for r in rows if r["trigram"] == secrets.DOCUMENTS), "<i8"))
+    assert docs == 5  # the null text counts as the empty one
+    abc = next(r["docs"] for r in rows if r["trigram"] == secrets.trigram_number(b"abc"))
+    assert len(np.frombuffer(abc, "<u2")) == 3
