@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The characters that part words.
@@ -81,6 +81,20 @@ def most_frequent(counts: DataFrame, item: str, n: str, most: int) -> list:
     return counts.where((F.col(n) > 0) & (step >= low)).orderBy(F.desc(n), item).limit(most).collect()
 
 
+def running_sums(df: DataFrame, order: tuple[str, ...], value: str, name: str) -> DataFrame:
+    """df with `name`: the sum of `value` over all rows before, by `order`, whose values must differ from row to row.
+
+    The rows are dealt into ranges of the order and summed range by range; only the ranges' sums, one row for each
+    partition, are summed in one place.
+    """
+    dealt = saved(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    back = (Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    sums = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(*back)), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(*back)), F.lit(0))
+    return dealt.join(F.broadcast(sums), "_range").withColumn(name, F.col("_base") + inside).drop("_range", "_base")
+
+
 def crc_rest(column: str, n: int) -> Column:
     """crc32 of the number written as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

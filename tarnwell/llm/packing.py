@@ -1,9 +1,13 @@
 """Packing documents into fixed windows by non-negative least squares.
 
-A document fills whole windows first; what remains of it is one of 4095 lengths. Shallow combinations of two or three
-lengths that fill a window exactly are columns of a matrix; non-negative least squares against the histogram of
-remainders says how often to repeat each. Repeats are rounded, documents take slots by their rank within their length,
-and the remainders left over are packed greedily, with cuts.
+A document fills whole windows first; what remains of it is one of 4095 lengths. Shallow combinations of up to PARTS lengths
+that fill a window, less a few tokens at most, are columns of a matrix, some for every length that occurs; non-negative least
+squares against the histogram of remainders says how often to repeat each. Repeats are rounded, and what they leave of the
+histogram is solved again until little is gained. Documents take slots by their rank within their length, and the remainders
+left over are packed greedily, with cuts.
+
+Rows keep their order as far as it is known (by file, block and row): the rows are cut into stretches of that order, each with
+its own histogram and plan, so windows hold neighbours and sequence ids rise with the order, stretch by stretch.
 
 Documents are read and tokenized once. A cut piece's checksum follows from prefix checksums kept every GRID tokens, so
 cuts lie on that grid, counted from the document's last whole window.
@@ -17,20 +21,31 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_bytes, saved, table, whole_groups
+from .common import ascii_bytes, running_sums, saved, table, whole_groups
 
 WINDOW = 4096
 GRID = 16
 END = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Combinations that the least-squares problem may have, which bounds the plan.
-COMBINATIONS = 60_000
+#: Lengths in a combination, tokens that it may leave of a window, and combinations sought for each length at a time; with
+#: 4095 lengths they bound the problem.
+PARTS = 16
+SLACK = GRID
+EACH = 12
+#: Times that the histogram's rest is solved again at most, and the share of it that must be gained by that.
+ROUNDS = 8
+GAIN = 0.02
+#: Stretches of the documents' order, and documents in one at least. A plan has at most about 40,000 slots' segments, so all
+#: plans together, which every task holds, have a bound too.
+STRETCHES = 16
+STRETCH_DOCS = 20_000
 #: Windows and documents that one task packs greedily, on average.
 SHARD_WINDOWS = 1024
 SHARD_DOCS = 10_000
@@ -131,15 +146,21 @@ def piece_crc(before: np.ndarray, upto: np.ndarray, n_bytes: np.ndarray) -> np.n
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n, whole, rest, window_crcs, rest_crcs (every GRID tokens and at the end), part, first_window, idx."""
+    """doc_id, n, whole, rest, window_crcs, rest_crcs (every GRID tokens and at the end), file, block, part, first_window, row, idx.
+
+    file, block and part say which piece of the input a row is from, in order; row counts the rows there, idx those of equal rest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         end = np.array([END], "<u4").tobytes()
-        part, windows, seen = TaskContext.get().partitionId(), 0, np.zeros(WINDOW, np.int64)
+        part, windows, seen, row, now = TaskContext.get().partitionId(), 0, np.zeros(WINDOW, np.int64), 0, None
         for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(ascii_bytes(batch.column(1))), strict=True):
+            columns = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            for doc_id, file, block, ids in zip(*columns, encode(ascii_bytes(batch.column(1))), strict=True):
+                if (file, block) != now:
+                    now, seen, row = (file, block), np.zeros(WINDOW, np.int64), 0
                 ids += end
                 n = len(ids) // 4
                 whole, rest = divmod(n, WINDOW)
@@ -147,80 +168,152 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
                 for at in range(0, rest, GRID):
                     crc = zlib.crc32(view[at * 4 : (at + GRID) * 4], crc)
                     crcs.append(crc)
-                rows.append((doc_id, n, whole, rest, [zlib.crc32(memoryview(ids)[k * WINDOW * 4 : (k + 1) * WINDOW * 4]) for k in range(whole)], crcs, part, windows, int(seen[rest])))
+                rows.append((doc_id, n, whole, rest, [zlib.crc32(memoryview(ids)[k * WINDOW * 4 : (k + 1) * WINDOW * 4]) for k in range(whole)], crcs, file, block, part, windows, row, int(seen[rest])))
                 windows += whole
+                row += 1
                 seen[rest] += 1
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64())
-            names = ("doc_id", "n", "whole", "rest", "window_crcs", "rest_crcs", "part", "first_window", "idx")
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            names = ("doc_id", "n", "whole", "rest", "window_crcs", "rest_crcs", "file", "block", "part", "first_window", "row", "idx")
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
 
-    schema = "doc_id long, n long, whole int, rest int, window_crcs array<long>, rest_crcs array<long>, part int, first_window long, idx long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, n long, whole int, rest int, window_crcs array<long>, rest_crcs array<long>, file string, block long, part int, first_window long, row long, idx long"
+    numbered = F.concat(F.lpad(F.regexp_extract(F.input_file_name(), r"part-([0-9]+)", 1), 10, "0"), F.lit(" "), F.input_file_name())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), numbered.alias("file"), F.input_file_block_start().cast("long").alias("block"))
+    return rows.mapInArrow(run, schema)
 
 
-def combinations(present: np.ndarray, window: int = WINDOW, most: int = COMBINATIONS) -> np.ndarray:
-    """Rows of three lengths (the last may be 0) that sum to the window and occur; the best supplied ones first."""
-    lengths = np.flatnonzero(present)
-    lengths = lengths[(lengths > 0) & (lengths < window)]
-    if not len(lengths):
-        return np.zeros((0, 3), int)
-    a, c = lengths[lengths * 2 >= window], window - lengths[lengths * 2 >= window]
-    pairs = np.stack([a, c, np.zeros_like(a)], 1)[present[c] > 0]
-    found = []
-    for a in lengths[lengths * 3 >= window]:
-        b = lengths[(lengths <= a) & (lengths * 2 >= window - a) & (lengths < window - a)]
-        c = window - a - b
-        found.append(np.stack([np.full_like(b, a), b, c], 1)[present[c] > 0])
-    triples = np.concatenate(found) if found else np.zeros((0, 3), int)
-    order = np.argsort(-present[triples].min(axis=1), kind="stable") if len(triples) else np.zeros(0, int)
-    return np.concatenate([pairs, triples[order]])[:most]
+def combinations(present: np.ndarray, window: int = WINDOW, slack: int = SLACK, each: int = EACH, seed: int = 0) -> np.ndarray:
+    """Rows of PARTS lengths (0 where there are fewer) that occur as often as the row needs, and sum to the window less
+    `slack` - 1 at most.
+
+    Every length begins `each` combinations. Lengths drawn by their supplies follow until one that occurs fills what is left
+    of the window, so that all combinations together use lengths about as often as they occur.
+    """
+    lengths = np.flatnonzero(present[: window + 1])
+    lengths = lengths[lengths > 0]
+    rng = np.random.default_rng(seed)
+    supply = np.where(np.arange(window + 1) > 0, present[: window + 1], 0)
+    ladder = np.cumsum(supply)
+    # the most frequent of the lengths that fill a rest up to the slack, the longest of those that tie
+    shifted = np.stack([np.r_[np.zeros(g, np.int64), supply[: window + 1 - g]] for g in range(min(slack, window))])
+    gap = shifted.argmax(axis=0)
+    closing = np.where(shifted.max(axis=0) > 0, np.arange(window + 1) - gap, 0)
+    combo = np.zeros((len(lengths) * each, PARTS), np.int64)
+    combo[:, 0] = np.repeat(lengths, each)
+    rest, open_ = window - combo[:, 0], np.full(len(combo), True)
+    full = rest < slack
+    open_ &= ~full
+    for k in range(1, PARTS):
+        rows = np.flatnonzero(open_)
+        if not len(rows):
+            break
+        r = rest[rows]
+        close = (closing[r] > 0) & ((rng.random(len(rows)) < 0.5) | (k == PARTS - 1) | (r < 2 * slack))
+        drawn = np.searchsorted(ladder, (rng.random(len(rows)) * ladder[r]).astype(np.int64), "right")
+        n = np.where(close, closing[r], np.where(ladder[r] > 0, np.minimum(drawn, r), 0))
+        combo[rows, k] = n
+        rest[rows] = r - n
+        full[rows] = rest[rows] < slack
+        open_[rows] = ~full[rows] & (n > 0)
+    combos = np.unique(-np.sort(-combo[full], axis=1), axis=0)[::-1] if full.any() else combo[:0]
+    need = (combos[:, :, None] == combos[:, None, :]).sum(axis=2)
+    return combos[((need <= supply[combos]) | (combos == 0)).all(axis=1)].astype(np.int32)
+
+
+def nonnegative(combos: np.ndarray, want: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """x >= 0 that brings the lengths used by x times the combinations nearest to what is wanted: accelerated projected
+    gradients, begun anew where they turn against the descent."""
+    row, k = np.nonzero(combos)
+    flat, begins = combos[row, k], np.flatnonzero(k == 0)
+    want = want.astype(float)
+
+    def slope(x: np.ndarray, want: np.ndarray | float) -> np.ndarray:
+        return np.add.reduceat((np.bincount(flat, x[row], size) - want)[flat], begins)
+
+    size = len(want)
+    probe = np.ones(len(combos))
+    for _ in range(20):
+        probe = slope(probe, 0.0)
+        most = np.linalg.norm(probe)
+        probe /= max(most, 1e-300)
+    step = 1.0 / max(most * 1.05, 1e-12)
+    x = z = np.zeros(len(combos))
+    t = 1.0
+    for _ in range(rounds):
+        new = np.maximum(z - step * slope(z, want), 0.0)
+        if np.dot(z - new, new - x) > 0:
+            t, z = 1.0, x
+            new = np.maximum(z - step * slope(z, want), 0.0)
+        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        x, z, t = new, new + (t - 1) / t_new * (new - x), t_new
+    return x
 
 
 def repeats(combos: np.ndarray, present: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """How often to use each combination: non-negative least squares by multiplicative updates, rounded, then raised
-    while supplies last. Never uses more of a length than there is."""
+    """How often to use each combination: non-negative least squares, rounded, then raised while supplies last. Never uses
+    more of a length than there is."""
     if not len(combos):
         return np.zeros(0, np.int64)
-    want = present.astype(float)
-    want[0] = 0.0
-    x = np.full(len(combos), 1.0)
-    pull = want[combos].sum(axis=1)
-    for _ in range(rounds):
-        used = np.zeros(len(want))
-        for k in range(3):
-            used += np.bincount(combos[:, k], x, len(want))
-        used[0] = 0.0
-        x *= pull / np.maximum(used[combos].sum(axis=1), 1e-12)
-    left, times = present.astype(np.int64).copy(), np.zeros(len(combos), np.int64)
-    order = np.argsort(-x, kind="stable")
+    want = present.copy()
+    want[0] = 0
+    x = nonnegative(combos, want, rounds)
+    left, times = present.astype(np.int64).tolist(), np.zeros(len(combos), np.int64)
+    order = np.argsort(-x, kind="stable").tolist()
+    rows = combos.tolist()
     for wanted in (np.floor(x + 0.5), np.full(len(x), np.inf)):
         for i in order:
-            a, b, c = combos[i].tolist()
-            most = min(wanted[i], left[a] // 2 if a == b else left[a], left[b], left[c] if c else left[a])
-            if c and b == c:
-                most = min(most, left[b] // (3 if a == b else 2))
-            if (m := int(most)) > 0:
-                times[i] += m
-                left[a] -= m
-                left[b] -= m
-                if c:
-                    left[c] -= m
+            if not wanted[i]:
+                continue
+            row = [n for n in rows[i] if n]
+            if (most := min(wanted[i], min(left[n] // row.count(n) for n in row))) > 0:
+                times[i] += int(most)
+                for n in row:
+                    left[n] -= int(most)
     return times
 
 
+def plan(present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(combinations, times) for a histogram of remainders: solved, rounded, and solved again for what that leaves."""
+    left = present.astype(np.int64).copy()
+    left[0] = 0
+    found, times = [np.zeros((0, PARTS), np.int32)], [np.zeros(0, np.int64)]
+    for turn in range(ROUNDS):
+        before = left.sum()
+        combos = combinations(left, seed=turn)
+        t = repeats(combos, left)
+        combos, t = combos[t > 0], t[t > 0]
+        found.append(combos)
+        times.append(t)
+        left -= np.bincount(combos.ravel(), np.repeat(t, PARTS), len(left)).astype(np.int64)
+        left[0] = 0
+        if before - left.sum() <= GAIN * before:
+            break
+    return np.concatenate(found), np.concatenate(times)
+
+
+def _sequence(sort: int, stretch):
+    """The first id of a stretch: 6 bits of stretch, then two that tell planned, whole and greedy windows apart."""
+    return (stretch << 55) + (sort << 53)
+
+
 def _slots(combos: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each length, its slots as segments: rank where it begins, first sequence, offset; by length, begin, count."""
-    use = np.flatnonzero(times)
-    first = np.concatenate([[0], np.cumsum(times[use])])
-    rows = [(int(length), int(times[i]), int(first[j]), int(combos[i, :k].sum())) for j, i in enumerate(use) for k, length in enumerate(combos[i]) if length]
-    rows.sort()
-    length, count, seq, off = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 4
-    ends = np.cumsum(count)
-    heads = np.searchsorted(length, np.arange(WINDOW + 1))
-    begin = ends - count
-    base = begin[np.minimum(heads, max(len(begin) - 1, 0))] if len(begin) else np.zeros(WINDOW + 1, np.int64)
-    rank = begin - base[length] if len(begin) else begin
-    return length, rank, count, seq, off
+    """For each length, its slots as segments: length, rank where it begins, count, first window, offset."""
+    rows = combos.astype(np.int64)
+    first, offset = np.cumsum(times) - times, np.cumsum(rows, axis=1) - rows
+    place, k = np.nonzero(rows)
+    order = np.argsort(rows[place, k], kind="stable")
+    place, k = place[order], k[order]
+    length, count = rows[place, k], times[place]
+    begin = np.cumsum(count) - count
+    return length, begin - begin[np.searchsorted(length, length)] if len(length) else begin, count, first[place], offset[place, k]
+
+
+def _planned(histogram: pd.DataFrame) -> pd.DataFrame:
+    present = np.zeros(WINDOW + 1, np.int64)
+    present[histogram["rest"]] = histogram["n"]
+    length, rank, count, first, offset = _slots(*plan(present))
+    stretch = np.full(len(length), histogram["stretch"].iloc[0])
+    return pd.DataFrame({"stretch": stretch, "length": length, "rank": rank, "count": count, "sequence": first + _sequence(0, stretch), "offset": offset})
 
 
 def greedy(rests: list[int]) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -252,57 +345,71 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """docs(doc_id, text) -> pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document's ids, with END after them, lie in exactly one piece each; null text is empty, so END alone. Repeated
-    ids and repeated rows are packed row by row. An empty table gives an empty table.
-    Each greedy shard ends in at most one window that is not full, and a window there lacks fewer than GRID tokens.
+    ids, null ids and repeated rows are packed row by row; a very long text fills windows of its own and leaves one rest. An
+    empty table gives an empty table. Windows lack fewer than GRID tokens, but for the last one of each greedy shard.
     """
     each = saved(tokenized(docs, tokenizer_path))
-    rest = each.where("rest > 0")
-    present = np.zeros(WINDOW + 1, np.int64)
-    for r in rest.groupBy("rest").count().collect():  # 4095 rows at most
-        present[r[0]] = r[1]
-    combos = combinations(present)
-    times = repeats(combos, present)
-    length, rank, count, seq, off = _slots(combos, times)
-    planned = int(times.sum())
-    covered = np.bincount(length, count, WINDOW + 1).astype(np.int64) if len(length) else np.zeros(WINDOW + 1, np.int64)
-    key = length << 40 | rank
+    piece = ("file", "block", "part")
+    pieces = running_sums(each.groupBy(*piece).agg(F.count(F.lit(1)).alias("rows")), piece, "rows", "rows_before").drop("rows")
+    n_docs = each.count()
+    stretches = int(max(1, min(STRETCHES, n_docs // STRETCH_DOCS)))
+    before = Window.partitionBy("rest").orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
+    bases = each.groupBy(*piece, "rest").agg(F.count(F.lit(1)).alias("k")).withColumn("base", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
+    stretch = F.floor((F.col("rows_before") + F.col("row")) * F.lit(stretches) / F.lit(max(n_docs, 1)))
+    ranked = each.join(bases.join(pieces, list(piece)), [*piece, "rest"]).select(
+        "doc_id", "n", "whole", "rest", "window_crcs", "rest_crcs", "part", "first_window", (F.col("base") + F.col("idx")).alias("rank"), F.least(stretch, F.lit(stretches - 1)).cast("long").alias("stretch")
+    )
+    ranked = saved(ranked)
+    histogram = saved(ranked.groupBy("stretch", "rest").agg(F.count(F.lit(1)).alias("n")))
+    present = np.zeros((stretches, WINDOW + 1), np.int64)
+    for r in histogram.collect():  # STRETCHES times 4096 rows at most
+        present[r["stretch"], r["rest"]] = r["n"]
+    found = histogram.groupBy("stretch").applyInPandas(_planned, "stretch long, length long, rank long, count long, sequence long, offset long")
+    slot = {c: x.to_numpy() for c, x in found.toPandas().sort_values(["stretch", "length", "rank"]).items()}  # bounded by STRETCHES
+    covered = np.zeros_like(present)
+    np.add.at(covered, (slot["stretch"], slot["length"]), slot["count"])
+    key = slot["stretch"] << 56 | slot["length"] << 40 | slot["rank"]
+    earlier = np.cumsum(present, axis=0) - present
+    slots = docs.sparkSession.sparkContext.broadcast((key, slot["rank"], slot["sequence"], slot["offset"], covered, earlier))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rank, first, offset, covered, earlier = slots.value
         for b in batches:
-            r, k = b.column("rest").to_numpy(), b.column("rank").to_numpy()
-            slot = np.searchsorted(key, r.astype(np.int64) << 40 | k, "right") - 1 if len(key) else np.zeros(len(r), int)
-            fits = k < covered[r]
-            sequence = np.where(fits, seq[slot] + k - rank[slot], 0) if len(key) else np.zeros(len(r), np.int64)
-            offset = np.where(fits, off[slot], 0) if len(key) else np.zeros(len(r), np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sequence, pa.int64(), mask=~fits), pa.array(offset, pa.int64())], [*b.schema.names, "sequence_id", "offset"])
-
-    before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rest.groupBy("part", "rest").agg(F.count(F.lit(1)).alias("k")).withColumn("base", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
-    ranked = rest.join(bases, ["part", "rest"]).select("doc_id", "n", "whole", "rest", "rest_crcs", "part", "idx", (F.col("base") + F.col("idx")).alias("rank"))
+            r, t = b.column("rest").to_numpy().astype(np.int64), b.column("stretch").to_numpy()
+            k = b.column("rank").to_numpy() - earlier[t, r]
+            fits = (k < covered[t, r]) & (r > 0)
+            at = np.searchsorted(key, (t << 56 | r << 40 | k)[fits], "right") - 1
+            sequence, place = np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
+            sequence[fits] = first[at] + k[fits] - rank[at]
+            place[fits] = offset[at]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sequence, pa.int64(), mask=~fits), pa.array(place)], [*b.schema.names, "sequence_id", "offset"])
+
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema)
-    assigned = ranked.mapInArrow(assign, f"{kinds}, sequence_id long, offset long")
+    assigned = saved(ranked.mapInArrow(assign, f"{kinds}, sequence_id long, offset long"))
+    shift = lambda c, n: F.call_function("shiftleft", F.col(c).cast("long") if isinstance(c, str) else c, F.lit(n))
     whole_start = (F.col("whole") * F.lit(WINDOW)).cast("long")
-    full = each.where("whole > 0").select("doc_id", "n", "part", "first_window", F.posexplode("window_crcs").alias("k", "crc"))
-    full = full.select("doc_id", (F.col("k") * F.lit(WINDOW)).cast("long").alias("start"), F.lit(WINDOW).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), (F.lit(1 << 62) + F.call_function("shiftleft", F.col("part").cast("long"), F.lit(40)) + F.col("first_window") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = assigned.where("whole > 0").select("doc_id", "n", "part", "first_window", "stretch", F.posexplode("window_crcs").alias("k", "crc"))
+    full = full.select("doc_id", (F.col("k") * F.lit(WINDOW)).cast("long").alias("start"), F.lit(WINDOW).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), (shift("stretch", 55) + F.lit(1 << 53) + shift("part", 33) + F.col("first_window") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     slotted = assigned.where("sequence_id IS NOT NULL").select("doc_id", whole_start.alias("start"), F.col("rest").cast("long").alias("length"), F.element_at("rest_crcs", -1).alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", "offset")
-    over = np.maximum(present - covered, 0)
-    shards = int(max(1, over @ np.arange(WINDOW + 1) // (SHARD_WINDOWS * WINDOW), over.sum() // SHARD_DOCS))
+    over = np.maximum(present - covered, 0)[:, 1:].sum(axis=0)
+    inside = int(-(-max(1, over @ np.arange(1, WINDOW + 1) // (SHARD_WINDOWS * WINDOW), over.sum() // SHARD_DOCS) // stretches))  # shards of a stretch
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "shard", 1):
             for shard in np.unique(t.column("shard").to_numpy()).tolist():
-                rows = t.filter(pc.equal(t.column("shard"), shard)).sort_by([("rest", "descending"), ("doc_id", "ascending"), ("part", "ascending"), ("idx", "ascending")])
+                rows = t.filter(pc.equal(t.column("shard"), shard)).sort_by([("rest", "descending"), ("doc_id", "ascending"), ("rank", "ascending")])
                 i, start, n, window, offset = (np.array(x, np.int64) for x in zip(*greedy(rows.column("rest").to_pylist())[0], strict=True))
                 crcs = rows.column("rest_crcs").combine_chunks()
                 flat, first = crcs.values.to_numpy().astype(np.uint32), crcs.offsets.to_numpy()[i].astype(np.int64)
                 low = np.where(start > 0, flat[first + np.maximum(start // GRID - 1, 0)], 0).astype(np.uint32)
                 high = flat[first - (-(start + n) // GRID) - 1]
                 take = lambda c: rows.column(c).take(pa.array(i)).to_numpy()  # noqa: B023, E731
-                columns = [take("doc_id"), take("whole").astype(np.int64) * WINDOW + start, n, piece_crc(low, high, n * 4).astype(np.int64), take("n"), planned + (np.int64(shard) << 32) + window, offset]
+                columns = [take("doc_id"), take("whole").astype(np.int64) * WINDOW + start, n, piece_crc(low, high, n * 4).astype(np.int64), take("n"), _sequence(2, np.int64(shard // inside)) + (np.int64(shard) << 32) + window, offset]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(i)).combine_chunks(), *(pa.array(c.astype(np.int64)) for c in columns[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    loose = assigned.where("sequence_id IS NULL").select("doc_id", "n", "whole", "rest", "rest_crcs", "part", "idx", F.pmod(F.xxhash64("part", "rest", "idx"), F.lit(shards)).alias("shard"))
-    packed = loose.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(fill, PIECES)
+    shard = F.col("stretch") * F.lit(inside) + F.pmod(F.xxhash64("rest", "rank"), F.lit(inside))
+    loose = assigned.where("sequence_id IS NULL AND rest > 0").select("doc_id", "n", "whole", "rest", "rest_crcs", "rank", shard.cast("long").alias("shard"))
+    packed = loose.repartition(stretches * inside, "shard").sortWithinPartitions("shard").mapInArrow(fill, PIECES)
     return full.unionByName(slotted).unionByName(packed)
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import regex
 from pyspark.sql import functions as F
 
-from tarnwell.llm import langid, pii, rules, secrets
+from tarnwell.llm import langid, packing, pii, rules, secrets
 
 
 def test_letters_are_unicode_letters_and_marks(sf_dir):
@@ -164,3 +164,108 @@ def test_posting_lists_are_those_of_the_texts(spark):
     assert docs == 5  # the null text counts as the empty one
     abc = next(r["docs"] for r in rows if r["trigram"] == secrets.trigram_number(b"abc"))
     assert len(np.frombuffer(abc, "<u2")) == 3
+
+
+def active_set(a, b):
+    """Non-negative least squares by an active set of columns, the plain textbook way."""
+    n = a.shape[1]
+    x, free = np.zeros(n), np.zeros(n, bool)
+    for _ in range(10 * n):
+        slope = a.T @ (b - a @ x)
+        slope[free] = -np.inf
+        if slope.max(initial=-np.inf) <= 1e-9:
+            break
+        free[int(slope.argmax())] = True
+        while True:
+            s = np.zeros(n)
+            s[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if (s[free] > 0).all():
+                break
+            bad = free & (s <= 0)
+            step = min(x[bad] / (x[bad] - s[bad]))
+            x = x + step * (s - x)
+            free &= x > 1e-12
+            x[~free] = 0.0
+        x = s
+    return x
+
+
+def test_least_squares_are_those_of_an_active_set_solver():
+    rng = np.random.default_rng(2)
+    for window, most in ((24, 6), (40, 30), (64, 400)):
+        present = np.zeros(window + 1, np.int64)
+        present[1:window] = rng.integers(0, most, window - 1)
+        combos = packing.combinations(present, window, slack=2, each=4)
+        a = np.zeros((window + 1, len(combos)))
+        for k in range(packing.PARTS):
+            np.add.at(a, (combos[:, k], np.arange(len(combos))), combos[:, k] > 0)
+        want = present.astype(float)
+        want[0] = 0
+        x = packing.nonnegative(combos, want, rounds=3000)
+        best = np.linalg.norm(a @ active_set(a, want) - want)
+        assert (x >= 0).all() and np.linalg.norm(a @ x - want) <= best + 0.01 * np.linalg.norm(want)
+        assert np.linalg.norm(a @ packing.nonnegative(combos, want) - want) <= best + 0.03 * np.linalg.norm(want)
+
+
+def test_the_plan_carries_nearly_all_remainders():
+    rng = np.random.default_rng(6)
+    shares = []
+    for n in (300, 3000, 100_000):
+        rest = np.minimum(packing.WINDOW - 1, rng.lognormal(6.3, 1.0, n).astype(int) + 1)
+        rest[: n // 3] = 777  # a third of all rows repeat one length
+        present = np.bincount(rest, minlength=packing.WINDOW + 1)
+        combos, times = packing.plan(present)
+        used = np.bincount(combos.ravel(), np.repeat(times, packing.PARTS), packing.WINDOW + 1)
+        used[0] = 0
+        assert (used <= present).all() and (combos.sum(axis=1) <= packing.WINDOW).all() and (combos.sum(axis=1) > packing.WINDOW - packing.SLACK).all()
+        shares.append(used.sum() / n)
+    assert shares[0] > 0.8 and shares[1] > 0.9 and shares[2] > 0.99, shares
+
+
+def test_slots_cover_every_repeat_once():
+    rng = np.random.default_rng(8)
+    present = np.bincount(np.minimum(packing.WINDOW - 1, rng.lognormal(6.3, 1.0, 5000).astype(int) + 1), minlength=packing.WINDOW + 1)
+    combos, times = packing.plan(present)
+    length, rank, count, seq, off = packing._slots(combos, times)
+    filled = defaultdict(list)
+    for n, c, s, o in zip(length.tolist(), count.tolist(), seq.tolist(), off.tolist(), strict=True):
+        for j in range(c):
+            filled[s + j].append((o, n))
+    assert len(filled) == times.sum()
+    for parts in filled.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert packing.WINDOW - packing.SLACK < at <= packing.WINDOW
+    for n in set(length.tolist()):
+        own = length == n
+        assert rank[own].tolist() == [0, *np.cumsum(count[own])[:-1].tolist()]
+
+
+def test_packing_keeps_the_order_of_rows(spark, tmp_path, monkeypatch):
+    """Windows hold neighbours: the places of a window's documents in the input lie close together."""
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "STRETCH_DOCS", 250)
+    rng = random.Random(9)
+    texts = [" ".join("word" for _ in range(int(min(3000, rng.lognormvariate(5.5, 0.8))) + 1)) for _ in range(3000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "docs"))
+    pieces = packing.pack(spark.read.parquet(str(tmp_path / "docs")), public_tokenizers.path(packing.TOKENIZER)).collect()
+    by = defaultdict(list)
+    for p in pieces:
+        by[p["sequence_id"]].append(p["doc_id"])
+    spread = [max(d) - min(d) for d in by.values() if len(d) > 1]
+    assert np.mean(spread) < 0.1 * len(texts)
+    middle = [np.mean(by[s]) for s in sorted(by)]
+    assert np.corrcoef(middle, np.arange(len(middle)))[0, 1] > 0.95
+
+
+def test_packing_of_odd_rows(spark):
+    import public_tokenizers
+
+    rows = [(1, "same words here"), (1, "same words here"), (None, "x y"), (None, None), (2, ""), (3, "long " * 30_000)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path(packing.TOKENIZER)).collect()
+    tokens = lambda d: sorted(p["length"] for p in pieces if p["doc_id"] == d)
+    assert len(tokens(1)) == 2 and len(set(tokens(1))) == 1 and tokens(2) == [1] and sum(tokens(None)) == next(p["doc_tokens"] for p in pieces if p["doc_id"] is None and p["doc_tokens"] > 1) + 1
+    assert sum(tokens(3)) == next(p["doc_tokens"] for p in pieces if p["doc_id"] == 3) and tokens(3).count(packing.WINDOW) >= 7

@@ -246,12 +246,13 @@ def test_repeats_never_exceed_the_supply():
     rng = np.random.default_rng(4)
     present = np.zeros(packing.WINDOW + 1, np.int64)
     present[1 : packing.WINDOW] = rng.integers(0, 40, packing.WINDOW - 1)
-    combos = packing.combinations(present, most=5000)
+    combos = packing.combinations(present, each=2)
     times = packing.repeats(combos, present, rounds=50)
     used = np.zeros_like(present)
-    for k in range(3):
+    for k in range(packing.PARTS):
         np.add.at(used, combos[:, k], times)
-    assert (combos.sum(axis=1) == packing.WINDOW).all() and (used[1:] <= present[1:]).all() and times.sum() > 0
+    total = combos.sum(axis=1)
+    assert ((total <= packing.WINDOW) & (total > packing.WINDOW - packing.SLACK)).all() and (used[1:] <= present[1:]).all() and times.sum() > 0
 
 
 # op5
