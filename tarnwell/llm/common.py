@@ -26,12 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share; one of our own only in local mode where the session names none (tests)."""
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnwell-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="tarnwell-")
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -81,18 +86,36 @@ def most_frequent(counts: DataFrame, item: str, n: str, most: int) -> list:
     return counts.where((F.col(n) > 0) & (step >= low)).orderBy(F.desc(n), item).limit(most).collect()
 
 
-def running_sums(df: DataFrame, order: tuple[str, ...], value: str, name: str) -> DataFrame:
-    """df with `name`: the sum of `value` over all rows before, by `order`, whose values must differ from row to row.
+def running_sums(df: DataFrame, order: tuple[str, ...], sums: dict[str, Column]) -> DataFrame:
+    """df with columns that hold sums over all rows before, by `order`, whose values must differ from row to row.
 
     The rows are dealt into ranges of the order and summed range by range; only the ranges' sums, one row for each
     partition, are summed in one place.
     """
     dealt = saved(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     back = (Window.unboundedPreceding, -1)
-    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    sums = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(*back)), F.lit(0)).alias("_base"))
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(*back)), F.lit(0))
-    return dealt.join(F.broadcast(sums), "_range").withColumn(name, F.col("_base") + inside).drop("_range", "_base")
+    of_range = dealt.groupBy("_range").agg(*(F.sum(v).alias(f"_{k}") for k, v in sums.items()))
+    bases = of_range.select("_range", *(F.coalesce(F.sum(f"_{k}").over(Window.orderBy("_range").rowsBetween(*back)), F.lit(0)).alias(f"_{k}") for k in sums))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(*back)
+    both = dealt.join(F.broadcast(bases), "_range")  # a row for each partition
+    return both.withColumns({k: F.col(f"_{k}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in sums.items()}).drop("_range", *(f"_{k}" for k in sums))
+
+
+#: A key is hot if it has more than this part of all rows; there are no more such keys than the number says.
+HOT = 1000
+
+
+def joined(rows: DataFrame, labels: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """The inner join of rows with labels (one for each key, with the number n of its rows, `total` in all).
+
+    Hot keys, of which there are HOT at most since their rows add up to `total`, are broadcast, so their rows stay where
+    they are; the others are joined by key. Both tables are stored ones, for they are read twice.
+    """
+    hot = labels.where(F.col(n) * HOT > total).select(*on, F.struct(*labels.columns).alias("_label"))
+    told = rows.join(F.broadcast(hot), on, "left")
+    others = [c for c in labels.columns if c not in on]
+    easy = told.where("_label IS NOT NULL").select(*rows.columns, *(F.col(f"_label.{c}").alias(c) for c in others))
+    return easy.unionByName(told.where("_label IS NULL").drop("_label").join(labels, on).select(*rows.columns, *others))
 
 
 def crc_rest(column: str, n: int) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, starts, table, whole_groups
+from .common import joined, saved, starts, table, whole_groups
 from .graph import components
 
 THRESHOLD = 0.98
@@ -226,9 +226,11 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = index.select("label", "vec", "rep", "n", "cid")
     roots = parts.join(named.select(F.col("cid").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     parts = parts.join(roots, "component").select(F.col("node").alias("cid"), "least")
-    told = named.join(links, "cid", "left").join(parts, "cid", "left").select("label", "vec", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+    told = named.join(links, "cid", "left").join(parts, "cid", "left").select("label", "vec", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"), "n")
+    told = saved(told)
     lone = rows.where("vec IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return rows.where("vec IS NOT NULL").join(told, ["label", "vec"]).select("vec_id", "n_links", "component_id").unionByName(lone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    some = rows.where("vec IS NOT NULL")
+    return joined(some, told, ["label", "vec"], "n", some.count()).select("vec_id", "n_links", "component_id").unionByName(lone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op1_embedding_near_dedup(spark, sf_dir):

@@ -350,7 +350,7 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """
     each = saved(tokenized(docs, tokenizer_path))
     piece = ("file", "block", "part")
-    pieces = running_sums(each.groupBy(*piece).agg(F.count(F.lit(1)).alias("rows")), piece, "rows", "rows_before").drop("rows")
+    pieces = running_sums(each.groupBy(*piece).agg(F.count(F.lit(1)).alias("rows")), piece, {"rows_before": F.col("rows")}).drop("rows")
     n_docs = each.count()
     stretches = int(max(1, min(STRETCHES, n_docs // STRETCH_DOCS)))
     before = Window.partitionBy("rest").orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)

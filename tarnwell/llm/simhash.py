@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_bytes, saved
+from .common import ascii_bytes, joined, saved
 from .graph import components
 
 SEED = 42
@@ -84,16 +84,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     """docs(doc_id, text) -> (doc_id, fp, component_id, group, text_hash), one row per row.
 
     Equal fingerprints are one node, so groups of copies cost a row each. component_id is the smallest doc_id reachable
-    over links of at most `distance` differing bits; `group` tells groups apart even where ids repeat. Texts without words share fingerprint 0. A row with a null doc_id is
+    over links of at most `distance` differing bits; `group` tells groups apart even where ids repeat. Texts without words
+    share fingerprint 0; repeated rows are of one group; a very long text is one row like any other. A row with a null doc_id is
     grouped like any other; a group of null ids only has a null component. An empty table gives an empty table.
     """
     each = saved(fingerprints(docs, shingle))
-    nodes = saved(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = saved(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     parts = components(near_pairs(nodes.select("fp"), distance))
     groups = parts.join(nodes.withColumnRenamed("fp", "node"), "node").groupBy("component").agg(F.min("least").alias("root"))
     named = parts.join(groups, "component").select(F.col("node").alias("fp"), "root", "component")
-    labels = nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "least").alias("component_id"), F.coalesce("component", "fp").alias("group"))
-    return each.join(labels, "fp").select("doc_id", "fp", "component_id", "group", "text_hash")
+    labels = saved(nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "least").alias("component_id"), F.coalesce("component", "fp").alias("group")))
+    return joined(each, labels, ["fp"], "n", each.count()).select("doc_id", "fp", "component_id", "group", "text_hash")
 
 
 def op3_simhash_near_dedup(spark, sf_dir):
