@@ -3,7 +3,7 @@
 Each source has a weight schedule over training time t in [0, 1], w(t) proportional to 1 + a - 2at. Its integral
 W(t) = (1 + a)t - at^2 says which share of the source's target has been asked for by time t. Documents lie end to end in
 a fixed shuffled order, epoch after epoch; inverting W at a document's cumulative share gives the time at which training
-reaches it, and the documents are range-sorted by that time.
+reaches it, every epoch's copy of it at a time of its own, and the documents are range-sorted by that time.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, n_words, saved, table
+from .common import WORD, n_words, running_sums, saved, table
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -26,15 +26,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     `most` times its source's size and the excess is shared anew by weight. With sources in order of limit per unit of
     weight, the level that the rest shares is the largest of what is left after capping the first k, over k.
     """
-    by = Window.orderBy(F.col("source").isNull(), "source")
-    fill = Window.orderBy(F.col("source_size") * most / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    each = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("rank", F.row_number().over(by) - 1)
-    each = each.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("rank") % len(weights) + 1))
-    everything = Window.partitionBy()
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum(F.col("source_size") * most).over(fill), F.lit(0))
-    share = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(fill), F.lit(0))
-    level = each.withColumn("level", left / share).withColumn("level", F.max("level").over(everything))
-    return level.select("source", "source_size", "rank", F.least((F.col("source_size") * most).cast("double"), F.col("weight") * F.col("level")).alias("target"))
+    each = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("none", F.col("source").isNull())
+    each = running_sums(each, ("none", "source"), {"rank": F.lit(1)}).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")))
+    each = each.withColumn("limit", F.col("source_size") * most / F.col("weight"))
+    each = running_sums(each, ("limit", "rank"), {"full": F.col("source_size") * most, "full_weight": F.col("weight")})
+    whole = each.agg(F.sum("source_size").alias("all"), F.sum("weight").alias("all_weight"))
+    each = each.crossJoin(F.broadcast(whole)).withColumn("level", (F.col("all") - F.col("full")) / (F.col("all_weight") - F.col("full_weight")))  # one row
+    level = each.crossJoin(F.broadcast(each.agg(F.max("level").alias("top"))))  # one row
+    return level.select("source", "source_size", "rank", F.least((F.col("source_size") * most).cast("double"), F.col("weight") * F.col("top")).alias("target"))
 
 
 def _time(asked: Column, rank: Column) -> Column:
@@ -44,18 +43,20 @@ def _time(asked: Column, rank: Column) -> Column:
 
 
 def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), whole: bool = False, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """docs(doc_id, text, source) -> `keep`, size, source_size, target, taken, copies, position; one row per row.
+    """docs(doc_id, text, source) -> `keep`, size, source_size, target, taken, copies, position, positions; one row per row.
 
     size: words of the text, null: 0. taken: words the mix takes of the document over all epochs; the last document of a
     source's share is cut there, or, if `whole`, goes in whole if at least half of it would. copies: epochs that take
-    some of it (an empty document: 1 in the first epoch). position: the time at which its first copy is reached, null if
-    not taken. Order within a source: md5 of the id, ties by id and size, so reruns agree; rows that tie in all of these
-    are interchangeable. A null source is a source of its own; an empty table gives an empty table.
+    some of it (an empty document: 1 in the first epoch). positions: the times at which its copies are reached, in order;
+    position: the first of them, null if not taken in the first epoch. Order within a source: md5 of the id and of the
+    text's md5, ties by id and size, so reruns agree; rows that tie in all of these are interchangeable. Null ids, repeated
+    ids and very long texts are rows like any other. A null source is a source of its own; an empty table gives an empty table.
 
-    A source's order is cut into hash buckets, so that running sums need no task that holds a whole source.
+    A source's order is cut into hash buckets, so that running sums need no task that holds a whole source. Only rows equal
+    in id and text share a bucket whatever its size.
     """
     source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    each = saved(docs.select(F.struct(*keep).alias("row"), F.col("doc_id").alias("id"), source.alias("key"), n_words("text").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h")))
+    each = saved(docs.select(F.struct(*keep).alias("row"), F.col("doc_id").alias("id"), source.alias("key"), n_words("text").alias("size"), F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).cast("binary")).alias("h")))
     digits = 1
     rows = each.count()
     while 16**digits * BUCKET_ROWS < rows:
@@ -78,10 +79,11 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), whole: bool = Fals
         part = [F.greatest(zero, F.least(x, size)) for x in left]
         copy = [F.when((x > 0) & (size > 0) | (x >= 0) & (size == 0) & F.lit(e == 0), 1).otherwise(0) for e, x in enumerate(left)]
     total = lambda xs: sum(xs[1:], xs[0])
-    asked = F.coalesce(F.try_divide(F.col("at").cast("double"), F.col("target")), F.lit(0.0))
+    asked = lambda e: F.coalesce(F.try_divide((F.col("at") + F.col("source_size") * e).cast("double"), F.col("target")), F.lit(0.0))
+    times = [F.when(c > 0, _time(F.least(asked(e), F.lit(1.0)), F.col("rank"))) for e, c in enumerate(copy)]
     return placed.select(
         *(F.col("row")[k].alias(k) for k in keep), "size", "source_size", "target", total(part).cast("long").alias("taken"),
-        total(copy).alias("copies"), F.when(copy[0] > 0, _time(F.least(asked, F.lit(1.0)), F.col("rank"))).alias("position"),
+        total(copy).alias("copies"), times[0].alias("position"), F.array_compact(F.array(*times)).alias("positions"),
     )
 
 
@@ -93,7 +95,7 @@ def op6_mix_sources(spark, sf_dir):
 OP6_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))) AS h
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS r FROM d GROUP BY source),
 w AS (SELECT *, 1 + r % 3 AS weight FROM s),
