@@ -287,11 +287,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_removed, kept (words joined by one space), one row per row.
 
     A word goes if a window of SPAN words that covers it starts earlier elsewhere too: in a document of smaller id, or
-    earlier in its own. Windows are judged on the input. Null texts have no words. Null ids come after all others. Rows
-    that repeat an id count as one document: of equal windows at equal places in them, none is earlier. An empty table
-    gives an empty table.
+    earlier in its own. Windows are judged on the input. Null texts have no words. Null ids come after all others, in
+    the order of a hash of their texts. Rows that repeat an id, or have none and equal texts, count as one document: of
+    equal windows at equal places in them, none is earlier. Very long texts are read whole. An empty table gives an empty
+    table.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    last = F.lit(_LAST) - F.xxhash64("text").bitwiseAND(F.lit((1 << 48) - 1))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = rows.select("id", "text").mapInArrow(_marked, _OCCURRENCE)
     found = saved(marked.repartition(F.col("route")).sortWithinPartitions("route", "full", "id", "at").mapInArrow(_resolved, _RANGE))
     ranges = found.where("NOT late").groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
