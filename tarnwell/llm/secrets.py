@@ -20,6 +20,7 @@ from re import _parser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -266,49 +267,50 @@ def spans(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, in
     return sorted((m.start(), k, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, text) if r.keep(m))
 
 
-def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None, mark: str | None = None) -> DataFrame:
     """`keep`, spans array<struct<kind, start, end, base>> for every row, in code points, by start, then kind as listed.
 
     Kinds may overlap; of one kind, matches are leftmost and do not. Null texts count as empty; repeated rows and null ids
     are rows like any other; very long texts are indexed in stretches and scanned whole; an empty table gives an empty
-    table. `index` is one that `build_index` made of the same texts, or of more; without it one is made. At most 63 rules.
+    table. `index` is one that `build_index` made of the same texts, or of more; without it one is made. With a
+    `mark` there is a column clean too: the text with each stretch of touching spans replaced by the mark; null stays null.
+    At most 63 rules.
     """
     if len(rules) > 63:
         raise ValueError("at most 63 rules at once")
     met = saved(candidates(build_index(docs) if index is None else index, rules))
     patterns = [(k, r, re.compile(r.pattern), re.compile(r.needs.encode()), trigram_query(r.pattern) is True) for k, r in enumerate(rules)]
     kinds = "array<struct<kind:string,start:int,end:int,base:boolean>>"
+    names = ["row", "spans", *(["clean"] if mark is not None else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
         for batch in batches:
-            rows = []
+            rows, clean = [], []
             for text, bits in zip(ascii_bytes(batch.column(1)), batch.column(2).fill_null(0).to_pylist(), strict=True):
                 todo = [(k, r, regex) for k, r, regex, needs, all_texts in patterns if (not r.needs or needs.search(text) if all_texts else bits >> k & 1)]
                 written = text.decode() if todo else ""
                 found = sorted((m.start(), k, m.end()) for k, r, regex in todo for m in regex.finditer(written) if r.keep(m))
                 rows.append([{"kind": rules[k].kind, "start": a, "end": b, "base": rules[k].base} for a, k, b in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["row", "spans"])
+                clean.append(_redacted(written, found, mark) if found and mark is not None else text)
+            columns = [batch.column(0), pa.array(rows, kind)]
+            if mark is not None:
+                texts = pa.array(clean, pa.binary()).cast(pa.string())
+                columns.append(pc.if_else(batch.column(1).is_null(), pa.scalar(None, pa.string()), texts))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"), _hash().alias("h"))
     rows = rows.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "h", "left").select("row", "text", "rules")
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, spans {kinds}").select("row.*", "spans")
-
-
-def redact(text, spans, mark: str = "[SECRET]"):
-    """The text column without its spans, each stretch of touching spans replaced by the mark; null stays null."""
-    step = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(
-            F.struct(
-                x["end"].alias("at"),
-                F.concat(s["out"], F.when(x["start"] < s["at"], F.lit("")).otherwise(F.concat(F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0))), F.lit(mark)))).alias("out"),
-            )
-        ),
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.lit(2**31 - 1))),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(step)
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, spans {kinds}{', clean string' if mark is not None else ''}").select("row.*", *names[1:])
+
+
+def _redacted(text: str, found: list[tuple[int, int, int]], mark: str) -> bytes:
+    out, at = [], 0
+    for a, _, b in found:
+        if b > at:
+            out += [] if a < at else [text[at:a], mark]
+            at = b
+    return "".join([*out, text[at:]]).encode()
 
 
 def op10_secret_scan(spark, sf_dir):

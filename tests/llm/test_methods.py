@@ -10,7 +10,7 @@ import numpy as np
 import regex
 from pyspark.sql import functions as F
 
-from tarnwell.llm import langid, packing, pii, rules, secrets
+from tarnwell.llm import common, langid, mixing, packing, pii, rules, secrets
 
 
 def test_letters_are_unicode_letters_and_marks(sf_dir):
@@ -269,3 +269,64 @@ def test_packing_of_odd_rows(spark):
     tokens = lambda d: sorted(p["length"] for p in pieces if p["doc_id"] == d)
     assert len(tokens(1)) == 2 and len(set(tokens(1))) == 1 and tokens(2) == [1] and sum(tokens(None)) == next(p["doc_tokens"] for p in pieces if p["doc_id"] is None and p["doc_tokens"] > 1) + 1
     assert sum(tokens(3)) == next(p["doc_tokens"] for p in pieces if p["doc_id"] == 3) and tokens(3).count(packing.WINDOW) >= 7
+
+
+def test_every_copy_has_a_time_of_its_own(spark, sf_dir):
+    rows = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), ("doc_id", "source"), whole=True).collect()
+    assert all(len(r["positions"]) == r["copies"] for r in rows) and any(r["copies"] > 1 for r in rows)
+    for r in rows:
+        assert r["positions"] == sorted(r["positions"]) and all(0 <= x <= 1 for x in r["positions"])
+        if r["copies"] > 1 and r["size"]:
+            assert len(set(r["positions"])) == r["copies"]
+    # at the demand of time t, the words placed before t are about the share of the target that the schedule asks for
+    places = {s: k for k, s in enumerate(sorted({r["source"] for r in rows}))}
+    for source, k in places.items():
+        own = [(p, r["size"]) for r in rows if r["source"] == source for p in r["positions"]]
+        target, largest, a = next(r["target"] for r in rows if r["source"] == source), max(n for _, n in own), (k % 3 - 1) / 2
+        for t in (0.25, 0.5, 0.75):
+            placed = sum(n for p, n in own if p < t)
+            assert abs(placed - ((1 + a) * t - a * t * t) * target) <= largest + 1
+
+
+def test_mixing_of_odd_rows(spark):
+    rows = [(None, "a b", "s"), (None, "c", "s"), (None, None, None), (1, "x y z", "s"), (1, "x y z", "s"), (2, "", ""), (3, "w " * 50_000, "t")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in got)
+    assert sorted(r["size"] for r in got) == [0, 0, 1, 2, 3, 3, 50_000]
+
+
+def test_targets_match_a_plain_loop(spark):
+    rng = random.Random(12)
+    for most in (1, 7, 60):
+        size = {f"s{rng.randrange(10**6)}": rng.choice((0, 1, 5, 1000, 10**6)) for _ in range(most)} | {None: 17}
+        order = sorted((s for s in size if s is not None)) + [None]
+        weight, target = {s: 1 + k % 3 for k, s in enumerate(order)}, {}
+        left, free = sum(size.values()), set(order)
+        while free:
+            level = left / sum(weight[s] for s in free)
+            full = {s for s in free if 3 * size[s] <= weight[s] * level}
+            target |= {s: 3 * size[s] if full else weight[s] * level for s in full or free}
+            left -= sum(target[s] for s in full)
+            free = free - full if full else set()
+        got = {r["source"]: (r["rank"], r["target"]) for r in mixing.targets(spark.createDataFrame(list(size.items()), "source string, size long")).collect()}
+        assert {s: r for s, (r, _) in got.items()} == {s: k for k, s in enumerate(order)}
+        assert all(abs(got[s][1] - target[s]) <= 1e-6 * max(1, target[s]) for s in order)
+
+
+def test_running_sums_over_ranges(spark):
+    rng = random.Random(13)
+    keys = rng.sample(range(10_000), 500)
+    df = spark.createDataFrame([(k, rng.randrange(100)) for k in keys], "k long, v long").repartition(7)
+    got = {r["k"]: (r["v"], r["before"]) for r in common.running_sums(df, ("k",), {"before": F.col("v")}).collect()}
+    total = 0
+    for k in sorted(keys):
+        assert got[k][1] == total
+        total += got[k][0]
+
+
+def test_hot_keys_join_like_others(spark, tmp_path):
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    labels = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("label"))
+    got = common.joined(common.saved(rows), common.saved(labels), ["k"], "n", 5000)
+    want = rows.join(labels, "k").select("k", "x", "n", "label")
+    assert sorted(map(tuple, got.select("k", "x", "n", "label").collect())) == sorted(map(tuple, want.collect()))
