@@ -13,6 +13,8 @@ from tarnwell.llm.common import crc_rest, saved, table
 
 #: Below this probability a prediction is no prediction.
 SURE = 0.5
+#: What stands for a secret.
+MARK = "[SECRET]"
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -30,33 +32,35 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that of least id (null last), of rows that repeat it the one of least text hash.
 
-    Of rows equal in both, one stays.
+    Of rows equal in both, the one whose other columns come first as JSON stays.
     """
     groups = simhash.near_duplicates(docs)
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("kept"))
     kept = first.select(F.col("kept.doc_id").alias("id"), F.col("kept.text_hash").alias("h"))
-    rows = _whole(docs).select("doc", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    order = F.to_json(F.struct(*(F.col(f"doc.{c}") for c in docs.columns if c != "text")))
+    rows = _whole(docs).select("doc", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), order.alias("order"))
     left = rows.join(kept, rows["id"].eqNullSafe(kept["id"]) & (rows["h"] == kept["h"]), "left_semi")
-    return left.groupBy("id", "h").agg(F.first("doc").alias("doc")).select("doc.*")
+    return left.groupBy("id", "h").agg(F.min_by("doc", "order").alias("doc")).select("doc.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets replaced by a mark; n_chars follows the text."""
-    found = secrets.scan(_whole(docs), ("doc", "text", "n_chars")).withColumn("clean", secrets.redact(F.col("text"), F.col("spans")))
-    n_chars = F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars"))
+    rest = F.struct(*(c for c in docs.columns if c != "text"))
+    found = secrets.scan(docs.select(rest.alias("rest"), "text"), ("rest",), mark=MARK)
+    n_chars = F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("rest.n_chars"))
     new = {"text": F.col("clean"), "n_chars": n_chars}
-    return found.select(*(new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns))
+    return found.select(*(new[c].alias(c) if c in new else F.col("rest")[c].alias(c) for c in docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, as often as the mix takes them, in the order in which training reaches them."""
+    """Whole documents, as often as the mix takes them, every copy at the time at which training reaches it."""
     mixed = mixing.mix(_whole(docs), ("doc",), whole=True)
-    copies = mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return copies.orderBy("copy", "position").select("doc.*")
+    copies = mixed.select("doc", F.explode("positions").alias("position"))
+    return copies.orderBy("position", "doc.doc_id").select("doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training windows."""
+    """The pieces of the training windows; windows and their ids follow the order of the rows."""
     return packing.pack(docs, public_tokenizers.path(packing.TOKENIZER))
 
 
