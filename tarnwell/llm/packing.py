@@ -364,7 +364,7 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     present = np.zeros((stretches, WINDOW + 1), np.int64)
     for r in histogram.collect():  # STRETCHES times 4096 rows at most
         present[r["stretch"], r["rest"]] = r["n"]
-    found = histogram.groupBy("stretch").applyInPandas(_planned, "stretch long, length long, rank long, count long, sequence long, offset long")
+    found = histogram.repartition(stretches, "stretch").groupBy("stretch").applyInPandas(_planned, "stretch long, length long, rank long, count long, sequence long, offset long")
     slot = {c: x.to_numpy() for c, x in found.toPandas().sort_values(["stretch", "length", "rank"]).items()}  # bounded by STRETCHES
     covered = np.zeros_like(present)
     np.add.at(covered, (slot["stretch"], slot["length"]), slot["count"])
