@@ -10,17 +10,19 @@ from .scalars import rnd, truthy, whole
 #: Grades from best to worst, and those that say nothing about an outcome.
 GRADE_ORDER = ("A+", "A", "A-", "B+", "B", "B-", "C+", "C", "C-", "D+", "D", "D-", "F")
 NO_GRADE = ("Not sure yet", "Rather not say", "Incomplete", "Drop/Withdrawal", "Audit/No Grade", "N/A")
-#: Verdicts by the least chance of a good rating and the most difficulty, best first, and their marks.
+#: Verdicts by the least chance of a good rating and the most difficulty, best first.
 VERDICTS = (
-    (0.85, 2.5, "Highly rated with a manageable workload", "great"),
-    (0.85, None, "Tough course, but students consistently rate the teaching highly", "great"),
-    (0.65, 3.0, "Well liked with reasonable difficulty", "good"),
-    (0.65, None, "Good teaching but expect to put in the work", "good"),
-    (0.45, None, "Mixed reviews. Student experiences vary quite a bit", "mixed"),
-    (0.30, None, "Below average reviews. Worth checking if this fits your learning style", "caution"),
-    (None, None, "Most students had a tough time. Look into alternatives if you can", "poor"),
+    (0.85, 2.5, "Highly rated with a manageable workload"),
+    (0.85, None, "Tough course, but students consistently rate the teaching highly"),
+    (0.65, 3.0, "Well liked with reasonable difficulty"),
+    (0.65, None, "Good teaching but expect to put in the work"),
+    (0.45, None, "Mixed reviews. Student experiences vary quite a bit"),
+    (0.30, None, "Below average reviews. Worth checking if this fits your learning style"),
+    (None, None, "Most students had a tough time. Look into alternatives if you can"),
 )
 VERDICT_TRENDS = (("improving", ", but ratings have been improving recently"), ("declining", ", and ratings have been declining"))
+#: Marks by the least chance of a good rating.
+MARKS = ((0.85, "great"), (0.65, "good"), (0.45, "mixed"), (0.30, "caution"), (None, "poor"))
 NO_TREND = "Not enough data"
 
 
@@ -67,20 +69,16 @@ def trend_label(means: Column) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) >= 4, label).otherwise(NO_TREND)
 
 
-def _by_verdict(good: Column, difficulty: Column, place: int) -> Column:
+def verdict_base(good: Column, difficulty: Column) -> Column:
     d = F.coalesce(truthy(difficulty), F.lit(3.0))
     out = F.when(F.lit(False), "")
-    for least, most, *texts in VERDICTS[:-1]:
-        out = out.when((good >= least) & (d <= most if most is not None else F.lit(True)), texts[place])
-    return out.otherwise(VERDICTS[-1][2 + place])
-
-
-def verdict_base(good: Column, difficulty: Column) -> Column:
-    return _by_verdict(good, difficulty, 0)
+    for least, most, text in VERDICTS[:-1]:
+        out = out.when((good >= least) & (d <= most if most is not None else F.lit(True)), text)
+    return out.otherwise(VERDICTS[-1][2])
 
 
 def verdict_emoji(good: Column) -> Column:
-    return _by_verdict(good, F.lit(None).cast("double"), 1)
+    return steps(good, list(MARKS[:-1]), MARKS[-1][1])
 
 
 def verdict(good: Column, difficulty: Column, trend: Column) -> Column:

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 #: Words that carry no topic.
 STOPWORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might shall can to of in "
-    "for on with at by from as into through during before after above below between out off over under again further then "
-    "once here there when where why how all each every both few more most other some such no nor not only own same so than "
-    "too very just because but and or if while about up it its this that i me my we our you your he she they his her him "
-    "them their what which who"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will",
+    "would", "could", "should", "may", "might", "shall", "can", "to", "of", "in", "for", "on", "with", "at", "by", "from",
+    "as", "into", "through", "during", "before", "after", "above", "below", "between", "out", "off", "over", "under",
+    "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "each", "every", "both",
+    "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very",
+    "just", "because", "but", "and", "or", "if", "while", "about", "up", "it", "its", "this", "that", "i", "me", "my", "we",
+    "our", "you", "your", "he", "she", "they", "his", "her", "him", "them", "their", "what", "which", "who",
+)
 
 
 def col(c: str | Column) -> Column:
@@ -41,7 +43,7 @@ def strip(c: str | Column) -> Column:
 def tokens(c: str | Column) -> Column:
     """Lower-case runs of letters a-z and digits of two characters and more that are no stopwords."""
     parts = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"[^a-z0-9]+", " ")), " ")
-    return F.filter(parts, lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS))
+    return F.filter(parts, lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
 def contains(text: str | Column, part: str) -> Column:

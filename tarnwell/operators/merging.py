@@ -21,6 +21,14 @@ def refetch_candidates(known: DataFrame, min_ratings: int = 3) -> DataFrame:
     return known.where((F.coalesce(F.size("reviews"), F.lit(0)) <= 0) & (F.coalesce("num_ratings", F.lit(0)) >= min_ratings))
 
 
+def to_fetch(found: DataFrame, known: DataFrame, key: str = "id", min_ratings: int = 3) -> DataFrame:
+    """ids to fetch: those found that are unknown; only if there are none, the known ones that lack their reviews."""
+    new = unknown(found, known, key).select(key)
+    again = refetch_candidates(known, min_ratings).select(key)
+    any_new = new.limit(1).agg(F.count(F.lit(1)).alias("fresh"))  # one row
+    return new.unionByName(again.crossJoin(F.broadcast(any_new)).where("fresh = 0").select(key))
+
+
 def upserted(known: DataFrame, fetched: DataFrame, key: str = "id") -> DataFrame:
     """known with rows replaced by fetched ones that have reviews; places stay, fetched ids that are new come last."""
     useful = fetched.where(F.size("reviews") > 0)
@@ -48,6 +56,19 @@ def selected(catalog: DataFrame, files: DataFrame, mode: str, slugs: list[str] |
     return catalog.join(files.select("slug"), "slug", "left_anti" if mode == "missing" else "left_semi")
 
 
+def looked_up(catalog: DataFrame, slugs: list[str]) -> DataFrame:
+    """The asked slugs in order with their catalog rows; `known` is false where the catalog has none."""
+    asked = catalog.sparkSession.createDataFrame(list(enumerate(dict.fromkeys(slugs))), "place int, slug string")
+    rows = F.broadcast(asked).join(catalog.withColumn("known", F.lit(True)), "slug", "left")  # as long as the call's list
+    return rows.withColumn("known", F.coalesce("known", F.lit(False))).orderBy("place")
+
+
+def run_counters(outcomes: DataFrame) -> DataFrame:
+    """outcomes(status) of a bulk run -> one row: succeeded, failed, skipped."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return outcomes.agg(n("Ready").alias("succeeded"), n("Error").alias("failed"), n("Not scraped").alias("skipped"))
+
+
 def totals(entities: DataFrame) -> DataFrame:
     """total_professors, total_reviews."""
     return entities.agg(F.count(F.lit(1)).alias("total_professors"), F.coalesce(F.sum(F.greatest(F.coalesce(F.size("reviews"), F.lit(0)), F.lit(0))), F.lit(0)).alias("total_reviews"))

@@ -80,13 +80,14 @@ def department_rows(entities: DataFrame) -> DataFrame:
 
 
 def school_stats(entities: DataFrame) -> DataFrame:
-    """One row for each school; distinct departments count null as one."""
+    """One row for each school; distinct departments count null as one. total_reviews is the metadata's, where rows have it."""
     r, d = truthy("avg_rating"), truthy("avg_difficulty")
     return entities.groupBy("school").agg(
         F.count(F.lit(1)).alias("total_professors"),
         rnd(exact_mean(r), 2).alias("avg_rating"),
         rnd(exact_mean(d), 2).alias("avg_difficulty"),
         (F.countDistinct("department") + F.max(F.col("department").isNull().cast("int"))).cast("long").alias("departments"),
+        *([F.coalesce(F.max("total_reviews"), F.lit(0)).cast("long").alias("total_reviews")] if "total_reviews" in entities.columns else []),
     )
 
 

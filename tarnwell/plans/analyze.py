@@ -40,8 +40,10 @@ def analyze(entities: DataFrame, reviews: DataFrame, as_of: str, model: DataFram
     none = F.struct(*(F.lit(0.0).alias(c) for c in ("a_range", "b_range", "c_range", "d_f")))
     good = F.col("rating_posteriors.good")
     width = good["ci_upper"] - good["ci_lower"]
+    undated = F.from_json(F.lit('{"insufficient_data": true, "n_reviews_with_dates": 0, "capped": false}'), told.schema["gp_trend"].dataType)
     return (
-        told.withColumn("grade_probabilities", F.coalesce("grade_probabilities", none))
+        told.withColumn("gp_trend", F.coalesce("gp_trend", undated))
+        .withColumn("grade_probabilities", F.coalesce("grade_probabilities", none))
         .withColumn("trend_summary", labels.trend_label(F.col("gp_trend.pred_mean")))
         .withColumn("confidence_level", labels.confidence_level(F.col("n_overall"), width))
         .withColumn("confidence_detail", labels.confidence_detail(F.col("n_overall"), width))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..functions.scalars import slug
+from ..functions.scalars import slug, whole
 from ..operators import merging, posterior, rollups, topics, trend
+from ..sources import schools as school_files
 from ..sources import testdata
 from ..streaming import admission
 from . import endpoints, oracle
@@ -72,7 +73,21 @@ def departments(spark, sf_dir):
 
 @query
 def school_stats(spark, sf_dir):
-    return rollups.school_stats(_rows(spark, sf_dir))
+    n = testdata.read(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("total_reviews"))  # one row, as metadata has it
+    return rollups.school_stats(_rows(spark, sf_dir).crossJoin(F.broadcast(n)))
+
+
+@query
+def school_totals(spark, sf_dir):
+    e = _rows(spark, sf_dir).select("entity_id", F.array_repeat(F.lit(1), F.col("num_ratings").cast("int")).alias("reviews"))
+    return merging.totals(e)
+
+
+@query
+def professor_tags(spark, sf_dir):
+    """The first five tags of every row with their opacity."""
+    shown = testdata.tags(spark, sf_dir).select("entity_id", F.posexplode(endpoints.top_tags(F.col("top_tags"))).alias("place", "t"))
+    return shown.select("entity_id", "place", "t.tag", "t.count", "t.opacity")
 
 
 def _counts(spark, sf_dir):
@@ -129,10 +144,27 @@ def _classes(spark, sf_dir):
     return classes.withColumn("class_place", place).join(_rows(spark, sf_dir), "entity_id").join(shares, "entity_id", "left")
 
 
+def _courses(spark, sf_dir, search=None):
+    classes = _classes(spark, sf_dir).withColumn("num_reviews", F.col("course_reviews"))
+    return rollups.course_rows(classes, search).select("course", F.size("professors").cast("long").alias("n_professors"), F.md5(F.array_join("professors", "|").cast("binary")).alias("professors_md5"), "total_reviews")
+
+
 @query
 def courses(spark, sf_dir):
-    classes = _classes(spark, sf_dir).withColumn("num_reviews", F.col("course_reviews"))
-    return rollups.course_rows(classes).select("course", F.size("professors").cast("long").alias("n_professors"), "total_reviews")
+    """The professors of a course, repeats kept, as the hash of their names in order: the lists are long."""
+    return _courses(spark, sf_dir)
+
+
+@query
+def courses_search(spark, sf_dir):
+    return _courses(spark, sf_dir, "and#2")
+
+
+@query
+def first_courses(spark, sf_dir):
+    """The first eight courses that a detail page shows."""
+    rows = _classes(spark, sf_dir).select("entity_id", "class_name", F.col("class_place").cast("long").alias("class_place"), "course_reviews")
+    return merging.first_by_place(rows, "entity_id", "class_place", 8)
 
 
 @query
@@ -140,6 +172,18 @@ def schedule(spark, sf_dir):
     return endpoints.schedule(_classes(spark, sf_dir), COURSES).select("course", "entity_id", "name", "class_name", "course_rating", "course_reviews", "avg_rating", "good_prob", "place")
 
 
+@query
+def schedule_rows(spark, sf_dir):
+    rows = endpoints.schedule(_classes(spark, sf_dir), COURSES).withColumn("course_specific", endpoints.course_specific())
+    return rows.select("course", "place", *_shown(), F.col("course_specific.class_name").alias("specific_class"), F.col("course_specific.avg_rating").alias("specific_rating"), F.col("course_specific.num_reviews").alias("specific_reviews"))
+
+
+@query
+def optimizer_rows(spark, sf_dir):
+    rows = endpoints.ranked(_classes(spark, sf_dir), COURSES).where(F.col("place") <= 4)
+    return rows.select("course", "place", *_shown(), "class_name", "course_rating", "course_reviews", "optimizer_score", "a_range", "b_range", "c_range", "d_f")
+
+
 def _optimize(preference: str):
     def ranks(spark, sf_dir):
         return endpoints.ranked(_classes(spark, sf_dir), COURSES, preference)
@@ -172,12 +216,28 @@ def topic_scores(spark, sf_dir):
     return _topics(spark, sf_dir)
 
 
+def _as_one_school(spark, sf_dir):
+    return testdata.documents_as_reviews(spark, sf_dir).withColumn("school", F.lit("testdata"))
+
+
 @query
 def topic_scores_trained(spark, sf_dir):
-    docs = testdata.documents_as_reviews(spark, sf_dir).withColumn("school", F.lit("testdata"))
+    docs = _as_one_school(spark, sf_dir)
     return topics.scores(docs, topics.train_batch(docs), ("school", "doc_id"), partition=("school",))
 
 
+@query
+def topic_model_serial(spark, sf_dir):
+    """The serial self-training over every document in the order of ids: each confident one changes what the next one meets."""
+    docs = _as_one_school(spark, sf_dir).withColumns({"entity_ordinal": F.lit(0), "review_ordinal": F.col("doc_id")})
+    return topics.train(docs)
+
+
+@query
+def top_categories(spark, sf_dir):
+    return topics.ranked_members(_topics(spark, sf_dir), ("doc_id",)).select("doc_id", "category", "probability", "place")
+
+
 def _with_doc(spark, sf_dir, reviews: DataFrame) -> DataFrame:
     n = testdata.read(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_docs"))
     return reviews.crossJoin(F.broadcast(n)).withColumn("doc_id", F.col("doc_key") % F.col("n_docs"))  # one row
@@ -193,12 +253,21 @@ def category_sentiment(spark, sf_dir):
     return _sentiment(spark, sf_dir)
 
 
-@query
-def fit(spark, sf_dir):
+def _fit(spark, sf_dir):
     wide = _sentiment(spark, sf_dir).groupBy("entity_id").agg(*(F.max(F.when(F.col("category") == c, F.col("pct_positive"))).alias(f"pct_{c}") for c in topics.CATEGORIES))
     shares = rollups.grade_probabilities(testdata.reviews(spark, sf_dir))
     rows = _rows(spark, sf_dir).join(wide, "entity_id", "left").join(shares, "entity_id", "left")
-    return endpoints.fit(rows, limit=100, **oracle.FIT_PREFS).select("entity_id", "name", "department", "avg_rating", "avg_difficulty", "num_ratings", "would_take_again_pct", "fit_score")
+    return endpoints.fit(rows, limit=100, **oracle.FIT_PREFS)
+
+
+@query
+def fit(spark, sf_dir):
+    return _fit(spark, sf_dir).select("entity_id", "name", "department", "avg_rating", "avg_difficulty", "num_ratings", "would_take_again_pct", "fit_score")
+
+
+@query
+def fit_rows(spark, sf_dir):
+    return _fit(spark, sf_dir).select(*_shown(), "fit_score", F.array_join("fit_reasons", "|").alias("fit_reasons"), "a_range", labels.fit_ring(F.col("fit_score")).alias("ring"))
 
 
 @query
@@ -218,6 +287,27 @@ def label_columns(spark, sf_dir):
 QUERIES["labels"] = QUERIES.pop("label_columns")
 
 
+@query
+def detail_labels(spark, sf_dir):
+    """What a detail page says of every row: warnings, bottom line, short verdict, initials, and numbers as text."""
+    wide = _sentiment(spark, sf_dir).where(F.col("category") == "lectures").select("entity_id", F.col("pct_positive").alias("pct_lectures"))
+    rows = _rows(spark, sf_dir).join(wide, "entity_id", "left").join(rollups.grade_probabilities(testdata.reviews(spark, sf_dir)), "entity_id", "left")
+    none = F.lit(None).cast("string")
+    flags = labels.detail_flags(F.col("avg_rating"), F.col("avg_difficulty"), F.col("would_take_again_pct"), none, F.col("pct_lectures"))
+    line = labels.bottom_line(F.col("avg_rating"), F.col("avg_difficulty"), F.col("a_range"), F.col("would_take_again_pct"))
+    width = F.col("ci_upper") - F.col("ci_lower")
+    return rows.select(
+        "entity_id", F.array_join(flags, "|").alias("flags"), line["quality"].alias("quality"), line["difficulty"].alias("difficulty"), line["retake"].alias("retake"),
+        labels.short_verdict(labels.verdict_base(F.col("good_prob"), F.col("avg_difficulty"))).alias("short_verdict"), labels.initials(F.col("name")).alias("initials"),
+        whole(F.col("would_take_again_pct")).alias("retake_text"), labels.confidence_detail(F.col("n_overall"), width).alias("confidence_detail"),
+    )
+
+
+@query
+def comment_previews(spark, sf_dir):
+    return testdata.documents_as_reviews(spark, sf_dir).select("doc_id", labels.preview(F.col("comment")).alias("preview"))
+
+
 @query
 def rating_trend(spark, sf_dir):
     t = trend.rating_trend(testdata.reviews(spark, sf_dir))
@@ -226,27 +316,91 @@ def rating_trend(spark, sf_dir):
 
 @query
 def admitted_requests(spark, sf_dir):
-    return admission.admitted(testdata.read(spark, sf_dir, "events"), limit=3, window=86400.0)
+    told = admission.admitted(testdata.read(spark, sf_dir, "events"), limit=3, window=86400.0)
+    return told.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _suppliers(spark, sf_dir):
     return testdata.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("num_ratings"))
 
 
+def _buyers(spark, sf_dir):
+    """The customers that ordered anything, with the number of their orders."""
+    return testdata.read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("num_ratings"))
+
+
 @query
 def unknown_entities(spark, sf_dir):
-    s = _suppliers(spark, sf_dir)
-    return merging.unknown(s, s.where("id % 3 = 0")).select("id", "name")
+    """Customers found by their orders that are not known as suppliers."""
+    found = _buyers(spark, sf_dir).join(testdata.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "id")
+    return merging.unknown(found, _suppliers(spark, sf_dir)).select("id", "name")
 
 
 @query
 def upserted_entities(spark, sf_dir):
-    s = _suppliers(spark, sf_dir).select("id", "name", F.col("id").alias("ordinal"))
-    known = s.where("id % 2 = 0").withColumn("reviews", F.array(F.lit(1)))
-    fetched = s.where("id % 4 = 0").select("id", F.concat("name", F.lit(" new")).alias("name"), F.when(F.col("id") % 8 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("reviews"))
+    """Suppliers are known; customers are fetched, with reviews if they ordered anything; some ids are new."""
+    known = _suppliers(spark, sf_dir).select("id", "name", F.col("id").alias("ordinal"), F.array(F.lit(1)).alias("reviews"))
+    customers = testdata.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    fetched = customers.join(_buyers(spark, sf_dir), "id", "left").select("id", "name", F.when(F.col("num_ratings") > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("reviews"))
     return merging.upserted(known, fetched).select("id", "name")
 
 
+@query
+def appended_entities(spark, sf_dir):
+    customers = testdata.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return merging.appended(_suppliers(spark, sf_dir), customers).withColumn("num_ratings", F.coalesce("num_ratings", F.lit(-1)))
+
+
+@query
+def fetched_next(spark, sf_dir):
+    """Suppliers that have line items are known, all are found: no new ones, so those without reviews are fetched again."""
+    n = testdata.read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    s = _suppliers(spark, sf_dir).join(n, "id", "left")
+    few = s.select("id", "num_ratings", F.when(F.col("n") >= 595, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("reviews"))
+    return merging.to_fetch(s, few)
+
+
+@query
+def selected_schools(spark, sf_dir):
+    catalog = testdata.read(spark, sf_dir, "nation").select(slug("n_name").alias("slug"), F.col("n_name").alias("name"))
+    return merging.looked_up(catalog, ["nation_3", "nowhere", "nation_1", "nation_3"]).select("place", "slug", "name", "known")
+
+
+@query
+def run_counters(spark, sf_dir):
+    return merging.run_counters(catalog_status(spark, sf_dir))
+
+
+@query
+def missing_schools(spark, sf_dir):
+    n = testdata.read(spark, sf_dir, "nation")
+    files = n.where("n_nationkey % 3 > 0").select(slug("n_name").alias("slug"))
+    return merging.selected(n.select(slug("n_name").alias("slug"), F.col("n_name").alias("name")), files, "missing")
+
+
+@query
+def ingest_limits(spark, sf_dir):
+    """The first 20 reviews of every entity: what one page of an ingest takes."""
+    rows = testdata.reviews(spark, sf_dir).select("entity_id", "review_ordinal")
+    return merging.first_by_place(rows, "entity_id", "review_ordinal", 20)
+
+
+@query
+def listing_rows(spark, sf_dir):
+    """Suppliers as a service's camel-case nodes in JSON, parsed and renamed, and renamed back."""
+    e = _rows(spark, sf_dir).join(testdata.tags(spark, sf_dir), "entity_id", "left")
+    tags = F.transform("top_tags", lambda t: F.struct(t["tag"].alias("tagName"), t["count"].alias("tagCount")))
+    node = F.struct(
+        F.col("entity_id").cast("string").alias("id"), F.col("legacy_id").alias("legacyId"), F.lit("Sup").alias("firstName"), F.col("name").alias("lastName"), F.when(F.col("entity_id") % 5 > 0, F.col("department")).alias("department"),
+        F.col("avg_rating").alias("avgRating"), F.col("avg_difficulty").alias("avgDifficulty"), F.col("num_ratings").alias("numRatings"), F.col("would_take_again_pct").alias("wouldTakeAgainPercent"), tags.alias("teacherRatingTags"),
+    )
+    rows = school_files.from_listing(school_files.parsed(e.select(F.to_json(node).alias("node"))))
+    again = school_files.to_listing(rows)
+    return again.select(
+        F.col("id").cast("long").alias("entity_id"), "lastName", "department", "avgRating", "numRatings", "wouldTakeAgainPercent", F.size("teacherRatingTags").cast("long").alias("n_tags"), F.get("teacherRatingTags", F.lit(0))["tagName"].alias("first_tag")
+    )
+
+
 @query
 def catalog_status(spark, sf_dir):
     n = testdata.read(spark, sf_dir, "nation")
@@ -288,6 +442,14 @@ def semester_alternatives(spark, sf_dir):
     return endpoints.alternatives(endpoints.ranked(_classes(spark, sf_dir), COURSES)).select("course", "entity_id", "optimizer_score", "place")
 
 
+@query
+def sentiment_order(spark, sf_dir):
+    """An entity's categories as a page shows them: those of most reviews first."""
+    seeds = F.array_position(F.array(*map(F.lit, topics.CATEGORIES)), F.col("category"))
+    w = Window.partitionBy("entity_id").orderBy(F.desc("n_reviews"), seeds)
+    return _sentiment(spark, sf_dir).select("entity_id", "category", F.row_number().over(w).cast("long").alias("place"))
+
+
 @query
 def sentiment_labels(spark, sf_dir):
     return _sentiment(spark, sf_dir).select("entity_id", "category", labels.sentiment_label(F.col("pct_positive")).alias("label"))

@@ -200,6 +200,11 @@ def comparable(ids: list[str]) -> list[str]:
     return ids
 
 
+def course_specific() -> Column:
+    """What a schedule row tells of the class itself."""
+    return F.struct(F.col("class_name").alias("class_name"), F.col("course_rating").alias("avg_rating"), F.col("course_reviews").alias("num_reviews"))
+
+
 def top_tags(tags: Column, most: int = 5) -> Column:
     """The first tags with their opacity against the most frequent one."""
     most_frequent = F.array_max(F.transform(tags, lambda t: t["count"]))

@@ -163,7 +163,7 @@ SQL: dict[str, str] = {
     "professor": with_(*_BASE) + f"SELECT {ROW} FROM ent WHERE entity_id = 7",
     "compare": with_(*_BASE) + f"SELECT {ROW}, avg_rating = max(avg_rating) OVER () AND count(*) OVER (PARTITION BY avg_rating) = 1 AS best_rating, avg_difficulty = min(avg_difficulty) OVER () AND count(*) OVER (PARTITION BY avg_difficulty) = 1 AS easiest FROM ent WHERE entity_id IN (3, 5, 9)",
     "departments": with_(*_BASE) + f"SELECT department, count(*) AS professor_count, {rnd('CAST(sum(CAST(nullif(avg_rating, 0) AS DECIMAL(20, 6))) AS DOUBLE) / nullif(count(nullif(avg_rating, 0)), 0)', 2)} AS avg_rating FROM ent GROUP BY department",
-    "school_stats": with_(*_BASE) + f"SELECT 'testdata' AS school, count(*) AS total_professors, {rnd('CAST(sum(CAST(nullif(avg_rating, 0) AS DECIMAL(20, 6))) AS DOUBLE) / nullif(count(nullif(avg_rating, 0)), 0)', 2)} AS avg_rating, {rnd('CAST(sum(CAST(nullif(avg_difficulty, 0) AS DECIMAL(20, 6))) AS DOUBLE) / nullif(count(nullif(avg_difficulty, 0)), 0)', 2)} AS avg_difficulty, count(DISTINCT department) + CAST(max(CAST(department IS NULL AS INT)) AS BIGINT) AS departments FROM ent",
+    "school_stats": with_(*_BASE) + f"SELECT 'testdata' AS school, count(*) AS total_professors, {rnd('CAST(sum(CAST(nullif(avg_rating, 0) AS DECIMAL(20, 6))) AS DOUBLE) / nullif(count(nullif(avg_rating, 0)), 0)', 2)} AS avg_rating, {rnd('CAST(sum(CAST(nullif(avg_difficulty, 0) AS DECIMAL(20, 6))) AS DOUBLE) / nullif(count(nullif(avg_difficulty, 0)), 0)', 2)} AS avg_difficulty, count(DISTINCT department) + CAST(max(CAST(department IS NULL AS INT)) AS BIGINT) AS departments, (SELECT count(*) FROM lineitem) AS total_reviews FROM ent",
     "rating_posteriors": with_(REV, CNT) + " UNION ALL ".join(f"SELECT entity_id, '{k}' AS level, {', '.join(f'{x} AS {c}' for c, x in post(f'n_{k}', 'n_overall').items())}, n_overall AS n_ratings, n_{k} AS n_above_threshold, {num(t)} AS threshold FROM cnt" for k, t in THRESHOLDS.items()),
     "sub_rating_posteriors": with_(REV, CNT) + " UNION ALL ".join(f"SELECT entity_id, '{k}' AS dimension, {', '.join(f'{x} AS {c}' for c, x in post(f's_{k}', f'n_{k}').items())}, n_{k} AS n_ratings, s_{k} AS n_above_threshold, {num(t)} AS threshold, {rnd(f'sum_{k} / n_{k}', 2)} AS raw_mean FROM cnt WHERE n_{k} > 0" for k, t in SUB.items()),
     "retake_posterior": with_(REV, CNT) + f"SELECT entity_id, {', '.join(f'{x} AS {c}' for c, x in post('n_yes', '(n_yes + n_no)').items())}, n_yes + n_no AS n_ratings, n_yes AS n_above_threshold, {num(3.0)} AS threshold FROM cnt WHERE n_yes + n_no > 0",
@@ -172,7 +172,7 @@ SQL: dict[str, str] = {
     "grade_probabilities": with_(REV, PROB) + "SELECT * FROM prob",
     "class_breakdown": with_(REV, CLS) + "SELECT * FROM cls",
     "class_grades": with_(REV) + "SELECT * FROM (SELECT entity_id, class_name, grade, n, row_number() OVER (PARTITION BY entity_id, class_name ORDER BY n DESC, first, grade) AS rank FROM (SELECT entity_id, class_name, grade, count(*) AS n, min(review_ordinal) AS first FROM rev GROUP BY entity_id, class_name, grade)) WHERE rank <= 5",
-    "courses": with_(*_BASE, CLS) + "SELECT upper(class_name) AS course, CAST(count(*) AS BIGINT) AS n_professors, CAST(sum(num_reviews) AS BIGINT) AS total_reviews FROM cls JOIN ent USING (entity_id) GROUP BY upper(class_name) ORDER BY total_reviews DESC, min(ordinal), course LIMIT 100",
+    "courses": with_(*_BASE, CLS) + "SELECT upper(class_name) AS course, CAST(count(*) AS BIGINT) AS n_professors, md5(string_agg(name, '|' ORDER BY ordinal, name)) AS professors_md5, CAST(sum(num_reviews) AS BIGINT) AS total_reviews FROM cls JOIN ent USING (entity_id) GROUP BY upper(class_name) ORDER BY total_reviews DESC, min(ordinal), course LIMIT 100",
     "topic_scores": with_(TOPIC) + "SELECT doc_id, category, probability FROM topic",
     "category_sentiment": with_(REV, TOPIC, SENT) + "SELECT * FROM sent",
     "fit": with_(*_BASE, TOPIC, SENT)
@@ -181,8 +181,8 @@ SQL: dict[str, str] = {
     "highlights": with_(REV)
     + f"SELECT * FROM (SELECT entity_id, doc_key, score, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, review_ordinal) AS rank FROM (SELECT entity_id, doc_key, review_ordinal, thumbs_up - thumbs_down + least(length(trim(text, ' \t\n\r')) / {num(200.0)}, {num(2.0)}) + greatest({num(0.0)}, {num(3.0)} - datediff('day', CAST(substr(date, 1, 10) AS DATE), DATE '2002-01-01') / {num(365.0)}) AS score FROM rev JOIN documents ON doc_id = doc_key % (SELECT count(*) FROM documents) WHERE length(trim(text, ' \t\n\r')) >= 30)) WHERE rank <= 5",
     "labels": with_(*_BASE, PROB) + f"SELECT entity_id, {LETTER} AS letter, CASE WHEN avg_difficulty >= 4.5 THEN 'Very challenging' WHEN avg_difficulty >= 3.5 THEN 'Challenging' WHEN avg_difficulty >= 2.5 THEN 'Moderate' WHEN avg_difficulty IS NULL THEN '' ELSE 'Light' END AS difficulty_label, list_aggregate(list_filter([CASE WHEN would_take_again_pct >= 0 AND would_take_again_pct < 35 THEN 'Few would retake' END, CASE WHEN avg_rating < 2.5 THEN 'Below average ratings' END, CASE WHEN avg_difficulty >= 4.5 THEN 'High difficulty' END], lambda x: x IS NOT NULL), 'string_agg', '|') AS flags, CASE WHEN a_range >= 70 THEN 'Likely an A' WHEN a_range >= 50 THEN 'Probably a B+' WHEN a_range >= 30 THEN 'Could go either way' ELSE 'Tough grading' END AS grade_line FROM ent LEFT JOIN prob USING (entity_id)",
-    "unknown_entities": "SELECT DISTINCT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0)",
-    "upserted_entities": "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 AND s_suppkey % 8 = 0 THEN concat(s_name, ' new') ELSE s_name END AS name FROM supplier WHERE s_suppkey % 2 = 0",
+    "unknown_entities": "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
+    "upserted_entities": "SELECT coalesce(c.c_custkey, s_suppkey) AS id, coalesce(c_name, s_name) AS name FROM supplier FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) c ON c.c_custkey = s_suppkey",
     "catalog_status": "SELECT lower(replace(replace(n_name, ' ', ''), '-', ''))[1:12] AS slug, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'Not scraped' WHEN n_nationkey % 3 = 1 THEN 'Ready' ELSE 'Error' END AS status, CASE WHEN n_nationkey % 3 = 1 THEN CAST(n_nationkey AS BIGINT) END AS professors, CASE WHEN n_nationkey % 3 = 1 THEN CAST(n_nationkey * 10 AS BIGINT) END AS reviews FROM nation",
 }
 _SCHOOLS = with_(*_BASE) + "SELECT lower(replace(replace(r_name, ' ', ''), '-', ''))[1:12] AS slug, r_name AS name, count(entity_id) AS professors, CAST(coalesce(sum(num_ratings), 0) AS BIGINT) AS reviews FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN ent ON department = n_name GROUP BY r_name"
@@ -201,3 +201,78 @@ for _p in ("balanced", "easy", "challenge"):
         with_(*_FULL, ranks(_p))
         + f"SELECT {rnd('d', 2)} AS avg_difficulty, {rnd('r', 2)} AS avg_quality, {rnd('g', 2)} AS estimated_gpa, CASE WHEN d IS NULL THEN 'Not enough data' WHEN d >= 4 THEN 'Very heavy semester' WHEN d >= 3.5 THEN 'Challenging semester' WHEN d >= 2.5 THEN 'Manageable semester' ELSE 'Light semester' END AS difficulty_label, CAST({len(ASKED)} AS BIGINT) AS num_courses, courses_with_data FROM (SELECT CAST(sum(CAST({_H} AS DECIMAL(20, 6))) AS DOUBLE) / count(*) AS d, CAST(sum(CAST({_R} AS DECIMAL(20, 6))) AS DOUBLE) / count(*) AS r, avg(CASE WHEN greatest(coalesce(a_range, 0), coalesce(b_range, 0), coalesce(c_range, 0), coalesce(d_f, 0)) > 0 THEN {_gpa} END) AS g, count(*) AS courses_with_data FROM rk WHERE place = 1)"
     )
+
+
+def _whole(x: str) -> str:
+    return f"CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR)"
+
+
+def _joined(*parts: str) -> str:
+    return f"coalesce(array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)[1:3], '|'), '')"
+
+
+_WIDE = f"wide AS (SELECT entity_id, {', '.join(f"max(pct_positive) FILTER (category = '{c}') AS pct_{c}" for c in CATEGORIES)} FROM sent GROUP BY entity_id)"
+_ORDER = f"list_position([{text(CATEGORIES)}], category)"
+_REASONS = _joined(
+    f"CASE WHEN {_H} <= 2.5 THEN 'Low difficulty matches your preference' END",
+    f"CASE WHEN nullif(pct_lectures, 0) >= 70 THEN 'Strong lectures (' || {_whole('pct_lectures')} || '% positive)' WHEN nullif(pct_lectures, 0) < 40 THEN 'Lectures may not match your expectations (' || {_whole('pct_lectures')} || '% positive)' END",
+    f"CASE WHEN nullif(pct_approachability, 0) >= 70 THEN 'Highly approachable (' || {_whole('pct_approachability')} || '% positive)' END",
+    f"CASE WHEN a_range >= 70 THEN {_whole('a_range')} || '% chance of A' END",
+)
+_FLAGS = [
+    f"CASE WHEN would_take_again_pct >= 0 AND would_take_again_pct < 35 THEN {_whole('would_take_again_pct')} || '% of students would retake' END",
+    "CASE WHEN nullif(avg_rating, 0) < 2.5 THEN 'Below average overall rating' END",
+    "CASE WHEN avg_difficulty >= 4.5 THEN 'High difficulty level' END",
+    "CASE WHEN pct_lectures < 30 THEN 'Lecture quality rated below average' END",
+]
+_TAGS = "tags AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY count DESC, tag) - 1 AS place, max(count) OVER (PARTITION BY entity_id) AS most FROM (SELECT l_suppkey AS entity_id, concat_ws(' ', l_returnflag, l_linestatus) AS tag, count(*) AS count FROM lineitem GROUP BY ALL))"
+_DETAIL = "CASE {0} WHEN 'Very high' THEN 'Based on ' || n_overall || ' reviews, this is a reliable picture' WHEN 'High' THEN 'Based on ' || n_overall || ' reviews, fairly reliable' WHEN 'Moderate' THEN 'Based on ' || n_overall || ' reviews, decent sample but could shift with more data' ELSE 'Only ' || n_overall || ' reviews so far, take these numbers with a grain of salt' END"
+_PLACE = "row_number() OVER (PARTITION BY course ORDER BY coalesce(nullif(course_rating, 0), nullif(avg_rating, 0), 0) DESC, ordinal, class_place) AS place"
+_SLUG = "lower(replace(replace(n_name, ' ', ''), '-', ''))[1:12]"
+_SEEDED = ", ".join(f"('{c}', '{t}', {n})" for c, counts in seed_counts().items() for t, n in counts.items())
+#: Self-training in one pass: confident documents, by seeds, add their tokens to the counts of their category.
+TRAINED = f"""lab AS (SELECT doc_id, category FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY probability DESC, {_ORDER}) AS k FROM topic) WHERE k = 1 AND probability > 0.35),
+tok AS (SELECT doc_id, unnest(w) AS token FROM wrd),
+mdl AS (SELECT category, token, sum(n) AS cnt FROM (SELECT category, token, count(*) AS n FROM lab JOIN tok USING (doc_id) GROUP BY ALL UNION ALL SELECT * FROM (VALUES {_SEEDED})) GROUP BY ALL),
+siz AS (SELECT category, sum(cnt) AS total, (SELECT count(DISTINCT token) FROM mdl) + {SPARE_VOCABULARY} AS v FROM mdl GROUP BY category),
+hit AS (SELECT doc_id, category, sum(ln(cnt + 1.0)) AS logs FROM tok JOIN mdl USING (token) GROUP BY ALL),
+log AS (SELECT doc_id, category, coalesce(logs, 0) - len(w) * ln(CAST(total + v AS DOUBLE)) AS l FROM wrd CROSS JOIN siz LEFT JOIN hit USING (doc_id, category)),
+exq AS (SELECT doc_id, category, exp(l - max(l) OVER (PARTITION BY doc_id)) AS e FROM log)"""
+_HUNDRED = f"CAST(floor(round({_H} * 100) / 10 + 0.5) AS BIGINT)"
+_SAID = [
+    "CASE WHEN entity_id IS NULL THEN 'No professor data found' END",
+    f"CASE WHEN entity_id IS NOT NULL AND {_H} >= 4 THEN name || ' is rated very difficult (' || {_HUNDRED} // 10 || '.' || {_HUNDRED} % 10 || '/5)' END",
+    f"CASE WHEN would_take_again_pct >= 0 AND would_take_again_pct < 40 THEN 'Only ' || {_whole('would_take_again_pct')} || '% would retake with ' || name END",
+    "CASE WHEN coalesce(good_prob, 0.5) < 0.4 THEN name || ' has low confidence rating - consider alternatives' END",
+]
+SQL |= {
+    "school_totals": with_(*_BASE) + "SELECT count(*) AS total_professors, CAST(sum(num_ratings) AS BIGINT) AS total_reviews FROM ent",
+    "professor_tags": with_(_TAGS) + f"SELECT entity_id, CAST(place AS INT) AS place, tag, count, greatest({num(0.25)}, CAST(count AS DOUBLE) / most) AS opacity FROM tags WHERE place < 5",
+    "courses_search": SQL["courses"].replace(" GROUP BY upper(class_name)", " WHERE contains(upper(class_name), 'AND#2') GROUP BY upper(class_name)"),
+    "first_courses": with_(REV, CLS) + "SELECT * FROM (SELECT entity_id, class_name, row_number() OVER (PARTITION BY entity_id ORDER BY num_reviews DESC, first_ordinal, class_name) AS class_place, num_reviews AS course_reviews FROM cls) WHERE class_place <= 8",
+    "schedule_rows": with_(*_FULL) + f"SELECT course, {_PLACE}, {ROW}, class_name AS specific_class, course_rating AS specific_rating, course_reviews AS specific_reviews FROM cand",
+    "optimizer_rows": with_(*_FULL, ranks("balanced")) + f"SELECT course, place, {ROW}, class_name, course_rating, course_reviews, optimizer_score, a_range, b_range, c_range, d_f FROM rk WHERE place <= 4",
+    "top_categories": with_(TOPIC) + f"SELECT doc_id, category, probability, row_number() OVER (PARTITION BY doc_id ORDER BY probability DESC, {_ORDER}) AS place FROM topic WHERE probability >= 0.25",
+    "topic_scores_trained": with_(TOPIC, TRAINED) + f"SELECT 'testdata' AS school, doc_id, category, {rnd('e / sum(e) OVER (PARTITION BY doc_id)', 4)} AS probability FROM exq",
+    "fit_rows": with_(*_BASE, PROB, TOPIC, SENT, _WIDE) + f"SELECT {ROW}, fit_score, {_REASONS} AS fit_reasons, a_range, CASE WHEN fit_score >= 75 THEN 'high' WHEN fit_score >= 55 THEN 'medium' ELSE 'low' END AS ring FROM (SELECT *, {fit(**FIT_PREFS)} AS fit_score FROM ent LEFT JOIN wide USING (entity_id) LEFT JOIN prob USING (entity_id) WHERE num_ratings >= 3 ORDER BY fit_score DESC, ordinal LIMIT 100)",
+    "detail_labels": with_(*_BASE, PROB, TOPIC, SENT, _WIDE)
+    + f"SELECT entity_id, coalesce(array_to_string(list_filter([{', '.join(_FLAGS)}], lambda x: x IS NOT NULL), '|'), '') AS flags, CASE WHEN avg_rating >= 4 THEN 'High' WHEN avg_rating >= 3 THEN 'Average' ELSE 'Low' END AS quality, CASE WHEN {_H} >= 4.5 THEN 'Very challenging' WHEN {_H} >= 3.5 THEN 'Challenging' WHEN {_H} >= 2.5 THEN 'Moderate' WHEN {_H} >= 1.5 THEN 'Light' ELSE 'Very light' END AS difficulty, CASE WHEN would_take_again_pct >= 70 THEN 'Most would' WHEN would_take_again_pct >= 50 THEN 'About half' WHEN would_take_again_pct >= 0 THEN 'Most wouldn''t' ELSE 'Unknown' END AS retake, split_part(split_part({VERDICT}, '.', 1), ',', 1) AS short_verdict, array_to_string(list_transform(list_filter(string_split(name, ' '), lambda x: x <> ''), lambda x: x[1]), '') AS initials, {_whole('would_take_again_pct')} AS retake_text, {_DETAIL.format(LEVEL)} AS confidence_detail FROM ent LEFT JOIN wide USING (entity_id) LEFT JOIN prob USING (entity_id)",
+    "comment_previews": "SELECT doc_id, CASE WHEN length(text) > 280 THEN substr(text, 1, 280) || '...' ELSE text END AS preview FROM documents",
+    "appended_entities": "SELECT s_suppkey AS id, s_name AS name, s_suppkey AS num_ratings FROM supplier UNION ALL SELECT c_custkey, c_name, -1 FROM customer",
+    "fetched_next": "SELECT s_suppkey AS id FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey) ON l_suppkey = s_suppkey WHERE coalesce(n, 0) < 595 AND s_suppkey >= 3",
+    "selected_schools": f"SELECT CAST(place AS INT) AS place, a.slug, n_name AS name, n_name IS NOT NULL AS known FROM (VALUES (0, 'nation_3'), (1, 'nowhere'), (2, 'nation_1')) a(place, slug) LEFT JOIN nation ON {_SLUG} = a.slug",
+    "run_counters": "SELECT count(*) FILTER (n_nationkey % 3 = 1) AS succeeded, count(*) FILTER (n_nationkey % 3 = 2) AS failed, count(*) FILTER (n_nationkey % 3 = 0) AS skipped FROM nation",
+    "missing_schools": f"SELECT {_SLUG} AS slug, n_name AS name FROM nation WHERE n_nationkey % 3 = 0",
+    "ingest_limits": with_(REV) + "SELECT entity_id, review_ordinal FROM (SELECT entity_id, review_ordinal, row_number() OVER (PARTITION BY entity_id ORDER BY review_ordinal) AS k FROM rev) WHERE k <= 20",
+    "listing_rows": with_(*_BASE, _TAGS) + "SELECT entity_id, name AS \"lastName\", CASE WHEN entity_id % 5 > 0 THEN coalesce(department, 'Unknown') ELSE 'Unknown' END AS department, avg_rating AS \"avgRating\", num_ratings AS \"numRatings\", would_take_again_pct AS \"wouldTakeAgainPercent\", coalesce(n_tags, 0) AS n_tags, first_tag FROM ent LEFT JOIN (SELECT entity_id, count(*) AS n_tags, max(tag) FILTER (place = 0) AS first_tag FROM tags GROUP BY entity_id) USING (entity_id)",
+    "sentiment_order": with_(REV, TOPIC, SENT) + f"SELECT entity_id, category, row_number() OVER (PARTITION BY entity_id ORDER BY n_reviews DESC, {_ORDER}) AS place FROM sent",
+    "semester_warnings": with_(*_FULL, ranks("balanced"))
+    + f"SELECT course, course || ': ' || said AS warning FROM (SELECT a.course, unnest(list_filter([{', '.join(_SAID)}], lambda x: x IS NOT NULL)) AS said FROM (SELECT unnest([{text(_CODES)}]) AS course) a LEFT JOIN (SELECT * FROM rk WHERE place = 1) b ON a.course = b.course)",
+    "admitted_requests": """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (
+  SELECT event_id, user_id, ts, i, true AS allowed, [t] AS held FROM e WHERE i = 1
+  UNION ALL
+  SELECT event_id, user_id, ts, i, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END
+  FROM (SELECT e.*, list_filter(r.held, lambda x: e.t - x < 86400.0) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, allowed FROM r""",
+}

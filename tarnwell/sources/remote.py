@@ -1,7 +1,7 @@
-"""A paged GraphQL source as a Spark data source: one input partition for each search term.
+"""Paged GraphQL sources as Spark data sources: one input partition for each search term, school name or entity.
 
-`spark.dataSource.register(EntityListing)` makes it available as format "entity_listing". The endpoint is an option;
-`post`, used by tests, replaces the network.
+`spark.dataSource.register(EntityListing)` makes it available as format "entity_listing", `SchoolSearch` and
+`EntityReviews` likewise. The endpoint and the query are options.
 """
 
 from __future__ import annotations
@@ -76,28 +76,60 @@ class Term(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.options = options
+    """One partition for each text; rows (text, place, id, node as JSON). `variable` names what the text stands for."""
+
+    def __init__(self, options: dict, texts: list[str], variable: str, path: str) -> None:
+        self.url, self.query, self.school = options["url"], options["query"], options.get("school", "")
+        self.most = int(options["most"]) if "most" in options else None
+        self.texts, self.variable, self.path = texts, variable, tuple(options.get("path", path).split("."))
 
     def partitions(self) -> list[Term]:
-        return [Term(t) for t in search_terms()]
+        return [Term(t) for t in self.texts]
 
     def read(self, partition: Term) -> Iterator[tuple]:
-        post = lambda body: http_post(self.options["url"], body)
-        path = tuple(self.options.get("path", "search.teachers").split("."))
-        for node in pages(post, self.options["query"], {"text": partition.text, "schoolID": self.options.get("school", "")}, path):
-            yield node.get("id"), json.dumps(node)
+        post = lambda body: http_post(self.url, body)
+        variables = {self.variable: partition.text} | ({"schoolID": self.school} if self.school else {})
+        for place, node in enumerate(pages(post, self.query, variables, self.path, self.most)):
+            yield partition.text, place, node.get("id"), json.dumps(node)
+
+
+class _Source(DataSource):
+    def schema(self) -> str:
+        return "asked string, place int, id string, node string"
+
 
+class EntityListing(_Source):
+    """The entities found under every search term. Repeats across terms are for dropDuplicates(["id"]).
 
-class EntityListing(DataSource):
-    """Rows (id, node as JSON); repeats across terms are for dropDuplicates(["id"])."""
+    Options: url, query, school, path, most (nodes of a term); terms, comma-separated, in place of all prefixes.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "entity_listing"
 
-    def schema(self) -> str:
-        return "id string, node string"
+    def reader(self, schema) -> _Reader:
+        terms = self.options.get("terms")
+        return _Reader(self.options, terms.split(",") if terms else search_terms(), "text", "search.teachers")
+
+
+class SchoolSearch(_Source):
+    """The schools found by the names in the option `names` (comma-separated), in the service's order: the first is the hit."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "school_search"
+
+    def reader(self, schema) -> _Reader:
+        return _Reader(self.options, self.options["names"].split(","), "text", "newSearch.schools")
+
+
+class EntityReviews(_Source):
+    """The reviews of the entities in the option `ids` (comma-separated), newest first as the service has them."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "entity_reviews"
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options)
+        return _Reader(self.options, self.options["ids"].split(","), "id", "node.ratings")

@@ -66,13 +66,56 @@ def reviews(raw: DataFrame) -> DataFrame:
     )
 
 
+#: The services' names of the columns of a review and of a professor.
+REVIEW_NAMES = {
+    "id": "id", "class": "class_name", "date": "date", "comment": "comment", "helpfulRating": "helpful_rating", "clarityRating": "clarity_rating", "difficultyRating": "difficulty_rating",
+    "ratingTags": "rating_tags", "wouldTakeAgain": "would_take_again", "grade": "grade", "isForOnlineClass": "is_online", "isForCredit": "is_for_credit",
+    "attendanceMandatory": "attendance_mandatory", "thumbsUpTotal": "thumbs_up", "thumbsDownTotal": "thumbs_down",
+}
+PROFESSOR_NAMES = {
+    "id": "id", "legacyId": "legacy_id", "firstName": "first_name", "lastName": "last_name", "department": "department", "avgRating": "avg_rating", "avgDifficulty": "avg_difficulty",
+    "numRatings": "num_ratings", "wouldTakeAgainPercent": "would_take_again_pct",
+}
+
+
+def _kinds(fields: str) -> dict[str, str]:
+    return dict(f.split(" ", 1) for f in fields.split(", ") if " " in f)
+
+
+NODE = ", ".join(f"{theirs} {_kinds(PROFESSOR)[ours]}" for theirs, ours in PROFESSOR_NAMES.items()) + ", teacherRatingTags array<struct<tagName:string,tagCount:bigint>>"
+REVIEW_NODE = ", ".join(f"{theirs} {_kinds(REVIEW)[ours]}" for theirs, ours in REVIEW_NAMES.items())
+
+
+def parsed(listing: DataFrame, schema: str = NODE) -> DataFrame:
+    """A listing's rows (node as JSON, and others) with the node's fields as columns; a node that is no JSON has null fields."""
+    return listing.withColumn("_node", F.from_json("node", schema)).select(*(c for c in listing.columns if c not in ("node", "id")), "_node.*")
+
+
 def from_listing(nodes: DataFrame) -> DataFrame:
     """A listing's camel-case nodes as professor rows; tags renamed, missing tags none."""
     tags = F.transform(F.coalesce("teacherRatingTags", F.array().cast("array<struct<tagName:string,tagCount:bigint>>")), lambda t: F.struct(t["tagName"].alias("tag"), t["tagCount"].alias("count")))
-    return nodes.select(
-        "id", F.col("legacyId").alias("legacy_id"), F.col("firstName").alias("first_name"), F.col("lastName").alias("last_name"), F.coalesce("department", F.lit("Unknown")).alias("department"),
-        F.col("avgRating").alias("avg_rating"), F.col("avgDifficulty").alias("avg_difficulty"), F.col("numRatings").alias("num_ratings"), F.col("wouldTakeAgainPercent").alias("would_take_again_pct"), tags.alias("top_tags"),
-    )
+    own = [F.coalesce(c, F.lit("Unknown")).alias(n) if n == "department" else F.col(c).alias(n) for c, n in PROFESSOR_NAMES.items()]
+    return nodes.select(*own, tags.alias("top_tags"))
+
+
+def to_listing(professors: DataFrame) -> DataFrame:
+    """Professor rows as camel-case nodes again, as a re-fetch takes them."""
+    tags = F.transform("top_tags", lambda t: F.struct(t["tag"].alias("tagName"), t["count"].alias("tagCount")))
+    return professors.select(*(F.col(n).alias(c) for c, n in PROFESSOR_NAMES.items()), tags.alias("teacherRatingTags"))
+
+
+def review_rows(nodes: DataFrame, *more: str) -> DataFrame:
+    """Camel-case review nodes as reviews of a raw document; `more` names further columns to keep."""
+    return nodes.select(*more, *(F.col(c).alias(n) for c, n in REVIEW_NAMES.items()))
+
+
+def with_reviews(professors: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Professors with their reviews (professor_id, place, review columns) nested in order; none is an empty list."""
+    names = list(REVIEW_NAMES.values())
+    kind = f"array<{_struct(REVIEW)}>"
+    nested = reviews.groupBy("professor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", *names))), lambda r: F.struct(*(r[n].alias(n) for n in names))).cast(kind).alias("reviews"))
+    joined = professors.join(nested, professors["id"] == nested["professor_id"], "left").drop("professor_id")
+    return joined.withColumn("reviews", F.coalesce("reviews", F.array().cast(kind)))
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,11 +140,28 @@ def write_analyzed(analyzed: DataFrame, path: str) -> None:
     analyzed.write.partitionBy("school").mode("overwrite").parquet(path)
 
 
+class UnknownSchool(LookupError):
+    """No analyzed document of the asked school."""
+
+
+def read_analyzed(spark: SparkSession, path: str, slug: str) -> DataFrame:
+    """A school's rows of an analyzed table; only its partition is read. Raises UnknownSchool if there is none."""
+    rows = spark.read.parquet(path).where(F.col("school") == F.lit(slug))
+    if not rows.inputFiles():
+        raise UnknownSchool(slug)
+    return rows
+
+
 def to_json(df: DataFrame) -> DataFrame:
     """One JSON text per row; non-ASCII text is kept."""
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
+def write_raw(raw: DataFrame, path: str) -> None:
+    """One JSON document per row of (school, metadata, professors), in a folder for each school."""
+    raw.select("school", F.to_json(F.struct("metadata", "professors")).alias("value")).write.partitionBy("school").mode("overwrite").text(path)
+
+
 class SchoolCache:
     """The last `most` schools that were asked for, persisted; the list of schools for `ttl` seconds unless it is empty."""
 

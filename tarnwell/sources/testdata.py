@@ -64,3 +64,11 @@ def entities(spark: SparkSession, sf_dir: str, counts: DataFrame | None = None)
 
 def documents_as_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("comment"))
+
+
+def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity_id, top_tags: how often each return flag and status occurs among an entity's line items, most frequent first."""
+    tag = F.concat_ws(" ", "l_returnflag", "l_linestatus")
+    counts = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("entity_id"), tag.alias("tag")).agg(F.count(F.lit(1)).alias("count"))
+    lists = counts.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("less"), "tag", "count"))).alias("x"))
+    return lists.select("entity_id", F.transform("x", lambda t: F.struct(t["tag"].alias("tag"), t["count"].alias("count"))).alias("top_tags"))

@@ -6,7 +6,7 @@ version and nothing else.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -34,17 +34,27 @@ def current(spark: SparkSession, target: str, before: int | None = None) -> Data
 
 
 def merge_batch(batch: DataFrame, target: str, version: int, key: str = "id") -> None:
-    """Writes a version with the batch's entities that have reviews; of repeats in a batch any one counts."""
+    """Writes a version with the batch merged in, and removes versions older than the one that it was merged from.
+
+    Known entities are replaced by rows that have reviews, new ones are added with or without; of repeats in a batch the one
+    with most reviews counts.
+    """
     spark = batch.sparkSession
-    new = batch.dropDuplicates([key])
+    order = Window.partitionBy(key).orderBy(F.size("reviews").desc(), F.xxhash64(*(c for c in batch.columns if c != key)))
+    new = batch.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     old = current(spark, target, before=version)
     if old is None:
         merged = new.withColumn("ordinal", F.monotonically_increasing_id())
     else:
-        merged = upserted(old, new)
-        added = F.col("ordinal") == (1 << 62) - 1
+        last = F.lit((1 << 62) - 1).cast("long")
+        bare = new.where(F.coalesce(F.size("reviews"), F.lit(0)) <= 0).join(old.select(key), key, "left_anti").withColumn("ordinal", last)
+        merged = upserted(old, new).unionByName(bare)
+        added = F.col("ordinal") == last
         merged = merged.withColumn("ordinal", F.when(added, F.monotonically_increasing_id() + F.lit(version << 40)).otherwise(F.col("ordinal")))
     merged.write.mode("overwrite").parquet(version_path(target, version))
+    for old_version in [v for v in versions(spark, target) if v < version][:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(version_path(target, old_version))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def merge_stream(entities: DataFrame, target: str, checkpoint: str, key: str = "id") -> StreamingQuery:

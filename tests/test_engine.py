@@ -17,9 +17,6 @@ from tarnwell.plans import analyze, catalog, endpoints
 from tarnwell.sources import remote, schools
 from tarnwell.streaming import admission, ingest
 
-#: A raw document with the four entities below; the golden tests need it.
-SAMPLE = os.environ.get("SAMPLE_DOCUMENT", "")
-T = ["VGVhY2hlci0zMTQ3MDUy", "VGVhY2hlci0zMDI2MjY2", "VGVhY2hlci0zMDg3Mzc3", "VGVhY2hlci0zMDc1MDQ0"]
 REVIEW = (
     "school string, entity_ordinal int, entity_id string, review_ordinal int, class_name string, date string, comment string, clarity double, helpful double, "
     "difficulty double, would_take_again int, grade string, thumbs_up int, thumbs_down int"
@@ -35,48 +32,6 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, REVIEW)
 
 
-@pytest.fixture(scope="module")
-def analyzed(spark):
-    if not os.path.exists(SAMPLE):
-        pytest.skip("no sample document")
-    raw = schools.read_raw(spark, SAMPLE)
-    return {r["entity_id"]: r for r in analyze.analyze(schools.entities(raw), schools.reviews(raw), "2026-02-01 00:00:00").collect()}
-
-
-def test_golden_posteriors(analyzed):
-    want = {0: (5, 2, 0.7143, 0.02551, 0.4012, 1.0), 1: (6, 2, 0.75, 0.020833, 0.4671, 1.0), 2: (3, 4, 0.4286, 0.030612, 0.0856, 0.7715), 3: (5, 2, 0.7143, 0.02551, 0.4012, 1.0)}
-    for i, w in want.items():
-        p = analyzed[T[i]]["rating_posteriors"]["good"]
-        assert (p["alpha"], p["beta"], p["mean"], p["variance"], p["ci_lower"], p["ci_upper"]) == w
-    assert [analyzed[t]["would_take_again_posterior"]["alpha"] for t in T] == [5, 6, 3, 5]
-
-
-def test_golden_grades_trends_and_labels(analyzed):
-    assert [analyzed[t]["grade_probabilities"]["a_range"] for t in T] == [66.7, 50.0, 66.7, 100.0]
-    assert [analyzed[t]["trend_summary"] for t in T] == ["Declining over time", "Declining over time", "Significantly improving over time", "Trending downward recently"]
-    means = {0: (3.935, 2.757, 0.651), 1: (3.884, 4.12, 3.137), 2: (1.725, 2.118, 2.359), 3: (3.787, 4.021, 3.241)}
-    stds = {0: (0.467, 0.988), 1: (0.488, 0.657), 2: (0.637, 0.57), 3: (0.529, 0.653)}
-    for i, t in enumerate(T):
-        g = analyzed[t]["gp_trend"]
-        assert tuple(g["pred_mean"][k] for k in (0, 9, 19)) == pytest.approx(means[i], abs=1.1e-3)
-        assert tuple(g["pred_std"][k] for k in (0, 19)) == pytest.approx(stds[i], abs=1.1e-3)
-    assert {r["confidence_level"] for r in analyzed.values()} == {"Low"}
-    assert [analyzed[t]["verdict"].split(" ")[0] for t in T] == ["Well", "Well", "Below", "Well"]
-    assert analyzed[T[0]]["verdict"].endswith("declining") and analyzed[T[2]]["verdict"].endswith("improving recently")
-    assert {t: sorted(c["num_reviews"] for c in analyzed[t]["class_breakdown"]) for t in T} == {T[0]: [3], T[1]: [4], T[2]: [3], T[3]: [2]}
-
-
-def test_golden_topics(spark, analyzed):
-    s = {t: {k: (v["mean_sentiment"], v["n_reviews"], v["pct_positive"]) for k, v in (analyzed[t]["category_sentiment"] or {}).items()} for t in T}
-    assert s[T[0]] == {"lectures": (5.0, 3, 100.0)} and s[T[3]] == {"lectures": (5.0, 3, 100.0)}
-    assert s[T[1]] == {"lectures": (5.0, 3, 100.0), "exams": (5.0, 1, 100.0)}
-    assert s[T[2]] == {"approachability": (5.0, 1, 100.0), "grading": (1.0, 1, 0.0), "lectures": (3.0, 1, 0.0)}
-    model = topics.train(schools.reviews(schools.read_raw(spark, SAMPLE)))
-    totals = dict(model.groupBy("category").agg(F.sum("cnt")).collect())
-    assert totals == {"grading": 121, "lectures": 365, "workload": 90, "approachability": 111, "exams": 107}
-    assert model.select("token").distinct().count() == 314
-
-
 def test_seed_facts():
     counts = topics.seed_counts()
     assert [sum(counts[c].values()) for c in topics.CATEGORIES] == [114, 102, 90, 78, 90]
@@ -142,7 +97,8 @@ def test_trend(spark):
     rows = [review("one", 0), review("bad", 0, date="x"), review("bad", 1, clarity=None, helpful=None)]
     rows += [review("two", 0, clarity=4.0, helpful=0.0), review("two", 1, clarity=None)]
     got = {r["entity_id"]: r for r in trend.rating_trend(frame(spark, rows)).collect()}
-    assert got["one"]["insufficient_data"] and got["one"]["n_reviews_with_dates"] == 1 and "bad" not in got
+    assert got["one"]["insufficient_data"] and got["one"]["n_reviews_with_dates"] == 1
+    assert got["bad"]["insufficient_data"] and got["bad"]["n_reviews_with_dates"] == 0 and got["bad"]["pred_mean"] is None
     assert got["two"]["n_data_points"] == 2 and not got["two"]["capped"]
     # closed form for two equal times: mean = k / (2k + noise) * (y1 + y2) with k = 1
     y = 2.0 + 5.0
@@ -309,9 +265,11 @@ def test_sql_side_by_side(spark, sf_dir, name):
         assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
 
 
-def test_rows_only_queries_run(spark, sf_dir):
-    for name in sorted(catalog.QUERIES.keys() - catalog.SQL.keys()):
-        assert catalog.QUERIES[name](spark, sf_dir).count() >= 0
+def test_queries_without_sql_are_known_and_give_rows(spark, sf_dir):
+    without = sorted(catalog.QUERIES.keys() - catalog.SQL.keys())
+    assert without == ["rating_trend", "topic_model_serial"]  # held to plain versions in test_analysis.py
+    for name in without:
+        assert catalog.QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_merge_stream(spark, tmp_path):
@@ -325,8 +283,10 @@ def test_merge_stream(spark, tmp_path):
     assert feed([("a", "A", [1]), ("b", "B", [])]) == {"a": ("A", [1]), "b": ("B", [])}
     assert feed([("b", "B2", [2]), ("c", "C", [3]), ("a", "A2", [])]) == {"a": ("A", [1]), "b": ("B2", [2]), "c": ("C", [3])}
     assert ingest.versions(spark, target) == [1, 2]
-    ingest.merge_batch(spark.createDataFrame([("d", "D", [4])], schema), target, 2)
-    assert set(r["id"] for r in ingest.current(spark, target).collect()) == {"a", "b", "d"}
+    ingest.merge_batch(spark.createDataFrame([("d", "D", [4]), ("n", "N", []), ("b", "worse", []), ("b", "B2", [2])], schema), target, 2)
+    assert {r["id"]: r["name"] for r in ingest.current(spark, target).collect()} == {"a": "A", "b": "B2", "d": "D", "n": "N"}
+    ingest.merge_batch(spark.createDataFrame([("a", "A3", [1, 2])], schema), target, 3)
+    assert ingest.versions(spark, target) == [2, 3]  # what the newest was merged from stays, older ones go
 
 
 def test_front_helpers(spark):
