@@ -147,7 +147,7 @@ class UnknownSchool(LookupError):
 def read_analyzed(spark: SparkSession, path: str, slug: str) -> DataFrame:
     """A school's rows of an analyzed table; only its partition is read. Raises UnknownSchool if there is none."""
     rows = spark.read.parquet(path).where(F.col("school") == F.lit(slug))
-    if not rows.inputFiles():
+    if rows.isEmpty():
         raise UnknownSchool(slug)
     return rows
 

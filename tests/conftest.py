@@ -3,8 +3,10 @@ from __future__ import annotations
 import os
 import sys
 
-import pytest
-from pyspark.sql import SparkSession
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # before numpy: its threads wait for each other where cores are taken
+
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
