@@ -1,16 +1,20 @@
 """A log-bilinear language model trained by noise-contrastive estimation.
 
-The model predicts units: the end of a text, the most frequent words, and classes of all other words by their last two
-bytes. A context of CONTEXT units is the sum of their vectors, each weighted by place; its product with the units' vectors
-gives scores, which training fits by telling corpus units from noise units (numpy, one pass over all training texts in
-two rounds, parameters averaged over tasks), and which scoring normalises over all units with batched matrix products.
-A word's probability within its class is its smoothed share of the class's tokens, with one place for unseen words.
+The model predicts in two levels: a class of words, then a unit of that class. Units are the most frequent words, as many as
+grow with the square root of the vocabulary, and for each class one unit that stands for all its other words. Words are in
+classes by their last two bytes, endings being dealt so that classes hold about as many tokens each. The end of a text is a
+class of its own. A context of CONTEXT units is the sum of their vectors, each weighted by place; its products with the
+vectors of classes and of a class's units give scores, which training fits by telling corpus from noise (numpy, one pass over
+all training texts in two rounds, parameters averaged over tasks), and which scoring normalises with batched matrix products.
+A word's probability within the unit of its class's other words is its smoothed share of their tokens, with one place for
+unseen words.
 
 Word counts are of the whole training corpus. The KNOWN most frequent words are broadcast; counts of the rest are joined.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
@@ -23,17 +27,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_bytes, crc_rest, most_frequent, saved, table
+from .common import ascii_bytes, crc_rest, most_frequent, saved, starts, table
 
-HEADS = 159
-CLASSES = 96
-UNITS = 1 + HEADS + CLASSES
+#: Words that are units: so many times the root of the number of different words, within bounds.
+HEADS = 8
+HEADS_LEAST, HEADS_MOST = 256, 16_384
 CONTEXT = 4
 WIDTH = 16
+#: Noise classes of a step, and noise units of a token within its class.
 NOISE = 32
+NOISE_INSIDE = 5
 BATCH = 2048
 #: Tokens that are scored at once.
-SCORED = 1024
+SCORED = 8192
 RATE = 0.15
 KNOWN = 65_536
 HELD_OUT = 2
@@ -44,48 +50,76 @@ REMEMBERED = 400_000
 GATHER = 400_000
 
 
-def word_class(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % CLASSES
+def dealt(endings: dict[bytes, tuple[int, int]], classes: int) -> dict[bytes, int]:
+    """A class for each ending: the endings by falling tokens, each to the class that has fewest so far."""
+    heap, out = [(0, k) for k in range(classes)], {}
+    for ending in sorted(endings, key=lambda e: (-endings[e][0], e)):
+        n, k = heap[0]
+        heapq.heapreplace(heap, (n + endings[ending][0], k))
+        out[ending] = k
+    return out
 
 
 @dataclass
 class Vocabulary:
-    """KNOWN words by falling count, the first HEADS of them units; sums of the corpus and of the classes."""
+    """KNOWN words by falling count, the first of them units; tokens and different words of each ending; sums of the corpus.
+
+    Units lie class by class, a class's other words last; the end of a text is the last unit. begin: where classes begin.
+    """
 
     words: list[bytes]
     counts: np.ndarray
     docs: int
     tokens: int
     types: int
-    class_tokens: np.ndarray
-    class_types: np.ndarray
+    endings: dict[bytes, tuple[int, int]]
 
     def __post_init__(self) -> None:
-        heads = min(HEADS, len(self.words))
-        self.unit = np.array([1 + i if i < heads else 1 + HEADS + word_class(w) for i, w in enumerate(self.words)] or [0], np.int32)
+        heads = min(len(self.words), HEADS_MOST, max(HEADS_LEAST, math.ceil(HEADS * math.sqrt(self.types))))
+        self.classes = max(1, math.isqrt(heads))
+        self.class_of_ending = dealt(self.endings, self.classes)
+        of = np.array([self.word_class(w) for w in self.words], np.int64)
+        sizes = np.bincount(of[:heads], minlength=self.classes) + 1
+        self.begin = np.r_[0, np.cumsum(sizes), sizes.sum() + 1]
+        self.units = int(self.begin[-1])
+        self.others = self.begin[1:-1] - 1  # the unit of each class's other words
+        self.unit = self.others[of] if len(of) else np.zeros(1, np.int64)
+        order = np.argsort(of[:heads], kind="stable")
+        place = np.arange(heads) - (np.cumsum(sizes - 1) - sizes + 1)[of[order]]
+        self.unit[order] = self.begin[of[order]] + place
+        tokens, types = np.zeros(self.classes), np.zeros(self.classes)
+        for ending, (n, k) in self.endings.items():
+            tokens[self.class_of_ending[ending]] += n
+            types[self.class_of_ending[ending]] += k
+        tokens -= np.bincount(of[:heads], self.counts[:heads], self.classes)
+        types -= np.bincount(of[:heads], minlength=self.classes)
         self.log_count = np.log10(self.counts + 1.0) if len(self.words) else np.zeros(1)
-        self.log_class = np.log10(self.class_tokens + self.class_types + 1.0)
-        inside = self.log_count - np.r_[np.zeros(1 + HEADS), self.log_class][self.unit]
-        self.inside = np.where(self.unit <= HEADS, 0.0, inside)
-        seen = np.zeros(UNITS)
-        seen[0] = self.docs
-        seen[1 : 1 + heads] = self.counts[:heads]
-        seen[1 + HEADS :] = self.class_tokens
-        self.share = (seen + 1.0) / (seen.sum() + UNITS)
+        self.log_others = np.log10(tokens + types + 1.0)
+        self.inside = self.log_count - self.log_others[of] if len(of) else np.zeros(1)
+        self.inside[:heads] = 0.0
+        seen = np.zeros(self.units)
+        seen[self.others] = tokens
+        seen[self.unit[:heads]] = self.counts[:heads]
+        seen[-1] = self.docs
+        self.share = (seen + 1.0) / (seen.sum() + self.units)
+
+    def word_class(self, word: bytes) -> int:
+        ending = word[-2:]
+        return k if (k := self.class_of_ending.get(ending)) is not None else zlib.crc32(ending) % self.classes
 
     def ids(self) -> Ids:
-        return Ids({w: i for i, w in enumerate(self.words)})
+        return Ids({w: i for i, w in enumerate(self.words)}, self.word_class)
 
 
 class Ids(dict):
     """Words to places in the vocabulary; other words to -1 - class, remembered for a while."""
 
-    def __init__(self, words: dict[bytes, int]) -> None:
+    def __init__(self, words: dict[bytes, int], word_class) -> None:
         super().__init__(words)
-        self.base = words
+        self.base, self.word_class = words, word_class
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = at = -1 - word_class(word)
+        self[word] = at = -1 - self.word_class(word)
         return at
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -95,90 +129,121 @@ class Ids(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    most = s.max(axis=1, keepdims=True)
+    return np.log(np.exp(s - most).sum(axis=1)) + most[:, 0]
+
+
 @dataclass
 class Model:
-    context: np.ndarray  # (UNITS + 1, WIDTH); the last row stands before a text
+    context: np.ndarray  # (units + 1, WIDTH); the last row stands before a text
     place: np.ndarray  # (CONTEXT, WIDTH)
-    target: np.ndarray  # (UNITS, WIDTH)
-    bias: np.ndarray  # (UNITS,)
+    target: np.ndarray  # (units, WIDTH)
+    bias: np.ndarray  # (units,)
+    classes: np.ndarray  # (classes + 1, WIDTH); the last is the end's
+    class_bias: np.ndarray  # (classes + 1,)
 
     def parts(self) -> list[np.ndarray]:
-        return [self.context, self.place, self.target, self.bias]
+        return [self.context, self.place, self.target, self.bias, self.classes, self.class_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.reshape(-1) for p in self.parts()])
 
     @classmethod
-    def of(cls, flat: np.ndarray) -> Model:
-        shapes, at, out = ((UNITS + 1, WIDTH), (CONTEXT, WIDTH), (UNITS, WIDTH), (UNITS,)), 0, []
+    def of(cls, flat: np.ndarray, v: Vocabulary) -> Model:
+        n, k = v.units, v.classes + 1
+        shapes, at, out = ((n + 1, WIDTH), (CONTEXT, WIDTH), (n, WIDTH), (n,), (k, WIDTH), (k,)), 0, []
         for s in shapes:
             out.append(np.array(flat[at : at + math.prod(s)], np.float32).reshape(s))
             at += math.prod(s)
         return cls(*out)
 
     @classmethod
-    def first(cls, share: np.ndarray) -> Model:
+    def first(cls, v: Vocabulary) -> Model:
         rng = np.random.default_rng(SEED)
         draw = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        return cls(draw(UNITS + 1, WIDTH), np.full((CONTEXT, WIDTH), 0.5, np.float32), draw(UNITS, WIDTH), np.log(share).astype(np.float32))
+        whole = np.add.reduceat(v.share, v.begin[:-1])
+        inside = v.share / np.repeat(whole, np.diff(v.begin))
+        return cls(draw(v.units + 1, WIDTH), np.full((CONTEXT, WIDTH), 0.5, np.float32), draw(v.units, WIDTH), np.log(inside).astype(np.float32), draw(v.classes + 1, WIDTH), np.log(whole).astype(np.float32))
 
     def predicted(self, near: np.ndarray) -> np.ndarray:
         """Predicted vectors of contexts (CONTEXT, n), nearest unit first."""
         return sum(self.place[i] * self.context[near[i]] for i in range(CONTEXT))
 
-    def log10(self, near: np.ndarray, units: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of units in their contexts, in blocks that stay in a processor's cache."""
-        out, turned = np.empty(len(units)), np.concatenate([self.target.T, self.bias[None]])
-        q = np.ones((SCORED, WIDTH + 1), np.float32)
-        longest = np.sqrt((self.target**2).sum(axis=1).max())
+    def log10(self, near: np.ndarray, units: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Normalised log10 probabilities of units in their contexts: of their classes, then within these."""
+        out = np.empty(len(units))
+        klass = np.searchsorted(begin, units, "right") - 1
         for at in range(0, len(units), SCORED):
-            u = units[at : at + SCORED]
-            n = len(u)
-            q[:n, :WIDTH] = self.predicted(near[:, at : at + SCORED])
-            s = q[:n] @ turned
-            if np.sqrt((q[:n, :WIDTH] ** 2).sum(axis=1).max()) * longest + np.abs(self.bias).max() > 80:
-                s -= s.max(axis=1, keepdims=True)  # else exp() of a score may overflow
-            mine = s[np.arange(n), u]
-            np.exp(s, out=s)
-            out[at : at + SCORED] = (mine - np.log(s.sum(axis=1))) / math.log(10)
+            u, k = units[at : at + SCORED], klass[at : at + SCORED]
+            q = self.predicted(near[:, at : at + SCORED])
+            s = q @ self.classes.T + self.class_bias
+            told = s[np.arange(len(u)), k] - _log_sum(s)
+            order = np.argsort(k, kind="stable")
+            heads = starts(k[order])
+            for a, z in zip(heads.tolist(), np.r_[heads[1:], len(u)].tolist(), strict=True):
+                rows = order[a:z]
+                low, high = begin[k[rows[0]]], begin[k[rows[0]] + 1]
+                if high - low > 1:
+                    s = q[rows] @ self.target[low:high].T + self.bias[low:high]
+                    told[rows] += s[np.arange(len(rows)), u[rows] - low] - _log_sum(s)
+            out[at : at + SCORED] = told / math.log(10)
         return out
 
 
-def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts (CONTEXT, n), units n) of texts given as units, the end included."""
-    pad = np.full(CONTEXT, UNITS, np.int32)
+def contexts(texts: list[np.ndarray], units: int) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts (CONTEXT, n), units n) of texts given as units, the end included; `units` stands before a text."""
+    pad = np.full(CONTEXT, units, np.int32)
     flat = np.concatenate([x for t in texts for x in (pad, t)]) if texts else np.zeros(0, np.int32)
-    at = np.flatnonzero(flat != UNITS)
+    at = np.flatnonzero(flat != units)
     return np.stack([flat[at - 1 - i] for i in range(CONTEXT)]), flat[at]
 
 
 class Trainer:
-    """Noise-contrastive steps with Adagrad."""
+    """Noise-contrastive steps with Adagrad, on classes and within them."""
 
-    def __init__(self, model: Model, share: np.ndarray, seed: int) -> None:
-        self.m = model
+    def __init__(self, model: Model, v: Vocabulary, seed: int) -> None:
+        self.m, self.begin = model, v.begin
         self.squares = [np.full(p.shape, 1e-4, np.float32) for p in model.parts()]
-        self.log_noise = np.log(NOISE * share).astype(np.float32)
-        self.ladder = np.cumsum(share)
+        whole = np.add.reduceat(v.share, v.begin[:-1])
+        self.ladder = np.cumsum(whole)
+        self.log_noise = np.log(NOISE * whole).astype(np.float32)
+        self.inner = np.r_[0.0, np.cumsum(v.share)]
+        self.log_inner = np.log(NOISE_INSIDE * v.share / np.repeat(whole, np.diff(v.begin))).astype(np.float32)
+        self.klass = np.repeat(np.arange(len(whole)), np.diff(v.begin))
         self.rng = np.random.default_rng(seed)
 
     def step(self, near: np.ndarray, units: np.ndarray) -> None:
-        m, n = self.m, len(units)
-        noise = np.minimum(np.searchsorted(self.ladder, self.rng.random(NOISE)), UNITS - 1)
+        m, n, k = self.m, len(units), self.klass[units]
+        noise = np.minimum(np.searchsorted(self.ladder, self.rng.random(NOISE)), len(self.ladder) - 1)
+        low, high = self.begin[k], self.begin[k + 1]
+        drawn = self.inner[low][:, None] + self.rng.random((n, NOISE_INSIDE)) * (self.inner[high] - self.inner[low])[:, None]
+        inner = np.clip(np.searchsorted(self.inner, drawn, "right") - 1, low[:, None], high[:, None] - 1)
         x = [m.context[near[i]] for i in range(CONTEXT)]
         q = sum(m.place[i] * x[i] for i in range(CONTEXT))
-        t, z = m.target[units], m.target[noise]
-        true = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, t) + m.bias[units] - self.log_noise[units]))
-        false = -1 / (1 + np.exp(-(q @ z.T + (m.bias - self.log_noise)[noise])))
+        # classes
+        t, z = m.classes[k], m.classes[noise]
+        true = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, t) + m.class_bias[k] - self.log_noise[k]))
+        false = -1 / (1 + np.exp(-(q @ z.T + (m.class_bias - self.log_noise)[noise])))
         dq = true[:, None] * t + false @ z
-        target, bias, context = np.zeros_like(m.target), np.bincount(units, true, UNITS).astype(np.float32), np.zeros_like(m.context)
-        _scatter(target, units, true[:, None] * q)
-        np.add.at(target, noise, false.T @ q)
-        np.add.at(bias, noise, false.sum(axis=0))
-        for i in range(CONTEXT):
-            _scatter(context, near[i], dq * m.place[i])
+        classes, class_bias = np.zeros_like(m.classes), np.bincount(k, true, len(m.class_bias)).astype(np.float32)
+        _scatter(classes, k, true[:, None] * q)
+        np.add.at(classes, noise, false.T @ q)
+        np.add.at(class_bias, noise, false.sum(axis=0))
+        # units within their classes; a class of one unit has nothing to tell apart
+        some = (high - low > 1).astype(np.float32)
+        t, z = m.target[units], m.target[inner]
+        true = some / (1 + np.exp(np.einsum("ij,ij->i", q, t) + m.bias[units] - self.log_inner[units]))
+        false = -some[:, None] / (1 + np.exp(-(np.matmul(z, q[:, :, None])[:, :, 0] + (m.bias - self.log_inner)[inner])))
+        dq += true[:, None] * t + np.matmul(false[:, None, :], z)[:, 0]
+        rows = np.concatenate([units, inner.ravel()])
+        weight = np.concatenate([true, false.ravel()])
+        target, bias = np.zeros_like(m.target), np.bincount(rows, weight, len(m.bias)).astype(np.float32)
+        _scatter(target, rows, weight[:, None] * np.concatenate([q, np.repeat(q, NOISE_INSIDE, axis=0)]))
+        context = np.zeros_like(m.context)
+        _scatter(context, near.ravel(), np.concatenate([dq * m.place[i] for i in range(CONTEXT)]))
         place = np.stack([(dq * x[i]).sum(axis=0) for i in range(CONTEXT)])
-        for p, g, s in zip(m.parts(), (context, place, target, bias), self.squares, strict=True):
+        for p, g, s in zip(m.parts(), (context, place, target, bias, classes, class_bias), self.squares, strict=True):
             g /= n
             s += g * g
             p += RATE * g / np.sqrt(s)
@@ -217,44 +282,36 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     docs = counts.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
     words = counts.where("word IS NOT NULL")
     top = most_frequent(words, "word", "n", KNOWN)
-    heads = [bytes(r[0]) for r in top[:HEADS]]
-    cls = F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(CLASSES))
-    tokens, types = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in words.groupBy(cls.alias("k")).agg(F.sum("n"), F.count(F.lit(1))).collect():
-        tokens[r[0]], types[r[0]] = r[1], r[2]
-    for r in top[:HEADS]:
-        tokens[word_class(bytes(r[0]))] -= r[1]
-        types[word_class(bytes(r[0]))] -= 1
-    n_words = sum(tokens) + sum(r[1] for r in top[:HEADS])
-    n_types = sum(types) + len(heads)
-    return Vocabulary([bytes(r[0]) for r in top], np.array([r[1] for r in top], float), docs, int(n_words) + docs, int(n_types) + (docs > 0), tokens, types)
+    sums = words.groupBy(F.expr("substring(word, -2, 2)").alias("e")).agg(F.sum("n"), F.count(F.lit(1))).collect()  # 65,792 at most
+    endings = {bytes(r[0]): (r[1], r[2]) for r in sums}
+    n_words, n_types = sum(n for n, _ in endings.values()), sum(k for _, k in endings.values())
+    return Vocabulary([bytes(r[0]) for r in top], np.array([r[1] for r in top], float), docs, n_words + docs, n_types + (docs > 0), endings)
 
 
 def _units(v: Vocabulary, at: np.ndarray) -> np.ndarray:
     """Units of places in the vocabulary, with the end after them."""
-    return np.r_[np.where(at >= 0, v.unit[np.maximum(at, 0)], HEADS - at), 0].astype(np.int32)
+    return np.r_[np.where(at >= 0, v.unit[np.maximum(at, 0)], v.others[np.maximum(-1 - at, 0)]), v.units - 1].astype(np.int32)
 
 
 def train(texts: DataFrame, v: Vocabulary, rounds: int = 2) -> Model:
     """A model from the columns text and round (0 .. rounds - 1): each round goes over its texts once."""
-    spark = texts.sparkSession
-    model = Model.first(v.share)
-    shared = spark.sparkContext.broadcast(v)
+    model = Model.first(v)
+    shared = texts.sparkSession.sparkContext.broadcast(v)
 
     def fit(flat: np.ndarray, turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = shared.value
-            ids, part = v.ids(), TaskContext.get().partitionId()
-            trainer = Trainer(Model.of(flat), v.share, hash((SEED, turn, part)) & 0xFFFFFFFF)
-            held, n, total = [], 0, 0
+            ids, trainer, held, n, total = v.ids(), None, [], 0, 0
             for batch in batches:
                 for text in ascii_bytes(batch.column(0)):
+                    trainer = trainer or Trainer(Model.of(flat, v), v, zlib.crc32(text, SEED + turn))
                     held.append(_units(v, ids.of(text.lower().split())))
                     n += len(held[-1])
                     if n >= 16 * BATCH:
-                        total += _steps(trainer, held)
+                        total += _steps(trainer, held, v.units)
                         held, n = [], 0
-            total += _steps(trainer, held)
+            if held:
+                total += _steps(trainer, held, v.units)
             if total:
                 yield _sum_row(trainer.m.flat().astype(np.float64) * total, total)
 
@@ -262,14 +319,15 @@ def train(texts: DataFrame, v: Vocabulary, rounds: int = 2) -> Model:
 
     for turn in range(rounds):
         fitted = texts.where(F.col("round") == turn).select("text").mapInArrow(fit(model.flat(), turn), "params binary, n long")
-        rows = fitted.repartition(16).mapInArrow(_sum_rows, "params binary, n long").collect()  # 16 rows at most
-        if total := sum(r["n"] for r in rows):
-            model = Model.of(sum(np.frombuffer(r["params"]) for r in rows) / total)
+        for tasks in (16, 1):  # the sums of all tasks in two steps
+            fitted = fitted.repartition(tasks).mapInArrow(_sum_rows, "params binary, n long")
+        if (row := fitted.first()) is not None:
+            model = Model.of(np.frombuffer(row["params"]) / row["n"], v)
     return model
 
 
-def _steps(trainer: Trainer, texts: list[np.ndarray]) -> int:
-    near, units = contexts(texts) if texts else (np.zeros((CONTEXT, 0), int), np.zeros(0, int))
+def _steps(trainer: Trainer, texts: list[np.ndarray], units: int) -> int:
+    near, units = contexts(texts, units)
     order = trainer.rng.permutation(len(units))
     for at in range(0, len(units), BATCH):
         k = order[at : at + BATCH]
@@ -301,42 +359,44 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> Da
         ids = v.ids()
         end_log = math.log10(v.docs + 1.0)
         row = TaskContext.get().partitionId() << 36
-        names = ("row", "word", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm")
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        names = ("row", "word", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm")
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         for batch in batches:
             doc_ids, held_out = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = ascii_bytes(batch.column(2))
             for first in range(0, len(texts), 64):
                 some = [t.lower().split() for t in texts[first : first + 64]]
                 at = [ids.of(w) for w in some]
-                logs = model.log10(*contexts([_units(v, a) for a in at]))
-                out, loose_words, loose_rows, k = [], [], [], 0
+                logs = model.log10(*contexts([_units(v, a) for a in at], v.units), v.begin)
+                out, loose_words, loose_times, loose_rows, k = [], [], [], [], 0
                 for i, (words, a) in enumerate(zip(some, at, strict=True)):
                     n = len(words)
                     known = a >= 0
                     inside, unknown = a[known], np.flatnonzero(~known)
-                    lm = logs[k : k + n + 1].sum() + v.inside[inside].sum() - v.log_class[-1 - a[unknown]].sum()
+                    lm = logs[k : k + n + 1].sum() + v.inside[inside].sum() - v.log_others[-1 - a[unknown]].sum()
                     base = v.log_count[inside].sum() + end_log - (n + 1) * per_token
                     k += n + 1
                     # a key that no word can have, so that texts spread like words do
-                    out.append((row, b" %d" % row, doc_ids[first + i], held_out[first + i], n + 1, len(inside) + (v.docs > 0), base, lm))
-                    loose_words += map(words.__getitem__, unknown.tolist())
-                    loose_rows.append(np.full(len(unknown), row, np.int64))
+                    out.append((row, b" %d" % row, None, doc_ids[first + i], held_out[first + i], n + 1, len(inside) + (v.docs > 0), base, lm))
+                    loose = Counter(map(words.__getitem__, unknown.tolist()))
+                    loose_words += loose
+                    loose_times += loose.values()
+                    loose_rows.append(np.full(len(loose), row, np.int64))
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
                 if loose_words:
-                    nothing = [pa.nulls(len(loose_words), t) for t in kinds[2:]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(loose_rows)), pa.array(loose_words, pa.binary()), *nothing], list(names))
+                    nothing = [pa.nulls(len(loose_words), t) for t in kinds[3:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(loose_rows)), pa.array(loose_words, pa.binary()), pa.array(loose_times, pa.int64()), *nothing], list(names))
 
-    schema = "row long, word binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double"
+    schema = "row long, word binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
     # A partition holds far fewer different words than words of texts: hash those and leave the rest unsorted.
     met = rows.join(counts.where("word IS NOT NULL").withColumnRenamed("n", "c").hint("shuffle_hash"), "word", "left")
-    found = F.log10(F.coalesce("c", F.lit(0)) + 1)
+    found = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)
     sums = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_known") + F.count("c")).alias("n_known"),
-        (F.max("base") + F.sum(found)).alias("base_score"), (F.max("lm") + F.sum(found)).alias("score"),
+        (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("times"))), F.lit(0))).alias("n_known"),
+        (F.max("base") + F.coalesce(F.sum(found), F.lit(0.0))).alias("base_score"), (F.max("lm") + F.coalesce(F.sum(found), F.lit(0.0))).alias("score"),
     )
     return sums.drop("row")
 
@@ -346,7 +406,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     Texts whose crc32 of the id, modulo 7, is HELD_OUT are scored but not learned from. Null texts are empty: one token,
     the end. Without anything to learn from, both scores are those of a model that has seen nothing. Equal rows get equal
-    scores up to the order of additions; an empty table gives an empty table.
+    scores up to the order of additions; null ids are learned from as the crc32 of the empty text says; a very long text is
+    scored whole, its different words that are not broadcast once each; an empty table gives an empty table.
     """
     use = docs.select("doc_id", "text", (crc_rest("doc_id", 7) == HELD_OUT).alias("held_out"), F.expr("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) div 7 % 2").alias("round"))
     learn = use.where(~F.col("held_out"))

@@ -150,24 +150,85 @@ def test_lm_base_scores(spark, sf_dir):
     assert lm.lm_scores(df.limit(0)).count() == 0
 
 
-def test_lm_probabilities_are_normalised(spark):
-    v = lm.Vocabulary([b"the", b"of"], np.array([5.0, 3.0]), 2, 30, 12, np.full(lm.CLASSES, 2.0), np.full(lm.CLASSES, 1.0))
-    model = lm.Model.first(v.share)
-    near = np.array([[3], [0], [lm.UNITS], [9]]).repeat(lm.UNITS, axis=1)
-    assert (10 ** model.log10(near, np.arange(lm.UNITS))).sum() == pytest.approx(1, abs=1e-4)
-    inside = (10 ** (np.log10(2 + 1.0) - v.log_class[0])) + 10 ** -v.log_class[0]  # one known word seen twice, and the unseen place
-    assert inside == pytest.approx(1)
-
-
-def test_each_training_step_draws_32_noise_units_for_at_most_2048_tokens(monkeypatch):
-    trainer = lm.Trainer(lm.Model.first(np.full(lm.UNITS, 1 / lm.UNITS)), np.full(lm.UNITS, 1 / lm.UNITS), 1)
+def small_vocabulary():
+    words = [f"w{chr(97 + i % 7)}{chr(97 + i % 5)}".encode() + b"x" * (i // 35) for i in range(300)]
+    counts = np.arange(600, 300, -1.0)
+    endings = {}
+    for w, n in [*zip(words, counts, strict=True), (b"rare", 3), (b"seldom", 2)]:
+        t, k = endings.get(w[-2:], (0, 0))
+        endings[w[-2:]] = (t + int(n), k + 1)
+    return lm.Vocabulary(words, counts, 40, int(counts.sum()) + 5 + 40, 303, endings)
+
+
+def test_lm_probabilities_are_normalised():
+    v = small_vocabulary()
+    assert v.units == 256 + v.classes + 1 and v.classes == 16 and sorted(set(v.unit[:256].tolist()) | set(v.others.tolist()) | {v.units - 1}) == list(range(v.units))
+    model = lm.Model.first(v)
+    for first in (3, 0, v.units, 9):
+        near = np.array([[first], [0], [v.units], [9]]).repeat(v.units, axis=1)
+        assert (10 ** model.log10(near, np.arange(v.units), v.begin)).sum() == pytest.approx(1, abs=1e-4)
+    # a class's other words share its last unit, with one place for unseen words
+    for k in range(v.classes):
+        others = [i for i in range(256, 300) if v.word_class(v.words[i]) == k]
+        rare = [n for w, n in ((b"rare", 3), (b"seldom", 2)) if v.word_class(w) == k]
+        assert sum(10 ** v.inside[i] for i in others) + sum((n + 1) * 10 ** -v.log_others[k] for n in rare) + 10 ** -v.log_others[k] == pytest.approx(1)
+
+
+def test_lm_scores_are_those_of_the_model_word_by_word(spark, sf_dir):
+    """The whole score of every text, from the trained parameters by plain loops over single tokens."""
+    df = docs(spark, [r["text"] for r in sample(spark, sf_dir, 40)] + ["new wörds only here", "", None, "the of the of " * 300])
+    use = df.select("doc_id", "text", (F.col("doc_id") % 3 == 0).alias("held_out"), (F.col("doc_id") % 2).alias("round"))
+    counts = common.saved(lm.count_words(use.where("NOT held_out")))
+    v = lm.vocabulary(counts)
+    model = lm.train(use.where("NOT held_out"), v)
+    all_counts = {bytes(r["word"]): r["n"] for r in counts.where("word IS NOT NULL").collect()}
+    got = {r["doc_id"]: r["score"] for r in lm.score(use, counts, v, model).collect()}
+    heads = {w: int(v.unit[i]) for i, w in enumerate(v.words) if v.unit[i] not in v.others}
+
+    def unit(w):
+        return heads.get(w, int(v.others[v.word_class(w)]))
+
+    def log_softmax(x, i):
+        return float(x[i] - x.max() - np.log(np.exp(x - x.max()).sum()))
+
+    for r in df.collect():
+        words = (r["text"] or "").encode().lower().split()
+        seen, total = [v.units] * lm.CONTEXT, 0.0
+        for w in [*words, None]:
+            q = sum(model.place[i].astype(float) * model.context[seen[-1 - i]] for i in range(lm.CONTEXT))
+            u = v.units - 1 if w is None else unit(w)
+            k = int(np.searchsorted(v.begin, u, "right")) - 1
+            total += log_softmax(model.classes @ q + model.class_bias, k) / math.log(10)
+            low, high = v.begin[k], v.begin[k + 1]
+            total += log_softmax(model.target[low:high] @ q + model.bias[low:high], u - low) / math.log(10)
+            if w is not None and u in v.others:
+                total += math.log10(all_counts.get(w, 0) + 1) - v.log_others[v.word_class(w)]
+            seen.append(u)
+        assert got[r["doc_id"]] == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
+def test_each_training_step_draws_32_noise_classes_for_at_most_2048_tokens(monkeypatch):
+    v = small_vocabulary()
+    trainer = lm.Trainer(lm.Model.first(v), v, 1)
     steps, step = [], trainer.step
     drawn, search = [], np.searchsorted
     monkeypatch.setattr(trainer, "step", lambda near, units: (steps.append(len(units)), step(near, units)))
-    monkeypatch.setattr(np, "searchsorted", lambda a, v: (drawn.append(len(v)), search(a, v))[1])
-    assert lm._steps(trainer, [np.arange(8192, dtype=np.int32) % lm.UNITS]) == 8192
+    monkeypatch.setattr(np, "searchsorted", lambda a, x, *side: (drawn.append(np.shape(x)), search(a, x, *side))[1])
+    assert lm._steps(trainer, [np.arange(8192, dtype=np.int32) % v.units], v.units) == 8192
     assert steps == [2048] * 4
-    assert drawn == [32] * 4
+    assert drawn == [(32,), (2048, lm.NOISE_INSIDE)] * 4
+
+
+def test_units_grow_with_the_vocabulary():
+    units = []
+    for n in (100, 10_000, 60_000):
+        words = [f"{i}".encode() for i in range(n)]
+        endings = {}
+        for w in words:
+            t, k = endings.get(w[-2:], (0, 0))
+            endings[w[-2:]] = (t + 1, k + 1)
+        units.append(lm.Vocabulary(words, np.ones(n), 1, n + 1, n + 1, endings).units)
+    assert units[0] < units[1] < units[2]
 
 
 # op3
