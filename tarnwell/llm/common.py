@@ -60,10 +60,17 @@ def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_saved() -> None:
+def tables_saved() -> int:
+    return len(_TABLES)
+
+
+def drop_saved(since: int = 0, but: int = 0) -> None:
+    """Removes the tables saved after the first `since`, except for the last `but`."""
     spark = SparkSession.getActiveSession()
-    while spark is not None and _TABLES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+    last = len(_TABLES) - but
+    while spark is not None and last > since:
+        last -= 1
+        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop(last))
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -80,6 +80,26 @@ def test_embeddings_match_brute_force(spark, sf_dir, monkeypatch):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_every_link_of_the_embeddings_table_is_found(spark, sf_dir):
+    """The whole table and a neighbour of each vector at a cosine of 0.97 to 0.99, against all pairs."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    own = [(r["vec_id"], r["label"], r["embedding"]) for r in df.select("vec_id", "label", "embedding").collect()]
+    rng = np.random.default_rng(5)
+    x = np.array([v for _, _, v in own], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(axis=1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = rng.uniform(0.97, 0.99, len(x))[:, None]
+    moved = cosine * x + np.sqrt(1 - cosine**2) * side
+    rows = [(i, str(label), v) for (i, label, _), v in zip(own, x.tolist(), strict=True)] + [(i + 10**6, str(label), v) for (i, label, _), v in zip(own, moved.tolist(), strict=True)]
+    both = np.concatenate([x, moved])
+    label = np.array([x for _, x, _ in rows])
+    near = (both @ both.T >= 0.98) & (label[:, None] == label[None]) & ~np.eye(len(rows), dtype=bool)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    assert near.sum() > len(own) / 2 and [got[i] for i, _, _ in rows] == near.sum(axis=1).tolist()
+
+
 def test_embedding_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(3)
     u = rng.standard_normal((400, 64))
@@ -544,7 +564,3 @@ def test_whole_groups_never_split_a_group():
     chunks = [t.column("k").to_pylist() for t in common.whole_groups(batches, "k", 30)]
     assert [x for c in chunks for x in c] == keys
     assert all(a[-1] != b[0] for a, b in zip(chunks, chunks[1:], strict=False))
-
-
-def test_sha_of_nothing():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

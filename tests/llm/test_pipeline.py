@@ -109,9 +109,31 @@ def test_odd_rows_pass_every_stage(spark, sf_dir):
     docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (1, "some words that are here", "en", "a", 9), (1, "some words that are here", "en", "a", 9), (2, "x" * 20_000, None, "a", None)], "doc_id long, text string, lang string, source string, n_chars long")
     clash = {c: lit(0) for c in ("row", "key", "h", "id", "score", "lang_pred", "spans", "clean", "size", "copies", "position", "taken", "bucket", "doc", "n", "part", "rest")}
     for docs in (docs, docs.withColumns(clash)):
-        for _, f in cp.STAGES:
-            assert f(spark, docs, sf_dir).count() >= 0
-        assert cp.near_duplicates(spark, docs, sf_dir).count() == 3  # the wordless group, the repeated row, the long text
+        kept = [f(spark, docs, sf_dir) for _, f in cp.STAGES]
+        assert all(x.columns == docs.columns for x in kept[:-1])
+        told, one, clean, mixed, pieces = (x.collect() for x in kept)
+        assert {r["doc_id"] for r in told} <= {1, 2}  # a null and an empty text have no language
+        assert len(one) == 3  # the wordless group, the repeated row, the long text
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in clean) == sorted((r["doc_id"] or 0, r["text"] or "") for r in docs.collect())
+        assert {(r["doc_id"], r["text"]) for r in mixed} <= {(r["doc_id"], r["text"]) for r in docs.collect()}
+        assert len({(r["doc_id"], r["start"], r["sequence_id"], r["offset"]) for r in pieces}) == len(pieces) >= docs.count()
+
+
+def test_the_choice_among_repeated_rows_is_stable(spark, sf_dir):
+    rows = [(1, "some words that are here", lang, source, n) for lang, source, n in (("fr", "b", 9), ("en", "a", 9), ("en", None, 3))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    kept = {tuple(cp.near_duplicates(spark, spark.createDataFrame(order, schema).repartition(n), sf_dir).first()) for order in (rows, rows[::-1]) for n in (1, 3)}
+    assert len(kept) == 1
+
+
+def test_copies_come_in_the_order_of_their_times(stages):
+    _, before, after, *_ = stages[3]
+    # a document's copies are epochs apart: other documents of its source stand between them
+    places = {}
+    for k, r in enumerate(after):
+        places.setdefault(r["doc_id"], []).append(k)
+    apart = [b - a for p in places.values() if len(p) > 1 for a, b in zip(p, p[1:], strict=False)]
+    assert not apart or np.mean(apart) > 0.1 * len(after)
 
 
 def test_repeated_ids_of_different_groups_both_stay(spark, sf_dir):
