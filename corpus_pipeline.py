@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.llm import langid, mixing, packing, secrets, simhash
-from tarnwell.llm.common import crc_rest, saved, table
+from tarnwell.llm.common import crc_rest, drop_saved, saved, table, tables_saved
 
 #: Below this probability a prediction is no prediction.
 SURE = 0.5
@@ -77,7 +77,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), tables_saved()
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
+        drop_saved(before, but=1)  # what the stage and the one before it wrote on their way
     return STAGES[-1][1](spark, docs, sf_dir)
