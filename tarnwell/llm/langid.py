@@ -52,8 +52,8 @@ LENGTHS = (4, 3, 2, 1)
 HELD_OUT = 1
 #: A document's evidence counts as that of so many words at most, since words of one text are not independent.
 EVIDENCE = 20
-#: The most frequent words, which every worker holds (about 40 MB); the others' counts are joined.
-BROADCAST = 1 << 18
+#: The most frequent words, which every worker holds (about 20 MB); the others' counts are joined.
+BROADCAST = 1 << 17
 #: Unseen words whose n-grams a worker remembers.
 REMEMBERED = 100_000
 

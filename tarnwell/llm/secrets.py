@@ -30,6 +30,8 @@ from .common import ascii_bytes, saved, starts, table
 #: A segment of the index ends at so many bytes of text or documents.
 SEGMENT_BYTES = 4 << 20
 SEGMENT_DOCS = 1 << 14
+#: Bytes whose trigrams a task sorts at once, which bounds its memory whatever a text's length.
+SORTED_BYTES = 1 << 20
 #: The row of a segment that holds its documents' hashes instead of postings.
 DOCUMENTS = -1
 #: Candidates (16 bytes each) that may be broadcast; more are joined by shuffling.
@@ -180,10 +182,17 @@ def _postings(hashes: list[int], texts: list[bytes], segment: int) -> pa.RecordB
     flat = np.frombuffer(b"\0".join([*texts, b"\0\0"]).lower(), np.uint8)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     keys = []
-    for at in range(0, len(flat) - 2, SEGMENT_BYTES):
-        x = flat[at : at + SEGMENT_BYTES + 2].astype(np.uint64)
-        doc = np.searchsorted(ends, np.arange(at, at + len(x) - 2), "right").astype(np.uint64)
-        keys.append(np.unique((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) << 16 | np.minimum(doc, len(texts) - 1).astype(np.uint64)))
+    for at in range(0, len(flat) - 2, SORTED_BYTES):
+        x = flat[at : at + SORTED_BYTES + 2].astype(np.uint64)
+        low, high = np.searchsorted(ends, [at, at + len(x) - 3], "right")
+        bounds = np.clip(np.r_[at, ends[low:high], at + len(x) - 2] - at, 0, len(x) - 2)
+        doc = np.repeat(np.minimum(np.arange(low, high + 1), len(texts) - 1).astype(np.uint64), np.diff(bounds))
+        key = x[:-2] << 16
+        key |= x[1:-1] << 8
+        key |= x[2:]
+        key <<= 16
+        key |= doc
+        keys.append(np.unique(key))
     keys = keys[0] if len(keys) == 1 else np.unique(np.concatenate(keys))
     trigrams, docs = (keys >> 16).astype(np.int32), (keys & 0xFFFF).astype(np.int32)
     begins = starts(trigrams)
