@@ -13,6 +13,8 @@ from tarnwell.llm.common import crc_rest, drop_saved, saved, table, tables_saved
 
 #: Below this probability a prediction is no prediction.
 SURE = 0.5
+#: Rejected texts that may be broadcast; more are joined by shuffling.
+REJECTED = 500_000
 #: What stands for a secret.
 MARK = "[SECRET]"
 
@@ -23,10 +25,16 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without letters, or of doubtful language, go."""
+    """Documents whose language can be told; those without letters, or of doubtful language, go.
+
+    A prediction depends on the text alone, so rejected texts are told by 128 bits of hash and documents stay where they are.
+    """
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
     model = langid.train(docs.where(crc_rest("doc_id", 3) != langid.HELD_OUT))
-    told = langid.predict(_whole(docs), model, ("doc",))
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("doc.*")
+    told = langid.predict(docs.select(key.alias("key"), "text"), model, ("key",))
+    rejected = saved(told.where((F.col("lang_pred") == "und") | (F.col("score") < SURE)).select("key").distinct())
+    few = rejected.count() <= REJECTED  # 16 bytes each
+    return docs.join(F.broadcast(rejected) if few else rejected, key == rejected["key"], "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
