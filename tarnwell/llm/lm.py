@@ -34,13 +34,15 @@ HEADS = 8
 HEADS_LEAST, HEADS_MOST = 256, 16_384
 CONTEXT = 4
 WIDTH = 16
-#: Noise classes of a step, and noise units of a token within its class.
+#: Noise classes of a step, and noise units of a step within each class.
 NOISE = 32
-NOISE_INSIDE = 5
+NOISE_INSIDE = 8
 BATCH = 2048
 #: Tokens that are scored at once.
-SCORED = 8192
+SCORED = 16_384
 RATE = 0.15
+#: Tasks whose parameters are averaged at once.
+FAN = 16
 KNOWN = 65_536
 HELD_OUT = 2
 SEED = 7
@@ -129,9 +131,15 @@ class Ids(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def _log_sum(s: np.ndarray) -> np.ndarray:
-    most = s.max(axis=1, keepdims=True)
-    return np.log(np.exp(s - most).sum(axis=1)) + most[:, 0]
+def _log_sum(s: np.ndarray, safe: bool) -> np.ndarray:
+    """log sum exp of each row, in place; `safe` says that no exp() can overflow."""
+    if safe:
+        np.exp(s, out=s)
+        return np.log(s.sum(axis=1))
+    most = s.max(axis=1)
+    s -= most[:, None]
+    np.exp(s, out=s)
+    return np.log(s.sum(axis=1)) + most
 
 
 @dataclass
@@ -171,23 +179,34 @@ class Model:
         return sum(self.place[i] * self.context[near[i]] for i in range(CONTEXT))
 
     def log10(self, near: np.ndarray, units: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of units in their contexts: of their classes, then within these."""
+        """Normalised log10 probabilities of units in their contexts: of their classes, then within these.
+
+        Blocks of tokens are put in order of class, so that a class's tokens meet its units in one product.
+        """
         out = np.empty(len(units))
+        order = np.argsort(units, kind="stable")
         klass = np.searchsorted(begin, units, "right") - 1
+        classes = np.concatenate([self.classes.T, self.class_bias[None]])
+        target = np.ascontiguousarray(np.concatenate([self.target.T, self.bias[None]]))
+        longest = max(np.sqrt((x**2).sum(axis=1).max()) for x in (self.classes, self.target))
+        widest = max(np.abs(x).max() for x in (self.bias, self.class_bias))
         for at in range(0, len(units), SCORED):
-            u, k = units[at : at + SCORED], klass[at : at + SCORED]
-            q = self.predicted(near[:, at : at + SCORED])
-            s = q @ self.classes.T + self.class_bias
-            told = s[np.arange(len(u)), k] - _log_sum(s)
-            order = np.argsort(k, kind="stable")
-            heads = starts(k[order])
-            for a, z in zip(heads.tolist(), np.r_[heads[1:], len(u)].tolist(), strict=True):
-                rows = order[a:z]
-                low, high = begin[k[rows[0]]], begin[k[rows[0]] + 1]
+            rows = order[at : at + SCORED]
+            u, k = units[rows], klass[rows]
+            q = np.ones((len(rows), WIDTH + 1), np.float32)
+            q[:, :WIDTH] = self.predicted(near[:, rows])
+            safe = bool(np.sqrt((q[:, :WIDTH] ** 2).sum(axis=1).max()) * longest + widest < 80)
+            s = q @ classes
+            told = s[np.arange(len(rows)), k]
+            told = told - _log_sum(s, safe)
+            heads = starts(k)
+            for a, z in zip(heads.tolist(), np.r_[heads[1:], len(rows)].tolist(), strict=True):
+                low, high = int(begin[k[a]]), int(begin[k[a] + 1])
                 if high - low > 1:
-                    s = q[rows] @ self.target[low:high].T + self.bias[low:high]
-                    told[rows] += s[np.arange(len(rows)), u[rows] - low] - _log_sum(s)
-            out[at : at + SCORED] = told / math.log(10)
+                    s = q[a:z] @ target[:, low:high]
+                    mine = s[np.arange(z - a), u[a:z] - low]
+                    told[a:z] += mine - _log_sum(s, safe)
+            out[rows] = told / math.log(10)
         return out
 
 
@@ -217,8 +236,9 @@ class Trainer:
         m, n, k = self.m, len(units), self.klass[units]
         noise = np.minimum(np.searchsorted(self.ladder, self.rng.random(NOISE)), len(self.ladder) - 1)
         low, high = self.begin[k], self.begin[k + 1]
-        drawn = self.inner[low][:, None] + self.rng.random((n, NOISE_INSIDE)) * (self.inner[high] - self.inner[low])[:, None]
-        inner = np.clip(np.searchsorted(self.inner, drawn, "right") - 1, low[:, None], high[:, None] - 1)
+        edge = self.inner[self.begin]
+        drawn = edge[:-1, None] + self.rng.random((len(edge) - 1, NOISE_INSIDE)) * np.diff(edge)[:, None]
+        inner = np.clip(np.searchsorted(self.inner, drawn, "right") - 1, self.begin[:-1, None], self.begin[1:, None] - 1)
         x = [m.context[near[i]] for i in range(CONTEXT)]
         q = sum(m.place[i] * x[i] for i in range(CONTEXT))
         # classes
@@ -232,26 +252,34 @@ class Trainer:
         np.add.at(class_bias, noise, false.sum(axis=0))
         # units within their classes; a class of one unit has nothing to tell apart
         some = (high - low > 1).astype(np.float32)
-        t, z = m.target[units], m.target[inner]
+        t, z = m.target[units], m.target[inner][k]
         true = some / (1 + np.exp(np.einsum("ij,ij->i", q, t) + m.bias[units] - self.log_inner[units]))
-        false = -some[:, None] / (1 + np.exp(-(np.matmul(z, q[:, :, None])[:, :, 0] + (m.bias - self.log_inner)[inner])))
-        dq += true[:, None] * t + np.matmul(false[:, None, :], z)[:, 0]
-        rows = np.concatenate([units, inner.ravel()])
-        weight = np.concatenate([true, false.ravel()])
-        target, bias = np.zeros_like(m.target), np.bincount(rows, weight, len(m.bias)).astype(np.float32)
-        _scatter(target, rows, weight[:, None] * np.concatenate([q, np.repeat(q, NOISE_INSIDE, axis=0)]))
-        context = np.zeros_like(m.context)
-        _scatter(context, near.ravel(), np.concatenate([dq * m.place[i] for i in range(CONTEXT)]))
+        false = -some[:, None] / (1 + np.exp(-(np.einsum("nkd,nd->nk", z, q) + (m.bias - self.log_inner)[inner][k])))
+        dq += true[:, None] * t + np.einsum("nk,nkd->nd", false, z)
+        ones = np.concatenate([q, np.ones((n, 1), np.float32)], axis=1)  # with the bias's column
+        met, pushed = _summed(k, (false[:, :, None] * ones[:, None, :]).reshape(n, -1))
+        at, grown = _summed(np.concatenate([units, inner[met].ravel()]), np.concatenate([true[:, None] * ones, pushed.reshape(-1, WIDTH + 1)]))
+        seen, context = _summed(near.ravel(), np.concatenate([dq * m.place[i] for i in range(CONTEXT)]))
         place = np.stack([(dq * x[i]).sum(axis=0) for i in range(CONTEXT)])
-        for p, g, s in zip(m.parts(), (context, place, target, bias, classes, class_bias), self.squares, strict=True):
-            g /= n
-            s += g * g
-            p += RATE * g / np.sqrt(s)
+        here = slice(None)
+        steps = ((seen, context), (here, place), (at, grown[:, :WIDTH]), (at, grown[:, WIDTH]), (here, classes), (here, class_bias))
+        for p, s, (rows, g) in zip(m.parts(), self.squares, steps, strict=True):
+            g = g / n
+            square = s[rows] + g * g
+            s[rows] = square
+            p[rows] += RATE * g / np.sqrt(square)
+
+
+def _summed(rows: np.ndarray, add: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows (fewer than 65,536 exist), and for each the sum of what is to be added to it."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    heads = starts(rows[order])
+    return rows[order[heads]], np.add.reduceat(add[order], heads, axis=0)
 
 
 def _scatter(into: np.ndarray, rows: np.ndarray, add: np.ndarray) -> None:
-    flat = (rows[:, None].astype(np.int64) * into.shape[1] + np.arange(into.shape[1])).reshape(-1)
-    into += np.bincount(flat, add.reshape(-1), into.size).reshape(into.shape).astype(np.float32)
+    at, sums = _summed(rows, add)
+    into[at] += sums
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,16 +341,18 @@ def train(texts: DataFrame, v: Vocabulary, rounds: int = 2) -> Model:
             if held:
                 total += _steps(trainer, held, v.units)
             if total:
-                yield _sum_row(trainer.m.flat().astype(np.float64) * total, total)
+                yield _row(trainer.m.flat(), total)
 
         return run
 
     for turn in range(rounds):
         fitted = texts.where(F.col("round") == turn).select("text").mapInArrow(fit(model.flat(), turn), "params binary, n long")
-        for tasks in (16, 1):  # the sums of all tasks in two steps
-            fitted = fitted.repartition(tasks).mapInArrow(_sum_rows, "params binary, n long")
+        tasks = fitted.rdd.getNumPartitions()
+        while tasks > 1:  # means of FAN tasks each, until one is left
+            tasks = -(-tasks // FAN)
+            fitted = fitted.repartition(tasks).mapInArrow(_mean_rows, "params binary, n long")
         if (row := fitted.first()) is not None:
-            model = Model.of(np.frombuffer(row["params"]) / row["n"], v)
+            model = Model.of(np.frombuffer(row["params"], np.float32), v)
     return model
 
 
@@ -335,18 +365,19 @@ def _steps(trainer: Trainer, texts: list[np.ndarray], units: int) -> int:
     return len(units)
 
 
-def _sum_row(params: np.ndarray, n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([params.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["params", "n"])
+def _row(params: np.ndarray, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([params.astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["params", "n"])
 
 
-def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = None, 0
+def _mean_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of parameters weighted by the tokens that they were fitted to."""
+    total, n = 0.0, 0
     for batch in batches:
         for params, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total = np.frombuffer(params) + (0 if total is None else total)
+            total = total + np.frombuffer(params, np.float32).astype(np.float64) * k
             n += k
-    if total is not None:
-        yield _sum_row(total, n)
+    if n:
+        yield _row(total / n, n)
 
 
 def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
@@ -364,8 +395,8 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> Da
         for batch in batches:
             doc_ids, held_out = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = ascii_bytes(batch.column(2))
-            for first in range(0, len(texts), 64):
-                some = [t.lower().split() for t in texts[first : first + 64]]
+            for first in range(0, len(texts), 256):
+                some = [t.lower().split() for t in texts[first : first + 256]]
                 at = [ids.of(w) for w in some]
                 logs = model.log10(*contexts([_units(v, a) for a in at], v.units), v.begin)
                 out, loose_words, loose_times, loose_rows, k = [], [], [], [], 0
