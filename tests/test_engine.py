@@ -307,6 +307,6 @@ def test_bench_takes_every_registered_query_unless_told_otherwise():
     import bench
 
     found = __spark_entry__.queries()
-    assert bench.selected(found, None) == found and "pipeline" in found
+    assert bench.selected(found, None) == found and set(catalog.QUERIES) <= set(found)
     assert set(bench.selected(found, "headline")) <= set(bench.HEADLINE)
     assert list(bench.selected(found, "fit,courses")) == ["fit", "courses"]
