@@ -41,6 +41,8 @@ BATCH = 2048
 #: Tokens that are scored at once.
 SCORED = 16_384
 RATE = 0.15
+#: Multiplications of a matrix product that one thread does.
+SINGLE = 150_000
 #: Tasks whose parameters are averaged at once.
 FAN = 16
 KNOWN = 65_536
@@ -131,6 +133,16 @@ class Ids(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+def _times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x @ y in stacks of rows, each so small that a task's BLAS stays on one thread; waiting threads would cost as much again."""
+    rows = max(1, SINGLE // (y.shape[0] * y.shape[1]))
+    whole = len(x) // rows * rows
+    out = np.empty((len(x), y.shape[1]), np.result_type(x, y))
+    np.matmul(x[:whole].reshape(-1, rows, x.shape[1]), y, out=out[:whole].reshape(-1, rows, y.shape[1]))
+    np.matmul(x[whole:], y, out=out[whole:])
+    return out
+
+
 def _log_sum(s: np.ndarray, safe: bool) -> np.ndarray:
     """log sum exp of each row, in place; `safe` says that no exp() can overflow."""
     if safe:
@@ -196,14 +208,14 @@ class Model:
             q = np.ones((len(rows), WIDTH + 1), np.float32)
             q[:, :WIDTH] = self.predicted(near[:, rows])
             safe = bool(np.sqrt((q[:, :WIDTH] ** 2).sum(axis=1).max()) * longest + widest < 80)
-            s = q @ classes
+            s = _times(q, classes)
             told = s[np.arange(len(rows)), k]
             told = told - _log_sum(s, safe)
             heads = starts(k)
             for a, z in zip(heads.tolist(), np.r_[heads[1:], len(rows)].tolist(), strict=True):
                 low, high = int(begin[k[a]]), int(begin[k[a] + 1])
                 if high - low > 1:
-                    s = q[a:z] @ target[:, low:high]
+                    s = _times(q[a:z], target[:, low:high])
                     mine = s[np.arange(z - a), u[a:z] - low]
                     told[a:z] += mine - _log_sum(s, safe)
             out[rows] = told / math.log(10)
@@ -244,11 +256,13 @@ class Trainer:
         # classes
         t, z = m.classes[k], m.classes[noise]
         true = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, t) + m.class_bias[k] - self.log_noise[k]))
-        false = -1 / (1 + np.exp(-(q @ z.T + (m.class_bias - self.log_noise)[noise])))
-        dq = true[:, None] * t + false @ z
+        false = -1 / (1 + np.exp(-(_times(q, z.T) + (m.class_bias - self.log_noise)[noise])))
+        dq = true[:, None] * t + _times(false, z)
         classes, class_bias = np.zeros_like(m.classes), np.bincount(k, true, len(m.class_bias)).astype(np.float32)
         _scatter(classes, k, true[:, None] * q)
-        np.add.at(classes, noise, false.T @ q)
+        part = -(-n // 128)
+        pushed = sum(false[i::part].T @ q[i::part] for i in range(part))
+        np.add.at(classes, noise, pushed)
         np.add.at(class_bias, noise, false.sum(axis=0))
         # units within their classes; a class of one unit has nothing to tell apart
         some = (high - low > 1).astype(np.float32)
