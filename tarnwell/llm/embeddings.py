@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,13 +60,18 @@ def _units(vecs: list[bytes], kind: str) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, _padded(x.shape[1]) - x.shape[1])))
 
 
-def _valid(v, kind: str) -> bytes | None:
-    if v is None or not len(v) or any(x is None for x in v):
-        return None
-    a = np.array(v, np.float64)
-    if not np.isfinite(a).all() or not a.any():
-        return None
-    return (np.array(v, kind) + 0.0).tobytes()
+def _bytes_of(lists: pa.Array, labels: pa.Array, kind: str) -> pa.Array:
+    """Vectors as bytes, -0 as 0; null where the label is null, or the vector is null, empty, zero or not finite throughout."""
+    lengths = pc.list_value_length(lists).fill_null(0).to_numpy().astype(np.int64)
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(kind) + 0.0  # null numbers become NaN
+    row = np.repeat(np.arange(len(lists)), lengths)
+    finite = np.bincount(row, np.isfinite(values), len(lists)) == lengths
+    some = np.bincount(row, values != 0, len(lists)) > 0
+    good = finite & some & labels.is_valid().to_numpy(zero_copy_only=False)
+    values = values.astype(kind)[good[row]]
+    ends = np.cumsum(np.where(good, lengths, 0)) * values.itemsize
+    whole = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(values.tobytes())])
+    return pc.if_else(pa.array(good), whole.cast(pa.binary()), pa.scalar(None, pa.binary()))
 
 
 def vectors(df: DataFrame) -> tuple[DataFrame, str]:
@@ -74,8 +80,7 @@ def vectors(df: DataFrame) -> tuple[DataFrame, str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vecs = [_valid(v, kind) if label is not None else None for v, label in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vecs, pa.binary())], ["vec_id", "label", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _bytes_of(b.column(2), b.column(1), kind)], ["vec_id", "label", "vec"])
 
     cast = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("embedding"))
     return cast.mapInArrow(run, "vec_id long, label string, vec binary"), kind
@@ -113,11 +118,12 @@ def _signatures(index: DataFrame, bits: int, bands: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = b.column("code").to_pylist()
-            values = np.stack([_bands(np.unpackbits(np.frombuffer(c, np.uint8))[None], bits, bands)[0] for c in codes]) if codes else np.zeros((0, bands), np.int64)
-            cid = b.column("cid").to_numpy()
-            label = b.column("label").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid, bands)), pa.array([x for x in label for _ in range(bands)], pa.string()), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(codes))), pa.array(values.reshape(-1))], ["cid", "label", "band", "bits"])
+            n, used = b.num_rows, -(-bits * bands // 8)
+            codes = np.frombuffer(b"".join(c[:used] for c in b.column("code").to_pylist()), np.uint8).reshape(n, used)
+            values = _bands(np.unpackbits(codes, axis=1), bits, bands)
+            rows = np.repeat(np.arange(n), bands)
+            columns = [b.column("cid").take(pa.array(rows)), b.column("label").take(pa.array(rows)), pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(values.reshape(-1))]
+            yield pa.RecordBatch.from_arrays(columns, ["cid", "label", "band", "bits"])
 
     rows = index.select("cid", "label", "code").mapInArrow(run, "cid long, label string, band int, bits long")
     return rows.select(F.xxhash64("label", "band", "bits").alias("key"), "band", "cid")

@@ -116,8 +116,9 @@ def ablations(led: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def op9_quality_rules(spark, sf_dir):
+    """The ledger with the verdict of the current policy; `failed` holds the bits that policies and ablations read."""
     led = ledger(table(spark, sf_dir, "documents"))
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), (passes("base") & passes()).alias("kept"))
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), (passes("base") & passes()).alias("kept"), "failed")
 
 
 OP9_SQL = rf"""
@@ -137,6 +138,8 @@ a AS (
   FROM m LEFT JOIN v USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (2 * n_dup_lines > n_lines)::INT
+            + 16 * (word_chars > 15 * n_words)::INT + 32 * (word_chars < 2 * n_words)::INT AS BIGINT) AS failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars > 15 * n_words OR word_chars < 2 * n_words) AS kept
 FROM b
 """
