@@ -161,7 +161,8 @@ def train(reviews: DataFrame, order: tuple[str, ...] = ("entity_ordinal", "revie
 def train_batch(reviews: DataFrame) -> DataFrame:
     """(school, category, token, cnt): one pass that labels all reviews by the seeds, then counts. Not the serial fold."""
     top = F.array_max(F.transform(seed_scores("comment"), lambda x, i: F.struct(x["probability"].alias("p"), (-i).alias("i"), x["category"].alias("c"))))
-    labelled = reviews.select("school", top.alias("t"), tokens("comment").alias("w")).where(F.col("t.p") > CONFIDENT)
+    # exploding an array of one evaluates the scores once, where a filter on a plain column would repeat them
+    labelled = reviews.select("school", tokens("comment").alias("w"), F.explode(F.array(top)).alias("t")).where(F.col("t.p") > CONFIDENT)
     new = labelled.select("school", F.col("t.c").alias("category"), F.explode("w").alias("token"))
     seeds = reviews.select("school").distinct().crossJoin(F.broadcast(seed_model(reviews.sparkSession)))  # 150 seed rows
     return new.withColumn("cnt", F.lit(1).cast("long")).unionByName(seeds).groupBy("school", "category", "token").agg(F.sum("cnt").alias("cnt"))
