@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, langid, lm, mixing, packing, pii, rules, secrets, simhash, substrings
+from . import embeddings, langid, licences, lm, mixing, packing, phrases, pii, rules, secrets, simhash, substrings, whitening
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         pii.op8_personal_data,
         rules.op9_quality_rules,
         secrets.op10_secret_scan,
+        phrases.op11_phrase_collocations,
+        whitening.op12_embedding_whitening,
+        licences.op13_license_scan,
     )
 }
-SQL: dict[str, str] = {"op6_mix_sources": mixing.OP6_SQL, "op9_quality_rules": rules.OP9_SQL}
+SQL: dict[str, str] = {"op6_mix_sources": mixing.OP6_SQL, "op9_quality_rules": rules.OP9_SQL, "op11_phrase_collocations": phrases.OP11_SQL}
