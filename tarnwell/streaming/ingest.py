@@ -1,7 +1,7 @@
-"""Incremental ingest: a stream of fetched entities merged into a table that keeps one version per batch.
+"""Incremental ingest: a stream of fetched entities merged into a keyed table, a version for each batch.
 
-A batch writes version `batch_id + 1` from the one before, so a batch that runs again after a failure overwrites its own
-version and nothing else.
+Batch i makes version i + 1 from the one before and rewrites the buckets that its ids fall into; a batch that runs again
+after a failure replaces its own version and nothing else.
 """
 
 from __future__ import annotations
@@ -11,51 +11,51 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merging import upserted
+from ..sources.keyed import KeyedTable, Manifest
 
-
-def version_path(target: str, version: int) -> str:
-    return f"{target}/version={version:012d}"
+BUCKETS = 64
+#: The place of a row without one.
+LAST = (1 << 62) - 1
 
 
 def versions(spark: SparkSession, target: str) -> list[int]:
-    """The complete versions of a table, oldest first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = [s.getPath() for s in fs.listStatus(path) if s.isDirectory()]
-    return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    return KeyedTable(spark, target).versions()
+
 
+def current(spark: SparkSession, target: str) -> DataFrame | None:
+    """The newest version, or None."""
+    table = KeyedTable(spark, target)
+    return table.read() if table.versions() else None
 
-def current(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The newest version (older than `before`), or None."""
-    found = [v for v in versions(spark, target) if before is None or v < before]
-    return spark.read.parquet(version_path(target, found[-1])) if found else None
+
+def _of_repeats(batch: DataFrame, key: str) -> DataFrame:
+    """Of repeats in a batch the row with most reviews."""
+    order = Window.partitionBy(key).orderBy(F.size("reviews").desc(), F.xxhash64(*(c for c in batch.columns if c != key)))
+    return batch.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def merge_batch(batch: DataFrame, target: str, version: int, key: str = "id") -> None:
-    """Writes a version with the batch merged in, and removes versions older than the one that it was merged from.
+def merge_batch(batch: DataFrame, target: str, version: int, key: str = "id", keep: int = 2) -> Manifest:
+    """Commits a version with the batch merged in; the last `keep` versions stay.
 
-    Known entities are replaced by rows that have reviews, new ones are added with or without; of repeats in a batch the one
-    with most reviews counts.
+    Known entities are replaced by rows that have reviews and keep their place; new ones are added with or without, in the
+    places after all others. Null ids are dropped.
     """
-    spark = batch.sparkSession
-    order = Window.partitionBy(key).orderBy(F.size("reviews").desc(), F.xxhash64(*(c for c in batch.columns if c != key)))
-    new = batch.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    old = current(spark, target, before=version)
-    if old is None:
-        merged = new.withColumn("ordinal", F.monotonically_increasing_id())
+    table = KeyedTable(batch.sparkSession, target)
+    new = _of_repeats(batch, key)
+    placed = F.monotonically_increasing_id() + F.lit(version << 40)
+
+    def combine(old: DataFrame, fetched: DataFrame) -> DataFrame:
+        bare = fetched.where(F.coalesce(F.size("reviews"), F.lit(0)) <= 0).join(old.select(key), key, "left_anti").withColumn("ordinal", F.lit(LAST).cast("long"))
+        merged = upserted(old, fetched).unionByName(bare)
+        return merged.withColumn("ordinal", F.when(F.col("ordinal") == LAST, placed).otherwise(F.col("ordinal")))
+
+    if any(v < version for v in table.versions()):
+        done = table.merge(new, combine, version)
     else:
-        last = F.lit((1 << 62) - 1).cast("long")
-        bare = new.where(F.coalesce(F.size("reviews"), F.lit(0)) <= 0).join(old.select(key), key, "left_anti").withColumn("ordinal", last)
-        merged = upserted(old, new).unionByName(bare)
-        added = F.col("ordinal") == last
-        merged = merged.withColumn("ordinal", F.when(added, F.monotonically_increasing_id() + F.lit(version << 40)).otherwise(F.col("ordinal")))
-    merged.write.mode("overwrite").parquet(version_path(target, version))
-    for old_version in [v for v in versions(spark, target) if v < version][:-1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(version_path(target, old_version))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        done = table.create(new.withColumn("ordinal", placed), key, BUCKETS, again=True)
+    table.cleaned(keep)
+    return done
 
 
 def merge_stream(entities: DataFrame, target: str, checkpoint: str, key: str = "id") -> StreamingQuery:
-    return entities.writeStream.foreachBatch(lambda batch, i: merge_batch(batch, target, i + 1, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return entities.writeStream.foreachBatch(lambda batch, i: merge_batch(batch, target, i + 1, key) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
