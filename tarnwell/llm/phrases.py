@@ -35,7 +35,7 @@ INSIDE = 80
 FIRST, FURTHER = 2, 8
 #: Bits of a filter as a power of two, and bytes of text that a task counts at once.
 BITS = 25
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 
 #: Capital letters, and the characters that part a text into pieces.
 PARTS = b".,;:!?\n\x0b\x0c\r"
@@ -98,13 +98,14 @@ class _Counter:
         places = np.flatnonzero(reduce(np.logical_and, (inner[j : len(inner) - k + 1 + j] for j in range(k)))) if len(inner) >= k else np.zeros(0, int)
         if wanted:
             places = wanted(self, places)
-        codes, heads, size = np.zeros(len(places), np.int64), [], len(self.names)
-        for j in range(k):  # the code of a phrase: that of its prefix among those found, times the words, plus its last word
-            codes, at, back, n = np.unique(codes * size + self.ids[places + j], return_index=True, return_inverse=True, return_counts=True)
-            heads, codes = at, back
         if not len(places):
             return pa.array([], pa.string()), np.zeros(0, np.int64)
-        found = places[heads]
+        # the code of a phrase: that of its prefix among those found, times the words, plus its last word
+        codes = self.ids[places].astype(np.int64)
+        for j in range(1, k):
+            codes = (np.unique(codes, return_inverse=True)[1] if j > 1 else codes) * len(self.names) + self.ids[places + j]
+        _, first, n = np.unique(codes, return_index=True, return_counts=True)
+        found = places[first]
         parts = [self.names.take(pa.array(self.ids[found + j])) for j in range(k)]
         return (pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if k > 1 else parts[0]).cast(pa.string()), n
 
