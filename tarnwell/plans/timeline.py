@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import levels, reach, sketches, timejoins
-from ..sources import testdata
+from ..sources import documents, testdata
 from ..streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,20 +84,21 @@ def purchases_after_views(spark, sf_dir):
     return timejoins.within_interval(views, purchases, "user_id", "ts", "ts", {"event_id": "purchase_id"}, 0, 12 * 3600).select(F.col("event_id").alias("view_id"), "purchase_id")
 
 
-SUMS = {"n": F.count(F.lit(1)), "cents": F.sum("cents")}
+def _sums() -> dict[str, Column]:
+    return {"n": F.count(F.lit(1)), "cents": F.sum("cents")}
 
 
 @query(f"""SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n, CAST(sum({CENTS}) AS BIGINT) AS cents
 FROM events GROUP BY ALL""")
 def events_by_day(spark, sf_dir):
-    return windows.windowed(events(spark, sf_dir), windows.tumbling("ts", "1 day"), ("event_type",), SUMS)
+    return windows.windowed(events(spark, sf_dir), windows.tumbling("ts", "1 day"), ("event_type",), _sums())
 
 
 @query(f"""WITH s AS (SELECT date_trunc('hour', ts) - to_hours(k) AS window_start, event_type, {CENTS} AS c FROM events, (SELECT unnest(range(6)) AS k))
 SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, event_type, count(*) AS n, CAST(sum(c) AS BIGINT) AS cents FROM s GROUP BY ALL""")
 def events_by_sliding_hours(spark, sf_dir):
     """Windows of six hours, one each hour."""
-    return windows.windowed(events(spark, sf_dir), windows.sliding("ts", "6 hours", "1 hour"), ("event_type",), SUMS)
+    return windows.windowed(events(spark, sf_dir), windows.sliding("ts", "6 hours", "1 hour"), ("event_type",), _sums())
 
 
 @query(f"""WITH s AS (SELECT user_id, ts, {CENTS} AS c, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -105,7 +106,7 @@ t AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FR
 SELECT min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, user_id, count(*) AS n, CAST(sum(c) AS BIGINT) AS cents FROM t GROUP BY user_id, session""")
 def user_sessions(spark, sf_dir):
     """A user's session ends six hours after its last event."""
-    return windows.windowed(events(spark, sf_dir), windows.session("ts", "6 hours"), ("user_id",), SUMS)
+    return windows.windowed(events(spark, sf_dir), windows.session("ts", "6 hours"), ("user_id",), _sums())
 
 
 @query("""WITH d AS (SELECT l_suppkey AS entity_id, CAST(l_shipdate AS DATE) AS day, count(*) AS n,
@@ -166,26 +167,27 @@ def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(named, "entity_id").drop("entity_id")
 
 
-COUNTS = {"n": F.count(F.lit(1)), "votes": F.sum("votes").cast("long")}
+def _votes() -> dict[str, Column]:
+    return {"n": F.count(F.lit(1)), "votes": F.sum("votes").cast("long")}
 
 
 @query(f"""WITH {REVIEWED} SELECT region, department, grade, CAST(grouping_id(region, department, grade) AS BIGINT) AS level, {LEVEL}
 FROM reviewed GROUP BY CUBE (region, department, grade)""")
 def review_cube(spark, sf_dir):
     """Counts at every combination of region, department and grade; `level` tells a total from a grade that is null."""
-    return levels.cube(_reviewed(spark, sf_dir), ("region", "department", "grade"), COUNTS)
+    return levels.cube(_reviewed(spark, sf_dir), ("region", "department", "grade"), _votes())
 
 
 @query(f"""WITH {REVIEWED} SELECT region, department, grade, CAST(grouping_id(region, department, grade) AS BIGINT) AS level, {LEVEL}
 FROM reviewed GROUP BY ROLLUP (region, department, grade)""")
 def review_rollup(spark, sf_dir):
-    return levels.rollup(_reviewed(spark, sf_dir), ("region", "department", "grade"), COUNTS)
+    return levels.rollup(_reviewed(spark, sf_dir), ("region", "department", "grade"), _votes())
 
 
 @query(f"""WITH {REVIEWED} SELECT region, department, grade, CAST(grouping_id(region, department, grade) AS BIGINT) AS level, {LEVEL}
 FROM reviewed GROUP BY GROUPING SETS ((region, grade), (department), ())""")
 def review_sets(spark, sf_dir):
-    return levels.grouping_sets(_reviewed(spark, sf_dir), ("region", "department", "grade"), (("region", "grade"), ("department",), ()), COUNTS)
+    return levels.grouping_sets(_reviewed(spark, sf_dir), ("region", "department", "grade"), (("region", "grade"), ("department",), ()), _votes())
 
 
 @query(f"""SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n, true AS users_within, true AS quantiles_within FROM events GROUP BY event_type""")
@@ -207,3 +209,12 @@ def buyers_reach(spark, sf_dir):
     pairs = bought.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
     edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return reach.reached(edges, spark.range(1).select(F.lit("c7").alias("node")))
+
+
+@query("""SELECT event_type, '$.' || key AS path, 'BIGINT' AS kind, count(*) AS n, min(CAST(json_extract_string(props, '$.' || key) AS BIGINT)) AS least, max(CAST(json_extract_string(props, '$.' || key) AS BIGINT)) AS most
+FROM (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events) GROUP BY ALL""")
+def event_fields(spark, sf_dir):
+    """The fields that events' properties turn out to have, by path, with how many hold a number and which ones."""
+    e = events(spark, sf_dir).select("event_id", "event_type", documents.parsed("props").alias("doc"))
+    found = documents.fields(e, "doc", ("event_type",))
+    return found.groupBy("event_type", "path", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("text").cast("long")).alias("least"), F.max(F.col("text").cast("long")).alias("most"))

@@ -36,7 +36,11 @@ def windowed(events: DataFrame, window: Column, by: tuple[str, ...], aggregates:
 
 
 def on_time(events: DataFrame, ts: str, late: str, key: str) -> DataFrame:
-    """A stream's rows that are at most `late` behind the watermark, one for each `key` that arrives within it."""
+    """A stream's rows but for those that come too late, one for each `key` that arrives within the time.
+
+    A row is late if it is more than `late` behind the latest time of the batches up to the one before the last; rows that
+    are less late are never dropped.
+    """
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
