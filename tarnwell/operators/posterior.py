@@ -5,6 +5,8 @@ One pass over the reviews counts everything that any posterior needs; the poster
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +44,8 @@ def posterior(successes: Column, n: Column, threshold: float, prior: tuple[float
     )
 
 
-def rating_counts(reviews: DataFrame, keys: tuple[str, ...] = ("entity_id",)) -> DataFrame:
-    """keys and the counts behind every posterior: one aggregation, partial before its shuffle.
+def rating_counts(reviews: DataFrame, keys: tuple[str, ...] = ("entity_id",), more: Sequence[Column] = ()) -> DataFrame:
+    """keys and the counts behind every posterior: one aggregation, partial before its shuffle. `more` aggregates join it.
 
     A review counts for the overall rating if both its ratings are present and not 0; a single rating of 0 is no rating.
     """
@@ -66,6 +68,7 @@ def rating_counts(reviews: DataFrame, keys: tuple[str, ...] = ("entity_id",)) ->
         F.sum(difficulty).alias("sum_difficulty"),
         F.count_if(F.col("would_take_again") == 1).alias("n_yes"),
         F.count_if(F.col("would_take_again") == 0).alias("n_no"),
+        *more,
     )
 
 

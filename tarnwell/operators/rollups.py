@@ -27,12 +27,21 @@ def grade_group(grade: Column) -> Column:
     return F.when(grade.startswith("A"), GROUPS[0]).when(grade.startswith("B"), GROUPS[1]).when(grade.startswith("C"), GROUPS[2]).otherwise(GROUPS[3])
 
 
+def grade_counts() -> list[Column]:
+    """Aggregates: n_grades, and g0.. for each group, of grades that tell an outcome."""
+    told = F.coalesce((F.col("grade") != "") & ~F.col("grade").isin(*NO_GRADE), F.lit(False))
+    return [F.count_if(told).alias("n_grades"), *(F.count_if(told & (grade_group(F.col("grade")) == g)).alias(f"g{i}") for i, g in enumerate(GROUPS))]
+
+
+def grade_shares() -> dict[str, Column]:
+    """Percentages from grade_counts(); null where there are no grades."""
+    n = F.nullif("n_grades", F.lit(0))
+    return {c: share(F.col(f"g{i}"), n) for i, c in enumerate(("a_range", "b_range", "c_range", "d_f"))}
+
+
 def grade_probabilities(reviews: DataFrame, keys: tuple[str, ...] = ("entity_id",)) -> DataFrame:
     """keys, one percentage for each group (a_range, b_range, c_range, d_f), n_grades; entities without grades are absent."""
-    told = (F.col("grade") != "") & ~F.col("grade").isin(*NO_GRADE)
-    counts = reviews.where(told).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_grades"), *(F.count_if(grade_group(F.col("grade")) == g).alias(f"g{i}") for i, g in enumerate(GROUPS)))
-    names = ("a_range", "b_range", "c_range", "d_f")
-    return counts.select(*keys, *(share(F.col(f"g{i}"), F.col("n_grades")).alias(c) for i, c in enumerate(names)), "n_grades")
+    return reviews.groupBy(*keys).agg(*grade_counts()).where("n_grades > 0").select(*keys, *(c.alias(n) for n, c in grade_shares().items()), "n_grades")
 
 
 def class_breakdown(reviews: DataFrame, keys: tuple[str, ...] = ("entity_id",)) -> DataFrame:
@@ -57,21 +66,35 @@ def class_grades(reviews: DataFrame, keys: tuple[str, ...] = ("entity_id",)) ->
     return counts.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= TOP_GRADES).select(*keys, "class_name", "grade", "n", "rank")
 
 
-def highlights(reviews: DataFrame, as_of: str, keys: tuple[str, ...] = ("entity_id",), more: tuple[str, ...] = ()) -> DataFrame:
-    """keys, rank and the five most useful comments: votes, length and recency against the moment `as_of`. `more` names further columns to keep."""
-    comment = strip("comment")
-    day = F.substring(F.coalesce("date", F.lit("")), 1, 10)
-    age = F.floor((F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")))) / 86400)
+def _day(date: str) -> Column:
+    return F.substring(F.coalesce(date, F.lit("")), 1, 10)
+
+
+def highlight_ranks(reviews: DataFrame, as_of: str, keys: tuple[str, ...] = ("entity_id",), more: tuple[str, ...] = ()) -> DataFrame:
+    """reviews(.., comment_length) -> keys, `more`, review_ordinal, score and rank of the five most useful ones of each key.
+
+    comment_length is that of the stripped comment: texts stay out of the sort, and a task sends on five rows of a key.
+    """
+    age = F.floor((F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.try_to_timestamp(_day("date"), F.lit("yyyy-MM-dd")))) / 86400)
     recent = F.coalesce(F.greatest(F.lit(0.0), 3.0 - age / 365.0), F.lit(0.0))
     votes = F.coalesce("thumbs_up", F.lit(0)) - F.coalesce("thumbs_down", F.lit(0))
-    scored = reviews.where(F.length(comment) >= 30).select(
-        *keys, *more, "review_ordinal", F.substring(comment, 1, 500).alias("comment"), F.coalesce("class_name", F.lit("")).alias("class_name"), F.coalesce("grade", F.lit("")).alias("grade"),
-        day.alias("date"), "clarity", "helpful", "difficulty", (votes + F.least(F.length(comment) / 200.0, F.lit(2.0)) + recent).alias("score"),
-    )
+    score = votes + F.least(F.col("comment_length") / 200.0, F.lit(2.0)) + recent
+    scored = reviews.where("comment_length >= 30").select(*keys, *more, "review_ordinal", score.alias("score"))
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "review_ordinal")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= HIGHLIGHTS)
 
 
+def highlights(reviews: DataFrame, as_of: str, keys: tuple[str, ...] = ("entity_id",)) -> DataFrame:
+    """keys, rank and the five most useful comments: votes, length and recency against the moment `as_of`."""
+    shown = F.struct(
+        F.substring("comment", 1, 500).alias("comment"), F.coalesce("class_name", F.lit("")).alias("class_name"), F.coalesce("grade", F.lit("")).alias("grade"), _day("date").alias("date"), "clarity", "helpful", "difficulty",
+    )
+    stripped = reviews.withColumn("comment", strip("comment")).withColumn("comment_length", F.length("comment"))
+    # the struct's fields are computed after the filter, and only the head of a text goes through the sort
+    ranked = highlight_ranks(stripped.withColumn("shown", shown), as_of, keys, ("shown",))
+    return ranked.select(*keys, "review_ordinal", "shown.*", "score", "rank")
+
+
 def department_rows(entities: DataFrame) -> DataFrame:
     """department, professor_count, avg_rating; a null department is one of its own; a rating of 0 is none."""
     r = truthy("avg_rating")

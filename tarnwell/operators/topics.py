@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -116,19 +116,29 @@ def scores(reviews: DataFrame, model: DataFrame, keys: tuple[str, ...], text: st
     return by.select(*keys, F.explode(posterior).alias("x")).select(*keys, "x.category", "x.probability")
 
 
-def classify(counts: dict[str, Counter], totals: dict[str, int], vocabulary: int, words: Iterable[str]) -> dict[str, float]:
-    """Posterior of one tokenized text, to 4 digits."""
-    words = list(words)
-    if not words:
-        return dict.fromkeys(CATEGORIES, round(1 / len(CATEGORIES), 4))
-    logs = {}
-    for c in CATEGORIES:
-        scale = totals[c] + vocabulary + SPARE_VOCABULARY
-        logs[c] = math.log(1 / len(CATEGORIES)) + sum(math.log((counts[c].get(w, 0) + 1) / scale) for w in words)
-    most = max(logs.values())
-    exps = {c: math.exp(x - most) for c, x in logs.items()}
-    total = sum(exps.values())
-    return {c: round(e / total, 4) for c, e in exps.items()}
+class TopicCounts:
+    """A model that learns text by text: one row of counts for each token, one column for each category."""
+
+    def __init__(self) -> None:
+        seeds = seed_counts()
+        self.row = {t: i for i, t in enumerate(dict.fromkeys(t for c in CATEGORIES for t in seeds[c]))}
+        self.counts = np.array([[seeds[c][t] for c in CATEGORIES] for t in self.row], float)
+        self.totals = self.counts.sum(axis=0)
+
+    def posterior(self, words: list[str]) -> np.ndarray:
+        """Probabilities in the order of CATEGORIES, to 4 digits; those of no words are equal."""
+        known = [self.row[w] for w in words if w in self.row]
+        log = np.log1p(self.counts[known]).sum(axis=0) - len(words) * np.log(self.totals + len(self.row) + SPARE_VOCABULARY)
+        odds = np.exp(log - log.max())
+        return np.array([round(float(p), 4) for p in odds / odds.sum()])
+
+    def learn(self, words: list[str], category: int) -> None:
+        for w in words:
+            self.row.setdefault(w, len(self.row))
+        if len(self.row) > len(self.counts):  # room for as many again
+            self.counts = np.vstack([self.counts, np.zeros((2 * len(self.row) - len(self.counts), len(CATEGORIES)))])
+        np.add.at(self.counts[:, category], [self.row[w] for w in words], 1)
+        self.totals[category] += len(words)
 
 
 def train(reviews: DataFrame, order: tuple[str, ...] = ("entity_ordinal", "review_ordinal")) -> DataFrame:
@@ -139,20 +149,15 @@ def train(reviews: DataFrame, order: tuple[str, ...] = ("entity_ordinal", "revie
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = seed_counts()
-        totals = {c: sum(n.values()) for c, n in counts.items()}
-        vocabulary = set().union(*counts.values())
+        model = TopicCounts()
         for words in pdf.sort_values(list(order))["w"]:
-            if len(words) == 0:
-                continue
-            p = classify(counts, totals, len(vocabulary), words)
-            top = max(p, key=p.get)
-            if p[top] > CONFIDENT:
-                counts[top].update(words)
-                totals[top] += len(words)
-                vocabulary.update(words)
-        rows = [(c, t, n) for c in CATEGORIES for t, n in counts[c].items()]
-        return pd.DataFrame(rows, columns=["category", "token", "cnt"]).assign(school=pdf["school"].iloc[0])[["school", "category", "token", "cnt"]]
+            if len(words):
+                p = model.posterior(list(words))
+                if p.max() > CONFIDENT:
+                    model.learn(list(words), int(p.argmax()))
+        at, of = np.nonzero(model.counts)
+        tokens_, names = np.array([*model.row], object), np.array(CATEGORIES, object)
+        return pd.DataFrame({"school": pdf["school"].iloc[0], "category": names[of], "token": tokens_[at], "cnt": model.counts[at, of].astype(int)})
 
     words = reviews.select("school", *order, tokens("comment").alias("w"))
     return words.groupBy("school").applyInPandas(fold, "school string, category string, token string, cnt long")
@@ -189,3 +194,20 @@ def category_sentiment(rated: DataFrame, keys: tuple[str, ...] = ("entity_id",))
     return s.groupBy(*keys, "category").agg(
         rnd(F.sum("s") / F.count("s"), 2).alias("mean_sentiment"), F.count("s").alias("n_reviews"), rnd(F.count_if(F.col("s") >= POSITIVE) / F.count("s") * 100, 1).alias("pct_positive")
     )
+
+
+def member_columns(scored: Column) -> dict[str, Column]:
+    """in_<category>: whether a review with these scores is one of the category."""
+    return {f"in_{c}": F.element_at(scored, i + 1)["probability"] >= MEMBER for i, c in enumerate(CATEGORIES)}
+
+
+def sentiment_by_flags(rated: DataFrame, keys: tuple[str, ...] = ("entity_id",)) -> DataFrame:
+    """rated(keys, in_<category>.., clarity, helpful) -> what category_sentiment gives.
+
+    A review is one row whatever its categories, and what is shuffled is a row for each key and task.
+    """
+    s = mean_of_present(F.col("clarity"), F.col("helpful"))
+    sums = [f(F.when(F.col(f"in_{c}"), s)).alias(f"{n}_{c}") for c in CATEGORIES for n, f in (("n", F.count), ("t", F.sum))]
+    sums += [F.count_if(F.col(f"in_{c}") & (s >= POSITIVE)).alias(f"p_{c}") for c in CATEGORIES]
+    each = [F.struct(F.lit(c).alias("category"), rnd(F.col(f"t_{c}") / F.nullif(f"n_{c}", F.lit(0)), 2).alias("mean_sentiment"), F.col(f"n_{c}").alias("n_reviews"), rnd(F.col(f"p_{c}") / F.nullif(f"n_{c}", F.lit(0)) * 100, 1).alias("pct_positive")) for c in CATEGORIES]
+    return rated.groupBy(*keys).agg(*sums).select(*keys, F.explode(F.array(*each)).alias("x")).select(*keys, "x.*").where("n_reviews > 0")

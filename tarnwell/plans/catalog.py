@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..functions.scalars import slug, whole
+from ..functions.scalars import slug, strip, whole
 from ..operators import merging, posterior, rollups, topics, trend
 from ..sources import schools as school_files
 from ..sources import testdata
@@ -28,12 +28,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities with the columns of a list row."""
-    e = testdata.entities(spark, sf_dir)
+def _rows(spark: SparkSession, sf_dir: str, grades: bool = False) -> DataFrame:
+    """Entities with the columns of a list row; `grades` adds the shares of grades from the same pass over the reviews."""
+    counts = posterior.rating_counts(testdata.reviews(spark, sf_dir), more=rollups.grade_counts() if grades else ())
+    e = testdata.entities(spark, sf_dir, counts)
     good = posterior.posterior(F.col("n_good"), F.col("n_overall"), posterior.THRESHOLDS["good"])
     e = e.withColumn("good", good).withColumn("n_overall", F.coalesce("n_overall", F.lit(0)))
-    return e.select("school", "ordinal", "entity_id", "legacy_id", "name", "department", "avg_rating", "avg_difficulty", "num_ratings", "would_take_again_pct", F.col("good.mean").alias("good_prob"), "good.ci_lower", "good.ci_upper", "n_overall")
+    return e.select("school", "ordinal", "entity_id", "legacy_id", "name", "department", "avg_rating", "avg_difficulty", "num_ratings", "would_take_again_pct", F.col("good.mean").alias("good_prob"), "good.ci_lower", "good.ci_upper", "n_overall", *((c.alias(n) for n, c in rollups.grade_shares().items()) if grades else ()))
 
 
 def _shown(*more: Column | str) -> list[Column | str]:
@@ -140,8 +141,7 @@ def _classes(spark, sf_dir):
     reviews = testdata.reviews(spark, sf_dir, classes=True)
     classes = rollups.class_breakdown(reviews).select("entity_id", "class_name", "first_ordinal", F.col("num_reviews").alias("course_reviews"), F.col("avg_rating").alias("course_rating"))
     place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("course_reviews"), "first_ordinal", "class_name"))
-    shares = rollups.grade_probabilities(reviews)
-    return classes.withColumn("class_place", place).join(_rows(spark, sf_dir), "entity_id").join(shares, "entity_id", "left")
+    return classes.withColumn("class_place", place).join(_rows(spark, sf_dir, grades=True), "entity_id")
 
 
 def _courses(spark, sf_dir, search=None):
@@ -245,7 +245,9 @@ def _with_doc(spark, sf_dir, reviews: DataFrame) -> DataFrame:
 
 def _sentiment(spark, sf_dir):
     reviews = _with_doc(spark, sf_dir, testdata.reviews(spark, sf_dir).select("entity_id", "clarity", "helpful", "doc_key"))
-    return topics.category_sentiment(reviews.join(topics.members(_topics(spark, sf_dir)), "doc_id"))
+    # an array of one, exploded: each text is scored once
+    scored = testdata.documents_as_reviews(spark, sf_dir).select("doc_id", F.explode(F.array(topics.seed_scores("comment"))).alias("x"))
+    return topics.sentiment_by_flags(reviews.join(scored.select("doc_id", *(c.alias(n) for n, c in topics.member_columns(F.col("x")).items())), "doc_id"))
 
 
 @query
@@ -255,8 +257,7 @@ def category_sentiment(spark, sf_dir):
 
 def _fit(spark, sf_dir):
     wide = _sentiment(spark, sf_dir).groupBy("entity_id").agg(*(F.max(F.when(F.col("category") == c, F.col("pct_positive"))).alias(f"pct_{c}") for c in topics.CATEGORIES))
-    shares = rollups.grade_probabilities(testdata.reviews(spark, sf_dir))
-    rows = _rows(spark, sf_dir).join(wide, "entity_id", "left").join(shares, "entity_id", "left")
+    rows = _rows(spark, sf_dir, grades=True).join(wide, "entity_id", "left")
     return endpoints.fit(rows, limit=100, **oracle.FIT_PREFS)
 
 
@@ -272,13 +273,14 @@ def fit_rows(spark, sf_dir):
 
 @query
 def highlights(spark, sf_dir):
-    reviews = _with_doc(spark, sf_dir, testdata.reviews(spark, sf_dir).withColumn("class_name", F.lit(""))).join(testdata.documents_as_reviews(spark, sf_dir), "doc_id")
-    return rollups.highlights(reviews, AS_OF, more=("doc_key",)).select("entity_id", "doc_key", "score", "rank")
+    lengths = testdata.documents_as_reviews(spark, sf_dir).select("doc_id", F.length(strip("comment")).alias("comment_length"))  # a number for each text, found once
+    reviews = _with_doc(spark, sf_dir, testdata.reviews(spark, sf_dir)).join(lengths, "doc_id")
+    return rollups.highlight_ranks(reviews, AS_OF, more=("doc_key",)).select("entity_id", "doc_key", "score", "rank")
 
 
 @query
 def label_columns(spark, sf_dir):
-    rows = _rows(spark, sf_dir).join(rollups.grade_probabilities(testdata.reviews(spark, sf_dir)), "entity_id", "left")
+    rows = _rows(spark, sf_dir, grades=True)
     line = labels.bottom_line(F.col("avg_rating"), F.col("avg_difficulty"), F.col("a_range"), F.col("would_take_again_pct"))
     flags = labels.list_flags(F.col("avg_rating"), F.col("avg_difficulty"), F.col("would_take_again_pct"), F.lit(None).cast("string"))
     return rows.select("entity_id", labels.letter_grade(F.col("good_prob")).alias("letter"), labels.difficulty_label(F.col("avg_difficulty")).alias("difficulty_label"), F.when(F.size(flags) > 0, F.array_join(flags, "|")).alias("flags"), line["grade"].alias("grade_line"))
@@ -291,7 +293,7 @@ QUERIES["labels"] = QUERIES.pop("label_columns")
 def detail_labels(spark, sf_dir):
     """What a detail page says of every row: warnings, bottom line, short verdict, initials, and numbers as text."""
     wide = _sentiment(spark, sf_dir).where(F.col("category") == "lectures").select("entity_id", F.col("pct_positive").alias("pct_lectures"))
-    rows = _rows(spark, sf_dir).join(wide, "entity_id", "left").join(rollups.grade_probabilities(testdata.reviews(spark, sf_dir)), "entity_id", "left")
+    rows = _rows(spark, sf_dir, grades=True).join(wide, "entity_id", "left")
     none = F.lit(None).cast("string")
     flags = labels.detail_flags(F.col("avg_rating"), F.col("avg_difficulty"), F.col("would_take_again_pct"), none, F.col("pct_lectures"))
     line = labels.bottom_line(F.col("avg_rating"), F.col("avg_difficulty"), F.col("a_range"), F.col("would_take_again_pct"))
