@@ -91,6 +91,13 @@ def professor_tags(spark, sf_dir):
     return shown.select("entity_id", "place", "t.tag", "t.count", "t.opacity")
 
 
+@query
+def list_rows(spark, sf_dir):
+    """Whole list rows, the first five tags with them."""
+    tags = testdata.tags(spark, sf_dir).select("entity_id", F.array_join(F.transform(endpoints.top_tags(F.col("top_tags")), lambda t: F.concat_ws(":", t["tag"], t["count"].cast("string"))), "|").alias("top_tags"))
+    return endpoints.list_professors(_rows(spark, sf_dir).join(tags, "entity_id", "left")).select(*_shown("top_tags"))
+
+
 def _counts(spark, sf_dir):
     return posterior.rating_counts(testdata.reviews(spark, sf_dir))
 
@@ -422,6 +429,12 @@ def schools(spark, sf_dir):
     return endpoints.school_list(_schools(spark, sf_dir), pinned="asia")
 
 
+@query
+def schools_search(spark, sf_dir):
+    """The schools whose name holds a typed text, the pinned one first."""
+    return endpoints.school_list(_schools(spark, sf_dir), search="A", pinned="middleeast")
+
+
 @query
 def service_info(spark, sf_dir):
     return endpoints.service_info(_schools(spark, sf_dir))

@@ -276,3 +276,6 @@ r AS (
   FROM (SELECT e.*, list_filter(r.held, lambda x: e.t - x < 86400.0) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
 SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, allowed FROM r""",
 }
+
+SQL["schools_search"] = f"SELECT * FROM ({_SCHOOLS}) WHERE contains(lower(name), 'a')"
+SQL["list_rows"] = with_(*_BASE, _TAGS) + f"SELECT {ROW}, top_tags FROM ent LEFT JOIN (SELECT entity_id, string_agg(tag || ':' || count, '|' ORDER BY place) AS top_tags FROM tags WHERE place < 5 GROUP BY entity_id) USING (entity_id) ORDER BY coalesce(avg_rating, 0) DESC, ordinal LIMIT 200"

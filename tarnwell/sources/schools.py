@@ -91,11 +91,11 @@ def parsed(listing: DataFrame, schema: str = NODE) -> DataFrame:
     return listing.withColumn("_node", F.from_json("node", schema)).select(*(c for c in listing.columns if c not in ("node", "id")), "_node.*")
 
 
-def from_listing(nodes: DataFrame) -> DataFrame:
-    """A listing's camel-case nodes as professor rows; tags renamed, missing tags none."""
+def from_listing(nodes: DataFrame, *more: str) -> DataFrame:
+    """A listing's camel-case nodes as professor rows; tags renamed, missing tags none; `more` names further columns to keep."""
     tags = F.transform(F.coalesce("teacherRatingTags", F.array().cast("array<struct<tagName:string,tagCount:bigint>>")), lambda t: F.struct(t["tagName"].alias("tag"), t["tagCount"].alias("count")))
     own = [F.coalesce(c, F.lit("Unknown")).alias(n) if n == "department" else F.col(c).alias(n) for c, n in PROFESSOR_NAMES.items()]
-    return nodes.select(*own, tags.alias("top_tags"))
+    return nodes.select(*more, *own, tags.alias("top_tags"))
 
 
 def to_listing(professors: DataFrame) -> DataFrame:
