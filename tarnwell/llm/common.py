@@ -172,3 +172,13 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 1 << 1
 def starts(values: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, int)
+
+
+def bit_filter(at: Column, rows: DataFrame, power: int) -> np.ndarray:
+    """2^power bits as 64-bit words, those set at which a row has the number `at`; as large whatever the table's size."""
+    at = at.bitwiseAND(F.lit((1 << power) - 1))
+    cell, bit = F.call_function("shiftrightunsigned", at, F.lit(6)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    found = rows.select(cell.alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^(power - 6) rows at most
+    out = np.zeros(1 << (power - 6), np.uint64)
+    out[found["cell"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out

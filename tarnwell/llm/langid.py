@@ -1,8 +1,9 @@
 """Language identification, words first.
 
 A known word is scored by its log frequency in each language; an unseen word falls back to the longest of its character
-n-grams that the model knows. Counts cover all documents that may be learned from. The most frequent words and all n-grams
-are broadcast; counts of the other words stay a table, which the words of texts are joined with.
+n-grams that the model knows. Counts cover all documents that may be learned from. The most frequent words and n-grams are
+broadcast; counts of the others stay tables. Words of texts are joined with the words' table; an unseen word that may hold
+an n-gram of the other table, which a filter of fixed size tells, is joined with that one.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest, most_frequent, saved, starts, table, whole_groups
+from .common import bit_filter, crc_rest, most_frequent, saved, starts, table, whole_groups
 
 
 
@@ -54,6 +56,8 @@ HELD_OUT = 1
 EVIDENCE = 20
 #: The most frequent words, which every worker holds (about 20 MB); the others' counts are joined.
 BROADCAST = 1 << 17
+#: The most frequent n-grams, likewise, and the bits (as a power of two) that tell whether another one may be known.
+GRAMS, GRAM_BITS = 1 << 17, 25
 #: Unseen words whose n-grams a worker remembers.
 REMEMBERED = 100_000
 
@@ -62,7 +66,8 @@ REMEMBERED = 100_000
 class Model:
     """languages; a row for each broadcast word and n-gram, with its log frequency in each language; log prior.
 
-    rest: (item, counts in each language) of the other words, None if there are none; word_sums: log denominators of words.
+    rest: (item, counts in each language) of the other words, None if there are none; gram_rest: of all n-grams, None if all
+    are broadcast, and gram_bits its filter; word_sums and gram_sums: log denominators.
     """
 
     languages: tuple[str, ...]
@@ -72,7 +77,10 @@ class Model:
     gram_logs: np.ndarray
     prior: np.ndarray
     word_sums: np.ndarray
+    gram_sums: np.ndarray
     rest: DataFrame | None = None
+    gram_rest: DataFrame | None = None
+    gram_bits: np.ndarray | None = None
 
 
 def _emit(counts: Counter) -> pa.RecordBatch:
@@ -112,10 +120,17 @@ def _logs(counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return np.log(counts + 0.5) - sums
 
 
-def train(docs: DataFrame, most_words: int = BROADCAST) -> Model:
-    """A model from docs(text, lang): rows whose text and language are not null. most_words: how many words are broadcast.
+def _by_item(counts: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """(lang, item, n) -> item, all, counts in the order of the languages; an item is a row, a language no column."""
+    lists = counts.groupBy("item").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("m"))
+    in_order = F.transform(F.array(*map(F.lit, languages)), lambda x: F.coalesce(F.try_element_at("m", x), F.lit(0))) if languages else F.array()
+    return lists.select("item", "all", in_order.cast("array<bigint>").alias("counts"))
 
-    Repeated rows count as often as they occur. Counts of the other words are joined, so `most_words` moves work, not results.
+
+def train(docs: DataFrame, most_words: int = BROADCAST, most_grams: int = GRAMS) -> Model:
+    """A model from docs(text, lang): rows whose text and language are not null. At most so many words and n-grams are broadcast.
+
+    Repeated rows count as often as they occur. Counts of the others are joined, so the limits move work, not results.
     """
     use = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     words = saved(use.mapInArrow(_word_counts, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")))
@@ -123,23 +138,72 @@ def train(docs: DataFrame, most_words: int = BROADCAST) -> Model:
 
     sums = {r["lang"]: (r["n"], r["types"]) for r in words.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()}
     languages = tuple(sorted(sums))
-    counts = F.array(*(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)) for x in languages)).cast("array<bigint>").alias("counts")
-    by_word = saved(words.groupBy("item").agg(F.sum("n").alias("all"), counts))
-    top = most_frequent(by_word, "item", "all", most_words)
-    types = by_word.count()
+    by_word, by_gram = saved(_by_item(words, languages)), saved(_by_item(grams, languages))
+    top, top_grams = most_frequent(by_word, "item", "all", most_words), most_frequent(by_gram, "item", "all", most_grams)
+    types, gram_types = by_word.count(), by_gram.count()
     totals = np.array([sums[x][0] for x in languages], float)
-    word_sums = _sums(totals, types)
-    found = grams.groupBy("item").agg(counts).toArrow()
-    gram_counts = found.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(found.num_rows, len(languages)).astype(float)
+    by_place = by_gram.select(F.posexplode("counts").alias("place", "n")).groupBy("place").agg(F.sum("n").alias("n"))
+    gram_totals = np.zeros(len(languages))
+    for r in by_place.collect():  # a row for each language
+        gram_totals[r["place"]] = r["n"]
+    word_sums, gram_sums = _sums(totals, types), _sums(gram_totals, gram_types)
+    table_of = lambda found: np.array([r["counts"] for r in found], float).reshape(len(found), len(languages))
     rest = by_word.select("item", "counts").join(F.broadcast(words.sparkSession.createDataFrame([(r["item"],) for r in top], "item string")), "item", "left_anti") if types > len(top) else None
+    more = gram_types > len(top_grams)
     return Model(
         languages,
-        {r["item"]: i for i, r in enumerate(top)}, _logs(np.array([r["counts"] for r in top], float).reshape(len(top), len(languages)), word_sums),
-        {g: i for i, g in enumerate(found.column("item").to_pylist())}, _logs(gram_counts, _sums(gram_counts.sum(axis=0), found.num_rows)),
-        np.log(totals / max(totals.sum(), 1.0)), word_sums, rest,
+        {r["item"]: i for i, r in enumerate(top)}, _logs(table_of(top), word_sums),
+        {r["item"]: i for i, r in enumerate(top_grams)}, _logs(table_of(top_grams), gram_sums),
+        np.log(totals / max(totals.sum(), 1.0)), word_sums, gram_sums, rest,
+        by_gram.select("item", "counts") if more else None, bit_filter(F.xxhash64("item"), by_gram, GRAM_BITS) if more else None,
     )
 
 
+def _may_be_known(model: Model, gram: str) -> bool:
+    """Whether the table of n-grams may hold one that is not broadcast."""
+    h = xxhash.xxh64_intdigest(gram.encode(), seed=42) & (64 * len(model.gram_bits) - 1)
+    return bool(int(model.gram_bits[h >> 6]) >> (h & 63) & 1)
+
+
+def _by_rare_grams(unseen: DataFrame, model: Model, shared) -> DataFrame:
+    """unseen(word) -> word, logs: the mean log frequencies of the longest known n-grams, for words that need the table."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            out = []
+            for word in batch.column(0).to_pylist():
+                asked, maybe = [], False
+                for k in LENGTHS:
+                    found = word_grams(word, k)
+                    asked += [(word, k, g) for g in found]
+                    here = any(g in model.grams for g in found)
+                    maybe = maybe or any(g not in model.grams and _may_be_known(model, g) for g in found)
+                    if here:  # at this length at the latest the word is decided
+                        break
+                if maybe:
+                    out += asked
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.string()), strict=True)], ["word", "k", "item"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for t in whole_groups(batches, "word", 1 << 14):
+            said, sizes = t.column("word").to_pylist(), t.column("k").to_pylist()
+            logs = _logs(np.array(t.column("counts").to_pylist(), float).reshape(t.num_rows, -1), model.gram_sums)
+            longest: dict[str, int] = {}
+            for w, k in zip(said, sizes, strict=True):
+                longest[w] = max(k, longest.get(w, 0))
+            places: dict[str, list[int]] = {}
+            for i, (w, k) in enumerate(zip(said, sizes, strict=True)):
+                if k == longest[w]:
+                    places.setdefault(w, []).append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(list(places)), pa.array([logs[p].mean(axis=0).tolist() for p in places.values()], pa.list_(pa.float64()))], ["word", "logs"])
+
+    met = unseen.mapInArrow(ask, "word string, k int, item string").join(model.gram_rest, "item")
+    return met.select("word", "k", "counts").repartition("word").sortWithinPartitions("word").mapInArrow(decide, "word string, logs array<double>")
+
+
 def evidence(model: Model, said: Counter) -> tuple[np.ndarray, int]:
     """Summed log frequencies of a text's words in each language, and the number of words that count."""
     rows, times, loose, owner, weight = [], [], [], [], []
@@ -162,7 +226,7 @@ def evidence(model: Model, said: Counter) -> tuple[np.ndarray, int]:
 
 
 def predict_one(model: Model, text: str | None) -> tuple[str, float]:
-    """(language, probability) by a model without rest; ("und", 0) for a null text or one without letters."""
+    """(language, probability) by a model that is broadcast whole; ("und", 0) for a null text or one without letters."""
     said = Counter(letter_words((text or "").lower()))
     if not model.languages or not said:
         return "und", 0.0
@@ -180,7 +244,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     order is told. Repeated rows and null ids are rows like any other; very long texts count whole, each different word
     once with its frequency. An empty table gives an empty table.
     """
-    if model.rest is not None:
+    if model.rest is not None or model.gram_rest is not None:
         return _predict_joined(docs, model, keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -197,7 +261,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 def _predict_joined(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
     """What `predict` tells, where words of texts that are not broadcast meet their counts in a join."""
-    shared = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None, gram_rest=None))
     names = ["at", "word", "n", "row", "lettered", "total"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +322,9 @@ def _predict_joined(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> Dat
                 total[:, i] += np.bincount(owner[met], logs[:, i], len(begins))
             times += np.bincount(owner[met], n[met], len(begins))
             loose = np.flatnonzero(~met & ~text)
-            for k, word in zip(loose.tolist(), t.column("word").take(pa.array(loose)).to_pylist(), strict=True):
-                if (x := by_grams(word)) is not None:
+            rare = t.column("logs").take(pa.array(loose)).to_pylist()
+            for k, word, logs in zip(loose.tolist(), t.column("word").take(pa.array(loose)).to_pylist(), rare, strict=True):
+                if (x := by_grams(word) if logs is None else np.array(logs)) is not None:
                     total[owner[k]] += n[k] * x
                     times[owner[k]] += n[k]
             x = model.prior + total * np.minimum(1.0, EVIDENCE / np.maximum(times, 1))[:, None]
@@ -273,7 +338,15 @@ def _predict_joined(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> Dat
     rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     sent = rows.mapInArrow(send, f"at long, word string, n long, row {kind}, lettered boolean, total array<double>")
-    met = sent.join(model.rest.withColumnRenamed("item", "word").hint("shuffle_hash"), "word", "left")
+    if model.rest is not None:
+        met = sent.join(model.rest.withColumnRenamed("item", "word").hint("shuffle_hash"), "word", "left")
+    else:
+        met = sent.withColumn("counts", F.lit(None).cast("array<bigint>"))
+    if model.gram_rest is not None:
+        unseen = met.where("counts IS NULL AND lettered IS NULL").select("word").distinct()
+        met = met.join(_by_rare_grams(unseen, model, shared), "word", "left")
+    else:
+        met = met.withColumn("logs", F.lit(None).cast("array<double>"))
     met = met.withColumn("word", F.when(F.col("counts").isNull() & F.col("lettered").isNull(), F.col("word")))
     told = met.repartition("at").sortWithinPartitions("at").mapInArrow(tell, f"row {kind}, lang_pred string, score double")
     return told.select("row.*", "lang_pred", "score")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
-from collections import defaultdict
+import unicodedata
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -330,3 +333,70 @@ def test_hot_keys_join_like_others(spark, tmp_path):
     got = common.joined(common.saved(rows), common.saved(labels), ["k"], "n", 5000)
     want = rows.join(labels, "k").select("k", "x", "n", "label")
     assert sorted(map(tuple, got.select("k", "x", "n", "label").collect())) == sorted(map(tuple, want.collect()))
+
+
+def languages_brute(learn, texts):
+    """(language, probability) of each text, by a plain version of the method."""
+    def words_of(text):
+        out, now = [], ""
+        for c in (text or "").lower() + " ":
+            kind = unicodedata.category(c)[0]
+            if kind == "L" or (kind == "M" and now):
+                now += c
+            else:
+                out += [now] if now else []
+                now = ""
+        return out
+
+    def parts(word, k):
+        marked = "^" + word + "$"
+        return [marked[i : i + k] for i in range(len(marked) - k + 1)]
+
+    said = {}
+    for text, lang in learn:
+        if text is not None and lang is not None:
+            said.setdefault(lang, Counter()).update(words_of(text))
+    said = {lang: c for lang, c in said.items() if c}
+    langs = sorted(said)
+    grams = {lang: Counter(g for w in said[lang] for k in (1, 2, 3, 4) for g in parts(w, k)) for lang in langs}
+    known, known_grams = set().union(*said.values()), set().union(*grams.values())
+    log = lambda counts, item, types: math.log((counts[item] + 0.5) / (counts.total() + 0.5 * (types + 1)))
+    everything = sum(c.total() for c in said.values())
+    out = []
+    for text in texts:
+        own = words_of(text)
+        if not own or not langs:
+            out.append(("und", 0.0))
+            continue
+        score, n = dict.fromkeys(langs, 0.0), 0
+        for w in own:
+            if w in known:
+                n += 1
+                for x in langs:
+                    score[x] += log(said[x], w, len(known))
+                continue
+            for k in (4, 3, 2, 1):
+                if found := [g for g in parts(w, k) if g in known_grams]:
+                    n += 1
+                    for x in langs:
+                        score[x] += sum(log(grams[x], g, len(known_grams)) for g in found) / len(found)
+                    break
+        at = {x: math.log(said[x].total() / everything) + score[x] * min(1.0, 20 / max(n, 1)) for x in langs}
+        most = max(at.values())
+        odds = {x: math.exp(v - most) for x, v in at.items()}
+        best = max(langs, key=lambda x: odds[x])
+        out.append((best, odds[best] / sum(odds.values())))
+    return out
+
+
+@pytest.mark.parametrize("limits", [(1 << 17, 1 << 17), (20, 1 << 17), (1 << 17, 30), (15, 25), (0, 0)])
+def test_languages_match_brute_force(spark, sf_dir, limits):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60).collect()
+    learn = [(r["text"][:600], r["lang"]) for r in rows[:30]] + [("\u4f60\u597d \u4e16\u754c", "zh"), ("cafe\u0301 na\u00efve x\u00b2", "fr"), (None, "en"), ("word", None), ("12 34", "xx")]
+    texts = [r["text"][:400] for r in rows[20:]] + [None, "", "42", "\u4f60 zzzq qqqq", "caf\u00e9 cafe\u0301", "xylophone " * 30, "\u16a0\u16a1"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    model = langid.train(spark.createDataFrame(learn, "text string, lang string"), *limits)
+    assert len(model.words) <= limits[0] and len(model.grams) <= limits[1]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, model).collect()}
+    for i, (lang, score) in enumerate(languages_brute(learn, texts)):
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-9), texts[i]
