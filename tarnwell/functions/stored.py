@@ -1,10 +1,11 @@
-"""Tables on the way, in the folder that driver and executors share."""
+"""Tables on the way, in the folder that driver and executors share, and sums over an order too long for one task."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +23,24 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df without its lineage, in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def in_ranges(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """df, stored, with `_range`: its rows dealt into ranges of (by, order)."""
+    return cut(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def sums_before(dealt: DataFrame, by: tuple[str, ...], order: tuple[str, ...], sums: dict[str, Column]) -> DataFrame:
+    """A table of `in_ranges` with columns that hold sums over the rows before, by `order`, of the same `by`.
+
+    Rows are summed within their range; what a group has in ranges before is added. A range's edge lies in one group, so
+    there are no more such sums than ranges, whatever the size of a group.
+    """
+    before = (Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("double")
+    of_range = dealt.groupBy(*by, "_range").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    over = Window.partitionBy(*by).orderBy("_range").rowsBetween(*before)
+    carried = of_range.select(*by, "_range", F.row_number().over(Window.partitionBy(*by).orderBy("_range")).alias("_n"), *(F.sum(k).over(over).alias(f"_{k}") for k in sums)).where("_n > 1").drop("_n")
+    inside = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(*before)
+    both = dealt.join(F.broadcast(carried), [*by, "_range"], "left")  # at most a row for each range
+    return both.withColumns({k: (F.coalesce(F.col(f"_{k}"), zero) + F.coalesce(F.sum(v).over(inside), zero)) for k, v in sums.items()}).drop(*(f"_{k}" for k in sums))

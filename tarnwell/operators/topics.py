@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mean_of_present, rnd, tokens
+from ..functions.stored import cut, in_ranges, sums_before
 
 #: Seed phrases of each category. Each word of a phrase counts SEED_WEIGHT.
 SEEDS = {
@@ -116,51 +115,49 @@ def scores(reviews: DataFrame, model: DataFrame, keys: tuple[str, ...], text: st
     return by.select(*keys, F.explode(posterior).alias("x")).select(*keys, "x.category", "x.probability")
 
 
-class TopicCounts:
-    """A model that learns text by text: one row of counts for each token, one column for each category."""
-
-    def __init__(self) -> None:
-        seeds = seed_counts()
-        self.row = {t: i for i, t in enumerate(dict.fromkeys(t for c in CATEGORIES for t in seeds[c]))}
-        self.counts = np.array([[seeds[c][t] for c in CATEGORIES] for t in self.row], float)
-        self.totals = self.counts.sum(axis=0)
-
-    def posterior(self, words: list[str]) -> np.ndarray:
-        """Probabilities in the order of CATEGORIES, to 4 digits; those of no words are equal."""
-        known = [self.row[w] for w in words if w in self.row]
-        log = np.log1p(self.counts[known]).sum(axis=0) - len(words) * np.log(self.totals + len(self.row) + SPARE_VOCABULARY)
-        odds = np.exp(log - log.max())
-        return np.array([round(float(p), 4) for p in odds / odds.sum()])
-
-    def learn(self, words: list[str], category: int) -> None:
-        for w in words:
-            self.row.setdefault(w, len(self.row))
-        if len(self.row) > len(self.counts):  # room for as many again
-            self.counts = np.vstack([self.counts, np.zeros((2 * len(self.row) - len(self.counts), len(CATEGORIES)))])
-        np.add.at(self.counts[:, category], [self.row[w] for w in words], 1)
-        self.totals[category] += len(words)
-
-
 def train(reviews: DataFrame, order: tuple[str, ...] = ("entity_ordinal", "review_ordinal")) -> DataFrame:
     """(school, category, token, cnt): self-training in document order, exact.
 
-    Each confident review changes the model that the next one meets, so the fold is serial within a school and parallel
-    across schools; `train_batch` is the parallel alternative.
+    Each confident review changes the model that the next one meets. Instead of one after the other, all reviews of all
+    schools are labelled at once under the counts that the labels of the reviews before them give, and again until no label
+    changes. Labels that come out of themselves are those of the serial fold, for the first review meets the seeds alone,
+    the second what the first has left, and so on; and each round settles one review more at least, in practice most of
+    them. Counts before a review are sums over ranges of the reviews' order, so no task holds a school or a frequent token.
+    Reviews of equal places are taken in the order of their hash; those without tokens change nothing.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = TopicCounts()
-        for words in pdf.sort_values(list(order))["w"]:
-            if len(words):
-                p = model.posterior(list(words))
-                if p.max() > CONFIDENT:
-                    model.learn(list(words), int(p.argmax()))
-        at, of = np.nonzero(model.counts)
-        tokens_, names = np.array([*model.row], object), np.array(CATEGORIES, object)
-        return pd.DataFrame({"school": pdf["school"].iloc[0], "category": names[of], "token": tokens_[at], "cnt": model.counts[at, of].astype(int)})
-
-    words = reviews.select("school", *order, tokens("comment").alias("w"))
-    return words.groupBy("school").applyInPandas(fold, "school string, category string, token string, cnt long")
+    spark = reviews.sparkSession
+    place = F.struct(*(F.col(c) for c in order), F.xxhash64("w").alias("tie"))
+    docs = reviews.select("school", *order, tokens("comment").alias("w")).where(F.size("w") > 0).select("school", place.alias("at"), F.col("w"), F.size("w").cast("double").alias("n"))
+    terms = docs.select("school", "at", F.explode("w").alias("token")).groupBy("school", "token", "at").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    terms, texts = in_ranges(terms, ("school", "token"), ("at",)), in_ranges(docs.select("school", "at", "n"), ("school",), ("at",))
+    seeds = seed_counts()
+    known = sorted(set().union(*seeds.values()))
+    seeded = F.create_map(*(x for t in known for x in (F.lit(t), F.array(*(F.lit(float(seeds[c][t])) for c in CATEGORIES)))))
+    labels = texts.select("school", "at", F.lit(None).cast("int").alias("label"))  # at first every review meets the seeds
+    while True:
+        told = terms.join(labels, ["school", "at"])
+        said = F.col("label").isNotNull()
+        sums = {f"c{i}": F.when(F.col("label") == i, F.col("tf")).otherwise(0.0) for i in range(len(CATEGORIES))}
+        met = sums_before(told, ("school", "token"), ("at",), sums)
+        seed = lambda i: F.coalesce(F.get(seeded[F.col("token")], i), F.lit(0.0))
+        new = said & seeded[F.col("token")].isNull() & (sum((F.col(f"c{i}") for i in range(1, len(CATEGORIES))), F.col("c0")) == 0)
+        of_text = met.groupBy("school", "at").agg(F.array(*(F.sum(F.col("tf") * F.ln(1.0 + seed(i) + F.col(f"c{i}"))) for i in range(len(CATEGORIES)))).alias("logs"), F.sum(F.when(new, 1.0).otherwise(0.0)).alias("fresh"))
+        rows = texts.join(labels, ["school", "at"]).join(of_text, ["school", "at"])
+        totals = {f"t{i}": F.when(F.col("label") == i, F.col("n")).otherwise(0.0) for i in range(len(CATEGORIES))}
+        after = sums_before(rows, ("school",), ("at",), totals | {"v": F.col("fresh")})
+        vocabulary = F.col("v") + float(len(known) + SPARE_VOCABULARY)
+        logs = {c: F.get("logs", i) - F.col("n") * F.ln(F.col(f"t{i}") + float(sum(seeds[c].values())) + vocabulary) for i, c in enumerate(CATEGORIES)}
+        odds = F.transform(_posterior(logs), lambda x: x["probability"])
+        most = F.array_max("odds")
+        now = after.select("school", "at", F.col("label").alias("before"), odds.alias("odds")).select("school", "at", "before", F.when(most > CONFIDENT, F.array_position("odds", most).cast("int") - 1).alias("label"))
+        now = cut(now)
+        changed = now.where(~F.col("before").eqNullSafe(F.col("label"))).limit(1).count()
+        labels = now.select("school", "at", "label")
+        if not changed:
+            break
+    learned = terms.join(labels.where("label IS NOT NULL"), ["school", "at"]).select("school", F.get(F.array(*map(F.lit, CATEGORIES)), F.col("label")).alias("category"), "token", F.col("tf").cast("long").alias("cnt"))
+    every = reviews.select("school").distinct().crossJoin(F.broadcast(seed_model(spark)))  # 150 seed rows
+    return learned.unionByName(every).groupBy("school", "category", "token").agg(F.sum("cnt").alias("cnt"))
 
 
 def train_batch(reviews: DataFrame) -> DataFrame:
