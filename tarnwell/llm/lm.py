@@ -10,11 +10,13 @@ A word's probability within the unit of its class's other words is its smoothed
 unseen words.
 
 Word counts are of the whole training corpus. The KNOWN most frequent words are broadcast; counts of the rest are joined.
+Texts are turned into units once, two bytes each, in a stored table from which training and scoring read.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -145,13 +147,14 @@ def _times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _log_sum(s: np.ndarray, safe: bool) -> np.ndarray:
     """log sum exp of each row, in place; `safe` says that no exp() can overflow."""
+    ones = np.ones(s.shape[1], s.dtype)
     if safe:
         np.exp(s, out=s)
-        return np.log(s.sum(axis=1))
+        return np.log(s @ ones)
     most = s.max(axis=1)
     s -= most[:, None]
     np.exp(s, out=s)
-    return np.log(s.sum(axis=1)) + most
+    return np.log(s @ ones) + most
 
 
 @dataclass
@@ -196,17 +199,19 @@ class Model:
         Blocks of tokens are put in order of class, so that a class's tokens meet its units in one product.
         """
         out = np.empty(len(units))
-        order = np.argsort(units, kind="stable")
-        klass = np.searchsorted(begin, units, "right") - 1
+        order = np.argsort(units.astype(np.uint16), kind="stable")
+        class_of = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        placed = self.place[:, None] * self.context
         classes = np.concatenate([self.classes.T, self.class_bias[None]])
         target = np.ascontiguousarray(np.concatenate([self.target.T, self.bias[None]]))
         longest = max(np.sqrt((x**2).sum(axis=1).max()) for x in (self.classes, self.target))
         widest = max(np.abs(x).max() for x in (self.bias, self.class_bias))
         for at in range(0, len(units), SCORED):
             rows = order[at : at + SCORED]
-            u, k = units[rows], klass[rows]
+            u = units[rows]
+            k = class_of[u]
             q = np.ones((len(rows), WIDTH + 1), np.float32)
-            q[:, :WIDTH] = self.predicted(near[:, rows])
+            q[:, :WIDTH] = sum(placed[i].take(near[i].take(rows), axis=0) for i in range(CONTEXT))
             safe = bool(np.sqrt((q[:, :WIDTH] ** 2).sum(axis=1).max()) * longest + widest < 80)
             s = _times(q, classes)
             told = s[np.arange(len(rows)), k]
@@ -245,34 +250,48 @@ class Trainer:
         self.rng = np.random.default_rng(seed)
 
     def step(self, near: np.ndarray, units: np.ndarray) -> None:
-        m, n, k = self.m, len(units), self.klass[units]
+        """One step on tokens, which are put in order of class first, so that a class's noise meets its tokens in one product."""
+        order = np.argsort(units.astype(np.uint16), kind="stable")
+        m, n, near, units = self.m, len(units), near.take(order, axis=1), units.take(order)
+        k = self.klass.take(units)
+        heads = starts(k)
         noise = np.minimum(np.searchsorted(self.ladder, self.rng.random(NOISE)), len(self.ladder) - 1)
-        low, high = self.begin[k], self.begin[k + 1]
+        met = k[heads]
+        low, high = self.begin[met], self.begin[met + 1]
         edge = self.inner[self.begin]
         drawn = edge[:-1, None] + self.rng.random((len(edge) - 1, NOISE_INSIDE)) * np.diff(edge)[:, None]
-        inner = np.clip(np.searchsorted(self.inner, drawn, "right") - 1, self.begin[:-1, None], self.begin[1:, None] - 1)
-        x = [m.context[near[i]] for i in range(CONTEXT)]
+        inner = np.clip(np.searchsorted(self.inner, drawn[met], "right") - 1, low[:, None], high[:, None] - 1)
+        x = [m.context.take(near[i], axis=0) for i in range(CONTEXT)]
+        ones = np.ones((n, WIDTH + 1), np.float32)  # with the bias's column
         q = sum(m.place[i] * x[i] for i in range(CONTEXT))
+        ones[:, :WIDTH] = q
         # classes
-        t, z = m.classes[k], m.classes[noise]
-        true = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, t) + m.class_bias[k] - self.log_noise[k]))
+        t, z = m.classes.take(k, axis=0), m.classes[noise]
+        true = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, t) + (m.class_bias - self.log_noise).take(k)))
         false = -1 / (1 + np.exp(-(_times(q, z.T) + (m.class_bias - self.log_noise)[noise])))
         dq = true[:, None] * t + _times(false, z)
         classes, class_bias = np.zeros_like(m.classes), np.bincount(k, true, len(m.class_bias)).astype(np.float32)
-        _scatter(classes, k, true[:, None] * q)
-        part = -(-n // 128)
-        pushed = sum(false[i::part].T @ q[i::part] for i in range(part))
+        classes[met] = np.add.reduceat(true[:, None] * q, heads, axis=0)
+        pushed = sum(false[at : at + 128].T @ q[at : at + 128] for at in range(0, n, 128))
         np.add.at(classes, noise, pushed)
         np.add.at(class_bias, noise, false.sum(axis=0))
         # units within their classes; a class of one unit has nothing to tell apart
         some = (high - low > 1).astype(np.float32)
-        t, z = m.target[units], m.target[inner][k]
-        true = some / (1 + np.exp(np.einsum("ij,ij->i", q, t) + m.bias[units] - self.log_inner[units]))
-        false = -some[:, None] / (1 + np.exp(-(np.einsum("nkd,nd->nk", z, q) + (m.bias - self.log_inner)[inner][k])))
-        dq += true[:, None] * t + np.einsum("nk,nkd->nd", false, z)
-        ones = np.concatenate([q, np.ones((n, 1), np.float32)], axis=1)  # with the bias's column
-        met, pushed = _summed(k, (false[:, :, None] * ones[:, None, :]).reshape(n, -1))
-        at, grown = _summed(np.concatenate([units, inner[met].ravel()]), np.concatenate([true[:, None] * ones, pushed.reshape(-1, WIDTH + 1)]))
+        bounds = [*heads.tolist(), n]
+        alone = np.repeat(some, np.diff(bounds))
+        t, z = m.target.take(units, axis=0), m.target[inner]
+        free = m.bias - self.log_inner
+        true = alone / (1 + np.exp(np.einsum("ij,ij->i", q, t) + free.take(units)))
+        false = np.empty((n, NOISE_INSIDE), np.float32)
+        for i, (a, b) in enumerate(itertools.pairwise(bounds)):
+            np.matmul(q[a:b], z[i].T, out=false[a:b])
+        false = -alone[:, None] / (1 + np.exp(-(false + np.repeat(free[inner], np.diff(bounds), axis=0))))
+        dq += true[:, None] * t
+        pushed = np.empty((len(met), NOISE_INSIDE, WIDTH + 1), np.float32)
+        for i, (a, b) in enumerate(itertools.pairwise(bounds)):
+            dq[a:b] += false[a:b] @ z[i]
+            np.matmul(false[a:b].T, ones[a:b], out=pushed[i])
+        at, grown = _summed(np.concatenate([units, inner.ravel()]), np.concatenate([true[:, None] * ones, pushed.reshape(-1, WIDTH + 1)]))
         seen, context = _summed(near.ravel(), np.concatenate([dq * m.place[i] for i in range(CONTEXT)]))
         place = np.stack([(dq * x[i]).sum(axis=0) for i in range(CONTEXT)])
         here = slice(None)
@@ -288,12 +307,7 @@ def _summed(rows: np.ndarray, add: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different rows (fewer than 65,536 exist), and for each the sum of what is to be added to it."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")
     heads = starts(rows[order])
-    return rows[order[heads]], np.add.reduceat(add[order], heads, axis=0)
-
-
-def _scatter(into: np.ndarray, rows: np.ndarray, add: np.ndarray) -> None:
-    at, sums = _summed(rows, add)
-    into[at] += sums
+    return rows[order[heads]], np.add.reduceat(add.take(order, axis=0), heads, axis=0)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,20 +349,64 @@ def _units(v: Vocabulary, at: np.ndarray) -> np.ndarray:
     return np.r_[np.where(at >= 0, v.unit[np.maximum(at, 0)], v.others[np.maximum(-1 - at, 0)]), v.units - 1].astype(np.int32)
 
 
+def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """docs(doc_id, held_out, round, text) -> the same without text, but with what scores and training need of it:
+
+    row (a number of its own), n_tokens, n_known, base and inside (the sums over broadcast words and the end), units, and
+    loose and times: the words that are not broadcast, each with its number. A stored table, so that row is stable.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+    per_token = math.log10(v.tokens + v.types + 1.0)
+    kinds = {
+        "row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "round": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(),
+        "inside": pa.float64(), "units": pa.binary(), "loose": pa.list_(pa.binary()), "times": pa.list_(pa.int64()),
+    }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        ids, end_log, row = v.ids(), math.log10(v.docs + 1.0), TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                out = []
+                for text in ascii_bytes(part.column(3)):
+                    words = text.lower().split()
+                    a = ids.of(words)
+                    known = a >= 0
+                    inside, unknown = a[known], np.flatnonzero(~known)
+                    loose = Counter(map(words.__getitem__, unknown.tolist()))
+                    base = v.log_count[inside].sum() + end_log - (len(words) + 1) * per_token
+                    shares = v.inside[inside].sum() - v.log_others[-1 - a[unknown]].sum()
+                    out.append((row, len(words) + 1, len(inside) + (v.docs > 0), base, shares, _units(v, a).astype("<u2").tobytes(), list(loose), list(loose.values())))
+                    row += 1
+                row_ids, *others = zip(*out, strict=True)
+                names = list(kinds)
+                told = [pa.array(list(c), kinds[k]) for k, c in zip(names[4:], others, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(row_ids, pa.int64()), *(part.column(i) for i in range(3)), *told], names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("round").cast("long").alias("round"), F.col("text").cast("string").alias("text"))
+    schema = "row long, doc_id long, held_out boolean, round long, n_tokens long, n_known long, base double, inside double, units binary, loose array<binary>, times array<long>"
+    return saved(rows.mapInArrow(run, schema), "zstd")
+
+
+def _unit_arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b, "<u2").astype(np.int32) for b in column.to_pylist()]
+
+
 def train(texts: DataFrame, v: Vocabulary, rounds: int = 2) -> Model:
-    """A model from the columns text and round (0 .. rounds - 1): each round goes over its texts once."""
+    """A model from the columns units and round (0 .. rounds - 1): each round goes over its texts once."""
     model = Model.first(v)
     shared = texts.sparkSession.sparkContext.broadcast(v)
 
     def fit(flat: np.ndarray, turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = shared.value
-            ids, trainer, held, n, total = v.ids(), None, [], 0, 0
+            trainer, held, n, total = None, [], 0, 0
             for batch in batches:
-                for text in ascii_bytes(batch.column(0)):
-                    trainer = trainer or Trainer(Model.of(flat, v), v, zlib.crc32(text, SEED + turn))
-                    held.append(_units(v, ids.of(text.lower().split())))
-                    n += len(held[-1])
+                for text in _unit_arrays(batch.column(0)):
+                    trainer = trainer or Trainer(Model.of(flat, v), v, zlib.crc32(text.tobytes(), SEED + turn))
+                    held.append(text)
+                    n += len(text)
                     if n >= 16 * BATCH:
                         total += _steps(trainer, held, v.units)
                         held, n = [], 0
@@ -360,8 +418,9 @@ def train(texts: DataFrame, v: Vocabulary, rounds: int = 2) -> Model:
         return run
 
     for turn in range(rounds):
-        fitted = texts.where(F.col("round") == turn).select("text").mapInArrow(fit(model.flat(), turn), "params binary, n long")
+        fitted = texts.where(F.col("round") == turn).select("units").mapInArrow(fit(model.flat(), turn), "params binary, n long")
         tasks = fitted.rdd.getNumPartitions()
+        fitted = saved(fitted)  # a lost executor costs no training again
         while tasks > 1:  # means of FAN tasks each, until one is left
             tasks = -(-tasks // FAN)
             fitted = fitted.repartition(tasks).mapInArrow(_mean_rows, "params binary, n long")
@@ -394,54 +453,31 @@ def _mean_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _row(total / n, n)
 
 
-def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
-    """docs(doc_id, held_out, text) -> doc_id, held_out, n_tokens, n_known, base_score, score, one row per row."""
-    shared = docs.sparkSession.sparkContext.broadcast((v, model))
-    per_token = math.log10(v.tokens + v.types + 1.0)
+def score(texts: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
+    """Encoded texts -> doc_id, held_out, n_tokens, n_known, base_score, score, one row per row."""
+    shared = texts.sparkSession.sparkContext.broadcast((v.units, v.begin, model))
+    whole = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, model = shared.value
-        ids = v.ids()
-        end_log = math.log10(v.docs + 1.0)
-        row = TaskContext.get().partitionId() << 36
-        names = ("row", "word", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm")
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        n_units, begin, model = shared.value
         for batch in batches:
-            doc_ids, held_out = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = ascii_bytes(batch.column(2))
-            for first in range(0, len(texts), 256):
-                some = [t.lower().split() for t in texts[first : first + 256]]
-                at = [ids.of(w) for w in some]
-                logs = model.log10(*contexts([_units(v, a) for a in at], v.units), v.begin)
-                out, loose_words, loose_times, loose_rows, k = [], [], [], [], 0
-                for i, (words, a) in enumerate(zip(some, at, strict=True)):
-                    n = len(words)
-                    known = a >= 0
-                    inside, unknown = a[known], np.flatnonzero(~known)
-                    lm = logs[k : k + n + 1].sum() + v.inside[inside].sum() - v.log_others[-1 - a[unknown]].sum()
-                    base = v.log_count[inside].sum() + end_log - (n + 1) * per_token
-                    k += n + 1
-                    # a key that no word can have, so that texts spread like words do
-                    out.append((row, b" %d" % row, None, doc_ids[first + i], held_out[first + i], n + 1, len(inside) + (v.docs > 0), base, lm))
-                    loose = Counter(map(words.__getitem__, unknown.tolist()))
-                    loose_words += loose
-                    loose_times += loose.values()
-                    loose_rows.append(np.full(len(loose), row, np.int64))
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
-                if loose_words:
-                    nothing = [pa.nulls(len(loose_words), t) for t in kinds[3:]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(loose_rows)), pa.array(loose_words, pa.binary()), pa.array(loose_times, pa.int64()), *nothing], list(names))
-
-    schema = "row long, word binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                units = _unit_arrays(part.column("units"))
+                logs = model.log10(*contexts(units, n_units), begin)
+                sums = np.add.reduceat(logs, np.cumsum([0, *map(len, units[:-1])]))  # a text has its end at least
+                lm = sums + part.column("inside").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in whole), pa.array(lm)], [*whole, "lm"])
+
+    rows = texts.select(*whole, "inside", "units").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double")
+    loose = texts.select("row", F.explode(F.arrays_zip("loose", "times")).alias("x")).select("row", F.col("x.loose").alias("word"), F.col("x.times").alias("times"))
     # A partition holds far fewer different words than words of texts: hash those and leave the rest unsorted.
-    met = rows.join(counts.where("word IS NOT NULL").withColumnRenamed("n", "c").hint("shuffle_hash"), "word", "left")
-    found = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)
-    sums = met.groupBy("row").agg(
+    met = loose.join(counts.where("word IS NOT NULL").withColumnRenamed("n", "c").hint("shuffle_hash"), "word")
+    met = met.groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("found"))
+    sums = rows.unionByName(met, allowMissingColumns=True).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("times"))), F.lit(0))).alias("n_known"),
-        (F.max("base") + F.coalesce(F.sum(found), F.lit(0.0))).alias("base_score"), (F.max("lm") + F.coalesce(F.sum(found), F.lit(0.0))).alias("score"),
+        (F.max("n_known") + F.coalesce(F.sum("known"), F.lit(0))).alias("n_known"),
+        (F.max("base") + F.coalesce(F.sum("found"), F.lit(0.0))).alias("base_score"), (F.max("lm") + F.coalesce(F.sum("found"), F.lit(0.0))).alias("score"),
     )
     return sums.drop("row")
 
@@ -452,14 +488,16 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     Texts whose crc32 of the id, modulo 7, is HELD_OUT are scored but not learned from. Null texts are empty: one token,
     the end. Without anything to learn from, both scores are those of a model that has seen nothing. Equal rows get equal
     scores up to the order of additions; null ids are learned from as the crc32 of the empty text says; a very long text is
-    scored whole, its different words that are not broadcast once each; an empty table gives an empty table.
+    scored whole, its different words that are not broadcast once each; an empty table gives an empty table. Of words as
+    frequent as the last one broadcast, those that come first in byte order are; base scores do not depend on it.
     """
     use = docs.select("doc_id", "text", (crc_rest("doc_id", 7) == HELD_OUT).alias("held_out"), F.expr("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) div 7 % 2").alias("round"))
     learn = use.where(~F.col("held_out"))
     counts = saved(count_words(learn))
     v = vocabulary(counts)
-    model = train(learn, v)
-    return score(use, counts, v, model).withColumn("train_tokens", F.lit(v.tokens).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    texts = encoded(use, v)
+    model = train(texts.where(~F.col("held_out")), v)
+    return score(texts, counts, v, model).withColumn("train_tokens", F.lit(v.tokens).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op2_lm_scoring(spark, sf_dir):

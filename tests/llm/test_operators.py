@@ -200,9 +200,10 @@ def test_lm_scores_are_those_of_the_model_word_by_word(spark, sf_dir):
     use = df.select("doc_id", "text", (F.col("doc_id") % 3 == 0).alias("held_out"), (F.col("doc_id") % 2).alias("round"))
     counts = common.saved(lm.count_words(use.where("NOT held_out")))
     v = lm.vocabulary(counts)
-    model = lm.train(use.where("NOT held_out"), v)
+    texts = lm.encoded(use, v)
+    model = lm.train(texts.where("NOT held_out"), v)
     all_counts = {bytes(r["word"]): r["n"] for r in counts.where("word IS NOT NULL").collect()}
-    got = {r["doc_id"]: r["score"] for r in lm.score(use, counts, v, model).collect()}
+    got = {r["doc_id"]: r["score"] for r in lm.score(texts, counts, v, model).collect()}
     heads = {w: int(v.unit[i]) for i, w in enumerate(v.words) if v.unit[i] not in v.others}
 
     def unit(w):
