@@ -28,6 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without letters, or of doubtful language, go.
 
     A prediction depends on the text alone, so rejected texts are told by 128 bits of hash and documents stay where they are.
+    Null and empty texts have no letters and go; repeated rows stay or go together; an empty
+    table gives an empty table.
     """
     key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
     model = langid.train(docs.where(crc_rest("doc_id", 3) != langid.HELD_OUT))
@@ -52,7 +54,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced by a mark; n_chars follows the text."""
+    """Every document, its secrets replaced by a mark; n_chars follows the text.
+
+    A text without secrets stays as it is, a null one null, with its n_chars; repeated rows are marked alike; an empty table
+    gives an empty table.
+    """
     rest = F.struct(*(c for c in docs.columns if c != "text"))
     found = secrets.scan(docs.select(rest.alias("rest"), "text"), ("rest",), mark=MARK)
     n_chars = F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("rest.n_chars"))
@@ -61,14 +67,21 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, as often as the mix takes them, every copy at the time at which training reaches it."""
+    """Whole documents, as often as the mix takes them, every copy at the time at which training reaches it.
+
+    A null source is a source of its own; a document without words adds nothing to a target; repeated rows are documents of
+    their own; an empty table gives an empty table.
+    """
     mixed = mixing.mix(_whole(docs), ("doc",), whole=True)
     copies = mixed.select("doc", F.explode("positions").alias("position"))
     return copies.orderBy("position", "doc.doc_id").select("doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training windows; windows and their ids follow the order of the rows."""
+    """The pieces of the training windows; windows and their ids follow the order of the rows.
+
+    Null and empty texts are one token, the end; repeated rows and ids are packed each; an empty table gives no pieces.
+    """
     return packing.pack(docs, public_tokenizers.path(packing.TOKENIZER))
 
 

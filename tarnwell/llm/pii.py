@@ -2,9 +2,11 @@
 
 Valid base entities are the seeds. Every mention of something that looks like an identifier has lexical patterns: the
 words around it (one or two on the left, one with a gap, one on the right, one on either side) and its own spelling.
-Patterns and instances form a XX Both are taken in turn until they settle; they only ever rise, so they do. Mentions whose instance is
-accepted are added: identifiers of wider shapes in the words around seeds, and identifiers of the seeds' own spelling that
-the base patterns fused with a neighbour and so rejected.
+Patterns and instances form a graph with an edge wherever an instance has a mention with the pattern. A pattern's score is
+the share of trusted instances among all that it meets, an instance's is the chance that not all of its patterns are wrong.
+Both are taken in turn until they settle; they only ever rise, so they do. Mentions whose instance is accepted are added:
+identifiers of wider shapes in the words around seeds, and identifiers of the seeds' own spelling that the base patterns
+fused with a neighbour and so rejected.
 
 DataFrame functions only. The text is read once; the graph holds only identifiers' hashes and patterns.
 """

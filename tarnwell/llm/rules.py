@@ -81,8 +81,9 @@ def repeated_words(w: Column, span: int = SPAN) -> Column:
 def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, failed (bits); one row per row.
 
-    Null texts have no words: they fail few_words and nothing that is a share of words. An empty table gives an empty
-    table.
+    Null texts have no words: they fail few_words and nothing that is a share of words. Equal rows get equal measurements,
+    repeated rows and null ids are rows like any other; very long texts are measured whole; columns of df other than `keep`
+    and text are not read, so their names cannot clash. An empty table gives an empty table.
     """
     text = F.col("text")
     split = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

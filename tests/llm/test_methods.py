@@ -105,6 +105,65 @@ def test_context_finds_planted_identifiers_and_leaves_decoys(spark, sf_dir):
     assert len(added & want) >= 0.9 * len(added - own) and all(rows[d][1] for d, *_ in own)
 
 
+def graph_scores_brute(met, support, purity, rounds):
+    """Pattern and instance scores by plain loops over the mentions."""
+
+    def patterns(m):
+        l1, l2, r1 = m["l1"], m["l2"], m["r1"]
+        said = lambda *ws: any(set(w) - set("<>") for w in ws)
+        around = [
+            (said(l1, l2), f"two left: {l2} {l1}"), (said(l1), f"left: {l1}"), (said(l2), f"left, gap: {l2} *"), (said(r1), f"right: {r1}"),
+            (said(l1, r1), f"both: {l1} _ {r1}"), (m["form"] is not None, f"spelling: {m['kind']} {m['form']}"),
+        ]
+        return [p for there, p in around if there]
+
+    edges = {}
+    for m in met:
+        for p in patterns(m):
+            e = (p, m["kind"], m["value"])
+            edges[e] = edges.get(e, False) or m["seed"]
+    able = {}
+    for p, k in {(p, k) for p, k, _ in edges if k >= 0}:
+        mine = [seed for (q, j, _), seed in edges.items() if (q, j) == (p, k)]
+        total = sum(q == p for q, _, _ in edges)
+        if len(mine) >= support and len(mine) >= purity * total:
+            able[p, k] = (sum(mine), total - len(mine))
+    open_edges = [e for e, seed in edges.items() if not seed and e[:2] in able]
+    instances = {}
+    for _ in range(rounds):
+        scored = {}
+        for (p, k), (seeds, against) in able.items():
+            met_with = [] if p.startswith("spelling:") else [instances[k, v] for q, j, v in open_edges if (q, j) == (p, k) and (k, v) in instances]
+            weight = seeds + sum(met_with)
+            if seeds + sum(x >= pii.ACCEPT for x in met_with) >= support and weight >= purity * (weight + against):
+                scored[p, k] = weight / (weight + against + 1)
+        doubt = {}
+        for p, k, v in open_edges:
+            if (p, k) in scored:
+                doubt[k, v] = doubt.get((k, v), 1.0) * (1 - min(scored[p, k], 1 - 1e-12))
+        instances = {i: 1 - d for i, d in doubt.items()}
+    return scored, instances
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 4])
+def test_graph_scores_match_brute_force(spark, rounds):
+    rng = random.Random(11)
+    rows = []
+    for i in range(260):
+        kind = rng.randrange(4)
+        before, after = CUES[kind]
+        # a second cue that only unseen identifiers share, so that it is learned from accepted instances
+        value = base_like(rng, kind) if i % 3 else unseen(rng, kind)
+        first = before if i % 2 else f"{rng.choice('abcd')} {before.split()[-1]}"
+        rows.append((i, f"{first} {value} {after if i % 5 else 'new'} words lot {rng.randrange(40)} {'then ' + value if i % 7 == 0 else ''}"))
+    met = common.saved(pii.mentions(pii.extracted(spark.createDataFrame(rows, "doc_id long, text string"))))
+    patterns, instances = pii.trusted(met, support=4, purity=0.8, rounds=rounds)
+    want_patterns, want_instances = graph_scores_brute(met.collect(), 4, 0.8, rounds)
+    assert {(r["pattern"], r["kind"]): r["score"] for r in patterns.collect()} == pytest.approx(want_patterns)
+    assert {(r["kind"], r["value"]): r["score"] for r in instances.collect()} == pytest.approx(want_instances, abs=1e-9)
+    assert sum(not p.startswith("spelling:") for p, _ in want_patterns) >= 4 and len(want_instances) >= 20
+
+
 def test_fused_identifiers_are_found_by_their_spelling(spark):
     rng = random.Random(5)
     rows = [(i, f"w{i}x {card(rng)} and") for i in range(12)] + [(100 + i, f"q{i}r {base_like(rng, 3)} or") for i in range(12)]
