@@ -40,6 +40,8 @@ WIDTH = 16
 NOISE = 32
 NOISE_INSIDE = 8
 BATCH = 2048
+#: Bytes of a block that are freed before training, more than an array of a step takes.
+ROOM = 1 << 24
 #: Tokens that are scored at once.
 SCORED = 16_384
 RATE = 0.15
@@ -248,6 +250,8 @@ class Trainer:
         self.log_inner = np.log(NOISE_INSIDE * v.share / np.repeat(whole, np.diff(v.begin))).astype(np.float32)
         self.klass = np.repeat(np.arange(len(whole)), np.diff(v.begin))
         self.rng = np.random.default_rng(seed)
+        # The allocator keeps blocks up to the largest one freed so far; else every step would give its memory back and fault it in again.
+        np.empty(ROOM, np.uint8)
 
     def step(self, near: np.ndarray, units: np.ndarray) -> None:
         """One step on tokens, which are put in order of class first, so that a class's noise meets its tokens in one product."""
@@ -293,14 +297,17 @@ class Trainer:
             np.matmul(false[a:b].T, ones[a:b], out=pushed[i])
         at, grown = _summed(np.concatenate([units, inner.ravel()]), np.concatenate([true[:, None] * ones, pushed.reshape(-1, WIDTH + 1)]))
         seen, context = _summed(near.ravel(), np.concatenate([dq * m.place[i] for i in range(CONTEXT)]))
-        place = np.stack([(dq * x[i]).sum(axis=0) for i in range(CONTEXT)])
-        here = slice(None)
-        steps = ((seen, context), (here, place), (at, grown[:, :WIDTH]), (at, grown[:, WIDTH]), (here, classes), (here, class_bias))
+        place = np.stack([np.einsum("ij,ij->j", dq, x[i]) for i in range(CONTEXT)])
+        steps = ((seen, context), (None, place), (at, grown[:, :WIDTH]), (at, grown[:, WIDTH]), (None, classes), (None, class_bias))
         for p, s, (rows, g) in zip(m.parts(), self.squares, steps, strict=True):
-            g = g / n
-            square = s[rows] + g * g
-            s[rows] = square
-            p[rows] += RATE * g / np.sqrt(square)
+            g = g / np.float32(n)
+            if rows is None:
+                s += g * g
+                p += RATE * g / np.sqrt(s)
+            else:  # take() gathers rows faster than an index does
+                square = s.take(rows, axis=0) + g * g
+                s[rows] = square
+                p[rows] = p.take(rows, axis=0) + RATE * g / np.sqrt(square)
 
 
 def _summed(rows: np.ndarray, add: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,7 +353,11 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 def _units(v: Vocabulary, at: np.ndarray) -> np.ndarray:
     """Units of places in the vocabulary, with the end after them."""
-    return np.r_[np.where(at >= 0, v.unit[np.maximum(at, 0)], v.others[np.maximum(-1 - at, 0)]), v.units - 1].astype(np.int32)
+    out = np.full(len(at) + 1, v.units - 1, np.int32)
+    out[:-1] = v.unit.take(np.maximum(at, 0))
+    loose = np.flatnonzero(at < 0)
+    out[loose] = v.others.take(-1 - at.take(loose))
+    return out
 
 
 def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
