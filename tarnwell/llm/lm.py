@@ -16,20 +16,19 @@ Texts are turned into units once, two bytes each, in a stored table from which t
 from __future__ import annotations
 
 import heapq
-import itertools
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_bytes, crc_rest, most_frequent, saved, starts, table
+from .common import crc_rest, most_frequent, saved, starts, table
 
 #: Words that are units: so many times the root of the number of different words, within bounds.
 HEADS = 8
@@ -42,8 +41,10 @@ NOISE_INSIDE = 8
 BATCH = 2048
 #: Bytes of a block that are freed before training, more than an array of a step takes.
 ROOM = 1 << 24
-#: Tokens that are scored at once.
-SCORED = 16_384
+#: Tokens that are scored at once: their scores stay in a core's cache.
+SCORED = 2048
+#: Tokens of one class in a tile; a step's tiles meet their classes' noise in one stack of products.
+TILE = 32
 RATE = 0.15
 #: Multiplications of a matrix product that one thread does.
 SINGLE = 150_000
@@ -52,10 +53,10 @@ FAN = 16
 KNOWN = 65_536
 HELD_OUT = 2
 SEED = 7
-#: Words outside KNOWN whose class a worker remembers.
-REMEMBERED = 400_000
 #: Counts are shuffled when a task has gathered so many different words.
 GATHER = 400_000
+#: Bytes of text that are split at once.
+TEXT = 1 << 22
 
 
 def dealt(endings: dict[bytes, tuple[int, int]], classes: int) -> dict[bytes, int]:
@@ -86,6 +87,8 @@ class Vocabulary:
         heads = min(len(self.words), HEADS_MOST, max(HEADS_LEAST, math.ceil(HEADS * math.sqrt(self.types))))
         self.classes = max(1, math.isqrt(heads))
         self.class_of_ending = dealt(self.endings, self.classes)
+        one, two = [bytes([a]) for a in range(256)], [bytes([a, b]) for a in range(256) for b in range(256)]
+        self.class_table = np.array([self.word_class(e) for e in one + two], np.int64)
         of = np.array([self.word_class(w) for w in self.words], np.int64)
         sizes = np.bincount(of[:heads], minlength=self.classes) + 1
         self.begin = np.r_[0, np.cumsum(sizes), sizes.sum() + 1]
@@ -115,26 +118,13 @@ class Vocabulary:
         ending = word[-2:]
         return k if (k := self.class_of_ending.get(ending)) is not None else zlib.crc32(ending) % self.classes
 
-    def ids(self) -> Ids:
-        return Ids({w: i for i, w in enumerate(self.words)}, self.word_class)
-
-
-class Ids(dict):
-    """Words to places in the vocabulary; other words to -1 - class, remembered for a while."""
-
-    def __init__(self, words: dict[bytes, int], word_class) -> None:
-        super().__init__(words)
-        self.base, self.word_class = words, word_class
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = -1 - self.word_class(word)
-        return at
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > len(self.base) + REMEMBERED:
-            self.clear()
-            self.update(self.base)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def classes_of(self, words: pa.StringArray) -> np.ndarray:
+        """word_class of words that are not empty."""
+        words = pa.concat_arrays([words])  # without an offset
+        ends = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        size, last = np.diff(ends), data.take(ends[1:] - 1).astype(np.int64)
+        return self.class_table.take(np.where(size > 1, 256 + 256 * data.take(ends[1:] - np.minimum(size, 2)).astype(np.int64) + last, last))
 
 
 def _times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -206,6 +196,7 @@ class Model:
         placed = self.place[:, None] * self.context
         classes = np.concatenate([self.classes.T, self.class_bias[None]])
         target = np.ascontiguousarray(np.concatenate([self.target.T, self.bias[None]]))
+        reach = sum(np.sqrt((x**2).sum(axis=1).max()) for x in placed)  # no predicted vector is longer
         longest = max(np.sqrt((x**2).sum(axis=1).max()) for x in (self.classes, self.target))
         widest = max(np.abs(x).max() for x in (self.bias, self.class_bias))
         for at in range(0, len(units), SCORED):
@@ -214,7 +205,7 @@ class Model:
             k = class_of[u]
             q = np.ones((len(rows), WIDTH + 1), np.float32)
             q[:, :WIDTH] = sum(placed[i].take(near[i].take(rows), axis=0) for i in range(CONTEXT))
-            safe = bool(np.sqrt((q[:, :WIDTH] ** 2).sum(axis=1).max()) * longest + widest < 80)
+            safe = reach * longest + widest < 80 or bool(np.sqrt((q[:, :WIDTH] ** 2).sum(axis=1).max()) * longest + widest < 80)
             s = _times(q, classes)
             told = s[np.arange(len(rows)), k]
             told = told - _log_sum(s, safe)
@@ -266,38 +257,42 @@ class Trainer:
         drawn = edge[:-1, None] + self.rng.random((len(edge) - 1, NOISE_INSIDE)) * np.diff(edge)[:, None]
         inner = np.clip(np.searchsorted(self.inner, drawn[met], "right") - 1, low[:, None], high[:, None] - 1)
         x = [m.context.take(near[i], axis=0) for i in range(CONTEXT)]
-        ones = np.ones((n, WIDTH + 1), np.float32)  # with the bias's column
         q = sum(m.place[i] * x[i] for i in range(CONTEXT))
-        ones[:, :WIDTH] = q
+        ones = np.zeros((n, WIDTH + 2), np.float32)  # with the bias's column, and one that makes their number even
+        ones[:, :WIDTH], ones[:, WIDTH] = q, 1
         # classes
         t, z = m.classes.take(k, axis=0), m.classes[noise]
         true = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, t) + (m.class_bias - self.log_noise).take(k)))
         false = -1 / (1 + np.exp(-(_times(q, z.T) + (m.class_bias - self.log_noise)[noise])))
         dq = true[:, None] * t + _times(false, z)
         classes, class_bias = np.zeros_like(m.classes), np.bincount(k, true, len(m.class_bias)).astype(np.float32)
-        classes[met] = np.add.reduceat(true[:, None] * q, heads, axis=0)
+        classes[met] = _runs(true[:, None] * q, heads)
         pushed = sum(false[at : at + 128].T @ q[at : at + 128] for at in range(0, n, 128))
         np.add.at(classes, noise, pushed)
         np.add.at(class_bias, noise, false.sum(axis=0))
         # units within their classes; a class of one unit has nothing to tell apart
         some = (high - low > 1).astype(np.float32)
-        bounds = [*heads.tolist(), n]
-        alone = np.repeat(some, np.diff(bounds))
-        t, z = m.target.take(units, axis=0), m.target[inner]
+        sizes = np.diff(np.r_[heads, n])
+        tiles = -(-sizes // TILE)
+        first = np.cumsum(tiles) - tiles
+        put = np.arange(n) - np.repeat(heads - first * TILE, sizes)
+        tiled = np.zeros((int(tiles.sum()) * TILE, WIDTH + 2), np.float32)  # rows that fill up a tile add nothing
+        tiled[put] = ones
+        tiled = tiled.reshape(-1, TILE, WIDTH + 2)
+        t, z = m.target.take(units, axis=0), m.target[inner].repeat(tiles, axis=0)
         free = m.bias - self.log_inner
-        true = alone / (1 + np.exp(np.einsum("ij,ij->i", q, t) + free.take(units)))
-        false = np.empty((n, NOISE_INSIDE), np.float32)
-        for i, (a, b) in enumerate(itertools.pairwise(bounds)):
-            np.matmul(q[a:b], z[i].T, out=false[a:b])
-        false = -alone[:, None] / (1 + np.exp(-(false + np.repeat(free[inner], np.diff(bounds), axis=0))))
+        true = np.repeat(some, sizes) / (1 + np.exp(np.einsum("ij,ij->i", q, t) + free.take(units)))
+        false = np.matmul(tiled[:, :, :WIDTH], z.transpose(0, 2, 1))
+        false += free[inner].repeat(tiles, axis=0)[:, None]
+        np.exp(np.negative(false, out=false), out=false)
+        false += 1
+        np.divide(-some.repeat(tiles)[:, None, None], false, out=false)
         dq += true[:, None] * t
-        pushed = np.empty((len(met), NOISE_INSIDE, WIDTH + 1), np.float32)
-        for i, (a, b) in enumerate(itertools.pairwise(bounds)):
-            dq[a:b] += false[a:b] @ z[i]
-            np.matmul(false[a:b].T, ones[a:b], out=pushed[i])
-        at, grown = _summed(np.concatenate([units, inner.ravel()]), np.concatenate([true[:, None] * ones, pushed.reshape(-1, WIDTH + 1)]))
+        dq += np.matmul(false, z).reshape(-1, WIDTH).take(put, axis=0)
+        pushed = _runs(np.matmul(false.transpose(0, 2, 1), tiled).reshape(len(tiled), -1), first)
+        at, grown = _summed(np.concatenate([units, inner.ravel()]), np.concatenate([true[:, None] * ones, pushed.reshape(-1, WIDTH + 2)]))
         seen, context = _summed(near.ravel(), np.concatenate([dq * m.place[i] for i in range(CONTEXT)]))
-        place = np.stack([np.einsum("ij,ij->j", dq, x[i]) for i in range(CONTEXT)])
+        place = np.stack([np.ones(n, np.float32) @ (dq * x[i]) for i in range(CONTEXT)])
         steps = ((seen, context), (None, place), (at, grown[:, :WIDTH]), (at, grown[:, WIDTH]), (None, classes), (None, class_bias))
         for p, s, (rows, g) in zip(m.parts(), self.squares, steps, strict=True):
             g = g / np.float32(n)
@@ -306,34 +301,68 @@ class Trainer:
                 p += RATE * g / np.sqrt(s)
             else:  # take() gathers rows faster than an index does
                 square = s.take(rows, axis=0) + g * g
-                s[rows] = square
-                p[rows] = p.take(rows, axis=0) + RATE * g / np.sqrt(square)
+                _put(s, rows, square)
+                _put(p, rows, p.take(rows, axis=0) + RATE * g / np.sqrt(square))
+
+
+def _put(x: np.ndarray, rows: np.ndarray, new: np.ndarray) -> None:
+    """x[rows] = new; a row of several numbers is copied as one value, in half the time."""
+    if x.ndim > 1:
+        x, new = (np.ascontiguousarray(a).view(f"V{a.shape[1] * a.itemsize}")[:, 0] for a in (x, new))
+    x[rows] = new
+
+
+def _runs(x: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each head to the next; two single-precision columns are added as one complex one, in half the time."""
+    return np.add.reduceat(x.view(np.complex64), heads, axis=0).view(np.float32)
 
 
 def _summed(rows: np.ndarray, add: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different rows (fewer than 65,536 exist), and for each the sum of what is to be added to it."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")
-    heads = starts(rows[order])
-    return rows[order[heads]], np.add.reduceat(add.take(order, axis=0), heads, axis=0)
+    rows = rows.take(order)
+    heads = starts(rows)
+    return rows.take(heads), _runs(add.take(order, axis=0), heads)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of whole texts, gathered over batches as far as memory goes; and the number of texts, as the null word."""
-    counts: Counter = Counter()
-    docs = 0
+def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about TEXT bytes in the column each; a longer text is alone or last."""
+    heads = starts(np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64)) // TEXT)
+    for a, z in zip(heads.tolist(), [*heads[1:].tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, z - a)
+
+
+def _split(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+    """The lower-cased words of texts, and for each word the number of its text. Null texts have none."""
+    texts = pa.concat_arrays([texts]).cast(pa.string())  # copied, for a cast of a slice may keep the wrong place in its bytes
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, text = split.flatten(), np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy())
+    some = pc.not_equal(pc.binary_length(words), 0)  # blanks at a text's edge leave an empty one
+    return words.filter(some), text[some.to_numpy(zero_copy_only=False)]
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.binary()), pa.array([*counts.values(), docs], pa.int64())], ["word", "n"])
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of whole texts, gathered over batches as far as memory goes; and the number of texts, as the null word."""
+    held, docs, rows = [], 0, 0
     for batch in batches:
-        for text in ascii_bytes(batch.column(0)):
-            counts.update(text.lower().split())
         docs += batch.num_rows
-        if len(counts) > GATHER:
-            yield out()
-            counts.clear()
-            docs = 0
-    yield out()
+        for block in _blocks(batch, 0) if batch.num_rows else ():
+            told = pc.value_counts(_split(block.column(0))[0])
+            held.append(pa.table([told.field(0), told.field(1)], ["word", "n"]))
+            rows += len(told)
+            if rows > 2 * GATHER:
+                held = [pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})]
+                rows = held[0].num_rows
+                if rows > GATHER:
+                    yield from _binary(held[0])
+                    held, rows = [], 0
+    for told in held:
+        yield from _binary(told)
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([docs], pa.int64())], ["word", "n"])
+
+
+def _binary(told: pa.Table) -> list[pa.RecordBatch]:
+    return told.cast(pa.schema([("word", pa.binary()), ("n", pa.int64())])).to_batches()
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -351,13 +380,32 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([bytes(r[0]) for r in top], np.array([r[1] for r in top], float), docs, n_words + docs, n_types + (docs > 0), endings)
 
 
-def _units(v: Vocabulary, at: np.ndarray) -> np.ndarray:
-    """Units of places in the vocabulary, with the end after them."""
-    out = np.full(len(at) + 1, v.units - 1, np.int32)
-    out[:-1] = v.unit.take(np.maximum(at, 0))
-    loose = np.flatnonzero(at < 0)
-    out[loose] = v.others.take(-1 - at.take(loose))
-    return out
+def _encode(v: Vocabulary, known: pa.StringArray, texts: pa.Array) -> dict[str, pa.Array]:
+    """What encoded() tells of each text; `known` are the vocabulary's words."""
+    n = len(texts)
+    words, text = _split(texts)
+    at = pc.index_in(words, value_set=known).fill_null(-1).to_numpy().astype(np.int64)
+    mine, others = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+    place, text_of, loose = at.take(mine), text.take(others), words.take(pa.array(others))
+    classes = v.classes_of(loose)
+    sizes = np.bincount(text, minlength=n) + 1
+    ends = np.cumsum(sizes)
+    units = np.full(ends[-1] if n else 0, v.units - 1, "<u2")
+    units[mine + text.take(mine)], units[others + text_of] = v.unit.take(place), v.others.take(classes)
+    told = loose.dictionary_encode()
+    each, times = np.unique(text_of * max(1, len(told.dictionary)) + told.indices.to_numpy(), return_counts=True)
+    begins = pa.array(np.r_[0, np.cumsum(np.bincount(each // max(1, len(told.dictionary)), minlength=n))].astype(np.int32))
+    different = told.dictionary.take(pa.array(each % max(1, len(told.dictionary)))).cast(pa.binary())
+    summed = lambda rows, x: np.bincount(rows, x, n).astype(float)
+    return {
+        "n_tokens": pa.array(sizes),
+        "n_known": pa.array(np.bincount(text.take(mine), minlength=n) + (v.docs > 0)),
+        "base": pa.array(summed(text.take(mine), v.log_count.take(place)) + math.log10(v.docs + 1.0) - sizes * math.log10(v.tokens + v.types + 1.0)),
+        "inside": pa.array(summed(text.take(mine), v.inside.take(place)) - summed(text_of, v.log_others.take(classes))),
+        "units": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.r_[0, 2 * ends].astype(np.int32)), pa.py_buffer(units.tobytes())]),
+        "loose": pa.ListArray.from_arrays(begins, different),
+        "times": pa.ListArray.from_arrays(begins, pa.array(times)),
+    }
 
 
 def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
@@ -367,33 +415,16 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
     loose and times: the words that are not broadcast, each with its number. A stored table, so that row is stable.
     """
     shared = docs.sparkSession.sparkContext.broadcast(v)
-    per_token = math.log10(v.tokens + v.types + 1.0)
-    kinds = {
-        "row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "round": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(),
-        "inside": pa.float64(), "units": pa.binary(), "loose": pa.list_(pa.binary()), "times": pa.list_(pa.int64()),
-    }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        ids, end_log, row = v.ids(), math.log10(v.docs + 1.0), TaskContext.get().partitionId() << 36
+        known, row = pa.array(v.words, pa.binary()).view(pa.string()), TaskContext.get().partitionId() << 36
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                out = []
-                for text in ascii_bytes(part.column(3)):
-                    words = text.lower().split()
-                    a = ids.of(words)
-                    known = a >= 0
-                    inside, unknown = a[known], np.flatnonzero(~known)
-                    loose = Counter(map(words.__getitem__, unknown.tolist()))
-                    base = v.log_count[inside].sum() + end_log - (len(words) + 1) * per_token
-                    shares = v.inside[inside].sum() - v.log_others[-1 - a[unknown]].sum()
-                    out.append((row, len(words) + 1, len(inside) + (v.docs > 0), base, shares, _units(v, a).astype("<u2").tobytes(), list(loose), list(loose.values())))
-                    row += 1
-                row_ids, *others = zip(*out, strict=True)
-                names = list(kinds)
-                told = [pa.array(list(c), kinds[k]) for k, c in zip(names[4:], others, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(row_ids, pa.int64()), *(part.column(i) for i in range(3)), *told], names)
+            for part in _blocks(batch, 3) if batch.num_rows else ():
+                told = _encode(v, known, part.column(3))
+                ids = pa.array(np.arange(row, row + part.num_rows))
+                row += part.num_rows
+                yield pa.RecordBatch.from_arrays([ids, *(part.column(i) for i in range(3)), *told.values()], ["row", *part.schema.names[:3], *told])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("round").cast("long").alias("round"), F.col("text").cast("string").alias("text"))
     schema = "row long, doc_id long, held_out boolean, round long, n_tokens long, n_known long, base double, inside double, units binary, loose array<binary>, times array<long>"

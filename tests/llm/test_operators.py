@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -240,6 +241,35 @@ def test_each_training_step_draws_32_noise_classes_for_at_most_2048_tokens(monke
     assert drawn == [(32,), (v.classes + 1, lm.NOISE_INSIDE)] * 4
 
 
+def test_lm_blocks_hold_every_word_of_every_text(monkeypatch):
+    """Texts cut into many blocks, themselves cut from a longer batch, are counted and turned into units like plain lists."""
+    v = small_vocabulary()
+    rng = np.random.default_rng(3)
+    some = [*(w.decode().upper() for w in v.words), "new", "wörds", "é", "\u3000", "x"]
+    texts = [rng.choice([" ", "\t", "\n  "]).join(["", *rng.choice(some, rng.integers(0, 40))][rng.integers(0, 2) :]) for _ in range(300)]
+    texts[7], texts[150], texts[151] = None, "", " \n "
+    monkeypatch.setattr(lm, "TEXT", 500)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]).slice(5, 290)
+    want = [(t or "").encode().lower().split() for t in texts[5:295]]
+    counts = Counter()
+    for b in lm._count(iter([batch.slice(0, 100), batch.slice(100)])):
+        counts.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+    assert counts == Counter(w for ws in want for w in ws) + Counter({None: 290})
+    place = {w: i for i, w in enumerate(v.words)}
+    blocks = list(lm._blocks(batch, 0))
+    assert len(blocks) > 20
+    told = [r for b in blocks for r in zip(*(c.to_pylist() for c in lm._encode(v, pa.array(v.words).view(pa.string()), b.column(0)).values()), strict=True)]
+    assert len(told) == 290
+    for ws, (n_tokens, n_known, base, inside, units, loose, times) in zip(want, told, strict=True):
+        known = [place[w] for w in ws if w in place]
+        others = [w for w in ws if w not in place]
+        assert (n_tokens, n_known) == (len(ws) + 1, len(known) + 1)
+        assert np.frombuffer(units, "<u2").tolist() == [int(v.unit[place[w]] if w in place else v.others[v.word_class(w)]) for w in ws] + [v.units - 1]
+        assert dict(zip(loose, times, strict=True)) == Counter(others)
+        assert base == pytest.approx(sum(v.log_count[i] for i in known) + math.log10(v.docs + 1) - n_tokens * math.log10(v.tokens + v.types + 1))
+        assert inside == pytest.approx(sum(v.inside[i] for i in known) - sum(v.log_others[v.word_class(w)] for w in others))
+
+
 def test_units_grow_with_the_vocabulary():
     units = []
     for n in (100, 10_000, 60_000):
