@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,51 +119,127 @@ def scores(reviews: DataFrame, model: DataFrame, keys: tuple[str, ...], text: st
     return by.select(*keys, F.explode(posterior).alias("x")).select(*keys, "x.category", "x.probability")
 
 
+def _hash(token: str) -> int:
+    """Spark's xxhash64 of a text."""
+    h = xxhash.xxh64_intdigest(token.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 class TopicCounts:
-    """A model that learns text by text: one row of counts for each token, one column for each category."""
+    """A model that learns text by text: one row of counts for each token, one column for each category.
+
+    Tokens are known by their 64-bit hashes. A row of zeros is that of a token met in no text that was learned.
+    """
 
     def __init__(self) -> None:
         seeds = seed_counts()
-        self.row = {t: i for i, t in enumerate(dict.fromkeys(t for c in CATEGORIES for t in seeds[c]))}
-        self.counts = np.array([[seeds[c][t] for c in CATEGORIES] for t in self.row], float)
+        tokens_ = list(dict.fromkeys(t for c in CATEGORIES for t in seeds[c]))
+        self.row = {_hash(t): i for i, t in enumerate(tokens_)}
+        self.counts = np.array([[seeds[c][t] for c in CATEGORIES] for t in tokens_], float)
+        self.logs = np.log1p(self.counts)
         self.totals = self.counts.sum(axis=0)
+        self.met = self.counts.any(axis=1)
+        self.n_met = len(tokens_)
+
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """The rows of tokens; those met for the first time get one."""
+        codes, found = pd.factorize(hashes)
+        rows = np.array([self.row.setdefault(h, len(self.row)) for h in found.tolist()], int)
+        if len(self.row) > len(self.counts):  # room for half as many again
+            more = len(self.row) + len(self.row) // 2 - len(self.counts)
+            self.counts, self.logs = (np.vstack([x, np.zeros((more, len(CATEGORIES)))]) for x in (self.counts, self.logs))
+            self.met = np.append(self.met, np.zeros(more, bool))
+        return rows[codes]
+
+    def scored(self, at: np.ndarray) -> list[float]:
+        """Probabilities of a text with tokens in these rows, in the order of CATEGORIES, to 4 digits; those of no tokens are equal."""
+        spare = self.n_met + SPARE_VOCABULARY
+        log = [x - len(at) * math.log(t + spare) for x, t in zip(self.logs[at].sum(axis=0).tolist(), self.totals.tolist(), strict=True)]
+        most = max(log)
+        odds = [math.exp(x - most) for x in log]
+        total = sum(odds)
+        return [round(p / total, 4) for p in odds]
 
     def posterior(self, words: list[str]) -> np.ndarray:
-        """Probabilities in the order of CATEGORIES, to 4 digits; those of no words are equal."""
-        known = [self.row[w] for w in words if w in self.row]
-        log = np.log1p(self.counts[known]).sum(axis=0) - len(words) * np.log(self.totals + len(self.row) + SPARE_VOCABULARY)
-        odds = np.exp(log - log.max())
-        return np.array([round(float(p), 4) for p in odds / odds.sum()])
-
-    def learn(self, words: list[str], category: int) -> None:
-        for w in words:
-            self.row.setdefault(w, len(self.row))
-        if len(self.row) > len(self.counts):  # room for as many again
-            self.counts = np.vstack([self.counts, np.zeros((2 * len(self.row) - len(self.counts), len(CATEGORIES)))])
-        np.add.at(self.counts[:, category], [self.row[w] for w in words], 1)
-        self.totals[category] += len(words)
+        return np.array(self.scored(self.rows(np.array([_hash(w) for w in words], np.int64))))
+
+    def learn(self, at: np.ndarray, category: int) -> None:
+        new = at[~self.met[at]]
+        self.n_met += len(set(new.tolist()))
+        self.met[new] = True
+        cells = at * len(CATEGORIES) + category
+        counts, logs = self.counts.reshape(-1), self.logs.reshape(-1)
+        np.add.at(counts, cells, 1.0)
+        logs[cells] = np.log1p(counts[cells])
+        self.totals[category] += len(at)
+
+    def train(self, hashes: np.ndarray, ends: np.ndarray) -> None:
+        """Meets texts one after the other, each by where its tokens end, and learns those that are confident."""
+        at, begin = self.rows(hashes), 0
+        for end in ends.tolist():
+            if end > begin:
+                words = at[begin:end]
+                p = self.scored(words)
+                if max(p) > CONFIDENT:
+                    self.learn(words, p.index(max(p)))
+            begin = end
+
+    def batches(self, school: str | None, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+        """(school, h, counts) of every token that was learned."""
+        h = np.fromiter(self.row, np.int64, len(self.row))
+        for k in range(0, len(h), rows):
+            n = self.counts[k : k + rows][: len(h) - k].astype(np.int64)
+            told = n.any(axis=1)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(n[told].ravel()), len(CATEGORIES)).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([school] * len(lists), pa.string()), pa.array(h[k : k + rows][told]), lists], ["school", "h", "counts"])
+
+
+#: Tokens that a model meets at once.
+MET_AT_ONCE = 1 << 22
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(school, hashes), sorted, to the model of each school; texts stream by, only a model is kept."""
+    name, model = None, None
+    for batch in batches:
+        school, lists = batch.column(0), batch.column(1)
+        ends = lists.value_lengths().to_numpy().cumsum()
+        flat = lists.flatten().to_numpy()
+        codes = school.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        cuts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1], True]).tolist() if len(codes) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if model is None or school[a].as_py() != name:
+                if model is not None:
+                    yield from model.batches(name)
+                name, model = school[a].as_py(), TopicCounts()
+            while a < b:  # a stretch of texts, one at least
+                at = int(ends[a - 1]) if a else 0
+                to = min(max(int(np.searchsorted(ends, at + MET_AT_ONCE)), a + 1), b)
+                model.train(flat[at : ends[to - 1]], ends[a:to] - at)
+                a = to
+    if model is not None:
+        yield from model.batches(name)
 
 
 def train(reviews: DataFrame, order: tuple[str, ...] = ("entity_ordinal", "review_ordinal")) -> DataFrame:
-    """(school, category, token, cnt): self-training in document order, exact.
+    """(school, category, token, cnt): self-training in document order, exact; of texts that tie, the one of least hash is first.
 
     Each confident review changes the model that the next one meets, so the fold is serial within a school and parallel
-    across schools; `train_batch` is the parallel alternative.
+    across schools; `train_batch` is the parallel alternative. Texts are split and hashed where they are. The fold gets
+    8 bytes a token, sorted by Spark, batch by batch, and keeps one row of counts for each different token; the names of
+    tokens are joined to its counts afterwards. Should two tokens of a school ever share a hash, the query fails.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = TopicCounts()
-        for words in pdf.sort_values(list(order))["w"]:
-            if len(words):
-                p = model.posterior(list(words))
-                if p.max() > CONFIDENT:
-                    model.learn(list(words), int(p.argmax()))
-        at, of = np.nonzero(model.counts)
-        tokens_, names = np.array([*model.row], object), np.array(CATEGORIES, object)
-        return pd.DataFrame({"school": pdf["school"].iloc[0], "category": names[of], "token": tokens_[at], "cnt": model.counts[at, of].astype(int)})
-
-    words = reviews.select("school", *order, tokens("comment").alias("w"))
-    return words.groupBy("school").applyInPandas(fold, "school string, category string, token string, cnt long")
+    words = tokens("comment")
+    hashed = reviews.select("school", *order, F.xxhash64("comment").alias("_tie"), F.transform(words, lambda t: F.xxhash64(t)).alias("w"))
+    by_school = hashed.repartition("school").sortWithinPartitions("school", *order, "_tie")
+    counts = by_school.select("school", "w").mapInArrow(_folded, "school string, h long, counts array<long>")
+    seeds = reviews.select("school").distinct().crossJoin(F.broadcast(seed_model(reviews.sparkSession).select("token").distinct()))  # 150 seed rows
+    named = reviews.select("school", F.explode(words).alias("token")).unionByName(seeds).distinct()
+    named = named.groupBy("school", F.xxhash64("token").alias("h")).agg(F.min("token").alias("token"), F.max("token").alias("other"))
+    one = F.when(F.col("token") == F.col("other"), F.col("token")).otherwise(F.raise_error(F.lit("two tokens share a hash")))
+    met = counts.join(named.select(F.col("school").alias("_school"), F.col("h").alias("_h"), one.alias("token")), F.col("school").eqNullSafe(F.col("_school")) & (F.col("h") == F.col("_h")))
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, CATEGORIES)).alias("category"), F.col("counts").alias("cnt")))
+    return met.select("school", "token", each.alias("x")).select("school", "x.category", "token", "x.cnt").where("cnt > 0")
 
 
 def train_batch(reviews: DataFrame) -> DataFrame:

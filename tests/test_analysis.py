@@ -353,3 +353,27 @@ def test_small_labels(spark):
     df = spark.createDataFrame([(76.0, "a. b, c", "x" * 281), (55.0, "a, b. c", "x" * 280), (54.9, "abc", None)], "s double, v string, c string")
     got = [tuple(r) for r in df.select(labels.fit_ring(F.col("s")), labels.short_verdict(F.col("v")), F.length(labels.preview(F.col("c"))), scalars.code_points_head("c", 3)).collect()]
     assert got == [("high", "a", 283, "xxx"), ("medium", "a", 280, "xxx"), ("low", "abc", None, "")]
+
+
+def test_the_serial_fold_takes_its_texts_from_a_stream(spark):
+    """No group of all reviews: what reaches Python is sorted hashes; texts split over batches, schools that share one, and none."""
+    rng = random.Random(5)
+    rows = [(s, 0, i, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(12))) if i % 7 else None) for s in ("a", "b", None) for i in range(60)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "school string, entity_ordinal int, review_ordinal int, comment string")
+    trained = topics.train(df)
+    plan = trained._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {}
+        for r in topics.train(df.coalesce(1)).collect():
+            got.setdefault(r["school"], {}).setdefault(r["category"], {})[r["token"]] = r["cnt"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == {"a", "b", None} and topics.train(df.limit(0)).count() == 0
+    for s, found in got.items():
+        model = PlainModel()
+        for r in sorted((r for r in rows if r[0] == s), key=lambda r: r[2]):
+            model.learn(plain_words(r[3]))
+        assert found == {c: dict(n) for c, n in model.n.items()}
