@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +24,27 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df without its lineage, in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_TABLES: list[str] = []
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows of df as a compressed table in the shared folder, by columns; for tables too large for `cut`.
+
+    The driver removes it when it ends.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _TABLES.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_saved() -> None:
+    spark = SparkSession.getActiveSession()
+    while spark is not None and _TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+atexit.register(drop_saved)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import stored
 from ..operators import levels, reach, sketches, timejoins
 from ..sources import documents, testdata
 from ..streaming import windows
@@ -206,9 +207,12 @@ SELECT node, CAST(min(steps) AS BIGINT) AS steps FROM (
 def buyers_reach(spark, sf_dir):
     """Who is reached from one buyer over shared suppliers, and in how many steps."""
     bought = testdata.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(testdata.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-    pairs = bought.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
-    edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return reach.reached(edges, spark.range(1).select(F.lit("c7").alias("node")))
+    # numbers, buyers even and suppliers odd, joined and stored once: each step reads them again; steps need no distinct edges
+    pairs = stored.saved(bought.select((F.col("o_custkey").cast("long") * 2).alias("buyer"), (F.col("l_suppkey").cast("long") * 2 + 1).alias("supplier")))
+    edges = pairs.select(F.col("buyer").alias("a"), F.col("supplier").alias("b")).unionByName(pairs.select(F.col("supplier").alias("a"), F.col("buyer").alias("b")))
+    found = reach.reached(edges, spark.range(1).select(F.lit(2 * 7).cast("long").alias("node")))
+    kind = F.when(F.col("node") % 2 == 0, "c").otherwise("s")
+    return found.select(F.concat(kind, F.shiftright("node", 1)).alias("node"), "steps")
 
 
 @query("""SELECT event_type, '$.' || key AS path, 'BIGINT' AS kind, count(*) AS n, min(CAST(json_extract_string(props, '$.' || key) AS BIGINT)) AS least, max(CAST(json_extract_string(props, '$.' || key) AS BIGINT)) AS most

@@ -289,3 +289,10 @@ def test_sql_of_the_extensions(spark, sf_dir, name):
     columns = sorted(df.columns)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({timeline.SQL[name]})").fetchall()
     assert Counter(map(str, want)) == Counter(str(tuple(r)) for r in df.select(*columns).collect()) and want
+
+
+def test_reach_joins_its_edges_once(spark, sf_dir, monkeypatch):
+    plans, real = [], reach.reached
+    monkeypatch.setattr(reach, "reached", lambda edges, starts: (plans.append(edges._jdf.queryExecution().optimizedPlan().toString()), real(edges, starts))[1])
+    got = timeline.buyers_reach(spark, sf_dir)
+    assert "Join" not in plans[0] and "Relation [buyer" in plans[0] and got.where("steps = 0").first()["node"] == "c7"
