@@ -319,7 +319,7 @@ def comment_previews(spark, sf_dir):
 
 @query
 def rating_trend(spark, sf_dir):
-    t = trend.rating_trend(testdata.reviews(spark, sf_dir))
+    t = trend.rating_trend(testdata.reviews(spark, sf_dir), lists=False)
     return t.select("entity_id", "insufficient_data", "n_data_points", "date_range", labels.trend_label(F.col("pred_mean")).alias("trend_summary"), labels.trend_text(F.col("pred_mean")).alias("trend_text"), F.element_at("pred_mean", -1).alias("last_mean"), F.element_at("pred_std", -1).alias("last_std"))
 
 

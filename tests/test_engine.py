@@ -113,6 +113,26 @@ def test_trend(spark):
     assert capped["capped"] and capped["n_data_points"] == 3
 
 
+@pytest.mark.parametrize("n,span", [(2, 5), (60, 59), (500, 2500), (300, 15000), (900, 6000), (40, 40000)])
+def test_trends_by_features_are_those_of_the_matrix(n, span):
+    rng = np.random.default_rng(n)
+    days = np.sort(np.r_[0, span, rng.choice(np.arange(1, span), n - 2, replace=False)]).astype(float)
+    times, y = rng.integers(1, 4, n).astype(float), rng.integers(1, 6, n).astype(float)
+    grid = np.linspace(0.0, max(days[-1] / trend.MONTH_DAYS, 12.0), trend.POINTS)
+    want = trend.regress(days / trend.MONTH_DAYS, y, grid, noise=trend.NOISE / times)
+    got = trend.regress_days(days, y, grid, trend.NOISE / times)
+    assert np.abs(want[0] - got[0]).max() < 1e-10 and np.abs(want[1] - got[1]).max() < 1e-10
+    x = np.linspace(0, grid[-1], 77)
+    assert np.abs(trend.features(x, grid[-1]) @ trend.features(x, grid[-1]).T - np.exp(-((x[:, None] - x) ** 2) / (2 * trend.LENGTH**2))).max() < 1e-12
+
+
+def test_trends_without_lists(spark):
+    df = frame(spark, [review("e", i, date=f"2020-0{i + 1}-01 00:00:00") for i in range(5)] + [review("one", 0)])
+    whole = {r["entity_id"]: r.asDict() for r in trend.rating_trend(df).collect()}
+    for r in trend.rating_trend(df, lists=False).collect():
+        assert r.asDict() == {k: v for k, v in whole[r["entity_id"]].items() if k not in ("train_dates", "train_ratings")}
+
+
 def test_trend_label_hole(spark):
     df = spark.createDataFrame([([1.0, 1.0, 1.0, 1.0 + 2.0**-2 + 0.05],), ([4.0] * 8,), (None,), ([1.0, 1.0],)], "m array<double>")
     got = [r[0] for r in df.select(labels.trend_label(F.col("m"))).collect()]
