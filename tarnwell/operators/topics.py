@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mean_of_present, rnd, tokens
+from ..functions.stored import saved
 
 #: Seed phrases of each category. Each word of a phrase counts SEED_WEIGHT.
 SEEDS = {
@@ -99,24 +100,36 @@ def _is_one_of(words: list[str]):
     return lambda t: t.isin(words)
 
 
+#: A token is frequent if it has more than this part of what a model counts; there are fewer such tokens than the number says.
+FREQUENT = 1 << 18
+
+
 def scores(reviews: DataFrame, model: DataFrame, keys: tuple[str, ...], text: str = "comment", partition: tuple[str, ...] = ()) -> DataFrame:
     """keys, category, probability under any model (partition.., category, token, cnt); one row per category.
 
-    Only tokens that the model knows are joined; the rest of a text's tokens enter as a number. `keys` must tell reviews
-    apart and hold `partition`.
+    The model is stored with a row for each token. Its frequent tokens are broadcast, so that nearly all of a text's tokens
+    are summed where the text is; of the others, those that the model knows are joined. `keys` must tell reviews apart and
+    hold `partition`.
     """
-    sizes = model.groupBy(*partition, "category").agg(F.sum("cnt").alias("total"))
-    vocabulary = model.select(*partition, "token").distinct().groupBy(*partition).agg((F.count(F.lit(1)) + SPARE_VOCABULARY).alias("v"))
-    sizes = sizes.join(vocabulary, list(partition)) if partition else sizes.crossJoin(F.broadcast(vocabulary))  # one row
-    words = reviews.select(*keys, tokens(text).alias("w"))
-    known = words.select(*keys, F.explode("w").alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
-    hits = known.join(model, [*partition, "token"]).groupBy(*keys, "category").agg(F.sum("tf").alias("hits"), F.sum(F.col("tf") * F.ln(F.col("cnt") + 1.0)).alias("logs"))
-    grid = words.select(*keys, F.size("w").alias("n"), F.explode(F.array(*map(F.lit, CATEGORIES))).alias("category"))
-    grid = grid.join(sizes, [*partition, "category"]).join(hits, [*keys, "category"], "left")
-    log = F.coalesce("logs", F.lit(0.0)) - F.col("n") * F.ln(F.col("total") + F.col("v"))
-    by = grid.groupBy(*keys).agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("category", log.alias("log")))).alias("m"))
-    posterior = _posterior({c: F.element_at("m", c) for c in CATEGORIES})
-    return by.select(*keys, F.explode(posterior).alias("x")).select(*keys, "x.category", "x.probability")
+    logs = [F.sum(F.when(F.col("category") == c, F.ln(F.col("cnt") + 1.0)).otherwise(0.0)).alias(f"l{i}") for i, c in enumerate(CATEGORIES)]
+    counts = [F.sum(F.when(F.col("category") == c, F.col("cnt")).otherwise(0)).alias(f"n{i}") for i, c in enumerate(CATEGORIES)]
+    each = range(len(CATEGORIES))
+    wide = saved(model.groupBy(*partition, "token").agg(*logs, *counts))
+    n = sum((F.col(f"n{i}") for i in each[1:]), F.col("n0"))
+    sizes = wide.groupBy(*partition).agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in each), (F.count(F.lit(1)) + SPARE_VOCABULARY).alias("v"))
+    total = wide.agg(F.sum(n)).first()[0] or 0
+    known = wide.select(*partition, "token", *(f"l{i}" for i in each), (n * FREQUENT > total).alias("frequent"))
+    words = reviews.select(*keys, F.explode_outer(tokens(text)).alias("token"))
+    met = words.join(F.broadcast(known.where("frequent")), [*partition, "token"], "left")
+    sums = [F.sum(f"l{i}").alias(f"l{i}") for i in each]
+    here = met.groupBy(*keys).agg(F.count("token").alias("n"), *sums)
+    rare = met.where("token IS NOT NULL AND frequent IS NULL").select(*keys, "token").join(known.where("NOT frequent").drop("frequent"), [*partition, "token"])
+    both = here.unionByName(rare.groupBy(*keys).agg(F.lit(0).cast("long").alias("n"), *sums)).groupBy(*keys).agg(F.sum("n").alias("n"), *sums)
+    both = both.join(F.broadcast(sizes), list(partition)) if partition else both.crossJoin(F.broadcast(sizes))  # a row for each partition
+    log = {c: F.coalesce(F.col(f"l{i}"), F.lit(0.0)) - F.col("n") * F.ln((F.col(f"n{i}") + F.col("v")).cast("double")) for i, c in enumerate(CATEGORIES)}
+    # an array of one, exploded: the posterior is found once
+    told = both.select(*keys, F.explode(F.array(F.struct(*(x.alias(c) for c, x in log.items())))).alias("m"))
+    return told.select(*keys, F.explode(_posterior({c: F.col(f"m.{c}") for c in CATEGORIES})).alias("x")).select(*keys, "x.category", "x.probability")
 
 
 def _hash(token: str) -> int:

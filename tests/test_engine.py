@@ -333,3 +333,13 @@ def test_bench_takes_every_registered_query_unless_told_otherwise():
     assert bench.selected(found, None) == found and set(catalog.QUERIES) <= set(found)
     assert set(bench.selected(found, "headline")) <= set(bench.HEADLINE)
     assert list(bench.selected(found, "fit,courses")) == ["fit", "courses"]
+
+
+def test_scores_are_the_same_whatever_is_broadcast(spark, monkeypatch):
+    texts = ["exam exam quantum", "the a", None, "homework zebra lecture zebra", "quantum", "nothing of it known here", ""]
+    df = spark.createDataFrame([(s, i, t) for s in ("a", "b") for i, t in enumerate(texts)], "school string, i int, comment string")
+    found = []
+    for frequent in (1, topics.FREQUENT, 1 << 40):  # none, some, all tokens of the model
+        monkeypatch.setattr(topics, "FREQUENT", frequent)
+        found.append({tuple(r) for r in topics.scores(df, topics.train_batch(df.where("i < 5")), ("school", "i"), partition=("school",)).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 2 * len(texts) * len(topics.CATEGORIES)
