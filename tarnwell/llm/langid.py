@@ -14,6 +14,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, crc_rest, most_frequent, saved, starts, table, whole_groups
+from .common import bit_filter, crc_rest, less_frequent, most_frequent, saved, starts, table, whole_groups
 
 
 
@@ -66,14 +67,15 @@ REMEMBERED = 100_000
 class Model:
     """languages; a row for each broadcast word and n-gram, with its log frequency in each language; log prior.
 
+    The driver holds words and n-grams as columns only; workers turn them into dictionaries, once each.
     rest: (item, counts in each language) of the other words, None if there are none; gram_rest: of all n-grams, None if all
     are broadcast, and gram_bits its filter; word_sums and gram_sums: log denominators.
     """
 
     languages: tuple[str, ...]
-    words: dict[str, int]
+    word_items: pa.Array
     word_logs: np.ndarray
-    grams: dict[str, int]
+    gram_items: pa.Array
     gram_logs: np.ndarray
     prior: np.ndarray
     word_sums: np.ndarray
@@ -82,6 +84,14 @@ class Model:
     gram_rest: DataFrame | None = None
     gram_bits: np.ndarray | None = None
 
+    @cached_property
+    def words(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.word_items.to_pylist())}
+
+    @cached_property
+    def grams(self) -> dict[str, int]:
+        return {g: i for i, g in enumerate(self.gram_items.to_pylist())}
+
 
 def _emit(counts: Counter) -> pa.RecordBatch:
     keys = list(counts)
@@ -147,13 +157,13 @@ def train(docs: DataFrame, most_words: int = BROADCAST, most_grams: int = GRAMS)
     for r in by_place.collect():  # a row for each language
         gram_totals[r["place"]] = r["n"]
     word_sums, gram_sums = _sums(totals, types), _sums(gram_totals, gram_types)
-    table_of = lambda found: np.array([r["counts"] for r in found], float).reshape(len(found), len(languages))
-    rest = by_word.select("item", "counts").join(F.broadcast(words.sparkSession.createDataFrame([(r["item"],) for r in top], "item string")), "item", "left_anti") if types > len(top) else None
-    more = gram_types > len(top_grams)
+    table_of = lambda found: found["counts"].combine_chunks().flatten().to_numpy().astype(float).reshape(found.num_rows, len(languages))
+    rest = less_frequent(by_word, "item", "all", top).select("item", "counts") if types > top.num_rows else None
+    more = gram_types > top_grams.num_rows
     return Model(
         languages,
-        {r["item"]: i for i, r in enumerate(top)}, _logs(table_of(top), word_sums),
-        {r["item"]: i for i, r in enumerate(top_grams)}, _logs(table_of(top_grams), gram_sums),
+        top["item"].combine_chunks(), _logs(table_of(top), word_sums),
+        top_grams["item"].combine_chunks(), _logs(table_of(top_grams), gram_sums),
         np.log(totals / max(totals.sum(), 1.0)), word_sums, gram_sums, rest,
         by_gram.select("item", "counts") if more else None, bit_filter(F.xxhash64("item"), by_gram, GRAM_BITS) if more else None,
     )

@@ -377,7 +377,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     sums = words.groupBy(F.expr("substring(word, -2, 2)").alias("e")).agg(F.sum("n"), F.count(F.lit(1))).collect()  # 65,792 at most
     endings = {bytes(r[0]): (r[1], r[2]) for r in sums}
     n_words, n_types = sum(n for n, _ in endings.values()), sum(k for _, k in endings.values())
-    return Vocabulary([bytes(r[0]) for r in top], np.array([r[1] for r in top], float), docs, n_words + docs, n_types + (docs > 0), endings)
+    return Vocabulary(top["word"].to_pylist(), top["n"].to_numpy().astype(float), docs, n_words + docs, n_types + (docs > 0), endings)
 
 
 def _encode(v: Vocabulary, known: pa.StringArray, texts: pa.Array) -> dict[str, pa.Array]:

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -474,6 +475,30 @@ def test_language_id_uses_every_word_learned(spark, sf_dir):
     assert langid.predict(df.limit(0), few).count() == 0
 
 
+def test_the_driver_holds_frequent_words_as_columns(spark):
+    """30,000 words and their n-grams: as rows and dictionaries they took the driver's Python more than 20 MB."""
+    words = F.array_join(F.transform(F.sequence(F.col("id") * 10, F.col("id") * 10 + 9), lambda x: F.translate(x.cast("string"), "0123456789", "etaoinshrd")), " ")
+    learn = spark.range(3000).select(words.alias("text"), F.when(F.col("id") % 2 == 0, "xx").otherwise("yy").alias("lang"))
+    tracemalloc.start()
+    try:
+        model = langid.train(learn)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 5e6
+    assert len(model.words) == 30_000 and model.rest is None and len(model.grams) == len(model.gram_logs) > 10_000
+
+
+def test_most_and_less_frequent_share_the_items_out(spark):
+    rows = [(chr(97 + i % 26) * (1 + i // 26), 1 + i % 3) for i in range(60)]
+    counts = spark.createDataFrame(rows, "item string, n long")
+    in_order = [r[0] for r in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    for most in (0, 1, 20, 37, 60, 99):
+        top = common.most_frequent(counts, "item", "n", most)
+        assert top["item"].to_pylist() == in_order[:most]
+        assert sorted(r["item"] for r in common.less_frequent(counts, "item", "n", top).collect()) == sorted(in_order[most:])
+
+
 # op8
 
 
