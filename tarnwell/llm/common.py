@@ -155,6 +155,19 @@ def ascii_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).fill_null(b"").to_pylist()
 
 
+#: Bytes of text that a task turns into Python's texts at once.
+BLOCK = 1 << 22
+
+
+def text_blocks(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut anew into copies with about BLOCK bytes in the column each; a longer text is alone or last."""
+    for batch in batches:
+        if batch.num_rows:
+            heads = starts(np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64)) // BLOCK)
+            for a, z in zip(heads.tolist(), [*heads[1:].tolist(), batch.num_rows], strict=True):
+                yield batch.take(pa.array(np.arange(a, z)))
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 1 << 16) -> Iterator[pa.Table]:
     """Batches sorted by key, cut anew so that no group of equal keys is split; about `rows` rows each."""
     held: list[pa.RecordBatch] = []

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, crc_rest, less_frequent, most_frequent, saved, starts, table, whole_groups
+from .common import bit_filter, crc_rest, less_frequent, most_frequent, saved, starts, table, text_blocks, whole_groups
 
 
 
@@ -59,7 +59,7 @@ EVIDENCE = 20
 BROADCAST = 1 << 17
 #: The most frequent n-grams, likewise, and the bits (as a power of two) that tell whether another one may be known.
 GRAMS, GRAM_BITS = 1 << 17, 25
-#: Unseen words whose n-grams a worker remembers.
+#: Words that a worker counts before it passes them on; unseen words whose n-grams it remembers.
 REMEMBERED = 100_000
 
 
@@ -99,13 +99,20 @@ def _emit(counts: Counter) -> pa.RecordBatch:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        by: dict[str, Counter] = {}
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by.setdefault(lang, Counter()).update(letter_words(text.lower()))
+    by: dict[str, Counter] = {}
+
+    def told() -> Iterator[pa.RecordBatch]:
         for lang, counts in by.items():
             if counts:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "item", "n"])
+        by.clear()
+
+    for batch in text_blocks(batches, 0):
+        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            by.setdefault(lang, Counter()).update(letter_words(text.lower()))
+        if sum(map(len, by.values())) > REMEMBERED:
+            yield from told()
+    yield from told()
 
 
 def word_grams(word: str, k: int) -> list[str]:
@@ -277,7 +284,7 @@ def _predict_joined(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> Dat
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         get, at = model.words.get, TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in text_blocks(batches, 1):
             sums, known, lettered, word, n, owner = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 rows, times = [], []

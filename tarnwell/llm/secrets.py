@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_bytes, saved, starts, table
+from .common import ascii_bytes, saved, starts, table, text_blocks
 
 #: A segment of the index ends at so many bytes of text or documents.
 SEGMENT_BYTES = 4 << 20
@@ -207,7 +207,7 @@ def _postings(hashes: list[int], texts: list[bytes], segment: int) -> pa.RecordB
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     segment, size = TaskContext.get().partitionId() << 36, 0
     held: dict[int, bytes] = {}
-    for batch in batches:
+    for batch in text_blocks(batches, 1):
         for h, text in zip(batch.column(0).to_pylist(), ascii_bytes(batch.column(1)), strict=True):
             if held.get(h) == text:
                 continue
@@ -294,7 +294,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
-        for batch in batches:
+        for batch in text_blocks(batches, 1):
             rows, clean = [], []
             for text, bits in zip(ascii_bytes(batch.column(1)), batch.column(2).fill_null(0).to_pylist(), strict=True):
                 todo = [(k, r, regex) for k, r, regex, needs, all_texts in patterns if (not r.needs or needs.search(text) if all_texts else bits >> k & 1)]

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_bytes, joined, saved
+from .common import ascii_bytes, joined, saved, text_blocks
 from .graph import components
 
 SEED = 42
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, fp long, text_hash), one row per row; null text counts as empty, fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_blocks(batches, 1):
             fps = np.array([fingerprint(t, shingle) for t in ascii_bytes(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], ["doc_id", "fp", "text_hash"])
 

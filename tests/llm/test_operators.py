@@ -489,6 +489,21 @@ def test_the_driver_holds_frequent_words_as_columns(spark):
     assert len(model.words) == 30_000 and model.rest is None and len(model.grams) == len(model.gram_logs) > 10_000
 
 
+def test_texts_reach_python_in_small_blocks(monkeypatch):
+    monkeypatch.setattr(common, "BLOCK", 40)
+    texts = ["a" * 30, None, "", "b" * 90, "\u00e9" * 9, "c d"] * 7
+    batch = pa.RecordBatch.from_arrays([pa.array(range(42)), pa.array(texts)], ["n", "text"]).slice(3, 39)
+    blocks = list(common.text_blocks(iter([batch, batch.slice(0, 0)]), 1))
+    assert len(blocks) > 10 and pa.Table.from_batches(blocks).to_pylist() == batch.to_pylist()
+    assert [b for x in blocks for b in common.ascii_bytes(x.column(1))] == [(t or "").encode() for t in texts[3:]]
+    counts = Counter()
+    monkeypatch.setattr(langid, "REMEMBERED", 3)
+    for b in langid._word_counts(iter([pa.RecordBatch.from_arrays([pa.array(["a b c d", "b", "e f b"] * 9), pa.array(["x", "y", "x"] * 9)], ["text", "lang"])])):
+        for r in b.to_pylist():
+            counts[r["lang"], r["item"]] += r["n"]
+    assert counts == {("x", w): 18 if w == "b" else 9 for w in "abcdef"} | {("y", "b"): 9}
+
+
 def test_most_and_less_frequent_share_the_items_out(spark):
     rows = [(chr(97 + i % 26) * (1 + i // 26), 1 + i % 3) for i in range(60)]
     counts = spark.createDataFrame(rows, "item string, n long")
