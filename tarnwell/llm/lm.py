@@ -127,26 +127,27 @@ class Vocabulary:
         return self.class_table.take(np.where(size > 1, 256 + 256 * data.take(ends[1:] - np.minimum(size, 2)).astype(np.int64) + last, last))
 
 
-def _times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """x @ y in stacks of rows, each so small that a task's BLAS stays on one thread; waiting threads would cost as much again."""
+def _times(x: np.ndarray, y: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """x @ y, in `out` if given, in stacks of rows, each so small that a task's BLAS stays on one thread; waiting threads would cost as much again."""
     rows = max(1, SINGLE // (y.shape[0] * y.shape[1]))
     whole = len(x) // rows * rows
-    out = np.empty((len(x), y.shape[1]), np.result_type(x, y))
+    out = np.empty((len(x), y.shape[1]), np.result_type(x, y)) if out is None else out
     np.matmul(x[:whole].reshape(-1, rows, x.shape[1]), y, out=out[:whole].reshape(-1, rows, y.shape[1]))
     np.matmul(x[whole:], y, out=out[whole:])
     return out
 
 
-def _log_sum(s: np.ndarray, safe: bool) -> np.ndarray:
-    """log sum exp of each row, in place; `safe` says that no exp() can overflow."""
-    ones = np.ones(s.shape[1], s.dtype)
+def _log_share(s: np.ndarray, bias: np.ndarray, mine: np.ndarray, safe: bool) -> np.ndarray:
+    """The log softmax of s + bias at one place of each row, s being overwritten; `safe` says that no exp() can overflow."""
+    told = s[np.arange(len(s)), mine] + bias.take(mine)
     if safe:
         np.exp(s, out=s)
-        return np.log(s @ ones)
+        return told - np.log(s @ np.exp(bias))
+    s += bias
     most = s.max(axis=1)
     s -= most[:, None]
     np.exp(s, out=s)
-    return np.log(s @ ones) + most
+    return told - np.log(s.sum(axis=1)) - most
 
 
 @dataclass
@@ -194,28 +195,30 @@ class Model:
         order = np.argsort(units.astype(np.uint16), kind="stable")
         class_of = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
         placed = self.place[:, None] * self.context
-        classes = np.concatenate([self.classes.T, self.class_bias[None]])
-        target = np.ascontiguousarray(np.concatenate([self.target.T, self.bias[None]]))
+        classes = np.ascontiguousarray(self.classes.T)
+        target = [np.ascontiguousarray(self.target[a:z].T) for a, z in zip(begin[:-1], begin[1:], strict=True)]
         reach = sum(np.sqrt((x**2).sum(axis=1).max()) for x in placed)  # no predicted vector is longer
         longest = max(np.sqrt((x**2).sum(axis=1).max()) for x in (self.classes, self.target))
         widest = max(np.abs(x).max() for x in (self.bias, self.class_bias))
+        # Blocks share their arrays: new ones of this size would be faulted in anew for each block.
+        most = min(SCORED, len(units))
+        room, predicted, part = np.empty(most * max(classes.shape[1], *np.diff(begin).tolist()), np.float32), np.empty((most, WIDTH), np.float32), np.empty((most, WIDTH), np.float32)
+        scores = lambda q, y: _times(q, y, room[: len(q) * y.shape[1]].reshape(len(q), -1))
         for at in range(0, len(units), SCORED):
             rows = order[at : at + SCORED]
             u = units[rows]
             k = class_of[u]
-            q = np.ones((len(rows), WIDTH + 1), np.float32)
-            q[:, :WIDTH] = sum(placed[i].take(near[i].take(rows), axis=0) for i in range(CONTEXT))
-            safe = reach * longest + widest < 80 or bool(np.sqrt((q[:, :WIDTH] ** 2).sum(axis=1).max()) * longest + widest < 80)
-            s = _times(q, classes)
-            told = s[np.arange(len(rows)), k]
-            told = told - _log_sum(s, safe)
+            q, x = predicted[: len(rows)], part[: len(rows)]
+            placed[0].take(near[0].take(rows), axis=0, out=q, mode="clip")
+            for i in range(1, CONTEXT):
+                q += placed[i].take(near[i].take(rows), axis=0, out=x, mode="clip")
+            safe = reach * longest + widest < 80 or bool(np.sqrt((q**2).sum(axis=1).max()) * longest + widest < 80)
+            told = _log_share(scores(q, classes), self.class_bias, k, safe)
             heads = starts(k)
             for a, z in zip(heads.tolist(), np.r_[heads[1:], len(rows)].tolist(), strict=True):
                 low, high = int(begin[k[a]]), int(begin[k[a] + 1])
                 if high - low > 1:
-                    s = _times(q[a:z], target[:, low:high])
-                    mine = s[np.arange(z - a), u[a:z] - low]
-                    told[a:z] += mine - _log_sum(s, safe)
+                    told[a:z] += _log_share(scores(q[a:z], target[k[a]]), self.bias[low:high], u[a:z] - low, safe)
             out[rows] = told / math.log(10)
         return out
 
@@ -257,17 +260,22 @@ class Trainer:
         drawn = edge[:-1, None] + self.rng.random((len(edge) - 1, NOISE_INSIDE)) * np.diff(edge)[:, None]
         inner = np.clip(np.searchsorted(self.inner, drawn[met], "right") - 1, low[:, None], high[:, None] - 1)
         x = [m.context.take(near[i], axis=0) for i in range(CONTEXT)]
-        q = sum(m.place[i] * x[i] for i in range(CONTEXT))
+        g = np.empty((CONTEXT, n, WIDTH), np.float32)  # one place after the other, first of what predicts, then of its slope
+        for i in range(CONTEXT):
+            np.multiply(x[i], m.place[i], out=g[i])
+        q = g.sum(axis=0)
         ones = np.zeros((n, WIDTH + 2), np.float32)  # with the bias's column, and one that makes their number even
         ones[:, :WIDTH], ones[:, WIDTH] = q, 1
         # classes
         t, z = m.classes.take(k, axis=0), m.classes[noise]
         true = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, t) + (m.class_bias - self.log_noise).take(k)))
-        false = -1 / (1 + np.exp(-(_times(q, z.T) + (m.class_bias - self.log_noise)[noise])))
+        false = _slopes(_times(q, z.T), (m.class_bias - self.log_noise)[noise])
+        np.negative(false, out=false)
         dq = true[:, None] * t + _times(false, z)
         classes, class_bias = np.zeros_like(m.classes), np.bincount(k, true, len(m.class_bias)).astype(np.float32)
         classes[met] = _runs(true[:, None] * q, heads)
-        pushed = sum(false[at : at + 128].T @ q[at : at + 128] for at in range(0, n, 128))
+        whole = n // 128 * 128
+        pushed = np.matmul(false[:whole].reshape(-1, 128, NOISE).transpose(0, 2, 1), q[:whole].reshape(-1, 128, WIDTH)).sum(axis=0) + false[whole:].T @ q[whole:]
         np.add.at(classes, noise, pushed)
         np.add.at(class_bias, noise, false.sum(axis=0))
         # units within their classes; a class of one unit has nothing to tell apart
@@ -283,26 +291,38 @@ class Trainer:
         free = m.bias - self.log_inner
         true = np.repeat(some, sizes) / (1 + np.exp(np.einsum("ij,ij->i", q, t) + free.take(units)))
         false = np.matmul(tiled[:, :, :WIDTH], z.transpose(0, 2, 1))
-        false += free[inner].repeat(tiles, axis=0)[:, None]
-        np.exp(np.negative(false, out=false), out=false)
-        false += 1
-        np.divide(-some.repeat(tiles)[:, None, None], false, out=false)
+        false = _slopes(false, free[inner].repeat(tiles, axis=0)[:, None])
+        false *= -some.repeat(tiles)[:, None, None]
         dq += true[:, None] * t
         dq += np.matmul(false, z).reshape(-1, WIDTH).take(put, axis=0)
         pushed = _runs(np.matmul(false.transpose(0, 2, 1), tiled).reshape(len(tiled), -1), first)
         at, grown = _summed(np.concatenate([units, inner.ravel()]), np.concatenate([true[:, None] * ones, pushed.reshape(-1, WIDTH + 2)]))
-        seen, context = _summed(near.ravel(), np.concatenate([dq * m.place[i] for i in range(CONTEXT)]))
+        for i in range(CONTEXT):
+            np.multiply(dq, m.place[i], out=g[i])
+        seen, context = _summed(near.ravel(), g.reshape(-1, WIDTH))
         place = np.stack([np.ones(n, np.float32) @ (dq * x[i]) for i in range(CONTEXT)])
         steps = ((seen, context), (None, place), (at, grown[:, :WIDTH]), (at, grown[:, WIDTH]), (None, classes), (None, class_bias))
         for p, s, (rows, g) in zip(m.parts(), self.squares, steps, strict=True):
             g = g / np.float32(n)
+            square = g * g
+            square += s if rows is None else s.take(rows, axis=0)  # take() gathers rows faster than an index does
+            g *= RATE
             if rows is None:
-                s += g * g
-                p += RATE * g / np.sqrt(s)
-            else:  # take() gathers rows faster than an index does
-                square = s.take(rows, axis=0) + g * g
+                s[...] = square
+                p += np.divide(g, np.sqrt(square, out=square), out=g)
+            else:
                 _put(s, rows, square)
-                _put(p, rows, p.take(rows, axis=0) + RATE * g / np.sqrt(square))
+                np.divide(g, np.sqrt(square, out=square), out=g)
+                g += p.take(rows, axis=0)
+                _put(p, rows, g)
+
+
+def _slopes(s: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-(s + bias))), in place of s."""
+    s += bias
+    np.exp(np.negative(s, out=s), out=s)
+    s += 1
+    return np.reciprocal(s, out=s)
 
 
 def _put(x: np.ndarray, rows: np.ndarray, new: np.ndarray) -> None:
@@ -313,8 +333,18 @@ def _put(x: np.ndarray, rows: np.ndarray, new: np.ndarray) -> None:
 
 
 def _runs(x: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Sums of the rows from each head to the next; two single-precision columns are added as one complex one, in half the time."""
-    return np.add.reduceat(x.view(np.complex64), heads, axis=0).view(np.float32)
+    """Sums of the rows from each head to the next; two single-precision columns are added as one complex one, in half the time.
+
+    Most runs are of one or two rows, which are added all at once.
+    """
+    sizes = np.diff(np.r_[heads, len(x)])
+    out = x.take(heads, axis=0)
+    two, more = np.flatnonzero(sizes == 2), sizes > 2
+    out[two] += x.take(heads.take(two) + 1, axis=0)
+    if more.any():
+        long = sizes[more]
+        out[more] = np.add.reduceat(x[np.repeat(more, sizes)].view(np.complex64), np.cumsum(long) - long, axis=0).view(np.float32)
+    return out
 
 
 def _summed(rows: np.ndarray, add: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -428,7 +458,7 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("round").cast("long").alias("round"), F.col("text").cast("string").alias("text"))
     schema = "row long, doc_id long, held_out boolean, round long, n_tokens long, n_known long, base double, inside double, units binary, loose array<binary>, times array<long>"
-    return saved(rows.mapInArrow(run, schema), "zstd")
+    return saved(rows.mapInArrow(run, schema))
 
 
 def _unit_arrays(column: pa.Array) -> list[np.ndarray]:
@@ -476,7 +506,7 @@ def _steps(trainer: Trainer, texts: list[np.ndarray], units: int) -> int:
     order = trainer.rng.permutation(len(units))
     for at in range(0, len(units), BATCH):
         k = order[at : at + BATCH]
-        trainer.step(near[:, k], units[k])
+        trainer.step(near.take(k, axis=1), units.take(k))
     return len(units)
 
 

@@ -271,6 +271,33 @@ def test_lm_blocks_hold_every_word_of_every_text(monkeypatch):
         assert inside == pytest.approx(sum(v.inside[i] for i in known) - sum(v.log_others[v.word_class(w)] for w in others))
 
 
+def test_sums_of_runs_are_those_of_single_rows():
+    x = np.random.default_rng(5).integers(-50, 50, (60, 6)).astype(np.float32)
+    for heads in ([0], [0, 1, 2, 4, 7, 8, 10, 30, 59], list(range(60)), list(range(0, 60, 2))):
+        got = lm._runs(x, np.array(heads))
+        assert got.tolist() == [x[a:z].sum(axis=0).tolist() for a, z in zip(heads, [*heads[1:], 60], strict=True)]
+
+
+def test_blocks_of_scores_share_one_array(monkeypatch):
+    """Arrays of a block's size are not made anew for each block; large scores, which exp() overflows at, come out too."""
+    v, model, met, times = small_vocabulary(), lm.Model.first(small_vocabulary()), set(), lm._times
+    monkeypatch.setattr(lm, "SCORED", 64)
+    monkeypatch.setattr(lm, "_times", lambda x, y, out: (met.add(out.__array_interface__["data"][0]), times(x, y, out))[1])
+    rng = np.random.default_rng(1)
+    near, units = rng.integers(0, v.units, (lm.CONTEXT, 500)), rng.integers(0, v.units, 500)
+    for scale in (1, 300):
+        model.context *= scale
+        met.clear()
+        got = model.log10(near, units, v.begin)
+        assert len(met) == 1
+        q = sum(model.place[i].astype(float) * model.context[near[i]] for i in range(lm.CONTEXT))
+        for j, u in enumerate(units.tolist()):
+            k = int(np.searchsorted(v.begin, u, "right")) - 1
+            low, high = v.begin[k], v.begin[k + 1]
+            parts = ((model.classes @ q[j] + model.class_bias, k), (model.target[low:high] @ q[j] + model.bias[low:high], u - low))
+            assert got[j] == pytest.approx(sum(x[i] - x.max() - np.log(np.exp(x - x.max()).sum()) for x, i in parts) / math.log(10), rel=1e-4, abs=1e-3)
+
+
 def test_units_grow_with_the_vocabulary():
     units = []
     for n in (100, 10_000, 60_000):
